@@ -33,7 +33,7 @@ def collapse_identifier_examples(examples: Column) -> Column:
 def format_examples(examples: Column, type_class: Column) -> Column:
     """Comma list: quoted and trimmed for text and time, float text for numeric, plain otherwise."""
     quoted = F.transform(examples, lambda v: F.concat(F.lit("'"), F.trim(v), F.lit("'")))
-    floats = F.transform(examples, lambda v: v.cast("double").cast("string"))
+    floats = F.transform(examples, lambda v: F.coalesce(v.try_cast("double").cast("string"), v))
     return (
         F.when(type_class.isin("text", "time"), F.array_join(quoted, ", "))
         .when(type_class == "numeric", F.array_join(floats, ", "))

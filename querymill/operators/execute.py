@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import threading
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querymill.session import scratch_path
 
+BATCH = 1000
 STATUS = T.StructType([T.StructField("sql", T.StringType()), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
 
 
@@ -36,21 +40,24 @@ def _run_one(spark: SparkSession, sql: str, path: str, time_limit: float) -> tup
         spark.removeTag(tag)
 
 
-def run_candidates(spark: SparkSession, execs: DataFrame, time_limit: float = 100.0) -> tuple[DataFrame, DataFrame]:
+def run_candidates(spark: SparkSession, execs: DataFrame, time_limit: float = 100.0, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
     """Run every *distinct* statement of ``execs(dp_id, cand_id, sql, is_gold)`` once.
 
     Returns ``(execs, results)``: execs with ``status`` and ``error``, results as ``(dp_id,
     cand_id, row_no, cells)``. Rows go from the executors to the shared folder; the driver
-    streams the distinct statement texts one partition at a time and keeps only their status.
+    streams the distinct statement texts, has ``parallel`` of them running at a time, and writes
+    their status to the same folder batch by batch.
     Statements must end in a query result: blank text and anything that is not a query is an error.
     """
-    path = scratch_path(spark, "results")
+    path, status_path = scratch_path(spark, "results"), scratch_path(spark, "status")
     texts = execs.select(F.trim(F.regexp_replace("sql", r"[;\s]+$", "")).alias("sql")).distinct()
     spark.createDataFrame([], "sql string, row_no long, cells array<string>").write.parquet(path)
-    outcome = []
-    for row in texts.toLocalIterator():
-        outcome.append(_run_one(spark, row.sql, path, time_limit) if row.sql else (row.sql, "error", "Empty query."))
-    status = spark.createDataFrame(outcome, STATUS)
+    statements = (row.sql for row in texts.toLocalIterator())
+    run = inheritable_thread_target(lambda sql: _run_one(spark, sql, path, time_limit) if sql else (sql, "error", "Empty query."))
+    with ThreadPoolExecutor(parallel) as pool:
+        while batch := list(islice(statements, BATCH)):
+            spark.createDataFrame(list(pool.map(run, batch)), STATUS).write.mode("append").parquet(status_path)
+    status = spark.read.schema(STATUS).parquet(status_path)
     keyed = execs.withColumn("_sql", F.trim(F.regexp_replace("sql", r"[;\s]+$", "")))
     done = keyed.join(status.withColumnRenamed("sql", "_sql"), "_sql", "left").drop("_sql")
     rows = spark.read.parquet(path).withColumnRenamed("sql", "_sql")

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 
 
-def group_rank(df: DataFrame, keys: list[str], hashed: str, tie: list[str], out: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_rank(df: DataFrame, keys: list[str], hashed: str, tie: list[str], out: str = "rn", hot_rows: int = HOT_ROWS, largest: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by hashed, tie)`` without one task per hot group.
 
     ``hashed`` is a hex digest, so its first three digits cut a group into 4096 ordered, even
     slices. Groups above ``hot_rows`` are ranked slice by slice and shifted by the rows in the
     slices before. The list of hot groups holds at most rows / hot_rows entries, so it is broadcast.
     """
+    if largest is not None and largest <= hot_rows:  # the caller knows that no group is hot
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(hashed, *tie)).cast("long"))
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
     cut = df.join(F.broadcast(hot), keys, "left").withColumn("_cut", F.when(F.col("_hot"), F.substring(F.col(hashed), 1, 3)).otherwise(F.lit("")))
     inside = cut.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_cut").orderBy(hashed, *tie)).cast("long"))

@@ -60,15 +60,18 @@ def used(text: str) -> list[str]:
 
 
 def closure(text: str) -> list[str]:
-    """Inputs named in a text, directly or through other inputs, in the order of definition."""
-    need: set[str] = set()
-    todo = used(text)
-    while todo:
-        name = todo.pop()
-        if name not in need:
-            need.add(name)
-            todo += used(INPUTS[name])
-    return [name for name in INPUTS if name in need]
+    """Inputs named in a text, directly or through other inputs, each after those it needs."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in order:
+            for dep in used(INPUTS[name]):
+                visit(dep)
+            order.append(name)
+
+    for name in used(text):
+        visit(name)
+    return order
 
 
 def oracle_text(body: str) -> str:
@@ -76,9 +79,12 @@ def oracle_text(body: str) -> str:
     ctes = [f"{name} AS (\n{INPUTS[name].strip()}\n)" for name in closure(body)]
     body = body.strip()
     own = not body.upper().startswith("SELECT")
+    start = "WITH "
+    if body.startswith("RECURSIVE "):
+        start, body = "WITH RECURSIVE ", body[len("RECURSIVE ") :]
     if not ctes:
-        return dialect(("WITH " if own else "") + body, "oracle")
-    return dialect("WITH " + ",\n".join(ctes) + (",\n" if own else "\n") + body, "oracle")
+        return dialect((start if own else "") + body, "oracle")
+    return dialect(start + ",\n".join(ctes) + (",\n" if own else "\n") + body, "oracle")
 
 
 def check(name: str, oracle: str | None = None):
@@ -87,7 +93,7 @@ def check(name: str, oracle: str | None = None):
     def wrap(fn: Callable[[Source], DataFrame]):
         QUERIES[name] = lambda spark, folder: fn(Source(spark, folder))
         if oracle is not None:
-            ORACLES[name] = oracle_text(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return wrap

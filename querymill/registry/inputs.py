@@ -17,7 +17,7 @@ SELECT 'db_' || CAST(l_suppkey AS STRING) AS db_id,
   p_type AS table_name, replace(p_brand, '#', '_') AS col_name, p_name, p_partkey, l_returnflag, l_linenumber
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     i_columns="""
-SELECT db_id, table_name, col_name, table_idx, col_idx, brand, declared_type, col_idx = 0 AS is_pk, n_lines % 3 = 0 AS contains_null,
+SELECT db_id, table_name, col_name, table_idx, col_idx, brand, declared_type, col_idx = 0 AND table_name <> 'MEDIUM' AS is_pk, n_lines % 3 = 0 AS contains_null,
   CASE WHEN brand % 3 = 0 THEN lower(replace(col_name, '_', ' ')) WHEN brand % 3 = 1 THEN 'code of ' || col_name ELSE col_name END AS display_name,
   CASE WHEN table_idx % 2 = 0 THEN 'the ' || lower(table_name) || ' list' ELSE lower(table_name) || '_' END AS table_display
 FROM (
@@ -34,17 +34,37 @@ FROM i_columns c JOIN i_columns r ON c.db_id = r.db_id AND r.col_idx = 0 AND r.t
   WHEN 'ECONOMY' THEN 'LARGE' WHEN 'LARGE' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'PROMO' WHEN 'PROMO' THEN 'SMALL' WHEN 'SMALL' THEN 'STANDARD' ELSE 'ECONOMY' END
 WHERE c.col_idx = 1 OR (c.col_idx = 4 AND c.brand % 2 = 0)""",
     i_tables="""
-SELECT DISTINCT db_id, table_idx, table_name, table_display FROM i_columns""",
+SELECT db_id, table_idx, table_name, table_display, CASE WHEN CAST(substr(db_id, 4) AS INT) % 2 = 1 THEN n_tables - 1 - table_idx ELSE table_idx END AS display_idx
+FROM (SELECT db_id, table_idx, table_name, table_display, count(*) OVER (PARTITION BY db_id) AS n_tables FROM (SELECT DISTINCT db_id, table_idx, table_name, table_display FROM i_columns) AS t) AS n""",
+    i_globals="""
+SELECT c.*, t.display_idx, CAST(row_number() OVER (PARTITION BY c.db_id ORDER BY c.table_idx, c.col_idx) AS BIGINT) AS global_idx
+FROM i_columns c JOIN i_tables t ON c.db_id = t.db_id AND c.table_name = t.table_name""",
     i_descriptions="""
-SELECT 'ORIG' AS origin, p_partkey AS line_no, p_type AS table_name, ' ' || replace(p_brand, '#', '_') || ' ' AS original_column_name,
+SELECT 'ORIG' AS origin, p_partkey AS line_no, p_type AS table_name, CASE WHEN p_brand = 'Brand#7' THEN 'other' ELSE ' ' || replace(p_brand, '#', '_') || ' ' END AS original_column_name,
   CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN lower(replace(p_brand, '#', ' ')) ELSE ' commonsense evidence: ' || p_name || chr(10) || ' of  the ' || p_type END AS column_description,
   CASE WHEN p_size % 3 = 0 THEN NULL WHEN p_size % 3 = 1 THEN p_name || ' of the ' || p_type ELSE 'see ' || p_name END AS value_description
 FROM part""",
+    i_defs="""
+SELECT db_id, table_idx, table_name, CASE WHEN table_idx % 2 = 0 THEN ' -- Table Description: ' || table_display ELSE '' END AS table_comment, col_idx, col_name, is_pk,
+  CASE brand % 8 WHEN 0 THEN 'text' WHEN 1 THEN 'integer' WHEN 2 THEN 'real' WHEN 3 THEN 'time' WHEN 4 THEN 'numeric' WHEN 5 THEN 'text' WHEN 6 THEN 'jsonb' ELSE 'others' END AS type_class,
+  CASE WHEN brand % 3 = 1 THEN 'Column Meaning: ' || display_name ELSE '' END AS comment
+FROM i_columns""",
     i_examples="""
 SELECT db_id, table_name, col_name, ex_no, value FROM (
-  SELECT db_id, table_name, col_name, p_name AS value, CAST(row_number() OVER (PARTITION BY db_id, table_name, col_name ORDER BY p_name) AS BIGINT) AS ex_no
-  FROM (SELECT DISTINCT db_id, table_name, col_name, p_name FROM i_lines) AS d) AS r
+  SELECT db_id, table_name, col_name, value, CAST(row_number() OVER (PARTITION BY db_id, table_name, col_name ORDER BY value) AS BIGINT) AS ex_no
+  FROM (SELECT DISTINCT db_id, table_name, col_name, CASE WHEN CAST(substr(col_name, 7) AS INT) % 8 = 4 THEN CAST(p_partkey AS STRING) || '.50' ELSE p_name END AS value FROM i_lines) AS d) AS r
 WHERE ex_no <= 5""",
+    # ---- one question per customer against the first supplier it bought from
+    i_asks="""
+SELECT o_custkey AS dp_id, 'db_' || CAST(min(l_suppkey) AS STRING) AS db_id, CAST(count(*) AS BIGINT) AS n_lines
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey""",
+    i_retrieved="""
+SELECT dp_id, db_id, table_name, col_name, rn, value FROM (
+  SELECT dp_id, db_id, table_name, col_name, value, CAST(row_number() OVER (PARTITION BY dp_id, table_name, col_name ORDER BY value DESC) AS BIGINT) AS rn
+  FROM (SELECT DISTINCT a.dp_id, a.db_id, p_type AS table_name, replace(p_brand, '#', '_') AS col_name,
+      CASE WHEN CAST(substr(p_brand, 7) AS INT) % 8 = 4 THEN CAST(p_partkey AS STRING) || '.25' WHEN p_size % 7 = 0 THEN repeat(p_name, 14) WHEN p_size % 7 = 1 THEN 'http://x.y/' || p_name ELSE p_name END AS value
+    FROM i_asks a JOIN orders ON o_custkey = a.dp_id JOIN lineitem ON o_orderkey = l_orderkey AND a.db_id = 'db_' || CAST(l_suppkey AS STRING) JOIN part ON l_partkey = p_partkey) AS d) AS r
+WHERE rn <= 3""",
     # ---- questions and their links
     i_dps="""
 SELECT dp_id, db_id, 'Which ' || min(p_name) || ' or ' || max(p_name) || '?' AS question,

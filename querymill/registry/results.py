@@ -50,7 +50,7 @@ SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS dp_id, CAST(n_nationkey % 4 AS BI
   WHEN 1 THEN 'SELECT no_such_column FROM lineitem'
   WHEN 2 THEN 'DROP TABLE lineitem'
   ELSE 'WITH w AS (SELECT p_type, max(p_size) m FROM part GROUP BY p_type) SELECT * FROM w ORDER BY m' END AS sql
-FROM nation CROSS JOIN (SELECT max(l_linestatus) AS l_linestatus FROM lineitem) AS m"""
+FROM (SELECT n_nationkey, (SELECT max(l_linestatus) FROM lineitem) AS l_linestatus FROM nation) AS m"""
 
 
 @check(
@@ -358,8 +358,9 @@ def _(s):
     return rounds.tournament(votes.select("dp_id").distinct(), cands, judge).select("dp_id", "cand_id", "result_key")
 
 
-INPUTS["i_choices"] = r"""
-SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' \box{SQL1}' WHEN 1 THEN ' \box{SQL2}' WHEN 2 THEN ' \box{SQL1} or \box{SQL2}, TRUE' ELSE ' True' END AS text FROM documents"""
+INPUTS["i_choices"] = """
+SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' ' || chr(92) || 'box{SQL1}' WHEN 1 THEN ' ' || chr(92) || 'box{SQL2}'
+  WHEN 2 THEN ' ' || chr(92) || 'box{SQL1} or ' || chr(92) || 'box{SQL2}, TRUE' ELSE ' True' END AS text FROM documents"""
 
 
 @check(
