@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,18 +18,24 @@ LOCAL_HEADER = (
 MAX_RETRIEVED_LENGTH = 100
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_examples(retrieved: Column, static: Column, cap: int = 4) -> Column:
     """Retrieved values below the length limit, filled up with static values not among them."""
     short = F.filter(retrieved, lambda v: F.length(v) < MAX_RETRIEVED_LENGTH)
-    room = F.greatest(F.lit(cap) - F.size(short), F.lit(0))
-    return F.concat(short, F.slice(F.array_except(static, short), F.lit(1), room))
+    return let(short, lambda s: F.concat(s, F.slice(F.array_except(static, s), F.lit(1), F.greatest(F.lit(cap) - F.size(s), F.lit(0)))))
 
 
 def collapse_identifier_examples(examples: Column) -> Column:
     """Only the first value when it is an e-mail address or a URL."""
-    first = F.try_element_at(examples, F.lit(1))
-    single = first.rlike(EMAIL) | first.startswith(URL_STARTS[0]) | first.startswith(URL_STARTS[1])
-    return F.when(F.coalesce(single, F.lit(False)), F.slice(examples, 1, 1)).otherwise(examples)
+
+    def single(first: Column) -> Column:
+        return F.coalesce(first.rlike(EMAIL) | first.startswith(URL_STARTS[0]) | first.startswith(URL_STARTS[1]), F.lit(False))
+
+    return let(examples, lambda e: F.when(let(F.try_element_at(e, F.lit(1)), single), F.slice(e, 1, 1)).otherwise(e))
 
 
 def format_examples(examples: Column, type_class: Column) -> Column:
@@ -44,5 +52,5 @@ def format_examples(examples: Column, type_class: Column) -> Column:
 def local_examples(column: Column, retrieved: Column, static: Column, type_class: Column) -> Column:
     """All examples of one column, each once, below the fixed header; empty without examples."""
     short = F.filter(retrieved, lambda v: F.length(v) < MAX_RETRIEVED_LENGTH)
-    values = F.array_distinct(F.concat(short, static))
-    return F.when(F.size(values) == 0, F.lit("")).otherwise(F.format_string(LOCAL_HEADER, column, format_examples(values, type_class)))
+    block = lambda v: F.when(F.size(v) == 0, F.lit("")).otherwise(F.format_string(LOCAL_HEADER, column, format_examples(v, type_class)))
+    return let(F.array_distinct(F.concat(short, static)), block)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.functions.examples import collapse_identifier_examples, format_examples, local_examples, merge_examples
+from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
 from querymill.operators.links import close_link, kept_fks
 
 
@@ -18,29 +18,31 @@ def column_code(col_name: Column, type_class: Column) -> Column:
 
 def with_example_note(comment: Column, examples: Column) -> Column:
     """Column comment including the example note; empty when there is nothing to say."""
-    note = F.when(F.coalesce(examples, F.lit("")) != "", F.concat(F.lit("Value Examples: ["), examples, F.lit("]")))
-    said = F.concat_ws(" | ", F.when(comment != "", comment), note)
-    return F.when(said != "", F.concat(F.lit("-- "), said)).otherwise("")
+    note = let(examples, lambda e: F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("Value Examples: ["), e, F.lit("]"))))
+    return let(F.concat_ws(" | ", F.when(comment != "", comment), note), lambda said: F.when(said != "", F.concat(F.lit("-- "), said)).otherwise(""))
 
 
-def statement(table_name: Column, table_comment: Column, lines: Column) -> Column:
-    """Table statement from sorted lines ``struct<kind, ord, code, comment, is_pk, name>``.
+def with_statement(tables: DataFrame) -> DataFrame:
+    """Add ``statement`` made from sorted ``lines`` ``struct<kind, ord, code, comment, is_pk, name>``.
 
     Kind 0 is a column, kind 1 a foreign key. Every column ends in a comma unless it is the last
     one and neither a primary nor a foreign key follows; the comma comes before the comment.
     """
-    cols = F.filter(lines, lambda x: x["kind"] == 0)
-    pks = F.array_join(F.transform(F.filter(cols, lambda x: x["is_pk"]), lambda x: F.concat(F.lit('"'), x["name"], F.lit('"'))), ", ")
-    pk = F.when(pks != "", F.concat(F.lit("    PRIMARY KEY ("), pks, F.lit(")")))
-    fks = F.transform(F.filter(lines, lambda x: x["kind"] == 1), lambda x: x["code"])
-    keys = F.array_join(F.concat(F.array(pk), fks), ",\n")
-    end = F.when(keys != "", F.concat(keys, F.lit("\n);\n")))
-    comma = lambda i: F.when((i < F.size(cols) - 1) | (keys != ""), F.lit(",")).otherwise("")
+    parts = tables.withColumn("_cols", F.filter("lines", lambda x: x["kind"] == 0))
+    pks = F.array_join(F.transform(F.filter("_cols", lambda x: x["is_pk"]), lambda x: F.concat(F.lit('"'), x["name"], F.lit('"'))), ", ")
+    pk = let(pks, lambda p: F.when(p != "", F.concat(F.lit("    PRIMARY KEY ("), p, F.lit(")"))))
+    fks = F.transform(F.filter("lines", lambda x: x["kind"] == 1), lambda x: x["code"])
+    parts = parts.withColumn("_keys", F.array_join(F.concat(F.array(pk), fks), ",\n"))
+    parts = parts.withColumn("_n", F.size("_cols") - F.when(F.col("_keys") == "", 1).otherwise(0))
     body = F.transform(
-        cols,
-        lambda x, i: F.concat(F.lit("    "), x["code"], comma(i), F.when(x["comment"] != "", F.concat(F.lit(" "), x["comment"])).otherwise(""), F.lit("\n")),
+        "_cols",
+        lambda x, i: F.concat(
+            F.lit("    "), x["code"], F.when(i < F.col("_n"), F.lit(",")).otherwise(""), F.when(x["comment"] != "", F.concat(F.lit(" "), x["comment"])).otherwise(""), F.lit("\n")
+        ),
     )
-    return F.concat(F.lit('CREATE TABLE "'), table_name, F.lit('" ('), table_comment, F.lit("\n"), F.array_join(body, ""), F.coalesce(end, F.lit(");\n")))
+    head = F.concat(F.lit('CREATE TABLE "'), F.col("table_name"), F.lit('" ('), F.col("table_comment"), F.lit("\n"))
+    end = F.when(F.col("_keys") != "", F.concat("_keys", F.lit("\n);\n"))).otherwise(");\n")
+    return parts.withColumn("statement", F.concat(head, F.array_join(body, ""), end)).drop("_cols", "_keys", "_n")
 
 
 def _lines(kind: int, ord_: Column, code: Column, comment: Column, is_pk: Column, name: Column) -> Column:
@@ -65,7 +67,7 @@ def render_table(shown: DataFrame, fks: DataFrame, keys: list[str]) -> DataFrame
     tables = cols.unionByName(refs).groupBy(*group).agg(
         F.min("table_idx").alias("table_idx"), F.min("table_comment").alias("table_comment"), F.array_sort(F.collect_list("line")).alias("lines")
     )
-    return tables.filter("table_idx is not null").select(*group, "table_idx", statement(F.col("table_name"), F.col("table_comment"), F.col("lines")).alias("statement"))
+    return with_statement(tables.filter("table_idx is not null")).select(*group, "table_idx", "statement")
 
 
 def render_schema(tables: DataFrame, keys: list[str], overview: DataFrame | None = None) -> DataFrame:
@@ -128,8 +130,7 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     def line(table_name: Column, c: Column) -> Column:
         mine = F.coalesce(F.try_element_at("found", F.concat_ws("\u001f", table_name, c["col_name"])), none)
         shown = format_examples(collapse_identifier_examples(merge_examples(mine, c["examples"])), c["type_class"])
-        note = with_example_note(c["comment"], shown)
-        return F.concat(c["code"], F.when(note != "", F.concat(F.lit(" "), note)).otherwise(""), F.lit("\n"))
+        return let(with_example_note(c["comment"], shown), lambda note: F.concat(c["code"], F.when(note != "", F.concat(F.lit(" "), note)).otherwise(""), F.lit("\n")))
 
     def render(t: Column) -> Column:
         return F.concat(t["head"], F.array_join(F.transform(t["cols"], lambda c: line(t["table_name"], c)), ""), t["tail"])
