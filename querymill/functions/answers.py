@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.functions.seeded import unit
 
 # The two choices of a comparison.
@@ -31,9 +32,10 @@ def link_json(text: Column) -> Column:
 
 
 def parse_link_json(text: Column) -> Column:
-    """Map table -> columns; anything that is not an object of lists is an empty map."""
-    parsed = F.from_json(link_json(text), "map<string,array<string>>")
-    return F.coalesce(parsed, F.from_json(F.lit("{}"), "map<string,array<string>>"))
+    """Map table -> columns; anything that is not an object of lists is an empty map. A repeated key has its last value."""
+    entries = F.map_entries(F.from_json(link_json(text), "map<string,array<string>>"))
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(let(F.coalesce(entries, F.array().cast("array<struct<key:string,value:array<string>>>")), last))
 
 
 def link_malformed(text: Column) -> Column:

@@ -1,11 +1,13 @@
 """Links: which tables and columns a question needs.
 
-A link is long: ``link(dp_id, db_id, table_name, col_name)``. Catalog frames are long too:
-``columns(db_id, table_idx, table_name, col_idx, col_name, is_pk, ...)`` and ``fks(db_id, fk_no,
-table_name, col_name, ref_table, ref_column)``. What belongs to one datapoint or to one schema is
-bounded by the width of a schema; a database may be asked about by any number of datapoints, so
-joins on ``db_id`` are left to the planner, which broadcasts the catalog while it is small and
-splits hot databases otherwise.
+Links and catalogs are long: ``link(dp_id, db_id, table_name, col_name)``, ``columns(db_id,
+table_idx, table_name, col_idx, col_name, is_pk, ...)`` and ``fks(db_id, fk_no, table_name,
+col_name, ref_table, ref_column)``.
+
+Work on them is one pattern: gather each datapoint's link and each database's schema into one
+row, join the two on ``db_id``, and compute inside the row. Both rows are bounded by the width
+of a schema, however many datapoints ask about a database. The join is left to the planner: it
+broadcasts the schemas while they are small and splits a hot database's datapoints otherwise.
 """
 
 from __future__ import annotations
@@ -15,50 +17,81 @@ from pyspark.sql import functions as F
 
 from querymill.functions.answers import link_malformed, parse_link_json
 
+LINK = ["dp_id", "db_id", "table_name", "col_name"]
+SEPARATOR = "\u001f"
 
-def with_key_flags(columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """Columns with ``is_key``: part of the primary key or of a foreign key."""
-    keys = fks.select("db_id", "table_name", "col_name").distinct().withColumn("_fk", F.lit(True))
-    flagged = columns.join(keys, ["db_id", "table_name", "col_name"], "left")
-    return flagged.withColumn("is_key", F.col("is_pk") | F.coalesce("_fk", F.lit(False))).drop("_fk")
 
+def column_key(table: Column | str, col: Column | str) -> Column:
+    """One text for a column, ignoring case."""
+    return F.concat_ws(SEPARATOR, F.lower(table), F.lower(col))
 
-def nest_tables(columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """One row per database: its tables as an array, each with its columns and their key flags."""
-    item = F.struct("col_idx", "col_name", "is_pk", "is_key")
-    tables = with_key_flags(columns, fks).groupBy("db_id", "table_idx", "table_name").agg(F.array_sort(F.collect_list(item)).alias("cols"))
-    return tables.groupBy("db_id").agg(F.array_sort(F.collect_list(F.struct("table_idx", "table_name", "cols"))).alias("tables"))
 
+def fk_code() -> Column:
+    return F.concat(F.lit('    FOREIGN KEY ("'), F.col("col_name"), F.lit('") REFERENCES '), F.col("ref_table"), F.lit('("'), F.col("ref_column"), F.lit('")'))
 
-def nest_schema(columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """One row per database: all columns as one array in catalog order, with key flags."""
-    item = F.struct("table_idx", "col_idx", "table_name", "col_name", "is_pk", "is_key")
-    return with_key_flags(columns, fks).groupBy("db_id").agg(F.array_sort(F.collect_list(item)).alias("cols"))
+
+def nest_catalog(columns: DataFrame, fks: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per database: ``tables`` in catalog order.
+
+    A table is ``struct<table_idx, table_name, t, table_comment, cols, fks>`` with ``t`` its
+    lower-case name; a column ``struct<col_idx, col_name, k, is_pk, is_key, extra...>`` with ``k``
+    its key and ``is_key`` for members of primary or foreign keys; a foreign key ``struct<fk_no,
+    col_name, r, code>`` with ``r`` the lower-case name of the referenced table.
+    """
+    comment = F.min("table_comment") if "table_comment" in columns.columns else F.lit("")
+    col = F.struct("col_idx", "col_name", column_key("table_name", "col_name").alias("k"), "is_pk", *extra)
+    per_table = columns.groupBy("db_id", "table_idx", "table_name").agg(F.array_sort(F.collect_list(col)).alias("cols"), comment.alias("table_comment"))
+    ref = F.struct("fk_no", "col_name", F.lower("ref_table").alias("r"), fk_code().alias("code"))
+    per_fk = fks.groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list(ref)).alias("fks"))
+    joined = per_table.join(per_fk, ["db_id", "table_name"], "left").withColumn("fks", F.coalesce("fks", F.array().cast(per_fk.schema["fks"].dataType)))
+    in_fk = F.transform("fks", lambda f: f["col_name"])
+    flagged = joined.withColumn("_in", in_fk).withColumn("cols", F.transform("cols", lambda c: c.withField("is_key", c["is_pk"] | F.array_contains(F.col("_in"), c["col_name"]))))
+    table = F.struct("table_idx", "table_name", F.lower("table_name").alias("t"), "table_comment", "cols", "fks")
+    return flagged.groupBy("db_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
 
 
 def nest_links(links: DataFrame) -> DataFrame:
-    """One row per datapoint: ``link`` as an array of ``struct<table_name, col_name>``."""
-    return links.groupBy("dp_id", "db_id").agg(F.array_sort(F.collect_set(F.struct("table_name", "col_name"))).alias("link"))
+    """One row per datapoint: ``link`` as ``struct<table_name, col_name>``, ``linked`` column keys and ``chosen`` lower-case tables."""
+    return links.groupBy("dp_id", "db_id").agg(
+        F.array_sort(F.collect_set(F.struct("table_name", "col_name"))).alias("link"),
+        F.collect_set(column_key("table_name", "col_name")).alias("linked"),
+        F.collect_set(F.lower("table_name")).alias("chosen"),
+    )
 
 
-def _chosen_tables(link: DataFrame) -> DataFrame:
-    return link.select("dp_id", "db_id", F.lower("table_name").alias("_t")).distinct()
+def is_chosen(t: Column) -> Column:
+    return F.array_contains(F.col("chosen"), t)
+
+
+def is_linked(k: Column) -> Column:
+    return F.array_contains(F.col("linked"), k)
 
 
 def filter_chosen(dps: DataFrame, columns: DataFrame, link: DataFrame) -> DataFrame:
     """Catalog columns a datapoint has chosen, ignoring case; without a link everything is chosen."""
-    wanted = link.select("dp_id", "db_id", F.lower("table_name").alias("_t"), F.lower("col_name").alias("_c")).distinct()
-    named = columns.withColumn("_t", F.lower("table_name")).withColumn("_c", F.lower("col_name"))
-    chosen = wanted.join(named, ["db_id", "_t", "_c"]).select("dp_id", "db_id", "table_name", "col_name")
-    unlinked = dps.select("dp_id", "db_id").join(link.select("dp_id").distinct(), "dp_id", "left_anti")
-    return chosen.unionByName(unlinked.join(columns, "db_id").select("dp_id", "db_id", "table_name", "col_name"))
+    col = F.struct("table_name", "col_name", column_key("table_name", "col_name").alias("k"))
+    schemas = columns.groupBy("db_id").agg(F.collect_list(col).alias("cols"))
+    wanted = dps.select("dp_id", "db_id").join(nest_links(link).select("dp_id", "linked"), "dp_id", "left").join(schemas, "db_id")
+    kept = F.when(F.col("linked").isNull(), F.col("cols")).otherwise(F.filter("cols", lambda c: is_linked(c["k"])))
+    return wanted.select("dp_id", "db_id", F.explode(kept).alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
 
 
-def kept_fks(link: DataFrame, fks: DataFrame) -> DataFrame:
-    """Foreign keys of chosen tables whose referenced table is chosen too."""
-    tables = _chosen_tables(link)
-    own = tables.join(fks.withColumn("_t", F.lower("table_name")), ["db_id", "_t"]).drop("_t").withColumn("_t", F.lower("ref_table"))
-    return own.join(tables, ["dp_id", "db_id", "_t"], "left_semi").drop("_t")
+def closed_tables(dps: DataFrame) -> DataFrame:
+    """Reduce ``tables`` to the chosen ones, each with the columns and foreign keys to show.
+
+    ``dps`` is a nested link joined with a nested catalog. A foreign key is kept when its
+    referenced table is chosen; a column is shown when it is linked, part of the primary key or
+    part of a kept foreign key.
+    """
+    kept = dps.withColumn(
+        "tables", F.transform(F.filter("tables", lambda t: is_chosen(t["t"])), lambda t: t.withField("fks", F.filter(t["fks"], lambda f: is_chosen(f["r"]))))
+    )
+
+    def shown(t: Column) -> Column:
+        in_fk = lambda c: F.exists(t["fks"], lambda f: f["col_name"] == c["col_name"])
+        return F.filter(t["cols"], lambda c: c["is_pk"] | is_linked(c["k"]) | (c["is_key"] & in_fk(c)))
+
+    return kept.withColumn("tables", F.transform("tables", lambda t: t.withField("cols", shown(t))))
 
 
 def close_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
@@ -66,12 +99,17 @@ def close_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame
 
     Known names take the catalog's spelling; unknown ones stay as they are.
     """
-    pks = _chosen_tables(link).join(columns.filter("is_pk").withColumn("_t", F.lower("table_name")), ["db_id", "_t"])
-    named = columns.select("db_id", F.lower("table_name").alias("_t"), F.lower("col_name").alias("_c"), F.struct("table_name", "col_name").alias("_known"))
-    given = link.withColumn("_t", F.lower("table_name")).withColumn("_c", F.lower("col_name")).join(named, ["db_id", "_t", "_c"], "left")
-    out = ["dp_id", "db_id", "table_name", "col_name"]
-    spelled = given.select("dp_id", "db_id", F.coalesce("_known.table_name", "table_name").alias("table_name"), F.coalesce("_known.col_name", "col_name").alias("col_name"))
-    return spelled.unionByName(pks.select(out)).unionByName(kept_fks(link, fks).select(out)).distinct()
+    dps = nest_links(link).join(nest_catalog(columns, fks), "db_id", "left")
+    pair = lambda t, c: F.struct(t.alias("table_name"), c.alias("col_name"))
+    closed = closed_tables(dps.withColumn("tables", F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType))))
+    known = F.flatten(F.transform("tables", lambda t: F.transform(t["cols"], lambda c: c["k"])))
+    closed = closed.withColumn("_known", known)
+    spelled = F.flatten(F.transform("tables", lambda t: F.transform(t["cols"], lambda c: pair(t["table_name"], c["col_name"]))))
+    unknown = F.filter("link", lambda c: ~F.array_contains(F.col("_known"), column_key(c["table_name"], c["col_name"])))
+    # an unknown column of a known table goes to the table's own spelling
+    own = lambda c: F.coalesce(F.get(F.transform(F.filter("tables", lambda t: t["t"] == F.lower(c["table_name"])), lambda t: t["table_name"]), F.lit(0)), c["table_name"])
+    rows = F.array_distinct(F.concat(spelled, F.transform(unknown, lambda c: pair(own(c), c["col_name"]))))
+    return closed.select("dp_id", "db_id", F.explode(rows).alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
 
 
 def match_table_names(predicted: DataFrame, columns: DataFrame) -> DataFrame:
@@ -83,24 +121,27 @@ def match_table_names(predicted: DataFrame, columns: DataFrame) -> DataFrame:
 
 def columns_to_judge(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Non-key columns of linked tables that are not linked yet."""
-    nested = nest_schema(columns, fks).select("db_id", F.filter("cols", lambda c: ~c["is_key"]).alias("cols"))
-    dps = nest_links(link).join(nested, "db_id")
-    tables = F.array_distinct(F.transform("link", lambda c: c["table_name"]))
-    pair = lambda c: F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"))
-    opened = F.filter("cols", lambda c: F.array_contains(F.col("tables"), c["table_name"]) & ~F.array_contains(F.col("link"), pair(c)))
-    return dps.withColumn("tables", tables).select("dp_id", "db_id", F.explode(opened).alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
+    have = link.groupBy("dp_id", "db_id", "table_name").agg(F.collect_set("col_name").alias("have"))
+    return have.join(free_columns(columns, fks), ["db_id", "table_name"]).select("dp_id", "db_id", "table_name", F.explode(F.array_except("free", "have")).alias("col_name"))
+
+
+def free_columns(columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """Per table the sorted names of its columns outside primary and foreign keys."""
+    in_fk = fks.groupBy("db_id", "table_name").agg(F.collect_set("col_name").alias("_in"))
+    rest = columns.filter(~F.col("is_pk")).groupBy("db_id", "table_name").agg(F.array_sort(F.collect_set("col_name")).alias("free"))
+    none = F.array().cast("array<string>")
+    return rest.join(in_fk, ["db_id", "table_name"], "left").select("db_id", "table_name", F.array_except("free", F.coalesce("_in", none)).alias("free"))
 
 
 def merge_judgements(link: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Add the columns judged useful, each once. ``verdicts(dp_id, db_id, table_name, col_name, useful)``."""
-    out = ["dp_id", "db_id", "table_name", "col_name"]
-    return link.select(out).unionByName(verdicts.filter("useful").select(out)).distinct()
+    return link.select(LINK).unionByName(verdicts.filter("useful").select(LINK)).distinct()
 
 
 def predicted_links(predictions: DataFrame, text: str = "text") -> DataFrame:
     """Long link from answers ``(dp_id, db_id, text)``."""
     tables = predictions.select("dp_id", "db_id", F.explode(parse_link_json(F.col(text))).alias("table_name", "cols"))
-    return tables.select("dp_id", "db_id", "table_name", F.explode("cols").alias("col_name"))
+    return tables.select("dp_id", "db_id", "table_name", F.explode(F.array_distinct("cols")).alias("col_name"))
 
 
 def guard_malformed(dps: DataFrame, known: DataFrame, text: str, schema: Column) -> DataFrame:
@@ -110,6 +151,12 @@ def guard_malformed(dps: DataFrame, known: DataFrame, text: str, schema: Column)
     return dps.join(has, "db_id", "left").select("dp_id", "db_id", F.when(usable, schema).otherwise("").alias("schema_text"))
 
 
+def _json_string(name: Column) -> Column:
+    """Name as a JSON string."""
+    escaped = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
+
+
 def linearize_link(link: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ("dp_id", "db_id")) -> DataFrame:
     """Link as fenced JSON text per ``keys``, tables and columns in catalog order, unknown ones last by name.
 
@@ -126,9 +173,3 @@ def linearize_link(link: DataFrame, columns: DataFrame, keys: tuple[str, ...] =
     entries = per_table.select(*keys, F.struct("table_idx", "table_name", entry.alias("t")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
     text = F.array_join(F.transform("es", lambda e: e["t"]), ",\n")
     return entries.select(*keys, F.concat(F.lit("```json\n{\n"), text, F.lit("\n}\n```")).alias("linearized"))
-
-
-def _json_string(name: Column) -> Column:
-    """Name as a JSON string."""
-    escaped = F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))

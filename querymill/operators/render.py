@@ -1,145 +1,122 @@
 """Schema text: one CREATE TABLE-like statement per table.
 
-What is gathered into one value is one table's or one schema's text, never more.
+A database's schema is gathered once (see ``nest_catalog``); a datapoint joins it on ``db_id`` and
+its text is put together inside that one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
-from querymill.operators.links import close_link, kept_fks
-
+from querymill.operators.links import closed_tables, nest_catalog, nest_links
 
-def column_code(col_name: Column, type_class: Column) -> Column:
-    return F.concat(F.lit('"'), col_name, F.lit('" '), F.upper(type_class))
+DETAILS = ("type_class", "comment")
+NO_TEXTS = "array<string>"
 
 
-def with_example_note(comment: Column, examples: Column) -> Column:
+def example_note(comment: Column, examples: Column) -> Column:
     """Column comment including the example note; empty when there is nothing to say."""
     note = let(examples, lambda e: F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("Value Examples: ["), e, F.lit("]"))))
-    return let(F.concat_ws(" | ", F.when(comment != "", comment), note), lambda said: F.when(said != "", F.concat(F.lit("-- "), said)).otherwise(""))
+    return let(F.concat_ws(" | ", F.when(comment != "", comment), note), lambda said: F.when(said != "", F.concat(F.lit(" -- "), said)).otherwise(""))
 
 
-def with_statement(tables: DataFrame) -> DataFrame:
-    """Add ``statement`` made from sorted ``lines`` ``struct<kind, ord, code, comment, is_pk, name>``.
+def _plain(_: Column, c: Column) -> Column:
+    return F.when(c["comment"] != "", F.concat(F.lit(" -- "), c["comment"])).otherwise("")
 
-    Kind 0 is a column, kind 1 a foreign key. Every column ends in a comma unless it is the last
-    one and neither a primary nor a foreign key follows; the comma comes before the comment.
-    """
-    parts = tables.withColumn("_cols", F.filter("lines", lambda x: x["kind"] == 0))
-    pks = F.array_join(F.transform(F.filter("_cols", lambda x: x["is_pk"]), lambda x: F.concat(F.lit('"'), x["name"], F.lit('"'))), ", ")
-    pk = let(pks, lambda p: F.when(p != "", F.concat(F.lit("    PRIMARY KEY ("), p, F.lit(")"))))
-    fks = F.transform(F.filter("lines", lambda x: x["kind"] == 1), lambda x: x["code"])
-    parts = parts.withColumn("_keys", F.array_join(F.concat(F.array(pk), fks), ",\n"))
-    parts = parts.withColumn("_n", F.size("_cols") - F.when(F.col("_keys") == "", 1).otherwise(0))
-    body = F.transform(
-        "_cols",
-        lambda x, i: F.concat(
-            F.lit("    "), x["code"], F.when(i < F.col("_n"), F.lit(",")).otherwise(""), F.when(x["comment"] != "", F.concat(F.lit(" "), x["comment"])).otherwise(""), F.lit("\n")
-        ),
-    )
-    head = F.concat(F.lit('CREATE TABLE "'), F.col("table_name"), F.lit('" ('), F.col("table_comment"), F.lit("\n"))
-    end = F.when(F.col("_keys") != "", F.concat("_keys", F.lit("\n);\n"))).otherwise(");\n")
-    return parts.withColumn("statement", F.concat(head, F.array_join(body, ""), end)).drop("_cols", "_keys", "_n")
 
+def statement(t: Column, note: Callable[[Column, Column], Column] = _plain) -> Column:
+    """Statement of a nested table; ``note(table, column)`` is what follows a column's code.
 
-def _lines(kind: int, ord_: Column, code: Column, comment: Column, is_pk: Column, name: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("kind"), ord_.cast("long").alias("ord"), code.alias("code"), comment.alias("comment"), is_pk.alias("is_pk"), name.alias("name")
-    ).alias("line")
+    Every column ends in a comma unless it is the last one and neither a primary nor a foreign
+    key follows; the comma comes before the note.
+    """
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    pks = F.array_join(F.transform(F.filter(t["cols"], lambda c: c["is_pk"]), lambda c: quoted(c["col_name"])), ", ")
+    pk = let(pks, lambda p: F.when(p != "", F.concat(F.lit("    PRIMARY KEY ("), p, F.lit(")"))))
+    keys = F.array_join(F.concat(F.array(pk), F.transform(t["fks"], lambda f: f["code"])), ",\n")
+
+    def whole(k: Column) -> Column:
+        last = F.when(k == "", F.size(t["cols"]) - 1).otherwise(F.size(t["cols"]))
+        body = let(
+            last,
+            lambda n: F.array_join(
+                F.transform(
+                    t["cols"],
+                    lambda c, i: F.concat(F.lit("    "), quoted(c["col_name"]), F.lit(" "), F.upper(c["type_class"]), F.when(i < n, F.lit(",")).otherwise(""), note(t, c), F.lit("\n")),
+                ),
+                "",
+            ),
+        )
+        end = F.when(k != "", F.concat(k, F.lit("\n);\n"))).otherwise(");\n")
+        return F.concat(F.lit("CREATE TABLE "), quoted(t["table_name"]), F.lit(" ("), t["table_comment"], F.lit("\n"), body, end)
+
+    return let(keys, whole)
+
+
+def schema_text(tables: Column, note: Callable[[Column, Column], Column] = _plain, overview: Column | None = None) -> Column:
+    """Header and the statements of all nested ``tables``."""
+    about = F.lit("") if overview is None else F.coalesce(F.concat(F.lit("-- Database overview: "), overview, F.lit("\n")), F.lit(""))
+    head = F.concat(F.lit("-- Database name: "), F.col("db_id"), F.lit("\n"), about, F.lit("-- Database schema:\n"))
+    return F.concat(head, F.array_join(F.transform(tables, lambda t: statement(t, note)), ""))
 
 
-def render_table(shown: DataFrame, fks: DataFrame, keys: list[str]) -> DataFrame:
-    """One statement per table and ``keys`` (``["db_id"]`` or ``["dp_id", "db_id"]``).
+def render_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """One statement per table of every database, with everything shown.
 
-    ``shown(keys, table_idx, table_name, table_comment, col_idx, col_name, type_class, comment,
-    is_pk)`` with ``comment`` as it follows the code; ``fks(keys, table_name, fk_no, col_name,
-    ref_table, ref_column)`` are the foreign keys to print.
+    ``columns`` carries ``type_class``, ``comment`` and ``table_comment``.
     """
-    group = [*keys, "table_name"]
-    cols = shown.select(*group, "table_idx", "table_comment", _lines(0, F.col("col_idx"), column_code(F.col("col_name"), F.col("type_class")), F.col("comment"), F.col("is_pk"), F.col("col_name")))
-    code = F.concat(F.lit('    FOREIGN KEY ("'), F.col("col_name"), F.lit('") REFERENCES '), F.col("ref_table"), F.lit('("'), F.col("ref_column"), F.lit('")'))
-    refs = fks.select(
-        *group, F.lit(None).cast("long").alias("table_idx"), F.lit(None).cast("string").alias("table_comment"), _lines(1, F.col("fk_no"), code, F.lit(""), F.lit(False), F.lit(""))
-    )
-    tables = cols.unionByName(refs).groupBy(*group).agg(
-        F.min("table_idx").alias("table_idx"), F.min("table_comment").alias("table_comment"), F.array_sort(F.collect_list("line")).alias("lines")
-    )
-    return with_statement(tables.filter("table_idx is not null")).select(*group, "table_idx", "statement")
+    tables = nest_catalog(columns, fks, DETAILS).select("db_id", F.explode("tables").alias("t"))
+    return tables.select("db_id", F.col("t.table_name").alias("table_name"), statement(F.col("t")).alias("statement"))
 
 
-def render_schema(tables: DataFrame, keys: list[str], overview: DataFrame | None = None) -> DataFrame:
-    """All statements of a datapoint or database in catalog order below the header."""
-    texts = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("table_idx", "statement"))).alias("_s"))
-    about = F.lit("")
+def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview: DataFrame | None = None) -> DataFrame:
+    """Schema text of every datapoint's closed link; unknown names are not shown."""
+    schemas = nest_catalog(columns, fks, DETAILS)
+    about = None
     if overview is not None:
-        texts = texts.join(overview.select("db_id", "overview"), "db_id", "left")
-        about = F.when(F.col("overview").isNotNull(), F.concat(F.lit("-- Database overview: "), F.col("overview"), F.lit("\n"))).otherwise("")
-    head = F.concat(F.lit("-- Database name: "), F.col("db_id"), F.lit("\n"), about, F.lit("-- Database schema:\n"))
-    return texts.select(*keys, F.concat(head, F.array_join(F.transform("_s", lambda s: s["statement"]), "")).alias("schema_text"))
-
-
-def render_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """Schema text of every datapoint's closed link: unknown names are not shown."""
-    closed = close_link(link, columns, fks)
-    shown = closed.join(columns, ["db_id", "table_name", "col_name"])
-    return render_schema(render_table(shown, kept_fks(link, fks), ["dp_id", "db_id"]), ["dp_id", "db_id"])
+        schemas = schemas.join(overview.select("db_id", "overview"), "db_id", "left")
+        about = F.col("overview")
+    dps = closed_tables(nest_links(link).join(schemas, "db_id"))
+    return dps.select("dp_id", "db_id", schema_text(F.col("tables"), overview=about).alias("schema_text"))
 
 
 def noised_schema(dps: DataFrame, link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Schema text of a noised link; empty for datapoints without link or without catalog."""
-    return dps.select("dp_id", "db_id").join(render_link(link, columns, fks).drop("db_id"), "dp_id", "left").select(
+    return dps.select("dp_id", "db_id").join(render_schema(link, columns, fks).drop("db_id"), "dp_id", "left").select(
         "dp_id", "db_id", F.coalesce("schema_text", F.lit("")).alias("schema_text")
     )
 
 
+def nest_retrieved(retrieved: DataFrame, keys: list[str]) -> DataFrame:
+    """Retrieved values ``(keys, rn, value)`` as one array per ``keys``, nearest first."""
+    found = F.array_sort(F.collect_list(F.struct("rn", "value")))
+    return retrieved.groupBy(*keys).agg(F.transform(found, lambda r: r["value"]).alias("found"))
+
+
 def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Whole schema text per question, with retrieved and static examples.
 
     ``dataset(dp_id, db_id, ...)``, ``static(db_id, table_name, col_name, examples array)``,
-    ``retrieved(dp_id, table_name, col_name, rn, value)``. Everything that does not depend on the
-    question is put together once per database; a question only brings the examples retrieved
-    for it, as a map, and fills them in. A database without catalog raises when its row is read.
+    ``retrieved(dp_id, table_name, col_name, rn, value)``. What a question has retrieved comes as
+    one map and is filled into the schema row. A database without catalog raises when its row is read.
     """
-    lines = F.struct(
-        "col_idx", F.concat(F.lit("    "), column_code(F.col("col_name"), F.col("type_class"))).alias("code"), "comment", "type_class", "is_pk", "col_name", F.coalesce("examples", F.array().cast("array<string>")).alias("examples")
-    )
-    per_table = columns.join(static, ["db_id", "table_name", "col_name"], "left").groupBy("db_id", "table_idx", "table_name", "table_comment").agg(F.array_sort(F.collect_list(lines)).alias("cols"))
-    ref = F.concat(F.lit('    FOREIGN KEY ("'), F.col("col_name"), F.lit('") REFERENCES '), F.col("ref_table"), F.lit('("'), F.col("ref_column"), F.lit('")'))
-    per_fk = fks.groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list(F.struct("fk_no", ref.alias("code")))).alias("fks"))
-    pks = F.array_join(F.transform(F.filter("cols", lambda c: c["is_pk"]), lambda c: F.concat(F.lit('"'), c["col_name"], F.lit('"'))), ", ")
-    pk = F.when(pks != "", F.concat(F.lit("    PRIMARY KEY ("), pks, F.lit(")")))
-    keys = F.array_join(F.concat(F.array(pk), F.coalesce(F.transform("fks", lambda f: f["code"]), F.array().cast("array<string>"))), ",\n")
-    head = F.concat(F.lit('CREATE TABLE "'), F.col("table_name"), F.lit('" ('), F.col("table_comment"), F.lit("\n"))
-    tail = F.when(keys != "", F.concat(keys, F.lit("\n);\n")))
-    pieces = per_table.join(per_fk, ["db_id", "table_name"], "left").withColumn("tail", tail)
-    last_comma = F.when(F.col("tail").isNotNull(), F.lit(",")).otherwise("")
-    with_comma = F.transform("cols", lambda c, i: c.withField("code", F.concat(c["code"], F.when(i < F.size("cols") - 1, F.lit(",")).otherwise(last_comma))))
-    table = F.struct("table_idx", "table_name", head.alias("head"), with_comma.alias("cols"), F.coalesce("tail", F.lit(");\n")).alias("tail"))
-    schemas = pieces.groupBy("db_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
-
-    found = F.array_sort(F.collect_list(F.struct("rn", "value")))
-    per_col = retrieved.groupBy("dp_id", "table_name", "col_name").agg(F.transform(found, lambda r: r["value"]).alias("values"))
+    none = F.array().cast(NO_TEXTS)
+    with_static = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none))
+    schemas = nest_catalog(with_static, fks, (*DETAILS, "examples"))
     place = F.concat_ws("\u001f", "table_name", "col_name")
-    maps = per_col.groupBy("dp_id").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("values")))).alias("found"))
-
-    none = F.array().cast("array<string>")
-
-    def line(table_name: Column, c: Column) -> Column:
-        mine = F.coalesce(F.try_element_at("found", F.concat_ws("\u001f", table_name, c["col_name"])), none)
-        shown = format_examples(collapse_identifier_examples(merge_examples(mine, c["examples"])), c["type_class"])
-        return let(with_example_note(c["comment"], shown), lambda note: F.concat(c["code"], F.when(note != "", F.concat(F.lit(" "), note)).otherwise(""), F.lit("\n")))
+    per_dp = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"]).groupBy("dp_id").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("found")))).alias("found"))
 
-    def render(t: Column) -> Column:
-        return F.concat(t["head"], F.array_join(F.transform(t["cols"], lambda c: line(t["table_name"], c)), ""), t["tail"])
+    def note(t: Column, c: Column) -> Column:
+        mine = F.coalesce(F.try_element_at("found", F.concat_ws("\u001f", t["table_name"], c["col_name"])), none)
+        return example_note(c["comment"], format_examples(collapse_identifier_examples(merge_examples(mine, c["examples"])), c["type_class"]))
 
-    header = F.concat(F.lit("-- Database name: "), F.col("db_id"), F.lit("\n-- Database schema:\n"))
-    text = F.concat(header, F.array_join(F.transform("tables", render), ""))
     missing = F.raise_error(F.concat(F.lit("no catalog for database "), F.col("db_id"))).cast("string")
-    joined = dataset.join(schemas, "db_id", "left").join(maps, "dp_id", "left")
-    return joined.select(*dataset.columns, F.when(F.col("tables").isNull(), missing).otherwise(text).alias("schema_text"))
+    joined = dataset.join(schemas, "db_id", "left").join(per_dp, "dp_id", "left")
+    return joined.select(*dataset.columns, F.when(F.col("tables").isNull(), missing).otherwise(schema_text(F.col("tables"), note)).alias("schema_text"))
 
 
 def local_context(targets: DataFrame, columns: DataFrame, fks: DataFrame, static: DataFrame, retrieved: DataFrame) -> DataFrame:
@@ -147,16 +124,10 @@ def local_context(targets: DataFrame, columns: DataFrame, fks: DataFrame, static
 
     ``targets(dp_id, db_id, table_name, col_name)``. Statements are made once per table.
     """
-    tables = render_table(columns, fks, ["db_id"]).select("db_id", "table_name", F.col("statement").alias("table_text"))
-    types = columns.select("db_id", "table_name", "col_name", "type_class")
-    found = F.array_sort(F.collect_list(F.struct("rn", "value")))
-    per_col = retrieved.groupBy("dp_id", "table_name", "col_name").agg(F.transform(found, lambda r: r["value"]).alias("_found"))
-    none = F.array().cast("array<string>")
-    full = (
-        targets.join(types, ["db_id", "table_name", "col_name"])
-        .join(static, ["db_id", "table_name", "col_name"], "left")
-        .join(per_col, ["dp_id", "table_name", "col_name"], "left")
-        .join(tables, ["db_id", "table_name"])
-    )
-    examples = local_examples(F.col("col_name"), F.coalesce("_found", none), F.coalesce("examples", none), F.col("type_class"))
-    return full.select("dp_id", "db_id", "table_name", "col_name", "table_text", examples.alias("example_text"))
+    none = F.array().cast(NO_TEXTS)
+    texts = render_table(columns, fks).withColumnRenamed("statement", "table_text")
+    details = columns.select("db_id", "table_name", "col_name", "type_class").join(static, ["db_id", "table_name", "col_name"], "left")
+    found = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"])
+    full = targets.join(details, ["db_id", "table_name", "col_name"]).join(texts, ["db_id", "table_name"]).join(found, ["dp_id", "table_name", "col_name"], "left")
+    block = local_examples(F.col("col_name"), F.coalesce("found", none), F.coalesce("examples", none), F.col("type_class"))
+    return full.select("dp_id", "db_id", "table_name", "col_name", "table_text", block.alias("example_text"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
-from querymill.operators.links import linearize_link, nest_schema, nest_tables, with_key_flags
+from querymill.operators.links import free_columns, is_chosen, is_linked, linearize_link, nest_catalog, nest_links
 
 # What variant validation writes in place of a usable statement.
 UNUSABLE = ("<|wrong SQL|>", "<|unsuited|>")
@@ -31,8 +31,8 @@ def _take(items: Column, n: Column, key: Callable[[Column], Column]) -> Column:
 
 def noise_tables(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42, tables: tuple[int, int] = (0, 2), cols: tuple[int, int] = (2, 4)) -> DataFrame:
     """0-2 tables outside the link per datapoint, each with its key and 2-4 other columns."""
-    dps = links.groupBy("dp_id", "db_id").agg(F.collect_set("table_name").alias("linked")).join(nest_tables(columns, fks), "db_id")
-    outside = F.filter("tables", lambda t: ~F.array_contains(F.col("linked"), t["table_name"]))
+    dps = nest_links(links).join(nest_catalog(columns, fks), "db_id")
+    outside = F.filter("tables", lambda t: ~is_chosen(t["t"]))
     names = F.transform(outside, lambda t: F.struct(t["table_name"].alias("table_name"), t["cols"].alias("cols")))
     added = dps.select("dp_id", "db_id", F.explode(_take(names, uniform_int(draw(f"{seed}|n", "dp_id"), *tables), lambda t: draw(f"{seed}|t", F.col("dp_id"), t["table_name"]))).alias("t"))
     added = added.select("dp_id", "db_id", "t.table_name", "t.cols")
@@ -55,8 +55,7 @@ def noise_columns(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: in
     tables = links.select("dp_id", "db_id", "table_name").distinct()
     chosen = tables.filter(unit(draw(f"{seed}|p", "dp_id", "table_name")) <= p)
     have = (links if current is None else current).groupBy("dp_id", "table_name").agg(F.collect_set("col_name").alias("have"))
-    free = with_key_flags(columns, fks).filter(~F.col("is_key")).groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list("col_name")).alias("free"))
-    joined = chosen.join(have, ["dp_id", "table_name"]).join(free, ["db_id", "table_name"])
+    joined = chosen.join(have, ["dp_id", "table_name"]).join(free_columns(columns, fks), ["db_id", "table_name"])
     pick = _take(F.array_except("free", "have"), uniform_int(draw(f"{seed}|k", "dp_id", "table_name"), *cols), lambda c: draw(f"{seed}|x", F.col("dp_id"), F.col("table_name"), c))
     return joined.select("dp_id", "db_id", "table_name", F.explode(pick).alias("col_name"))
 
@@ -75,24 +74,20 @@ def column_samples(links: DataFrame, columns: DataFrame, fks: DataFrame, ratio:
     Others come from the linked tables first ("hard"), the remainder from other tables ("easy").
     Datapoints without a linked non-key column give no rows.
     """
-    pair = lambda t, c: F.concat_ws("\u001f", F.lower(t), F.lower(c))
-    dps = links.groupBy("dp_id", "db_id").agg(F.collect_set(pair(F.col("table_name"), F.col("col_name"))).alias("linked"), F.collect_set(F.lower("table_name")).alias("tables"))
-    schema = nest_schema(columns, fks).select("db_id", F.filter("cols", lambda c: ~c["is_key"]).alias("cols"))
-    is_linked = lambda c: F.array_contains(F.col("linked"), pair(c["table_name"], c["col_name"]))
-    far = lambda c: F.when(F.array_contains(F.col("tables"), F.lower(c["table_name"])), F.lit(0)).otherwise(1)
-    split = dps.join(schema, "db_id").select(
-        "*", F.filter("cols", is_linked).alias("pos"), F.filter("cols", lambda c: ~is_linked(c)).alias("neg")
-    ).filter(F.size("pos") > 0)
-    item = lambda c, far_, label: F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"), far_.alias("far"), F.lit(label).alias("label"))
-    ranked = F.array_sort(
-        F.transform("neg", lambda c: F.struct(far(c).alias("far"), draw(seed, F.col("dp_id"), c["table_name"], c["col_name"]).alias("d"), c["table_name"].alias("table_name"), c["col_name"].alias("col_name")))
-    )
-    wanted = F.ceil(F.lit(float(ratio)) * F.size("pos")).cast("int")
-    negatives = F.transform(F.slice(ranked, F.lit(1), wanted), lambda r: item(r, r["far"], "False"))
-    positives = F.transform("pos", lambda c: item(c, F.lit(-1), "True"))
-    rows = split.select("dp_id", "db_id", F.explode(F.concat(positives, negatives)).alias("s"))
-    kind = F.when(F.col("s.far") == 0, "hard").when(F.col("s.far") == 1, "easy").otherwise("")
-    return rows.select("dp_id", "db_id", "s.table_name", "s.col_name", "s.label", kind.alias("neg_type"))
+    item = lambda t, c: F.struct(t["table_name"].alias("table_name"), c["col_name"].alias("col_name"), c["k"].alias("k"))
+    free = F.transform("tables", lambda t: F.struct(t["t"].alias("t"), F.transform(F.filter(t["cols"], lambda c: ~c["is_key"]), lambda c: item(t, c)).alias("cols")))
+    schemas = nest_catalog(columns, fks).select("db_id", free.alias("tables"))
+    dps = nest_links(links).join(schemas, "db_id")
+    some = lambda near: F.flatten(F.transform(F.filter("tables", lambda t: is_chosen(t["t"]) == near), lambda t: t["cols"]))
+    dps = dps.withColumn("near", some(True))
+    dps = dps.withColumn("pos", F.filter("near", lambda c: is_linked(c["k"]))).withColumn("hard", F.filter("near", lambda c: ~is_linked(c["k"])))
+    dps = dps.withColumn("n", F.ceil(F.lit(float(ratio)) * F.size("pos")).cast("int"))
+    key = lambda c: draw(seed, F.col("dp_id"), c["table_name"], c["col_name"])
+    # far tables are only looked at when the near ones do not suffice
+    easy = F.when(F.col("n") > F.size("hard"), _take(some(False), F.col("n") - F.size("hard"), key)).otherwise(F.slice("hard", 1, 0))
+    labelled = lambda items, label, kind: F.transform(items, lambda c: F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"), F.lit(label).alias("label"), F.lit(kind).alias("neg_type")))
+    samples = F.concat(labelled(F.col("pos"), "True", ""), labelled(_take(F.col("hard"), F.col("n"), key), "False", "hard"), labelled(easy, "False", "easy"))
+    return dps.select("dp_id", "db_id", F.explode(samples).alias("s")).select("dp_id", "db_id", "s.*")
 
 
 def generation_stats(dps: DataFrame, known: DataFrame, samples: DataFrame) -> DataFrame:
@@ -139,19 +134,19 @@ def group_split(rows: DataFrame, group: str, ratio: float = 0.3, tol: float = 0.
 
 
 def _flagged_links(links: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """One row per datapoint with its link as ``struct<table_name, col_name, is_key>``."""
-    flags = with_key_flags(columns, fks).select("db_id", "table_name", "col_name", "is_key")
-    item = F.struct("table_name", "col_name", F.coalesce("is_key", F.lit(False)).alias("is_key"))
-    return links.join(flags, ["db_id", "table_name", "col_name"], "left").groupBy("dp_id", "db_id").agg(F.array_sort(F.collect_set(item)).alias("link"))
+    """One row per datapoint with its ``link`` and the ``pool`` of linked columns outside keys."""
+    keys = F.flatten(F.transform("tables", lambda t: F.transform(F.filter(t["cols"], lambda c: c["is_key"]), lambda c: F.struct(t["table_name"].alias("table_name"), c["col_name"].alias("col_name")))))
+    schemas = nest_catalog(columns, fks).select("db_id", keys.alias("keys"))
+    return nest_links(links).join(schemas, "db_id").withColumn("pool", F.array_except("link", "keys"))
 
 
 def drop_column_negatives(links: DataFrame, columns: DataFrame, fks: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """``n`` corrupted links per datapoint, each without 1 (70 %) or 2 non-key columns. Empty ones are left out."""
-    dps = _flagged_links(links, columns, fks).withColumn("pool", F.filter("link", lambda c: ~c["is_key"])).filter(F.size("pool") > 0)
-    samples = dps.withColumn("sample_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
+    dps = _flagged_links(links, columns, fks)
+    samples = dps.select("dp_id", "db_id", "link", "pool").withColumn("sample_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
     one = (F.size("pool") == 1) | (unit(draw(f"{seed}|n", "dp_id", "sample_no")) < 0.7)
     gone = _take(F.col("pool"), F.when(one, 1).otherwise(2), lambda c: draw(f"{seed}|d", F.col("dp_id"), F.col("sample_no"), c["table_name"], c["col_name"]))
-    return samples.select("dp_id", "db_id", "sample_no", F.explode(F.array_except("link", gone)).alias("c")).select("dp_id", "db_id", "sample_no", "c.table_name", "c.col_name")
+    return samples.select("dp_id", "db_id", "sample_no", F.explode(F.when(F.size("pool") > 0, F.array_except("link", gone))).alias("c")).select("dp_id", "db_id", "sample_no", "c.table_name", "c.col_name")
 
 
 def drop_table_negatives(links: DataFrame, fks: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.functions.sqltext import KEYWORDS, without_literals
+from querymill.operators.links import column_key, is_chosen, is_linked
 
 WORDS = r"\w+|[^\w\s]"
 
@@ -30,29 +32,45 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
     A table is a catalog name after FROM, JOIN or a comma. ``alias.column`` belongs to the alias's
     table; it is not ``known`` when that table lacks it. A bare column counts when exactly one
     table of the statement has it. A touched table also has a row without column.
+
+    A statement is matched against its database's names inside one row: one join, no pairs.
     """
-    words = workload.select("dp_id", "db_id", F.regexp_extract_all(F.lower(without_literals(F.col("sql"))), F.lit(WORDS), F.lit(0)).alias("w"))
+    per_table = columns.groupBy("db_id", F.lower("table_name").alias("t")).agg(F.collect_set(F.lower("col_name")).alias("cols"))
+    names = per_table.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "cols"))).alias("names"))
+    words = F.regexp_extract_all(F.lower(without_literals(F.col("sql"))), F.lit(WORDS), F.lit(0))
+    rows = workload.select("dp_id", "db_id", words.alias("w")).join(names, "db_id")
+
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    each = words.select("dp_id", "db_id", "w", F.posexplode("w").alias("i", "t")).select(
-        "dp_id", "db_id", "t", at(F.col("i") - 2).alias("p2"), at(F.col("i") - 1).alias("p1"), at(F.col("i") + 1).alias("n1"), at(F.col("i") + 2).alias("n2"), at(F.col("i") + 3).alias("n3")
+    places = lambda cond: F.filter(F.transform("w", lambda t, i: i), cond)
+    named = lambda i: F.when(at(i + 2) == "as", at(i + 3)).otherwise(at(i + 2))
+    alias = lambda i: let(named(i), lambda n: F.when(n.rlike(r"^\w") & ~n.isin(KEYWORDS), n).otherwise(at(i + 1)))
+    mentions = F.transform(
+        places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))), lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"))
+    )
+    qualifier = lambda i: F.when(at(i - 1) == ".", at(i - 2)).otherwise("")
+    is_name = lambda i: at(i).rlike("^[a-z_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | ~at(i).isin(KEYWORDS))
+    refs = F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c")))
+    rows = rows.withColumn("mentions", F.array_distinct(mentions)).withColumn("refs", F.array_distinct(refs))
+    rows = rows.withColumn("tables", F.array_distinct(F.transform("mentions", lambda m: m["t"])))
+
+    hit = lambda t, c, known: F.struct(t.alias("table_name"), c.alias("col_name"), known.alias("known"))
+    has = lambda t, c: F.array_contains(F.try_element_at("names", t), c)
+    qualified = F.flatten(
+        F.transform(
+            F.filter("refs", lambda r: r["a"] != ""),
+            lambda r: F.transform(F.filter("mentions", lambda m: m["a"] == r["a"]), lambda m: hit(m["t"], r["c"], has(m["t"], r["c"]))),
+        )
+    )
+    owners = lambda r: F.filter("tables", lambda t: has(t, r["c"]))
+    bare = F.flatten(
+        F.transform(
+            F.filter("refs", lambda r: r["a"] == ""),
+            lambda r: let(owners(r), lambda o: F.transform(F.when(F.size(o) == 1, o).otherwise(F.slice(o, 1, 0)), lambda t: hit(t, r["c"], F.lit(True)))),
+        )
     )
-    named = F.when(F.col("n2") == "as", F.col("n3")).otherwise(F.col("n2"))
-    alias = F.when(named.rlike(r"^\w") & ~named.isin(KEYWORDS), named).otherwise(F.col("n1"))
-    mentions = each.filter(F.col("t").isin("from", "join", ",")).select("dp_id", "db_id", F.col("n1").alias("table_name"), alias.alias("alias")).distinct()
-    catalog = columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("col_name").alias("col_name")).distinct()
-    tables = mentions.join(catalog.select("db_id", "table_name").distinct(), ["db_id", "table_name"])
-
-    refs = each.filter(F.col("t").rlike(r"^[a-z_]") & ~F.col("n1").isin(".", "(")).select(
-        "dp_id", F.when(F.col("p1") == ".", F.col("p2")).otherwise("").alias("alias"), F.col("t").alias("col_name")
-    ).distinct()
-    has = catalog.withColumn("known", F.lit(True))
-    qualified = refs.filter("alias <> ''").join(tables, ["dp_id", "alias"]).join(has, ["db_id", "table_name", "col_name"], "left")
-    qualified = qualified.select("dp_id", "db_id", "table_name", "col_name", F.coalesce("known", F.lit(False)).alias("known"))
-    bare = refs.filter("alias = ''").filter(~F.col("col_name").isin(KEYWORDS)).join(tables.select("dp_id", "db_id", "table_name").distinct(), "dp_id")
-    bare = bare.join(has, ["db_id", "table_name", "col_name"]).groupBy("dp_id", "db_id", "col_name").agg(F.min("table_name").alias("table_name"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
-    bare = bare.select("dp_id", "db_id", "table_name", "col_name", F.lit(True).alias("known"))
-    touched = tables.select("dp_id", "db_id", "table_name", F.lit(None).cast("string").alias("col_name"), F.lit(True).alias("known"))
-    return qualified.unionByName(bare).unionByName(touched).distinct()
+    touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
+    found = F.array_distinct(F.concat(qualified, bare, touched))
+    return rows.select("dp_id", "db_id", F.explode(found).alias("f")).select("dp_id", "db_id", "f.*")
 
 
 def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,12 +79,15 @@ def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, Data
     A datapoint with an unknown column is rejected. Key columns of touched tables are added; a
     datapoint left without any column gets all columns of its tables.
     """
-    rejected = found.filter(~F.col("known")).select("dp_id").distinct()
-    good = found.join(rejected, "dp_id", "left_anti")
-    named = columns.select("db_id", F.lower("table_name").alias("_t"), F.lower("col_name").alias("_c"), "table_name", "col_name", "col_idx", "is_pk")
-    tables = good.filter("col_name is null").select("dp_id", "db_id", F.col("table_name").alias("_t"))
-    linked = good.filter("col_name is not null").select("dp_id", "db_id", F.col("table_name").alias("_t"), F.col("col_name").alias("_c")).join(named, ["db_id", "_t", "_c"])
-    out = ["dp_id", "db_id", "table_name", "col_name", "col_idx", "is_pk"]
-    base = linked.select(out).unionByName(tables.join(named.filter("is_pk"), ["db_id", "_t"]).select(out)).distinct()
-    bare = tables.join(base.select("dp_id").distinct(), "dp_id", "left_anti")
-    return base.unionByName(bare.join(named, ["db_id", "_t"]).select(out)), rejected
+    per_dp = found.groupBy("dp_id", "db_id").agg(
+        F.every("known").alias("ok"),
+        F.collect_set("table_name").alias("chosen"),
+        F.collect_set(F.when(F.col("col_name").isNotNull(), column_key("table_name", "col_name"))).alias("linked"),
+    )
+    item = F.struct(F.lower("table_name").alias("t"), column_key("table_name", "col_name").alias("k"), "table_name", "col_name", "col_idx", "is_pk")
+    schemas = columns.groupBy("db_id").agg(F.collect_list(item).alias("cols"))
+    good = per_dp.filter("ok").join(schemas, "db_id")
+    good = good.withColumn("mine", F.filter("cols", lambda c: is_chosen(c["t"])))
+    good = good.withColumn("link", F.filter("mine", lambda c: c["is_pk"] | is_linked(c["k"])))
+    rows = good.select("dp_id", "db_id", F.explode(F.when(F.size("link") > 0, F.col("link")).otherwise(F.col("mine"))).alias("c"))
+    return rows.select("dp_id", "db_id", "c.table_name", "c.col_name", "c.col_idx", "c.is_pk"), per_dp.filter("not ok").select("dp_id", "db_id")

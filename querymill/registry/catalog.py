@@ -373,14 +373,9 @@ noted AS (SELECT db_id, table_idx, table_name, table_comment, col_idx, col_name,
 """
 
 
-def noted(s: Source) -> DataFrame:
-    """Catalog columns with their comment as it is printed."""
-    return s["i_defs"].withColumn("comment", render.with_example_note(F.col("comment"), F.lit(None).cast("string")))
-
-
 @check("R3_render_table", NOTED + "," + rendered("db_id", "noted", "i_fks") + "SELECT db_id, table_name, statement FROM stmt")
 def _(s):
-    return render.render_table(noted(s), s["i_fks"], ["db_id"]).drop("table_idx")
+    return render.render_table(s["i_defs"], s["i_fks"])
 
 
 HEADER = "'-- Database name: ' || db_id || chr(10) || '-- Database schema:' || chr(10) || string_agg(statement, '' ORDER BY table_idx)"
@@ -397,7 +392,7 @@ shown AS (SELECT c.dp_id, n.* FROM closed c JOIN noted n ON c.db_id = n.db_id AN
 
 @check("R4_render_schema", LINK_TEXT + f"SELECT dp_id, db_id, {HEADER} AS schema_text FROM stmt GROUP BY 1, 2")
 def _(s):
-    return render.render_link(s["i_given"], noted(s), s["i_fks"])
+    return render.render_schema(s["i_given"], s["i_defs"], s["i_fks"])
 
 
 EXAMPLE_LISTS = """
@@ -443,7 +438,7 @@ SELECT dp_id, db_id, table_name, col_name, statement AS table_text, '[Column Val
 )
 def _(s):
     targets = s["i_retrieved"].select("dp_id", "db_id", "table_name", "col_name").distinct()
-    return render.local_context(targets, noted(s), s["i_fks"], static_examples(s), s["i_retrieved"])
+    return render.local_context(targets, s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"])
 
 
 @check(

@@ -27,7 +27,7 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'select ''' || replace(text, '''', ''
   WHEN 1 THEN '/* ' || replace(text, '*/', '* /') || ' */ with q as (' || chr(10) || ' select x -- from y' || chr(10) || 'from t) select * from q'
   ELSE 'select a,b from (select max(b) b, a from t group by a) -- ' || replace(text, chr(10), ' ') || chr(10) || 'order by a' END AS sql FROM documents"""
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in sqltext.KEYWORDS)
-TOKEN_RE = r"""'(?:''''|[^''])*''|"[^"]*"|--[^\n]*|/\*(?s:.)*?\*/|\w+|\s+|[^\w\s]"""
+TOKEN_RE = r"""''(?:''''|[^''])*''|"[^"]*"|--[^\n]*|/\*(?s:.)*?\*/|\w+|\s+|[^\w\s]"""
 
 
 @check(
@@ -133,7 +133,6 @@ plink AS (SELECT dp_id, db_id, lower(t1) AS table_name, c1 AS col_name FROM p WH
 
 @check("X14_parse_link_json", PREDICTED + "SELECT dp_id, db_id, table_name, col_name FROM plink")
 def _(s):
-    # a repeated key counts once, with its last value
     return links.predicted_links(s["i_predictions"])
 
 

@@ -8,7 +8,7 @@ from querymill.functions import prompts
 from querymill.operators import pairs, render, synth
 from querymill.registry import inputs  # noqa: F401
 from querymill.registry.base import INPUTS, Source, check
-from querymill.registry.catalog import HEADER, NOTED, noted, rendered
+from querymill.registry.catalog import HEADER, NOTED, rendered
 from querymill.registry.links import KEYED, LINEAR
 
 U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0)"
@@ -123,7 +123,7 @@ nshown AS (SELECT c.dp_id, n.* FROM nclosed c JOIN noted n ON c.db_id = n.db_id
 @check("T6_noised_schema", NOISED + f"SELECT dp_id, db_id, md5({HEADER}) AS digest FROM stmt GROUP BY 1, 2")
 def _(s):
     noised = synth.noised_link(s["i_links"], s["i_columns"], s["i_fks"])
-    return render.noised_schema(s["i_dps"], noised, noted(s), s["i_fks"]).select("dp_id", "db_id", F.md5("schema_text").alias("digest"))
+    return render.noised_schema(s["i_dps"], noised, s["i_defs"], s["i_fks"]).select("dp_id", "db_id", F.md5("schema_text").alias("digest"))
 
 
 # ------------------------------------------------------------------ split and corrupted links
