@@ -34,7 +34,8 @@ TYPE_CLASSES = (
     ("json", "jsonb"),
 )
 INDEXABLE = "TEXT|CHAR|DATE"
-BLANKS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+# Unicode white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize_type(declared: Column) -> Column:
@@ -64,7 +65,7 @@ def names_equivalent(a: Column, b: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Strip all Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_description(text: Column) -> Column:

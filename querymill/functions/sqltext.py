@@ -21,7 +21,7 @@ NA_TOKEN = "[N/A]"
 # A literal with a doubled quote reads as two literals side by side, which rewrites to the same
 # text. Every alternative is a plain loop: long literals and comments need no regex recursion.
 TOKENS = r"""'[^']*'|"[^"]*"|--[^\n]*|/\*[\s\S]*?\*/|\w+|\s+|[^\w\s]"""
-RESERVED_TOKENS = r"""(?i)'[^']*'|"[^"]*"|ORDER\s+BY|\w+|\W"""
+RESERVED_TOKENS = r"""(?i)'[^']*'|"[^"]*"|ORDER\s+BY|\w+|[^\w'"]+|['"]"""
 BLANK_TOKEN = r"^(?:--|/\*|\s)"
 
 

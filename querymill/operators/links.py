@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.answers import link_malformed, parse_link_json
+from querymill.functions.examples import let
 
 LINK = ["dp_id", "db_id", "table_name", "col_name"]
 SEPARATOR = "\u001f"
@@ -157,19 +158,24 @@ def _json_string(name: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def linearize_link(link: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ("dp_id", "db_id")) -> DataFrame:
-    """Link as fenced JSON text per ``keys``, tables and columns in catalog order, unknown ones last by name.
+def link_text(tables: Column, pairs: Column) -> Column:
+    """``pairs`` (``struct<table_name, col_name>``) as fenced JSON text in the order of the nested ``tables``, unknown names last."""
+    of = lambda name: F.transform(F.filter(pairs, lambda p: p["table_name"] == name), lambda p: p["col_name"])
 
-    Only one datapoint's link is gathered at a time.
-    """
-    place = columns.select("db_id", "table_name", "col_name", "table_idx", "col_idx")
-    far = F.lit(2**40)
-    item = F.struct(F.coalesce("col_idx", far).alias("o"), F.col("col_name").alias("n"))
-    per_table = link.join(place, ["db_id", "table_name", "col_name"], "left").groupBy(*keys, "table_name").agg(
-        F.min(F.coalesce("table_idx", far)).alias("table_idx"), F.array_sort(F.collect_set(item)).alias("cols")
-    )
-    names = F.transform("cols", lambda c: F.concat(F.lit("    "), _json_string(c["n"])))
-    entry = F.concat(F.lit("  "), _json_string(F.col("table_name")), F.lit(": [\n"), F.array_join(names, ",\n"), F.lit("\n  ]"))
-    entries = per_table.select(*keys, F.struct("table_idx", "table_name", entry.alias("t")).alias("e")).groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    text = F.array_join(F.transform("es", lambda e: e["t"]), ",\n")
-    return entries.select(*keys, F.concat(F.lit("```json\n{\n"), text, F.lit("\n}\n```")).alias("linearized"))
+    def ordered(name: Column, mine: Column) -> Column:
+        cols = F.filter(F.flatten(F.transform(F.filter(tables, lambda t: t["table_name"] == name), lambda t: F.transform(t["cols"], lambda c: c["col_name"]))), lambda c: F.array_contains(mine, c))
+        return F.array_union(cols, F.array_sort(mine))
+
+    def entry(name: Column) -> Column:
+        cols = let(of(name), lambda mine: F.transform(ordered(name, mine), lambda c: F.concat(F.lit("    "), _json_string(c))))
+        return F.concat(F.lit("  "), _json_string(name), F.lit(": [\n"), F.array_join(cols, ",\n"), F.lit("\n  ]"))
+
+    used = F.array_sort(F.transform(pairs, lambda p: p["table_name"]))
+    names = let(used, lambda u: F.array_union(F.transform(F.filter(tables, lambda t: F.array_contains(u, t["table_name"])), lambda t: t["table_name"]), u))
+    return F.concat(F.lit("```json\n{\n"), F.array_join(F.transform(names, entry), ",\n"), F.lit("\n}\n```"))
+
+
+def linearize_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """Link of every datapoint as fenced JSON text."""
+    dps = nest_links(link).join(nest_catalog(columns, fks), "db_id", "left")
+    return dps.select("dp_id", "db_id", link_text(F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType)), F.col("link")).alias("linearized"))

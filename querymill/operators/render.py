@@ -84,13 +84,6 @@ def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview:
     return dps.select("dp_id", "db_id", schema_text(F.col("tables"), overview=about).alias("schema_text"))
 
 
-def noised_schema(dps: DataFrame, link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """Schema text of a noised link; empty for datapoints without link or without catalog."""
-    return dps.select("dp_id", "db_id").join(render_schema(link, columns, fks).drop("db_id"), "dp_id", "left").select(
-        "dp_id", "db_id", F.coalesce("schema_text", F.lit("")).alias("schema_text")
-    )
-
-
 def nest_retrieved(retrieved: DataFrame, keys: list[str]) -> DataFrame:
     """Retrieved values ``(keys, rn, value)`` as one array per ``keys``, nearest first."""
     found = F.array_sort(F.collect_list(F.struct("rn", "value")))

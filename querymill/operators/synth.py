@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
-from querymill.operators.links import free_columns, is_chosen, is_linked, linearize_link, nest_catalog, nest_links
+from querymill.functions.examples import let
+from querymill.operators.links import closed_tables, column_key, free_columns, is_chosen, is_linked, link_text, nest_catalog, nest_links
+from querymill.operators.render import DETAILS, schema_text
 
 # What variant validation writes in place of a usable statement.
 UNUSABLE = ("<|wrong SQL|>", "<|unsuited|>")
@@ -29,43 +31,84 @@ def _take(items: Column, n: Column, key: Callable[[Column], Column]) -> Column:
     return F.transform(F.slice(ranked, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), lambda r: r["x"])
 
 
+def _pairs(name: Column, cols: Column) -> Column:
+    return F.transform(cols, lambda c: F.struct(name.alias("table_name"), c.alias("col_name")))
+
+
+def _names(cols: Column) -> Column:
+    return F.transform(cols, lambda c: c["col_name"])
+
+
+def _with_noise_tables(dps: DataFrame, seed: int, tables: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Add ``added``: 0-2 nested tables outside the link, with the names of their key and of 2-4 other columns as ``picked``."""
+
+    def picked(t: Column) -> Column:
+        n = uniform_int(draw(f"{seed}|m", F.col("dp_id"), t["table_name"]), *cols)
+        rest = _take(_names(F.filter(t["cols"], lambda c: ~c["is_pk"])), n, lambda c: draw(f"{seed}|c", F.col("dp_id"), t["table_name"], c))
+        return F.concat(_names(F.filter(t["cols"], lambda c: c["is_pk"])), rest)
+
+    outside = F.filter("tables", lambda t: ~is_chosen(t["t"]))
+    chosen = _take(outside, uniform_int(draw(f"{seed}|n", "dp_id"), *tables), lambda t: draw(f"{seed}|t", F.col("dp_id"), t["table_name"]))
+    return dps.withColumn("added", F.transform(chosen, lambda t: F.struct(t["t"].alias("t"), t["table_name"].alias("table_name"), picked(t).alias("picked"))))
+
+
+def _long(dps: DataFrame, pairs: Column) -> DataFrame:
+    return dps.select("dp_id", "db_id", F.explode(pairs).alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
+
+
 def noise_tables(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42, tables: tuple[int, int] = (0, 2), cols: tuple[int, int] = (2, 4)) -> DataFrame:
     """0-2 tables outside the link per datapoint, each with its key and 2-4 other columns."""
-    dps = nest_links(links).join(nest_catalog(columns, fks), "db_id")
-    outside = F.filter("tables", lambda t: ~is_chosen(t["t"]))
-    names = F.transform(outside, lambda t: F.struct(t["table_name"].alias("table_name"), t["cols"].alias("cols")))
-    added = dps.select("dp_id", "db_id", F.explode(_take(names, uniform_int(draw(f"{seed}|n", "dp_id"), *tables), lambda t: draw(f"{seed}|t", F.col("dp_id"), t["table_name"]))).alias("t"))
-    added = added.select("dp_id", "db_id", "t.table_name", "t.cols")
-    pks = F.transform(F.filter("cols", lambda c: c["is_pk"]), lambda c: c["col_name"])
-    rest = F.transform(F.filter("cols", lambda c: ~c["is_pk"]), lambda c: c["col_name"])
-    some = _take(rest, uniform_int(draw(f"{seed}|m", "dp_id", "table_name"), *cols), lambda c: draw(f"{seed}|c", F.col("dp_id"), F.col("table_name"), c))
-    return added.select("dp_id", "db_id", "table_name", F.explode(F.concat(pks, some)).alias("col_name"))
+    dps = _with_noise_tables(nest_links(links).join(nest_catalog(columns, fks), "db_id"), seed, tables, cols)
+    return _long(dps, F.flatten(F.transform("added", lambda t: _pairs(t["table_name"], t["picked"]))))
 
 
 def noise_fk_bridge(links: DataFrame, added: DataFrame, fks: DataFrame) -> DataFrame:
     """Foreign key columns of linked tables that point to an added table, unless linked already."""
-    linked = links.select("dp_id", "db_id", "table_name").distinct()
-    targets = added.select("dp_id", F.col("table_name").alias("ref_table")).distinct()
-    out = ["dp_id", "db_id", "table_name", "col_name"]
-    return linked.join(fks, ["db_id", "table_name"]).join(targets, ["dp_id", "ref_table"], "left_semi").select(out).distinct().join(links, out, "left_anti")
-
-
-def noise_columns(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42, p: float = 0.5, cols: tuple[int, int] = (1, 2), current: DataFrame | None = None) -> DataFrame:
-    """1-2 extra columns for about half of the linked tables: neither keys nor in ``current`` (default: the link)."""
-    tables = links.select("dp_id", "db_id", "table_name").distinct()
-    chosen = tables.filter(unit(draw(f"{seed}|p", "dp_id", "table_name")) <= p)
-    have = (links if current is None else current).groupBy("dp_id", "table_name").agg(F.collect_set("col_name").alias("have"))
-    joined = chosen.join(have, ["dp_id", "table_name"]).join(free_columns(columns, fks), ["db_id", "table_name"])
+    refs = fks.groupBy("db_id").agg(F.collect_set(F.struct("table_name", "col_name", "ref_table")).alias("refs"))
+    targets = added.groupBy("dp_id").agg(F.collect_set("table_name").alias("targets"))
+    linked = links.groupBy("dp_id", "db_id").agg(F.collect_set(F.struct("table_name", "col_name")).alias("link"), F.collect_set("table_name").alias("own"))
+    dps = linked.join(targets, "dp_id").join(refs, "db_id")
+    to_added = F.filter("refs", lambda r: F.array_contains("own", r["table_name"]) & F.array_contains("targets", r["ref_table"]))
+    return _long(dps, F.array_except(F.transform(to_added, lambda r: F.struct(r["table_name"].alias("table_name"), r["col_name"].alias("col_name"))), "link"))
+
+
+def noise_columns(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42, p: float = 0.5, cols: tuple[int, int] = (1, 2)) -> DataFrame:
+    """1-2 extra columns for about half of the linked tables: neither keys nor linked."""
+    have = links.groupBy("dp_id", "db_id", "table_name").agg(F.collect_set("col_name").alias("have"))
+    chosen = have.filter(unit(draw(f"{seed}|p", "dp_id", "table_name")) <= p).join(free_columns(columns, fks), ["db_id", "table_name"])
     pick = _take(F.array_except("free", "have"), uniform_int(draw(f"{seed}|k", "dp_id", "table_name"), *cols), lambda c: draw(f"{seed}|x", F.col("dp_id"), F.col("table_name"), c))
-    return joined.select("dp_id", "db_id", "table_name", F.explode(pick).alias("col_name"))
+    return chosen.select("dp_id", "db_id", "table_name", F.explode(pick).alias("col_name"))
+
+
+def with_noise(dps: DataFrame, seed: int = 42, p: float = 0.5, tables: tuple[int, int] = (0, 2), table_cols: tuple[int, int] = (2, 4), cols: tuple[int, int] = (1, 2)) -> DataFrame:
+    """Nested links and catalogs with noise in ``link``, ``linked`` and ``chosen``: tables, then their bridges, then columns."""
+    own = F.filter("tables", lambda t: is_chosen(t["t"]))
+    noisy = _with_noise_tables(dps, seed, tables, table_cols).withColumn("own", own)
+    targets = F.transform("added", lambda t: t["t"])
+    bridge = F.flatten(F.transform("own", lambda t: _pairs(t["table_name"], _names(F.filter(t["fks"], lambda f: F.array_contains(F.col("targets"), f["r"]))))))
+    noisy = noisy.withColumn("targets", targets)
+    noisy = noisy.withColumn("link", F.array_union(F.array_union("link", F.flatten(F.transform("added", lambda t: _pairs(t["table_name"], t["picked"])))), bridge))
+
+    def extra(t: Column) -> Column:
+        free = F.filter(_names(F.filter(t["cols"], lambda c: ~c["is_key"])), lambda c: ~F.array_contains(F.col("link"), F.struct(t["table_name"].alias("table_name"), c.alias("col_name"))))
+        n = uniform_int(draw(f"{seed}|k", F.col("dp_id"), t["table_name"]), *cols)
+        return _pairs(t["table_name"], _take(free, n, lambda c: draw(f"{seed}|x", F.col("dp_id"), t["table_name"], c)))
+
+    lucky = F.filter("own", lambda t: unit(draw(f"{seed}|p", F.col("dp_id"), t["table_name"])) <= p)
+    noisy = noisy.withColumn("link", F.array_union("link", F.flatten(F.transform(lucky, extra))))
+    return noisy.withColumn("linked", F.transform("link", lambda c: column_key(c["table_name"], c["col_name"]))).withColumn("chosen", F.array_union("chosen", "targets")).drop("added", "own", "targets")
 
 
 def noised_link(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42) -> DataFrame:
     """Link plus noise tables, their bridges and noise columns."""
-    added = noise_tables(links, columns, fks, seed)
-    out = ["dp_id", "db_id", "table_name", "col_name"]
-    base = links.select(out).unionByName(added).unionByName(noise_fk_bridge(links, added, fks)).distinct()
-    return base.unionByName(noise_columns(links, columns, fks, seed, current=base)).distinct()
+    return _long(with_noise(nest_links(links).join(nest_catalog(columns, fks), "db_id"), seed), F.col("link"))
+
+
+def noised_schema(dps: DataFrame, links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42) -> DataFrame:
+    """Schema text of every noised link; empty for datapoints without link or without catalog."""
+    noisy = closed_tables(with_noise(nest_links(links).join(nest_catalog(columns, fks, DETAILS), "db_id"), seed))
+    texts = noisy.select("dp_id", schema_text(F.col("tables")).alias("schema_text"))
+    return dps.select("dp_id", "db_id").join(texts, "dp_id", "left").select("dp_id", "db_id", F.coalesce("schema_text", F.lit("")).alias("schema_text"))
 
 
 def column_samples(links: DataFrame, columns: DataFrame, fks: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
@@ -133,49 +176,73 @@ def group_split(rows: DataFrame, group: str, ratio: float = 0.3, tol: float = 0.
     return ordered(winner, winner).select(group, F.col("_n").alias("n_rows"), F.col("trial").cast("long").alias("trial"), side.alias("side"))
 
 
-def _flagged_links(links: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """One row per datapoint with its ``link`` and the ``pool`` of linked columns outside keys."""
-    keys = F.flatten(F.transform("tables", lambda t: F.transform(F.filter(t["cols"], lambda c: c["is_key"]), lambda c: F.struct(t["table_name"].alias("table_name"), c["col_name"].alias("col_name")))))
-    schemas = nest_catalog(columns, fks).select("db_id", keys.alias("keys"))
-    return nest_links(links).join(schemas, "db_id").withColumn("pool", F.array_except("link", "keys"))
+def _column_variants(n: int, seed: int) -> Column:
+    """``n`` variants of ``link`` (``struct<mess_type, variant, link>``), each without 1 (70 %) or 2 columns of ``pool``."""
+
+    def variant(no: Column) -> Column:
+        one = (F.size("pool") == 1) | (unit(draw(f"{seed}|n", F.col("dp_id"), no)) < 0.7)
+        gone = _take(F.col("pool"), F.when(one, 1).otherwise(2), lambda c: draw(f"{seed}|d", F.col("dp_id"), no, c["table_name"], c["col_name"]))
+        return F.struct(F.lit("DELETE_COLUMN").alias("mess_type"), no.cast("string").alias("variant"), F.array_except("link", gone).alias("link"))
+
+    return F.when(F.size("pool") > 0, F.transform(F.sequence(F.lit(1), F.lit(n)), variant))
+
+
+def _table_variants() -> Column:
+    """One variant of ``link`` per table of a link with several: without it and without the foreign keys to it."""
+
+    def variant(name: Column) -> Column:
+        refs = F.flatten(F.transform("tables", lambda t: _pairs(t["table_name"], _names(F.filter(t["fks"], lambda f: f["r"] == F.lower(name))))))
+        rest = F.array_except(F.filter("link", lambda c: c["table_name"] != name), refs)
+        return F.struct(F.lit("DELETE_TABLE").alias("mess_type"), name.alias("variant"), rest.alias("link"))
+
+    names = F.array_distinct(F.transform("link", lambda c: c["table_name"]))
+    return let(names, lambda ns: F.when(F.size(ns) > 1, F.transform(ns, variant)))
+
+
+def _with_pool(links: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """Nested links with the nested ``tables`` they choose and the ``pool`` of linked columns outside keys."""
+    dps = nest_links(links).join(nest_catalog(columns, fks), "db_id").withColumn("tables", F.filter("tables", lambda t: is_chosen(t["t"])))
+    keys = F.flatten(F.transform("tables", lambda t: _pairs(t["table_name"], _names(F.filter(t["cols"], lambda c: c["is_key"])))))
+    return dps.withColumn("pool", F.array_except("link", keys))
+
+
+def _variant_rows(dps: DataFrame, variants: Column) -> DataFrame:
+    return dps.select("dp_id", "db_id", F.explode(variants).alias("v")).select("dp_id", "db_id", "v.variant", F.explode("v.link").alias("c"))
 
 
 def drop_column_negatives(links: DataFrame, columns: DataFrame, fks: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """``n`` corrupted links per datapoint, each without 1 (70 %) or 2 non-key columns. Empty ones are left out."""
-    dps = _flagged_links(links, columns, fks)
-    samples = dps.select("dp_id", "db_id", "link", "pool").withColumn("sample_no", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
-    one = (F.size("pool") == 1) | (unit(draw(f"{seed}|n", "dp_id", "sample_no")) < 0.7)
-    gone = _take(F.col("pool"), F.when(one, 1).otherwise(2), lambda c: draw(f"{seed}|d", F.col("dp_id"), F.col("sample_no"), c["table_name"], c["col_name"]))
-    return samples.select("dp_id", "db_id", "sample_no", F.explode(F.when(F.size("pool") > 0, F.array_except("link", gone))).alias("c")).select("dp_id", "db_id", "sample_no", "c.table_name", "c.col_name")
+    rows = _variant_rows(_with_pool(links, columns, fks), _column_variants(n, seed))
+    return rows.select("dp_id", "db_id", F.col("variant").cast("long").alias("sample_no"), "c.table_name", "c.col_name")
 
 
-def drop_table_negatives(links: DataFrame, fks: DataFrame) -> DataFrame:
+def drop_table_negatives(links: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Per datapoint with several tables, one corrupted link per table: without it and without the foreign keys to it."""
-    refs = fks.groupBy("db_id").agg(F.collect_set(F.struct("table_name", "col_name", "ref_table")).alias("refs"))
-    dps = links.groupBy("dp_id", "db_id").agg(F.collect_set(F.struct("table_name", "col_name")).alias("link"), F.collect_set("table_name").alias("tables"))
-    each = dps.filter(F.size("tables") > 1).join(refs, "db_id", "left").select("dp_id", "db_id", "link", "refs", F.explode("tables").alias("dropped_table"))
-    points = lambda c: F.array_contains(F.col("refs"), F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"), F.col("dropped_table").alias("ref_table")))
-    left = F.filter("link", lambda c: (c["table_name"] != F.col("dropped_table")) & ~F.coalesce(points(c), F.lit(False)))
-    return each.select("dp_id", "db_id", "dropped_table", F.explode(left).alias("c")).select("dp_id", "db_id", "dropped_table", "c.table_name", "c.col_name")
+    rows = _variant_rows(_with_pool(links, columns, fks), _table_variants())
+    return rows.select("dp_id", "db_id", F.col("variant").alias("dropped_table"), "c.table_name", "c.col_name")
 
 
 def assemble_train(links: DataFrame, split: DataFrame, columns: DataFrame, fks: DataFrame, n: int = 3, seed: int = 42) -> DataFrame:
     """SFT rows from side B, DPO rows with a rejected link from side A.
 
     ``split(db_id, side)``. Returns ``dp_id, db_id, train_type, mess_type, variant, link_text,
-    rejected_text``.
+    rejected_text``. All rows of a datapoint are made from its one nested row.
     """
-    sided = links.join(split.select("db_id", "side"), "db_id")
-    good = linearize_link(sided, columns, ("dp_id", "db_id", "side")).withColumnRenamed("linearized", "link_text")
-    dpo = sided.filter("side = 'A'").select("dp_id", "db_id", "table_name", "col_name")
-    by_col = drop_column_negatives(dpo, columns, fks, n, seed).select(
-        "dp_id", "db_id", F.lit("DELETE_COLUMN").alias("mess_type"), F.col("sample_no").cast("string").alias("variant"), "table_name", "col_name"
+    none = F.array().cast("array<struct<mess_type:string,variant:string,link:array<struct<table_name:string,col_name:string>>>>")
+    dps = _with_pool(links, columns, fks).join(split.select("db_id", "side"), "db_id")
+    bad = F.filter(F.concat(F.coalesce(_column_variants(n, seed), none), F.coalesce(_table_variants(), none)), lambda v: F.size(v["link"]) > 0)
+    plain = F.transform(F.sequence(F.lit(1), F.lit(1)), lambda _: F.struct(F.lit(None).cast("string").alias("mess_type"), F.lit(None).cast("string").alias("variant"), F.lit(None).cast("array<struct<table_name:string,col_name:string>>").alias("link")))
+    dps = dps.withColumn("link_text", link_text(F.col("tables"), F.col("link"))).withColumn("variants", F.when(F.col("side") == "A", bad).otherwise(plain))
+    rows = dps.select("dp_id", "db_id", "tables", "link_text", F.explode("variants").alias("v"))
+    return rows.select(
+        "dp_id",
+        "db_id",
+        F.when(F.col("v.link").isNull(), "SFT").otherwise("DPO").alias("train_type"),
+        "v.mess_type",
+        "v.variant",
+        "link_text",
+        F.when(F.col("v.link").isNotNull(), link_text(F.col("tables"), F.col("v.link"))).alias("rejected_text"),
     )
-    by_table = drop_table_negatives(dpo, fks).select("dp_id", "db_id", F.lit("DELETE_TABLE").alias("mess_type"), F.col("dropped_table").alias("variant"), "table_name", "col_name")
-    bad = linearize_link(by_col.unionByName(by_table), columns, ("dp_id", "db_id", "mess_type", "variant")).withColumnRenamed("linearized", "rejected_text")
-    rejected = bad.join(good.filter("side = 'A'").drop("side"), ["dp_id", "db_id"]).withColumn("train_type", F.lit("DPO"))
-    plain = good.filter("side = 'B'").drop("side").withColumn("train_type", F.lit("SFT"))
-    return plain.unionByName(rejected, allowMissingColumns=True)
 
 
 def classification_pairs(samples: DataFrame) -> DataFrame:

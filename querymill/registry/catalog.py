@@ -77,10 +77,9 @@ def raw_catalog(s: Source) -> DataFrame:
         listed("global_idx", idx="table_idx", name="col_name").alias("column_names_original"),
         listed("display_idx", "col_idx", idx="display_idx", name="display_name").alias("column_names"),
     )
-    place = g.select("db_id", "table_name", "col_name", F.col("global_idx").cast("int").alias("at"))
-    ref = place.toDF("db_id", "ref_table", "ref_column", "to_idx")
-    fks = s["i_fks"].join(place, ["db_id", "table_name", "col_name"]).join(ref, ["db_id", "ref_table", "ref_column"])
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("at").alias("from_idx"), "to_idx")))
+    ref = g.select("db_id", F.col("table_name").alias("ref_table"), F.col("col_name").alias("ref_column"), F.col("global_idx").cast("int").alias("to_idx"))
+    fks = s["i_fks"].join(ref, ["db_id", "ref_table", "ref_column"])
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("from_idx"), "to_idx")))
     stray = F.array(F.struct(F.lit(9999).alias("from_idx"), F.lit(1).alias("to_idx")), F.struct(F.lit(0).alias("from_idx"), F.lit(1).alias("to_idx")))
     return cols.join(fks.groupBy("db_id").agg(F.concat(pairs, stray).alias("foreign_keys")), "db_id")
 

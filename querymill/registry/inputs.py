@@ -17,28 +17,37 @@ SELECT 'db_' || CAST(l_suppkey AS STRING) AS db_id,
   p_type AS table_name, replace(p_brand, '#', '_') AS col_name, p_name, p_partkey, l_returnflag, l_linenumber
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     i_columns="""
-SELECT db_id, table_name, col_name, table_idx, col_idx, brand, declared_type, col_idx = 0 AND table_name <> 'MEDIUM' AS is_pk, n_lines % 3 = 0 AS contains_null,
+SELECT db_id, table_name, col_name, table_idx, col_idx, global_idx, brand, declared_type, col_idx = 0 AND table_name <> 'MEDIUM' AS is_pk, n_lines % 3 = 0 AS contains_null,
   CASE WHEN brand % 3 = 0 THEN lower(replace(col_name, '_', ' ')) WHEN brand % 3 = 1 THEN 'code of ' || col_name ELSE col_name END AS display_name,
-  CASE WHEN table_idx % 2 = 0 THEN 'the ' || lower(table_name) || ' list' ELSE lower(table_name) || '_' END AS table_display
+  CASE WHEN table_idx % 2 = 0 THEN 'the ' || lower(table_name) || ' list' ELSE lower(table_name) || '_' END AS table_display,
+  CASE WHEN CAST(substr(db_id, 4) AS INT) % 2 = 1 THEN max(table_idx) OVER (PARTITION BY db_id) - table_idx ELSE table_idx END AS display_idx
 FROM (
   SELECT db_id, table_name, col_name, n_lines, CAST(substr(col_name, 7) AS INT) AS brand,
     CAST(dense_rank() OVER (PARTITION BY db_id ORDER BY table_name) - 1 AS BIGINT) AS table_idx,
     CAST(row_number() OVER (PARTITION BY db_id, table_name ORDER BY col_name) - 1 AS BIGINT) AS col_idx,
+    CAST(row_number() OVER (PARTITION BY db_id ORDER BY table_name, col_name) AS BIGINT) AS global_idx,
     CASE CAST(substr(col_name, 7) AS INT) % 8 WHEN 0 THEN 'varchar(20)' WHEN 1 THEN 'bigint' WHEN 2 THEN 'double precision'
       WHEN 3 THEN 'datetime' WHEN 4 THEN 'decimal(10,2)' WHEN 5 THEN 'character(1)' WHEN 6 THEN 'json' ELSE '' END AS declared_type
   FROM (SELECT db_id, table_name, col_name, count(*) AS n_lines FROM i_lines GROUP BY db_id, table_name, col_name) AS g
 ) AS o""",
     i_fks="""
-SELECT c.db_id, c.table_name, c.col_idx AS fk_no, c.col_name, r.table_name AS ref_table, r.col_name AS ref_column
-FROM i_columns c JOIN i_columns r ON c.db_id = r.db_id AND r.col_idx = 0 AND r.table_name = CASE c.table_name
-  WHEN 'ECONOMY' THEN 'LARGE' WHEN 'LARGE' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'PROMO' WHEN 'PROMO' THEN 'SMALL' WHEN 'SMALL' THEN 'STANDARD' ELSE 'ECONOMY' END
-WHERE c.col_idx = 1 OR (c.col_idx = 4 AND c.brand % 2 = 0)""",
+SELECT db_id, table_name, col_idx AS fk_no, col_name, ref_table, ref_column, global_idx FROM (
+  SELECT db_id, table_name, col_idx, col_name, brand, global_idx,
+    CASE table_name WHEN 'ECONOMY' THEN 'LARGE' WHEN 'LARGE' THEN 'MEDIUM' WHEN 'MEDIUM' THEN 'PROMO' WHEN 'PROMO' THEN 'SMALL' WHEN 'SMALL' THEN 'STANDARD' ELSE 'ECONOMY' END AS ref_table,
+    CASE table_name WHEN 'ECONOMY' THEN first_large WHEN 'LARGE' THEN first_medium WHEN 'MEDIUM' THEN first_promo WHEN 'PROMO' THEN first_small WHEN 'SMALL' THEN first_standard ELSE first_economy END AS ref_column
+  FROM (SELECT db_id, table_name, col_idx, col_name, brand, global_idx,
+      min(CASE WHEN table_name = 'ECONOMY' THEN col_name END) OVER (PARTITION BY db_id) AS first_economy,
+      min(CASE WHEN table_name = 'LARGE' THEN col_name END) OVER (PARTITION BY db_id) AS first_large,
+      min(CASE WHEN table_name = 'MEDIUM' THEN col_name END) OVER (PARTITION BY db_id) AS first_medium,
+      min(CASE WHEN table_name = 'PROMO' THEN col_name END) OVER (PARTITION BY db_id) AS first_promo,
+      min(CASE WHEN table_name = 'SMALL' THEN col_name END) OVER (PARTITION BY db_id) AS first_small,
+      min(CASE WHEN table_name = 'STANDARD' THEN col_name END) OVER (PARTITION BY db_id) AS first_standard
+    FROM i_columns) AS f) AS r
+WHERE ref_column IS NOT NULL AND (col_idx = 1 OR (col_idx = 4 AND brand % 2 = 0))""",
     i_tables="""
-SELECT db_id, table_idx, table_name, table_display, CASE WHEN CAST(substr(db_id, 4) AS INT) % 2 = 1 THEN n_tables - 1 - table_idx ELSE table_idx END AS display_idx
-FROM (SELECT db_id, table_idx, table_name, table_display, count(*) OVER (PARTITION BY db_id) AS n_tables FROM (SELECT DISTINCT db_id, table_idx, table_name, table_display FROM i_columns) AS t) AS n""",
+SELECT DISTINCT db_id, table_idx, table_name, table_display, display_idx FROM i_columns""",
     i_globals="""
-SELECT c.*, t.display_idx, CAST(row_number() OVER (PARTITION BY c.db_id ORDER BY c.table_idx, c.col_idx) AS BIGINT) AS global_idx
-FROM i_columns c JOIN i_tables t ON c.db_id = t.db_id AND c.table_name = t.table_name""",
+SELECT * FROM i_columns""",
     i_descriptions="""
 SELECT 'ORIG' AS origin, p_partkey AS line_no, p_type AS table_name, CASE WHEN p_brand = 'Brand#7' THEN 'other' ELSE ' ' || replace(p_brand, '#', '_') || ' ' END AS original_column_name,
   CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN lower(replace(p_brand, '#', ' ')) ELSE ' commonsense evidence: ' || p_name || chr(10) || ' of  the ' || p_type END AS column_description,

@@ -87,7 +87,7 @@ lin AS (SELECT dp_id, db_id, '```json' || chr(10) || '{' || chr(10) || string_ag
 
 @check("L5_linearize_link", LINEAR + "SELECT dp_id, db_id, linearized FROM lin")
 def _(s):
-    return links.linearize_link(s["i_links"], s["i_columns"])
+    return links.linearize_link(s["i_links"], s["i_columns"], s["i_fks"])
 
 
 @check(

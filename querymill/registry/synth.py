@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from querymill.functions import prompts
-from querymill.operators import pairs, render, synth
+from querymill.operators import pairs, synth
 from querymill.registry import inputs  # noqa: F401
 from querymill.registry.base import INPUTS, Source, check
 from querymill.registry.catalog import HEADER, NOTED, rendered
@@ -122,8 +122,7 @@ nshown AS (SELECT c.dp_id, n.* FROM nclosed c JOIN noted n ON c.db_id = n.db_id
 
 @check("T6_noised_schema", NOISED + f"SELECT dp_id, db_id, md5({HEADER}) AS digest FROM stmt GROUP BY 1, 2")
 def _(s):
-    noised = synth.noised_link(s["i_links"], s["i_columns"], s["i_fks"])
-    return render.noised_schema(s["i_dps"], noised, s["i_defs"], s["i_fks"]).select("dp_id", "db_id", F.md5("schema_text").alias("digest"))
+    return synth.noised_schema(s["i_dps"], s["i_links"], s["i_defs"], s["i_fks"]).select("dp_id", "db_id", F.md5("schema_text").alias("digest"))
 
 
 # ------------------------------------------------------------------ split and corrupted links
@@ -167,7 +166,7 @@ dropt AS (SELECT l.dp_id, l.db_id, dropped_table, l.table_name, l.col_name FROM
 
 @check("T9_drop_table_negatives", DROP_TABLE + "SELECT dp_id, db_id, dropped_table, table_name, col_name FROM dropt")
 def _(s):
-    return synth.drop_table_negatives(s["i_links"], s["i_fks"])
+    return synth.drop_table_negatives(s["i_links"], s["i_columns"], s["i_fks"])
 
 
 TRAIN = (

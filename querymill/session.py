@@ -19,6 +19,8 @@ def local_session(cores: str = "*", name: str = "querymill") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        # small test data: keep all cores busy instead of packing one megabyte per task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
