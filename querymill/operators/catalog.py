@@ -94,7 +94,7 @@ def match_display_columns(catalog: DataFrame) -> DataFrame:
 
 def resolve_primary_keys(columns: DataFrame) -> DataFrame:
     """Positions of the key columns of every table that has a key."""
-    return columns.filter("is_pk").groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list("col_idx")).alias("primary_keys"))
+    return columns.filter("is_pk").groupBy("db_id", "table_name").agg(F.sort_array(F.collect_list("col_idx")).alias("primary_keys"))
 
 
 def resolve_foreign_keys(catalog: DataFrame) -> DataFrame:

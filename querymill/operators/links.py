@@ -41,20 +41,20 @@ def nest_catalog(columns: DataFrame, fks: DataFrame, extra: tuple[str, ...] = ()
     """
     comment = F.min("table_comment") if "table_comment" in columns.columns else F.lit("")
     col = F.struct("col_idx", "col_name", column_key("table_name", "col_name").alias("k"), "is_pk", *extra)
-    per_table = columns.groupBy("db_id", "table_idx", "table_name").agg(F.array_sort(F.collect_list(col)).alias("cols"), comment.alias("table_comment"))
+    per_table = columns.groupBy("db_id", "table_idx", "table_name").agg(F.sort_array(F.collect_list(col)).alias("cols"), comment.alias("table_comment"))
     ref = F.struct("fk_no", "col_name", F.lower("ref_table").alias("r"), fk_code().alias("code"))
-    per_fk = fks.groupBy("db_id", "table_name").agg(F.array_sort(F.collect_list(ref)).alias("fks"))
+    per_fk = fks.groupBy("db_id", "table_name").agg(F.sort_array(F.collect_list(ref)).alias("fks"))
     joined = per_table.join(per_fk, ["db_id", "table_name"], "left").withColumn("fks", F.coalesce("fks", F.array().cast(per_fk.schema["fks"].dataType)))
     in_fk = F.transform("fks", lambda f: f["col_name"])
     flagged = joined.withColumn("_in", in_fk).withColumn("cols", F.transform("cols", lambda c: c.withField("is_key", c["is_pk"] | F.array_contains(F.col("_in"), c["col_name"]))))
     table = F.struct("table_idx", "table_name", F.lower("table_name").alias("t"), "table_comment", "cols", "fks")
-    return flagged.groupBy("db_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
+    return flagged.groupBy("db_id").agg(F.sort_array(F.collect_list(table)).alias("tables"))
 
 
 def nest_links(links: DataFrame) -> DataFrame:
     """One row per datapoint: ``link`` as ``struct<table_name, col_name>``, ``linked`` column keys and ``chosen`` lower-case tables."""
     return links.groupBy("dp_id", "db_id").agg(
-        F.array_sort(F.collect_set(F.struct("table_name", "col_name"))).alias("link"),
+        F.sort_array(F.collect_set(F.struct("table_name", "col_name"))).alias("link"),
         F.collect_set(column_key("table_name", "col_name")).alias("linked"),
         F.collect_set(F.lower("table_name")).alias("chosen"),
     )
@@ -129,7 +129,7 @@ def columns_to_judge(link: DataFrame, columns: DataFrame, fks: DataFrame) -> Dat
 def free_columns(columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Per table the sorted names of its columns outside primary and foreign keys."""
     in_fk = fks.groupBy("db_id", "table_name").agg(F.collect_set("col_name").alias("_in"))
-    rest = columns.filter(~F.col("is_pk")).groupBy("db_id", "table_name").agg(F.array_sort(F.collect_set("col_name")).alias("free"))
+    rest = columns.filter(~F.col("is_pk")).groupBy("db_id", "table_name").agg(F.sort_array(F.collect_set("col_name")).alias("free"))
     none = F.array().cast("array<string>")
     return rest.join(in_fk, ["db_id", "table_name"], "left").select("db_id", "table_name", F.array_except("free", F.coalesce("_in", none)).alias("free"))
 
@@ -164,13 +164,13 @@ def link_text(tables: Column, pairs: Column) -> Column:
 
     def ordered(name: Column, mine: Column) -> Column:
         cols = F.filter(F.flatten(F.transform(F.filter(tables, lambda t: t["table_name"] == name), lambda t: F.transform(t["cols"], lambda c: c["col_name"]))), lambda c: F.array_contains(mine, c))
-        return F.array_union(cols, F.array_sort(mine))
+        return F.array_union(cols, F.sort_array(mine))
 
     def entry(name: Column) -> Column:
         cols = let(of(name), lambda mine: F.transform(ordered(name, mine), lambda c: F.concat(F.lit("    "), _json_string(c))))
         return F.concat(F.lit("  "), _json_string(name), F.lit(": [\n"), F.array_join(cols, ",\n"), F.lit("\n  ]"))
 
-    used = F.array_sort(F.transform(pairs, lambda p: p["table_name"]))
+    used = F.sort_array(F.transform(pairs, lambda p: p["table_name"]))
     names = let(used, lambda u: F.array_union(F.transform(F.filter(tables, lambda t: F.array_contains(u, t["table_name"])), lambda t: t["table_name"]), u))
     return F.concat(F.lit("```json\n{\n"), F.array_join(F.transform(names, entry), ",\n"), F.lit("\n}\n```"))
 

@@ -86,7 +86,7 @@ def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview:
 
 def nest_retrieved(retrieved: DataFrame, keys: list[str]) -> DataFrame:
     """Retrieved values ``(keys, rn, value)`` as one array per ``keys``, nearest first."""
-    found = F.array_sort(F.collect_list(F.struct("rn", "value")))
+    found = F.sort_array(F.collect_list(F.struct("rn", "value")))
     return retrieved.groupBy(*keys).agg(F.transform(found, lambda r: r["value"]).alias("found"))
 
 

@@ -160,7 +160,7 @@ def preview_result(execs: DataFrame, results: DataFrame, n: int = 5, width: int
     head = F.when(F.col("row_no") < n, F.struct("row_no", shown.alias("text")))
     body = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.collect_list(head).alias("_head"))
     more = F.when(F.col("n_rows") > n, F.lit(f" (displaying the first {n} rows)")).otherwise("")
-    lines = F.array_join(F.transform(F.array_sort("_head"), lambda r: r["text"]), "\n")
+    lines = F.array_join(F.transform(F.sort_array("_head"), lambda r: r["text"]), "\n")
     text = F.concat(F.lit("Execution result contains "), F.col("n_rows").cast("string"), F.lit(" rows"), more, F.lit(":\n"), lines)
     return execs.join(body, KEYS, "left").select(
         *KEYS, F.when(F.col("status") != "success", F.col("error")).otherwise(F.coalesce(text, F.lit("Execution result is empty."))).alias("preview")

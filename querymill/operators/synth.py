@@ -27,7 +27,7 @@ UNUSABLE = ("<|wrong SQL|>", "<|unsuited|>")
 
 def _take(items: Column, n: Column, key: Callable[[Column], Column]) -> Column:
     """The ``n`` items with the smallest draw."""
-    ranked = F.array_sort(F.transform(items, lambda x: F.struct(key(x).alias("d"), x.alias("x"))))
+    ranked = F.sort_array(F.transform(items, lambda x: F.struct(key(x).alias("d"), x.alias("x"))))
     return F.transform(F.slice(ranked, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), lambda r: r["x"])
 
 

@@ -64,11 +64,11 @@ def _(s):
 def raw_catalog(s: Source) -> DataFrame:
     """Nested catalog of every database, as the catalog files have it."""
     g = s["i_globals"]
-    names = lambda order, name: F.transform(F.array_sort(F.collect_set(F.struct(order, name))), lambda x: x[name])
+    names = lambda order, name: F.transform(F.sort_array(F.collect_set(F.struct(order, name))), lambda x: x[name])
     star = F.array(F.struct(F.lit(-1).alias("table_idx"), F.lit("*").alias("name")))
 
     def listed(*order: str, idx: str, name: str):
-        items = F.array_sort(F.collect_list(F.struct(*order, F.struct(F.col(idx).cast("int").alias("table_idx"), F.col(name).alias("name")).alias("c"))))
+        items = F.sort_array(F.collect_list(F.struct(*order, F.struct(F.col(idx).cast("int").alias("table_idx"), F.col(name).alias("name")).alias("c"))))
         return F.concat(star, F.transform(items, lambda x: x["c"]))
 
     cols = g.groupBy("db_id").agg(
@@ -79,7 +79,7 @@ def raw_catalog(s: Source) -> DataFrame:
     )
     ref = g.select("db_id", F.col("table_name").alias("ref_table"), F.col("col_name").alias("ref_column"), F.col("global_idx").cast("int").alias("to_idx"))
     fks = s["i_fks"].join(ref, ["db_id", "ref_table", "ref_column"])
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("from_idx"), "to_idx")))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("from_idx"), "to_idx")))
     stray = F.array(F.struct(F.lit(9999).alias("from_idx"), F.lit(1).alias("to_idx")), F.struct(F.lit(0).alias("from_idx"), F.lit(1).alias("to_idx")))
     return cols.join(fks.groupBy("db_id").agg(F.concat(pairs, stray).alias("foreign_keys")), "db_id")
 
@@ -319,7 +319,7 @@ def _(s):
 
 # ------------------------------------------------------------------ link closure and rendering
 def static_examples(s: Source) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ex_no", "value"))), lambda x: x["value"])
+    values = F.transform(F.sort_array(F.collect_list(F.struct("ex_no", "value"))), lambda x: x["value"])
     return s["i_examples"].groupBy("db_id", "table_name", "col_name").agg(values.alias("examples"))
 
 

@@ -12,10 +12,7 @@ from querymill.registry.base import INPUTS
 INPUTS.update(
     # ---- databases, tables and columns
     i_lines="""
-SELECT 'db_' || CAST(l_suppkey AS STRING) AS db_id,
-  CAST(l_suppkey * 1000 + CAST(l_quantity AS INT) * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS dp_id,
-  p_type AS table_name, replace(p_brand, '#', '_') AS col_name, p_name, p_partkey, l_returnflag, l_linenumber
-FROM lineitem JOIN part ON l_partkey = p_partkey""",
+SELECT l_suppkey, l_quantity, l_returnflag, p_type, p_brand, p_name, p_partkey FROM lineitem JOIN part ON l_partkey = p_partkey""",
     i_columns="""
 SELECT db_id, table_name, col_name, table_idx, col_idx, global_idx, brand, declared_type, col_idx = 0 AND table_name <> 'MEDIUM' AS is_pk, n_lines % 3 = 0 AS contains_null,
   CASE WHEN brand % 3 = 0 THEN lower(replace(col_name, '_', ' ')) WHEN brand % 3 = 1 THEN 'code of ' || col_name ELSE col_name END AS display_name,
@@ -28,7 +25,8 @@ FROM (
     CAST(row_number() OVER (PARTITION BY db_id ORDER BY table_name, col_name) AS BIGINT) AS global_idx,
     CASE CAST(substr(col_name, 7) AS INT) % 8 WHEN 0 THEN 'varchar(20)' WHEN 1 THEN 'bigint' WHEN 2 THEN 'double precision'
       WHEN 3 THEN 'datetime' WHEN 4 THEN 'decimal(10,2)' WHEN 5 THEN 'character(1)' WHEN 6 THEN 'json' ELSE '' END AS declared_type
-  FROM (SELECT db_id, table_name, col_name, count(*) AS n_lines FROM i_lines GROUP BY db_id, table_name, col_name) AS g
+  FROM (SELECT 'db_' || CAST(l_suppkey AS STRING) AS db_id, p_type AS table_name, replace(p_brand, '#', '_') AS col_name, n_lines
+    FROM (SELECT l_suppkey, p_type, p_brand, count(*) AS n_lines FROM i_lines GROUP BY l_suppkey, p_type, p_brand) AS c) AS g
 ) AS o""",
     i_fks="""
 SELECT db_id, table_name, col_idx AS fk_no, col_name, ref_table, ref_column, global_idx FROM (
@@ -61,7 +59,8 @@ FROM i_columns""",
     i_examples="""
 SELECT db_id, table_name, col_name, ex_no, value FROM (
   SELECT db_id, table_name, col_name, value, CAST(row_number() OVER (PARTITION BY db_id, table_name, col_name ORDER BY value) AS BIGINT) AS ex_no
-  FROM (SELECT DISTINCT db_id, table_name, col_name, CASE WHEN CAST(substr(col_name, 7) AS INT) % 8 = 4 THEN CAST(p_partkey AS STRING) || '.50' ELSE p_name END AS value FROM i_lines) AS d) AS r
+  FROM (SELECT 'db_' || CAST(l_suppkey AS STRING) AS db_id, p_type AS table_name, replace(p_brand, '#', '_') AS col_name, value
+    FROM (SELECT DISTINCT l_suppkey, p_type, p_brand, CASE WHEN CAST(substr(p_brand, 7) AS INT) % 8 = 4 THEN CAST(p_partkey AS STRING) || '.50' ELSE p_name END AS value FROM i_lines) AS c) AS d) AS r
 WHERE ex_no <= 5""",
     # ---- one question per customer against the first supplier it bought from
     i_asks="""
@@ -76,12 +75,16 @@ SELECT dp_id, db_id, table_name, col_name, rn, value FROM (
 WHERE rn <= 3""",
     # ---- questions and their links
     i_dps="""
-SELECT dp_id, db_id, 'Which ' || min(p_name) || ' or ' || max(p_name) || '?' AS question,
-  CASE min(l_returnflag) WHEN 'A' THEN ' refers to ' || min(p_name) || ' ' WHEN 'N' THEN ' abc ' ELSE NULL END AS evidence,
-  min(table_name || '|' || col_name) AS lo, max(table_name || '|' || col_name) AS hi, max(p_name) AS word
-FROM i_lines GROUP BY dp_id, db_id""",
+SELECT CAST(l_suppkey * 1000 + CAST(l_quantity AS INT) * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS dp_id, 'db_' || CAST(l_suppkey AS STRING) AS db_id,
+  'Which ' || word1 || ' or ' || word2 || '?' AS question,
+  CASE l_returnflag WHEN 'A' THEN ' refers to ' || word1 || ' ' WHEN 'N' THEN ' abc ' ELSE NULL END AS evidence,
+  replace(lo, '#', '_') AS lo, replace(hi, '#', '_') AS hi
+FROM (SELECT l_suppkey, l_quantity, l_returnflag, min(p_name) AS word1, max(p_name) AS word2, min(p_type || '|' || p_brand) AS lo, max(p_type || '|' || p_brand) AS hi
+  FROM i_lines GROUP BY l_suppkey, l_quantity, l_returnflag) AS g""",
     i_links="""
-SELECT DISTINCT dp_id, db_id, table_name, col_name FROM i_lines""",
+SELECT CAST(l_suppkey * 1000 + CAST(l_quantity AS INT) * 10 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS BIGINT) AS dp_id, 'db_' || CAST(l_suppkey AS STRING) AS db_id,
+  p_type AS table_name, replace(p_brand, '#', '_') AS col_name
+FROM (SELECT DISTINCT l_suppkey, l_quantity, l_returnflag, p_type, p_brand FROM i_lines) AS d""",
     i_workload="""
 SELECT dp_id, db_id, question, evidence, CASE dp_id % 9
   WHEN 0 THEN 'SELECT a.' || c1 || ', b.' || c2 || ' FROM ' || t1 || ' AS a JOIN ' || t2 || ' b ON a.' || c1 || ' = b.' || c2 || ' WHERE a.' || c1 || ' = ''' || c2 || ''''
