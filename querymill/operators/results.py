@@ -9,6 +9,7 @@ before the shuffle, so one huge result set costs no more than many small ones.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querymill.functions.sqltext import canonical_sql
@@ -32,40 +33,42 @@ def row_digest(cells: Column) -> Column:
     return F.md5(F.array_join(cells, CELL_SEPARATOR, NULL_CELL))
 
 
-def _halves(digest: str) -> tuple[Column, Column]:
-    piece = lambda start: F.conv(F.substring(F.col(digest), start, 15), 16, 10).cast("decimal(20,0)")
-    return F.sum(piece(1)).alias("_a"), F.sum(piece(16)).alias("_b")
+def _keyed(rows: DataFrame, keys: list[str], as_set: bool) -> DataFrame:
+    """``keys`` -> md5 of (row count, digest sums) of rows with ``_digest``; repeats count once for a set."""
+    same = rows.groupBy(*keys, "_digest").agg(F.count(F.lit(1)).alias("_times"))
+    weight = F.lit(1) if as_set else F.col("_times")
+    piece = lambda start: F.sum(F.conv(F.substring("_digest", start, 15), 16, 10).cast("decimal(19,0)") * weight.cast("decimal(12,0)"))
+    sums = same.groupBy(*keys).agg(F.sum(weight).alias("n_rows"), F.sum("_times").alias("n_returned"), piece(1).alias("_a"), piece(16).alias("_b"))
+    text = F.concat_ws("|", *[F.col(c).cast("decimal(38,0)").cast("string") for c in ("n_rows", "_a", "_b")])
+    return sums.select(*keys, "n_rows", "n_returned", F.md5(text).alias("fingerprint"))
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """(dp, cand) -> md5 of (row count, digest sums). Rows must carry ``_digest``."""
-    return rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), *_halves("_digest")).select(
-        *KEYS, "n_rows", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("n_rows", "_a", "_b")])).alias("fingerprint")
+def _over_execs(execs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """Every successful statement has a key, also with no row."""
+    joined = execs.filter(F.col("status") == "success").join(keyed, keys, "left")
+    return joined.withColumn("fingerprint", F.coalesce("fingerprint", F.md5(F.lit("0|0|0")))).withColumns(
+        {"n_rows": F.coalesce("n_rows", F.lit(0)), "n_returned": F.coalesce("n_returned", F.lit(0))}
     )
 
 
-def _over_execs(execs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Every successful statement has a key, also with no row."""
-    empty = F.md5(F.lit("0|0|0"))
-    return execs.filter(F.col("status") == "success").join(keyed, KEYS, "left").withColumn(
-        "fingerprint", F.coalesce("fingerprint", empty)
-    ).withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-
+def result_fingerprint(execs: DataFrame, results: DataFrame, cells: Column | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Key of the *set* of rows: order and repeats do not count, an empty set is a key.
 
-def result_fingerprint(execs: DataFrame, results: DataFrame, cells: Column | None = None) -> DataFrame:
-    """Key of the *set* of rows: order and repeats do not count, an empty set is a key."""
-    rows = results.select(*KEYS, row_digest(F.col("cells") if cells is None else cells).alias("_digest"))
-    return _over_execs(execs, _keyed(rows.distinct()))
+    With ``keys=["stmt_id"]`` results hold the rows of each distinct statement once, and every
+    candidate with that statement gets its key.
+    """
+    rows = results.select(*keys, row_digest(F.col("cells") if cells is None else cells).alias("_digest"))
+    return _over_execs(execs, _keyed(rows, keys, as_set=True), keys)
 
 
-def bag_fingerprint(execs: DataFrame, results: DataFrame) -> DataFrame:
+def bag_fingerprint(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Key of the *multiset* of rows: repeats count."""
-    return _over_execs(execs, _keyed(results.select(*KEYS, row_digest(F.col("cells")).alias("_digest"))))
+    return _over_execs(execs, _keyed(results.select(*keys, row_digest(F.col("cells")).alias("_digest")), keys, as_set=False), keys)
 
 
-def value_fingerprint(execs: DataFrame, results: DataFrame) -> DataFrame:
+def value_fingerprint(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Key of the set of rows with equal numbers taken as equal (1 = 1.0)."""
-    return result_fingerprint(execs, results, F.transform("cells", numeric_cell))
+    return result_fingerprint(execs, results, F.transform("cells", numeric_cell), keys)
 
 
 def against_gold(keyed: DataFrame, out: str) -> DataFrame:
@@ -77,31 +80,29 @@ def against_gold(keyed: DataFrame, out: str) -> DataFrame:
     return keyed.filter("not is_gold").join(gold, "dp_id").withColumn(out, F.col("fingerprint") == F.col("_gold")).drop("_gold")
 
 
-def results_equal_bag(execs: DataFrame, results: DataFrame) -> DataFrame:
-    return against_gold(bag_fingerprint(execs, results), "equal_bag").select(*KEYS, "equal_bag")
+def results_equal_bag(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    return against_gold(bag_fingerprint(execs, results, keys), "equal_bag").select(*KEYS, "equal_bag")
 
 
-def results_equal_set(execs: DataFrame, results: DataFrame) -> DataFrame:
-    return against_gold(value_fingerprint(execs, results), "equal_set").select(*KEYS, "equal_set")
+def results_equal_set(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    return against_gold(value_fingerprint(execs, results, keys), "equal_set").select(*KEYS, "equal_set")
 
 
-def empty_or_all_null(execs: DataFrame, results: DataFrame) -> DataFrame:
+def empty_or_all_null(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """True where a statement returned nothing but NULL cells, or nothing at all."""
-    rows = results.groupBy(*KEYS).agg(F.every(F.forall("cells", lambda c: c.isNull())).alias("no_result"))
-    return execs.filter(F.col("status") == "success").join(rows, KEYS, "left").withColumn("no_result", F.coalesce("no_result", F.lit(True)))
+    rows = results.groupBy(*keys).agg(F.every(F.forall("cells", lambda c: c.isNull())).alias("no_result"))
+    return execs.filter(F.col("status") == "success").join(rows, keys, "left").withColumn("no_result", F.coalesce("no_result", F.lit(True)))
 
 
-def bucketize(execs: DataFrame, results: DataFrame, max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
-    """Candidates of a datapoint with the same result set; per bucket the first of each canonical SQL.
+def bucketize(keyed: DataFrame, max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+    """Candidates of ``result_fingerprint`` with the same result set; per bucket the first of each canonical SQL.
 
-    The first is found by a partial minimum, so a bucket of any size is combined before the shuffle.
-    ``n_cands`` counts the candidates a kept statement stands for.
+    Results with ``max_rows`` or more returned rows are left out. The first is found by a partial
+    minimum, so a bucket of any size is combined before the shuffle. ``n_cands`` counts the
+    candidates a kept statement stands for.
     """
-    keyed = result_fingerprint(execs.filter("not is_gold"), results)
-    # the limit is on returned rows, repeats included
-    returned = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_returned"))
-    small = keyed.join(returned, KEYS, "left").filter(F.coalesce("_returned", F.lit(0)) < max_rows)
-    members = small.filter(F.trim("sql") != "").groupBy("dp_id", "fingerprint", canonical_sql(F.col("sql")).alias("canonical"))
+    small = keyed.filter((F.col("n_returned") < max_rows) & ~F.col("is_gold") & (F.trim("sql") != ""))
+    members = small.groupBy("dp_id", "fingerprint", canonical_sql(F.col("sql")).alias("canonical"))
     first = members.agg(F.min(F.struct("cand_id", "sql")).alias("_first"), F.count(F.lit(1)).alias("n_cands"))
     return first.select("dp_id", "fingerprint", "canonical", F.col("_first.cand_id").alias("cand_id"), F.col("_first.sql").alias("sql"), "n_cands")
 
@@ -149,19 +150,18 @@ def validate_variants(dps: DataFrame, attempts: DataFrame, max_corrections: int
     return dps.select("*", paths).join(state, ["dp_id", "path"], "left").select("dp_id", "path", verdict.alias("sql"))
 
 
-def preview_result(execs: DataFrame, results: DataFrame, n: int = 5, width: int = 512) -> DataFrame:
+def preview_result(execs: DataFrame, results: DataFrame, n: int = 5, width: int = 512, keys: list[str] = KEYS) -> DataFrame:
     """Bounded text of each result: row count and the first ``n`` rows, each cut to ``width`` characters.
 
-    Only the first n rows of a result are gathered; the rest only adds to the count.
+    Spark limits every group to its first n rows before the shuffle; the others are only counted.
     """
-    # row numbers start at 0 and have no gaps, so the first n rows are found without ranking
     row = F.concat(F.lit("("), F.array_join("cells", ", ", "None"), F.lit(")"))
     shown = F.when(F.length(row) > width, F.concat(F.substring(row, 1, width), F.lit("..."))).otherwise(row)
-    head = F.when(F.col("row_no") < n, F.struct("row_no", shown.alias("text")))
-    body = results.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.collect_list(head).alias("_head"))
+    first = results.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("row_no"))).filter(F.col("_rn") <= n)
+    head = first.select(*keys, F.struct("_rn", shown.alias("text")).alias("_r")).groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_head"))
+    body = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).join(head, keys)
     more = F.when(F.col("n_rows") > n, F.lit(f" (displaying the first {n} rows)")).otherwise("")
-    lines = F.array_join(F.transform(F.sort_array("_head"), lambda r: r["text"]), "\n")
+    lines = F.array_join(F.transform("_head", lambda r: r["text"]), "\n")
     text = F.concat(F.lit("Execution result contains "), F.col("n_rows").cast("string"), F.lit(" rows"), more, F.lit(":\n"), lines)
-    return execs.join(body, KEYS, "left").select(
-        *KEYS, F.when(F.col("status") != "success", F.col("error")).otherwise(F.coalesce(text, F.lit("Execution result is empty."))).alias("preview")
-    )
+    said = F.when(F.col("status") != "success", F.col("error")).otherwise(F.coalesce(text, F.lit("Execution result is empty.")))
+    return execs.join(body, keys, "left").select(*KEYS, said.alias("preview"))

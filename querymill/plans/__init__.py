@@ -1,0 +1 @@
+"""End-to-end flows made of operators: preparation, training sets, evaluation."""

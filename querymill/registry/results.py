@@ -68,8 +68,8 @@ def _(s):
     for table in ("lineitem", "part"):
         s[table].createOrReplaceTempView(table)
     execs, rows = execute.run_candidates(s.spark, s["i_statements"])
-    sums = rows.groupBy("dp_id", "cand_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("cells")[1].cast("long")).alias("total"))
-    return execs.join(sums, ["dp_id", "cand_id"], "left").select(
+    sums = rows.groupBy("stmt_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("cells")[1].cast("long")).alias("total"))
+    return execs.join(sums, "stmt_id", "left").select(
         "dp_id", "cand_id", "status", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("total", F.lit(0)).alias("total")
     )
 
@@ -128,7 +128,7 @@ buckets AS (
 
 @check("E7_bucketize", BUCKETS + "SELECT dp_id, fingerprint, canonical, cand_id, sql, n_cands FROM buckets")
 def _(s):
-    return results.bucketize(s["i_execs"], s["i_results"])
+    return results.bucketize(_keyed(s))
 
 
 @check(
@@ -143,7 +143,7 @@ UNION ALL SELECT g.dp_id, gold, NULL, gold_sql, true FROM g JOIN sides ON g.dp_i
 )
 def _(s):
     gold = _keyed(s).filter("is_gold")
-    return results.split_buckets(results.bucketize(s["i_execs"], s["i_results"]), gold)
+    return results.split_buckets(results.bucketize(_keyed(s)), gold)
 
 
 INPUTS["i_variant_dps"] = """
