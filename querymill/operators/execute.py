@@ -23,21 +23,24 @@ def _run_one(spark: SparkSession, stmt_id: str, sql: str, path: str, time_limit:
         return stmt_id, "error", "Empty query."
     tag = f"candidate-{uuid.uuid4().hex}"
     timed_out = threading.Event()
+    context = spark.sparkContext
+    context.setInterruptOnCancel(True)
 
     def stop() -> None:
         timed_out.set()
-        spark.interruptTag(tag)
+        context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(time_limit, stop)
-    spark.addTag(tag)
+    context.addJobTag(tag)
     timer.start()
     try:
         # inside a FROM clause only a query parses: no command, insert or second statement gets through
         rows = spark.sql(f"SELECT * FROM (\n{sql}\n) AS candidate")
         width = len(rows.columns)
         cells = F.array(*[F.col(f"c{i}").cast("string") for i in range(width)])
-        numbered = rows.toDF(*[f"c{i}" for i in range(width)]).select(F.lit(stmt_id).alias("stmt_id"), F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
-        numbered.write.mode("append").parquet(path)
+        numbered = rows.toDF(*[f"c{i}" for i in range(width)]).select(F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
+        # a folder of its own: jobs that run at the same time must not share an output folder
+        numbered.write.mode("overwrite").parquet(f"{path}/stmt_id={stmt_id}")
         return stmt_id, "success", None
     except Exception as exc:  # any failure of the statement is its result
         if timed_out.is_set():
@@ -45,7 +48,7 @@ def _run_one(spark: SparkSession, stmt_id: str, sql: str, path: str, time_limit:
         return stmt_id, "error", f"Execution error: {type(exc).__name__}"
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
 
 
 def run_candidates(spark: SparkSession, execs: DataFrame, time_limit: float = 100.0, parallel: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -64,8 +67,8 @@ def run_candidates(spark: SparkSession, execs: DataFrame, time_limit: float = 10
     db = F.coalesce("db_id", F.lit("")) if "db_id" in execs.columns else F.lit("")
     stated = execs.withColumn("stmt_id", F.md5(F.concat_ws("\u001f", db, text)))
     texts = execs.select(db.alias("db"), text.alias("sql"), F.md5(F.concat_ws("\u001f", db, text)).alias("stmt_id")).distinct()
-    for target, schema in ((path, ROWS), (status_path, STATUS)):
-        spark.createDataFrame([], schema).write.parquet(target)
+    spark.createDataFrame([], "row_no long, cells array<string>").write.parquet(f"{path}/stmt_id=none")
+    spark.createDataFrame([], STATUS).write.parquet(status_path)
 
     @cache
     def session(name: str) -> SparkSession:
