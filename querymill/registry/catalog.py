@@ -256,15 +256,16 @@ def _(s):
 @check(
     "V4_nearest_values",
     """
-d AS (SELECT q.vec_id AS dp_id, 'label_' || v.label AS col_name, 'v' || v.vec_id AS value, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) ** 2, 9) AS distance FROM embeddings q, embeddings v),
+d AS (SELECT q.vec_id AS dp_id, 'label_' || v.label AS col_name, 'v' || v.vec_id AS value, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) ** 2, 9) AS distance FROM embeddings q JOIN embeddings v ON q.label % 2 = v.label % 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY dp_id, col_name ORDER BY distance, value) AS rn FROM d)
 SELECT dp_id, 'embeddings' AS table_name, col_name, rn, value, round(distance, 5) AS distance FROM r WHERE rn <= 3""",
 )
 def _(s):
     e = s["embeddings"]
-    queries = e.select(F.col("vec_id").alias("dp_id"), F.lit("vec").alias("db_id"), "embedding")
+    db = F.concat(F.lit("vec_"), F.col("label") % 2).alias("db_id")
+    queries = e.select(F.col("vec_id").alias("dp_id"), db, "embedding")
     index = e.select(
-        F.lit("vec").alias("db_id"), F.lit("embeddings").alias("table_name"), F.concat(F.lit("label_"), "label").alias("col_name"), F.concat(F.lit("v"), "vec_id").alias("value"), "embedding"
+        db, F.lit("embeddings").alias("table_name"), F.concat(F.lit("label_"), "label").alias("col_name"), F.concat(F.lit("v"), "vec_id").alias("value"), "embedding"
     )
     return retrieval.nearest_values(queries, index).withColumn("distance", F.round("distance", 5))
 
