@@ -18,10 +18,13 @@ KEYWORDS = (
 SQL_MARKER = "[SQL Query Answer]"
 NA_TOKEN = "[N/A]"
 
+WORD = r"[\p{L}\p{N}_]+"
+SYMBOL = r"[^\p{L}\p{N}_\s]"
 # A literal with a doubled quote reads as two literals side by side, which rewrites to the same
 # text. Every alternative is a plain loop: long literals and comments need no regex recursion.
-TOKENS = r"""'[^']*'|"[^"]*"|--[^\n]*|/\*[\s\S]*?\*/|\w+|\s+|[^\w\s]"""
-RESERVED_TOKENS = r"""(?i)'[^']*'|"[^"]*"|ORDER\s+BY|\w+|[^\w'"]+|['"]"""
+TOKENS = rf"""'[^']*'|"[^"]*"|--[^\n]*|/\*[\s\S]*?\*/|{WORD}|\s+|{SYMBOL}"""
+RESERVED_TOKENS = rf"""(?i)'[^']*'|"[^"]*"|ORDER\s+BY|{WORD}|[^\p{{L}}\p{{N}}_'"]+|['"]"""
+NOT_CODE = r"""("[^"]*")|'[^']*'|--[^\n]*|/\*[\s\S]*?\*/"""
 BLANK_TOKEN = r"^(?:--|/\*|\s)"
 
 
@@ -44,12 +47,8 @@ def canonical_sql(sql: Column) -> Column:
 
 
 def without_literals(sql: Column) -> Column:
-    """SQL with comments and string literals blanked, so that words in them are not read as code."""
-    words = F.transform(
-        tokens(sql),
-        lambda t: F.when(t.rlike(BLANK_TOKEN), F.lit(" ")).when(t.startswith("'"), F.lit("''")).otherwise(F.replace(t, F.lit('"'), F.lit(""))),
-    )
-    return F.array_join(words, "")
+    """SQL with comments and string literals blanked and quoted names bare, so that only code is read as code."""
+    return F.replace(F.regexp_replace(sql, NOT_CODE, " $1 "), F.lit('"'), F.lit(""))
 
 
 def quote_reserved(sql: Column, word: str = "order") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.functions.sqltext import canonical_sql
 
 KEYS = ["dp_id", "cand_id"]
@@ -22,10 +23,11 @@ MAX_BUCKET_ROWS = 100_000
 
 def numeric_cell(cell: Column) -> Column:
     """Text of a cell that is equal for equal numbers: 1, 1.0 and 01 agree; other text stays."""
-    whole = F.when(cell.rlike(r"^[+-]?[0-9]{1,37}(\.0*)?$"), F.regexp_replace(cell, r"\.0*$", "").try_cast("decimal(38,0)").cast("string"))
-    number = cell.try_cast("double")
-    flat = F.when((number == F.floor(number)) & (F.abs(number) < F.lit(9.0e15)), number.cast("long").cast("string")).otherwise(number.cast("string"))
-    return F.coalesce(whole, flat, cell)
+    plain = cell.rlike(r"^(0|-?[1-9][0-9]{0,36})$") | ~cell.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    whole = F.regexp_replace(cell, r"\.0*$", "").try_cast("decimal(38,0)").cast("string")
+    flat = lambda n: F.when((n == F.floor(n)) & (F.abs(n) < F.lit(9.0e15)), n.cast("long").cast("string")).otherwise(n.cast("string"))
+    number = let(cell.try_cast("double"), flat)
+    return F.when(F.coalesce(plain, F.lit(True)), cell).when(cell.rlike(r"^[+-]?[0-9]{1,37}(\.0*)?$"), whole).otherwise(F.coalesce(number, cell))
 
 
 def row_digest(cells: Column) -> Column:

@@ -18,7 +18,7 @@ from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
 from querymill.functions.examples import let
-from querymill.operators.links import closed_tables, column_key, free_columns, is_chosen, is_linked, link_text, nest_catalog, nest_links
+from querymill.operators.links import SEPARATOR, closed_tables, column_key, free_columns, is_chosen, is_linked, link_text, nest_catalog, nest_links
 from querymill.operators.render import DETAILS, schema_text
 
 # What variant validation writes in place of a usable statement.
@@ -117,20 +117,24 @@ def column_samples(links: DataFrame, columns: DataFrame, fks: DataFrame, ratio:
     Others come from the linked tables first ("hard"), the remainder from other tables ("easy").
     Datapoints without a linked non-key column give no rows.
     """
-    item = lambda t, c: F.struct(t["table_name"].alias("table_name"), c["col_name"].alias("col_name"), c["k"].alias("k"))
-    free = F.transform("tables", lambda t: F.struct(t["t"].alias("t"), F.transform(F.filter(t["cols"], lambda c: ~c["is_key"]), lambda c: item(t, c)).alias("cols")))
-    schemas = nest_catalog(columns, fks).select("db_id", free.alias("tables"))
+    free = lambda t: F.filter(t["cols"], lambda c: ~c["is_key"])
+    name = lambda t, c: F.concat_ws(SEPARATOR, t["table_name"], c["col_name"])
+    table = lambda t: F.struct(t["t"].alias("t"), F.transform(free(t), lambda c: c["k"]).alias("ks"), F.transform(free(t), lambda c: name(t, c)).alias("ns"))
+    schemas = nest_catalog(columns, fks).select("db_id", F.transform("tables", table).alias("tables"))
     dps = nest_links(links).join(schemas, "db_id")
-    some = lambda near: F.flatten(F.transform(F.filter("tables", lambda t: is_chosen(t["t"]) == near), lambda t: t["cols"]))
-    dps = dps.withColumn("near", some(True))
-    dps = dps.withColumn("pos", F.filter("near", lambda c: is_linked(c["k"]))).withColumn("hard", F.filter("near", lambda c: ~is_linked(c["k"])))
+    some = lambda near, field: F.flatten(F.transform(F.filter("tables", lambda t: is_chosen(t["t"]) == near), lambda t: t[field]))
+    dps = dps.withColumn("near", some(True, "ks"))
+    dps = dps.withColumn("pos", F.array_intersect("near", "linked")).withColumn("hard", F.array_except("near", "linked"))
     dps = dps.withColumn("n", F.ceil(F.lit(float(ratio)) * F.size("pos")).cast("int"))
-    key = lambda c: draw(seed, F.col("dp_id"), c["table_name"], c["col_name"])
+    key = lambda k: draw(seed, F.col("dp_id"), k)
     # far tables are only looked at when the near ones do not suffice
-    easy = F.when(F.col("n") > F.size("hard"), _take(some(False), F.col("n") - F.size("hard"), key)).otherwise(F.slice("hard", 1, 0))
-    labelled = lambda items, label, kind: F.transform(items, lambda c: F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"), F.lit(label).alias("label"), F.lit(kind).alias("neg_type")))
+    easy = F.when(F.col("n") > F.size("hard"), _take(some(False, "ks"), F.col("n") - F.size("hard"), key)).otherwise(F.slice("hard", 1, 0))
+    labelled = lambda ks, label, kind: F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(label).alias("label"), F.lit(kind).alias("neg_type")))
     samples = F.concat(labelled(F.col("pos"), "True", ""), labelled(_take(F.col("hard"), F.col("n"), key), "False", "hard"), labelled(easy, "False", "easy"))
-    return dps.select("dp_id", "db_id", F.explode(samples).alias("s")).select("dp_id", "db_id", "s.*")
+    dps = dps.withColumn("samples", samples).withColumn("ks", F.concat("near", some(False, "ks"))).withColumn("ns", F.concat(some(True, "ns"), some(False, "ns")))
+    spelled = F.transform("samples", lambda s: F.struct(F.split(F.get("ns", (F.array_position("ks", s["k"]) - 1).cast("int")), SEPARATOR).alias("n"), s["label"].alias("label"), s["neg_type"].alias("neg_type")))
+    rows = dps.select("dp_id", "db_id", F.explode(spelled).alias("s"))
+    return rows.select("dp_id", "db_id", F.col("s.n")[0].alias("table_name"), F.col("s.n")[1].alias("col_name"), "s.label", "s.neg_type")
 
 
 def generation_stats(dps: DataFrame, known: DataFrame, samples: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import let
-from querymill.functions.sqltext import KEYWORDS, without_literals
+from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD, without_literals
 from querymill.operators.links import column_key, is_chosen, is_linked
 
-WORDS = r"\w+|[^\w\s]"
+WORDS = f"{WORD}|{SYMBOL}"
 
 
 def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[str, ...] = ("ref_company_types",), bad_dbs: tuple[str, ...] = ("retail_world",)) -> DataFrame:
@@ -43,12 +43,12 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     places = lambda cond: F.filter(F.transform("w", lambda t, i: i), cond)
     named = lambda i: F.when(at(i + 2) == "as", at(i + 3)).otherwise(at(i + 2))
-    alias = lambda i: let(named(i), lambda n: F.when(n.rlike(r"^\w") & ~n.isin(KEYWORDS), n).otherwise(at(i + 1)))
+    alias = lambda i: let(named(i), lambda n: F.when(n.rlike(r"^[\p{L}\p{N}_]") & ~n.isin(KEYWORDS), n).otherwise(at(i + 1)))
     mentions = F.transform(
         places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))), lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"))
     )
     qualifier = lambda i: F.when(at(i - 1) == ".", at(i - 2)).otherwise("")
-    is_name = lambda i: at(i).rlike("^[a-z_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | ~at(i).isin(KEYWORDS))
+    is_name = lambda i: at(i).rlike(r"^[\p{L}_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | ~at(i).isin(KEYWORDS))
     refs = F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c")))
     rows = rows.withColumn("mentions", F.array_distinct(mentions)).withColumn("refs", F.array_distinct(refs))
     rows = rows.withColumn("tables", F.array_distinct(F.transform("mentions", lambda m: m["t"])))

@@ -27,7 +27,7 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'select ''' || replace(text, '''', ''
   WHEN 1 THEN '/* ' || replace(text, '*/', '* /') || ' */ with q as (' || chr(10) || ' select x -- from y' || chr(10) || 'from t) select * from q'
   ELSE 'select a,b from (select max(b) b, a from t group by a) -- ' || replace(text, chr(10), ' ') || chr(10) || 'order by a' END AS sql FROM documents"""
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in sqltext.KEYWORDS)
-TOKEN_RE = r"""''(?:''''|[^''])*''|"[^"]*"|--[^\n]*|/\*(?s:.)*?\*/|\w+|\s+|[^\w\s]"""
+TOKEN_RE = r"""''(?:''''|[^''])*''|"[^"]*"|--[^\n]*|/\*(?s:.)*?\*/|[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"""
 
 
 @check(
@@ -100,7 +100,7 @@ def _(s):
     return both.select("doc_id", sqltext.reasoning_path(F.col("sql")).alias("path"))
 
 
-RESERVED_RE = r"""(?i)''(?:''''|[^''])*''|"[^"]*"|ORDER\s+BY|\w+|\W"""
+RESERVED_RE = r"""(?i)''(?:''''|[^''])*''|"[^"]*"|ORDER\s+BY|[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"""
 
 
 @check(

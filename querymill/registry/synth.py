@@ -74,7 +74,7 @@ dp AS (SELECT DISTINCT dp_id, db_id FROM i_links),
 pool AS (SELECT d.dp_id, d.db_id, c.table_name, c.col_name, EXISTS (SELECT 1 FROM i_links l WHERE l.dp_id = d.dp_id AND l.table_name = c.table_name AND l.col_name = c.col_name) AS pos,
     EXISTS (SELECT 1 FROM i_links l WHERE l.dp_id = d.dp_id AND l.table_name = c.table_name) AS near FROM dp d JOIN keyed c ON d.db_id = c.db_id WHERE NOT c.is_key),
 np AS (SELECT dp_id, count(*) AS n FROM pool WHERE pos GROUP BY 1),
-neg AS (SELECT p.*, n, row_number() OVER (PARTITION BY p.dp_id ORDER BY near DESC, md5('42|' || p.dp_id || '|' || table_name || '|' || col_name)) AS rn FROM pool p JOIN np ON p.dp_id = np.dp_id WHERE NOT pos),
+neg AS (SELECT p.*, n, row_number() OVER (PARTITION BY p.dp_id ORDER BY near DESC, md5('42|' || p.dp_id || '|' || lower(table_name) || chr(31) || lower(col_name))) AS rn FROM pool p JOIN np ON p.dp_id = np.dp_id WHERE NOT pos),
 samples AS (SELECT dp_id, db_id, table_name, col_name, 'True' AS label, '' AS neg_type FROM pool WHERE pos
   UNION ALL SELECT dp_id, db_id, table_name, col_name, 'False', CASE WHEN near THEN 'hard' ELSE 'easy' END FROM neg WHERE rn <= ceil(3.0 * n))
 """
