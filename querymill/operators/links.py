@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.answers import link_malformed, parse_link_json
-from querymill.functions.examples import let
 
 LINK = ["dp_id", "db_id", "table_name", "col_name"]
 SEPARATOR = "\u001f"
@@ -158,24 +157,27 @@ def _json_string(name: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def link_text(tables: Column, pairs: Column) -> Column:
-    """``pairs`` (``struct<table_name, col_name>``) as fenced JSON text in the order of the nested ``tables``, unknown names last."""
-    of = lambda name: F.transform(F.filter(pairs, lambda p: p["table_name"] == name), lambda p: p["col_name"])
+def in_catalog_order(tables: Column, pairs: Column) -> Column:
+    """``pairs`` (``struct<table_name, col_name>``) in the order of the nested ``tables``, unknown ones last by name."""
+    pair = lambda t, c: F.struct(t["table_name"].alias("table_name"), c["col_name"].alias("col_name"))
+    known = F.flatten(F.transform(tables, lambda t: F.filter(F.transform(t["cols"], lambda c: pair(t, c)), lambda x: F.array_contains(pairs, x))))
+    return F.array_union(known, F.sort_array(pairs))
 
-    def ordered(name: Column, mine: Column) -> Column:
-        cols = F.filter(F.flatten(F.transform(F.filter(tables, lambda t: t["table_name"] == name), lambda t: F.transform(t["cols"], lambda c: c["col_name"]))), lambda c: F.array_contains(mine, c))
-        return F.array_union(cols, F.sort_array(mine))
+
+def link_text(pairs: Column) -> Column:
+    """Ordered ``pairs`` as fenced JSON text: tables in order of appearance, each with its columns in order."""
 
     def entry(name: Column) -> Column:
-        cols = let(of(name), lambda mine: F.transform(ordered(name, mine), lambda c: F.concat(F.lit("    "), _json_string(c))))
+        cols = F.transform(F.filter(pairs, lambda p: p["table_name"] == name), lambda p: F.concat(F.lit("    "), _json_string(p["col_name"])))
         return F.concat(F.lit("  "), _json_string(name), F.lit(": [\n"), F.array_join(cols, ",\n"), F.lit("\n  ]"))
 
-    used = F.sort_array(F.transform(pairs, lambda p: p["table_name"]))
-    names = let(used, lambda u: F.array_union(F.transform(F.filter(tables, lambda t: F.array_contains(u, t["table_name"])), lambda t: t["table_name"]), u))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["table_name"]))
     return F.concat(F.lit("```json\n{\n"), F.array_join(F.transform(names, entry), ",\n"), F.lit("\n}\n```"))
 
 
 def linearize_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
     """Link of every datapoint as fenced JSON text."""
     dps = nest_links(link).join(nest_catalog(columns, fks), "db_id", "left")
-    return dps.select("dp_id", "db_id", link_text(F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType)), F.col("link")).alias("linearized"))
+    mine = F.filter(F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType)), lambda t: is_chosen(t["t"]))
+    ordered = dps.withColumn("mine", mine).withColumn("link", in_catalog_order(F.col("mine"), F.col("link")))
+    return ordered.select("dp_id", "db_id", link_text(F.col("link")).alias("linearized"))

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
 from querymill.operators.links import closed_tables, nest_catalog, nest_links
 
-DETAILS = ("type_class", "comment")
+DETAILS = ("type_class", "comment", "code", "note")
 NO_TEXTS = "array<string>"
 
 
+def with_details(columns: DataFrame) -> DataFrame:
+    """Add what is printed for a column whoever asks: its ``code`` and, without examples, its ``note``."""
+    code = F.concat(F.lit('    "'), F.col("col_name"), F.lit('" '), F.upper("type_class"))
+    return columns.withColumn("code", code).withColumn("note", F.when(F.col("comment") != "", F.concat(F.lit(" -- "), F.col("comment"))).otherwise(""))
+
+
 def example_note(comment: Column, examples: Column) -> Column:
     """Column comment including the example note; empty when there is nothing to say."""
     note = let(examples, lambda e: F.when(F.coalesce(e, F.lit("")) != "", F.concat(F.lit("Value Examples: ["), e, F.lit("]"))))
@@ -25,7 +31,7 @@ def example_note(comment: Column, examples: Column) -> Column:
 
 
 def _plain(_: Column, c: Column) -> Column:
-    return F.when(c["comment"] != "", F.concat(F.lit(" -- "), c["comment"])).otherwise("")
+    return c["note"]
 
 
 def statement(t: Column, note: Callable[[Column, Column], Column] = _plain) -> Column:
@@ -46,7 +52,7 @@ def statement(t: Column, note: Callable[[Column, Column], Column] = _plain) -> C
             lambda n: F.array_join(
                 F.transform(
                     t["cols"],
-                    lambda c, i: F.concat(F.lit("    "), quoted(c["col_name"]), F.lit(" "), F.upper(c["type_class"]), F.when(i < n, F.lit(",")).otherwise(""), note(t, c), F.lit("\n")),
+                    lambda c, i: F.concat(c["code"], F.when(i < n, F.lit(",")).otherwise(""), note(t, c), F.lit("\n")),
                 ),
                 "",
             ),
@@ -69,13 +75,13 @@ def render_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
 
     ``columns`` carries ``type_class``, ``comment`` and ``table_comment``.
     """
-    tables = nest_catalog(columns, fks, DETAILS).select("db_id", F.explode("tables").alias("t"))
+    tables = nest_catalog(with_details(columns), fks, DETAILS).select("db_id", F.explode("tables").alias("t"))
     return tables.select("db_id", F.col("t.table_name").alias("table_name"), statement(F.col("t")).alias("statement"))
 
 
 def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview: DataFrame | None = None) -> DataFrame:
     """Schema text of every datapoint's closed link; unknown names are not shown."""
-    schemas = nest_catalog(columns, fks, DETAILS)
+    schemas = nest_catalog(with_details(columns), fks, DETAILS)
     about = None
     if overview is not None:
         schemas = schemas.join(overview.select("db_id", "overview"), "db_id", "left")
@@ -99,7 +105,7 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     """
     none = F.array().cast(NO_TEXTS)
     with_static = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none))
-    schemas = nest_catalog(with_static, fks, (*DETAILS, "examples"))
+    schemas = nest_catalog(with_details(with_static), fks, (*DETAILS, "examples"))
     place = F.concat_ws("\u001f", "table_name", "col_name")
     per_dp = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"]).groupBy("dp_id").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("found")))).alias("found"))
 

@@ -18,8 +18,8 @@ from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
 from querymill.functions.examples import let
-from querymill.operators.links import SEPARATOR, closed_tables, column_key, free_columns, is_chosen, is_linked, link_text, nest_catalog, nest_links
-from querymill.operators.render import DETAILS, schema_text
+from querymill.operators.links import SEPARATOR, closed_tables, column_key, free_columns, in_catalog_order, is_chosen, is_linked, link_text, nest_catalog, nest_links
+from querymill.operators.render import DETAILS, schema_text, with_details
 
 # What variant validation writes in place of a usable statement.
 UNUSABLE = ("<|wrong SQL|>", "<|unsuited|>")
@@ -106,7 +106,7 @@ def noised_link(links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int
 
 def noised_schema(dps: DataFrame, links: DataFrame, columns: DataFrame, fks: DataFrame, seed: int = 42) -> DataFrame:
     """Schema text of every noised link; empty for datapoints without link or without catalog."""
-    noisy = closed_tables(with_noise(nest_links(links).join(nest_catalog(columns, fks, DETAILS), "db_id"), seed))
+    noisy = closed_tables(with_noise(nest_links(links).join(nest_catalog(with_details(columns), fks, DETAILS), "db_id"), seed))
     texts = noisy.select("dp_id", schema_text(F.col("tables")).alias("schema_text"))
     return dps.select("dp_id", "db_id").join(texts, "dp_id", "left").select("dp_id", "db_id", F.coalesce("schema_text", F.lit("")).alias("schema_text"))
 
@@ -204,10 +204,10 @@ def _table_variants() -> Column:
 
 
 def _with_pool(links: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
-    """Nested links with the nested ``tables`` they choose and the ``pool`` of linked columns outside keys."""
+    """Nested links in catalog order with the nested ``tables`` they choose and the ``pool`` of linked columns outside keys."""
     dps = nest_links(links).join(nest_catalog(columns, fks), "db_id").withColumn("tables", F.filter("tables", lambda t: is_chosen(t["t"])))
     keys = F.flatten(F.transform("tables", lambda t: _pairs(t["table_name"], _names(F.filter(t["cols"], lambda c: c["is_key"])))))
-    return dps.withColumn("pool", F.array_except("link", keys))
+    return dps.withColumn("link", in_catalog_order(F.col("tables"), F.col("link"))).withColumn("pool", F.array_except("link", keys))
 
 
 def _variant_rows(dps: DataFrame, variants: Column) -> DataFrame:
@@ -236,8 +236,8 @@ def assemble_train(links: DataFrame, split: DataFrame, columns: DataFrame, fks:
     dps = _with_pool(links, columns, fks).join(split.select("db_id", "side"), "db_id")
     bad = F.filter(F.concat(F.coalesce(_column_variants(n, seed), none), F.coalesce(_table_variants(), none)), lambda v: F.size(v["link"]) > 0)
     plain = F.transform(F.sequence(F.lit(1), F.lit(1)), lambda _: F.struct(F.lit(None).cast("string").alias("mess_type"), F.lit(None).cast("string").alias("variant"), F.lit(None).cast("array<struct<table_name:string,col_name:string>>").alias("link")))
-    dps = dps.withColumn("link_text", link_text(F.col("tables"), F.col("link"))).withColumn("variants", F.when(F.col("side") == "A", bad).otherwise(plain))
-    rows = dps.select("dp_id", "db_id", "tables", "link_text", F.explode("variants").alias("v"))
+    dps = dps.withColumn("link_text", link_text(F.col("link"))).withColumn("variants", F.when(F.col("side") == "A", bad).otherwise(plain))
+    rows = dps.select("dp_id", "db_id", "link_text", F.explode("variants").alias("v"))
     return rows.select(
         "dp_id",
         "db_id",
@@ -245,7 +245,7 @@ def assemble_train(links: DataFrame, split: DataFrame, columns: DataFrame, fks:
         "v.mess_type",
         "v.variant",
         "link_text",
-        F.when(F.col("v.link").isNotNull(), link_text(F.col("tables"), F.col("v.link"))).alias("rejected_text"),
+        F.when(F.col("v.link").isNotNull(), link_text(F.col("v.link"))).alias("rejected_text"),
     )
 
 
