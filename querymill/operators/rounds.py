@@ -48,8 +48,8 @@ def tournament(dps: DataFrame, candidates: DataFrame, judge: Callable[[DataFrame
     ends in a reliable checkpoint.
     """
     fields = [c for c in candidates.columns if c != "dp_id"]
-    state = candidates.select("dp_id", F.struct(*fields).alias("c"))
-    largest = candidates.groupBy("dp_id").count().agg(F.max("count")).first()[0] or 0
+    state = cut_lineage(candidates.select("dp_id", F.struct(*fields).alias("c")))
+    largest = state.groupBy("dp_id").count().agg(F.max("count")).first()[0] or 0
     for n in range(1, math.ceil(math.log2(largest)) + 1 if largest > 1 else 1):
         keyed = state.withColumn("cand_id", F.col("c.cand_id")).withColumn("_d", draw(f"{seed}|{n}", "dp_id", "cand_id"))
         left = math.ceil(largest / 2 ** (n - 1))

@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
-from querymill.functions.examples import let
 from querymill.operators.links import SEPARATOR, closed_tables, column_key, free_columns, in_catalog_order, is_chosen, is_linked, link_text, nest_catalog, nest_links
 from querymill.operators.render import DETAILS, schema_text, with_details
+from querymill.session import cut_lineage
 
 # What variant validation writes in place of a usable statement.
 UNUSABLE = ("<|wrong SQL|>", "<|unsuited|>")
@@ -153,11 +154,11 @@ def group_split(rows: DataFrame, group: str, ratio: float = 0.3, tol: float = 0.
     """Side of every group, ``A`` with about ``ratio`` of the rows, else ``B``; whole groups only.
 
     Every trial takes the first floor(groups x ratio) groups of a seeded order; the first trial
-    within ratio +- tol of the rows wins, else trial ``trials + 1``. Trials work on one counted
-    row per group, in batches, so that an early hit ends the search; only the winning trial's
-    number reaches the driver.
+    within ratio +- tol of the rows wins, else trial ``trials + 1``. The rows are counted once;
+    trials work on one written row per group, in batches, so that an early hit ends the search,
+    and only the winning trial's number reaches the driver.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut_lineage(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     n_groups, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     take = int(n_groups * ratio)
     low, high = total * ratio - total * tol, total * ratio + total * tol
