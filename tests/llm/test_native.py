@@ -1,0 +1,206 @@
+"""Secrets, quality rules, decontamination and the mix against plain Python."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from querymill.llm import decontam, mixing, quality, secrets
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+def both(odd, documents):
+    return odd.select("doc_id", "text", "source").union(documents.select("doc_id", "text", "source"))
+
+
+def spans(text):
+    out = []
+    for order, (kind, pattern, group, least) in enumerate([
+        ("assign", r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16),
+        ("hex", "[0-9a-f]+", 0, 32),
+    ]):
+        out += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+    return sorted(out)
+
+
+def test_secret_spans(odd, documents):
+    docs = both(odd, documents)
+    found = secrets.findings(docs, secrets.update_ledger(docs)).collect()
+    assert len(found) == docs.count()
+    for r in found:
+        base = [(x["start"], x["kind"], x["name"], x["end"]) for x in r["spans"] if x["name"] in ("assign", "access", "hex")]
+        assert base == spans(r["text"])
+    assert sum(len(r["spans"]) for r in found) >= 5
+
+
+def test_ledger_is_incremental(spark, odd):
+    docs = odd.select("doc_id", "text")
+    old = docs.filter("doc_id < 10")
+    first = secrets.update_ledger(old, rules=secrets.BASE)
+    second = secrets.update_ledger(docs, first, rules=secrets.BASE)
+    assert second.join(first, "sha").count() == 0
+    third = secrets.update_ledger(docs, first.union(second))
+    assert {tuple(r["scanned"]) for r in third.collect()} == {("pem@1", "github@1")}
+    again = secrets.update_ledger(docs, first.union(second).union(third))
+    assert again.count() == 0
+    parts = secrets.findings(docs, first.union(second).union(third))
+    whole = secrets.findings(docs, secrets.update_ledger(docs))
+    key = lambda df: sorted((str(r["doc_id"]), str(r["spans"])) for r in df.collect())
+    assert key(parts) == key(whole)
+
+
+def test_secrets_of_nothing(none):
+    assert secrets.findings(none, secrets.update_ledger(none)).count() == 0
+
+
+def features(text):
+    w = words(text)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if seen[x] > 1 for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality_features(odd, documents):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    for r in quality.judged(both(odd, documents)).collect():
+        f = features(r["text"])
+        assert tuple(r[n] for n in names) == f
+        assert r["base_failed"] == (f[0] < 10 or 100 * f[4] > 20 * f[0])
+        assert not (r["base_failed"] and r["kept"])
+
+
+def em(patterns):
+    """The same EM, written with loops."""
+    j, clamp = len(quality.RULES), lambda x, a, b: min(max(x, a), b)
+    prior, alpha = quality.PRIOR, [quality.ACCURACY] * j
+    for step in range(quality.STEPS + 1):
+        q = {v: 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, alpha))))) for v in patterns}
+        if step == quality.STEPS:
+            return q
+        total = sum(patterns.values())
+        for k in range(j):
+            right = sum(n * (q[v] if v[k] == 1 else 1 - q[v]) for v, n in patterns.items() if v[k])
+            voted = sum(n for v, n in patterns.items() if v[k])
+            alpha[k] = clamp((right + quality.PSEUDO * quality.ACCURACY) / (voted + quality.PSEUDO), quality.LEAST, quality.MOST)
+        prior = clamp((sum(n * q[v] for v, n in patterns.items()) + quality.PSEUDO * quality.PRIOR) / (total + quality.PSEUDO), 0.05, 0.95)
+
+
+def test_quality_model(documents):
+    rows = quality.judged(documents).collect()
+    want = em(Counter(tuple(r["votes"]) for r in rows))
+    for r in rows:
+        assert r["p_good"] == pytest.approx(want[tuple(r["votes"])], abs=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
+
+
+def test_quality_keeps_columns(odd, none):
+    kept = quality.keep_good(odd)
+    assert kept.dtypes == odd.dtypes
+    assert 0 < kept.count() < odd.count()
+    assert quality.keep_good(none).count() == 0
+
+
+def tokens(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def leaked(text, item):
+    d, t = tokens(text), tokens(item)
+    if len(t) < decontam.SPAN:
+        return False
+    size = min(decontam.OVERLAP, len(t))
+    for shift in range(-len(t), len(d)):
+        same = [0 <= shift + j < len(d) and d[shift + j] == x for j, x in enumerate(t)]
+        if any(sum(same[i : i + size]) >= size - size * decontam.MISSES // decontam.OVERLAP for i in range(len(t) - size + 1)):
+            return True
+    return False
+
+
+def test_leaks(spark, odd, documents):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    a, b = items[0][1].split(), items[1][1].split()
+    more = [(900, "x " + " ".join(a)), (901, " ".join(b[:4] + ["ZZ"] + b[5:])), (902, " ".join(a[:8])), (903, " ".join(a[:6] + ["q"] * 3 + a[9:14])), (None, " ".join(a).upper())]
+    docs = both(odd, documents).select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    bench = bench.union(spark.createDataFrame([(77, "too short"), (78, None), (0, items[0][1])], "item_id long, text string"))
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 3000)
+    got = decontam.marked(short, bench).collect()
+    assert len(got) == short.count()
+    want = 0
+    for r in got:
+        expected = sorted(i for i, t in items if leaked(r["text"], t)) or None
+        assert r["items"] == expected, r
+        want += expected is not None
+    assert want >= 3
+    clean = decontam.drop_leaks(short, bench)
+    assert clean.count() == len(got) - want
+
+
+def test_leaks_of_nothing(spark, odd, none):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.drop_leaks(none, empty).dtypes == none.dtypes
+    assert decontam.drop_leaks(odd, empty).count() == odd.count()
+
+
+def targets(sizes, budget=1.5, ceiling=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    share = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}
+    out, left, free = {}, budget * sum(sizes.values()), set(sizes)
+    while free:
+        total = sum(share[s] for s in free)
+        over = {s for s in free if left * share[s] / total >= ceiling * sizes[s]}
+        if not over:
+            return out | {s: left * share[s] / total for s in free}
+        for s in over:
+            out[s] = ceiling * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= over
+    return out
+
+
+def test_mix(odd, documents):
+    docs = both(odd, documents)
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert r["taken"] >= r["epochs"] * r["size"]
+    want = targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]], rel=1e-9)
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= 1
+    again = mixing.mix(docs.repartition(7)).collect()
+    key = lambda rs: sorted((str(r["doc_id"]), r["size"], r["taken"], r["target"]) for r in rs)
+    assert key(again) == key(rows)
+
+
+def test_mix_prefers_weight(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source")
+    got = mixing.mix(docs, weight=F.when(F.col("doc_id") < 1000, 9.0).otherwise(1.0), budget=0.5)
+    by = {r["heavy"]: r["t"] for r in got.groupBy((F.col("doc_id") < 1000).alias("heavy")).agg(F.sum("taken").alias("t")).collect()}
+    assert by[True] > 2 * by[False]
+
+
+def test_mix_of_nothing(none):
+    assert mixing.mix(none).count() == 0
+
+
+def test_addresses_are_sha256(odd):
+    row = odd.filter("doc_id = 6").select(secrets.address(F.col("text")).alias("a"), "text").first()
+    assert row["a"] == hashlib.sha256(row["text"].encode()).hexdigest()
