@@ -9,10 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SCRATCH: list[str] = []
 
 
 def local_session(cores: str = "*", name: str = "querymill") -> SparkSession:
-    """Session for tests and benches on one machine."""
+    """Session for tests and benches on one machine, with a folder of its own to stage tables in."""
     n = os.cpu_count() if cores == "*" else int(cores)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -24,6 +25,7 @@ def local_session(cores: str = "*", name: str = "querymill") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config(CHECKPOINT_KEY, os.environ.get("QUERYMILL_SCRATCH") or tempfile.mkdtemp(prefix="querymill-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -31,19 +33,24 @@ def local_session(cores: str = "*", name: str = "querymill") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. Only a local master may fall back to a temporary folder."""
+    """The folder every executor can reach: spark.checkpoint.dir, else a folder of the warehouse, which is shared too."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="querymill-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, gone after the next discard_scratch()."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete what runs of this process have staged. Call it when their results have been written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

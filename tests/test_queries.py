@@ -3,11 +3,12 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
-from querymill.registry.base import TABLES
+from __spark_entry__ import entry
+from querymill.registry.base import ORACLES as BODIES
+from querymill.registry.base import QUERIES, TABLES, oracle_text
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = queries(), oracle_sql()
+ORACLES = {name: oracle_text(body) for name, body in BODIES.items()}
 
 
 @pytest.fixture(scope="module")
