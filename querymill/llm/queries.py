@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import decontam, jaccard, lines, mixing, quality, secrets
+from querymill.llm import decontam, jaccard, language, lines, mixing, quality, secrets, tokencount, toolcalls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,50 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontam.marked(docs, table(spark, folder, "benchmark").select("item_id", "text"))
     return found.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
+@query
+def op2_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    captured = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    pages = table(spark, folder, "pages").select("page_id", "url", "html", captured.alias("captured"))
+    return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured")
+
+
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", "text"), language.train(docs))
+
+
+@query
+def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn that is not the assistant's calls for an answer; the assistant's turn answers the turn before it."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    name_of = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
+    turn = F.col("turn")
+    arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("text"), F.length("text").alias("chars")))
+    is_answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    calls = turns.filter(~is_answer).select(
+        "conv_id", name_of(turn).alias("call_id"), turn.alias("position"), F.when(F.col("role") == "system", "instruct").otherwise("ask").alias("name"),
+        arguments.alias("arguments"), F.array(name_of(turn - 2), name_of(turn - 1)).alias("parents"),
+    )
+    results = turns.filter(is_answer).select("conv_id", name_of(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean")
+    found = toolcalls.linked(calls, results, schemas)
+    return found.select("conv_id", "call_id", "position", "level", "status", F.array_join("problems", "; ").alias("problems"), "valid", "json")
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokencount.count_tokens(tokencount.write_tokens(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+#: Schemas of the two tools that op7 reads conversations as; instruct asks for a field that turns lack.
+TOOLS = [
+    ("ask", "turn", "integer", True),
+    ("ask", "text", "string", True),
+    ("ask", "chars", "integer", False),
+    ("instruct", "turn", "integer", True),
+    ("instruct", "text", "string", True),
+    ("instruct", "scope", "string", True),
+]
