@@ -78,4 +78,4 @@ def clean_sql(text: Column, marker: str = SQL_MARKER, na_tokens: tuple[str, ...]
 
 def estimated_tokens(*texts: Column) -> Column:
     """Token estimate of a prompt: words and single symbols."""
-    return sum((F.size(F.regexp_extract_all(t, F.lit(r"\w+|[^\w\s]"), F.lit(0))).cast("long") for t in texts), F.lit(0).cast("long"))
+    return sum((F.size(F.regexp_extract_all(t, F.lit(rf"{WORD}|{SYMBOL}"), F.lit(0))).cast("long") for t in texts), F.lit(0).cast("long"))

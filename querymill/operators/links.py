@@ -59,12 +59,22 @@ def nest_links(links: DataFrame) -> DataFrame:
     )
 
 
+def linked_dps(link: DataFrame, dps: DataFrame | None) -> DataFrame:
+    """Nested links; with ``dps`` also the datapoints that have none, whose ``linked`` and ``chosen`` are null: all of the schema."""
+    nested = nest_links(link)
+    if dps is None:
+        return nested
+    empty = F.array().cast(nested.schema["link"].dataType)
+    return dps.select("dp_id", "db_id").distinct().join(nested, ["dp_id", "db_id"], "left").withColumn("link", F.coalesce("link", empty))
+
+
 def is_chosen(t: Column) -> Column:
-    return F.array_contains(F.col("chosen"), t)
+    """Without a link everything is chosen."""
+    return F.coalesce(F.array_contains(F.col("chosen"), t), F.lit(True))
 
 
 def is_linked(k: Column) -> Column:
-    return F.array_contains(F.col("linked"), k)
+    return F.coalesce(F.array_contains(F.col("linked"), k), F.lit(True))
 
 
 def filter_chosen(dps: DataFrame, columns: DataFrame, link: DataFrame) -> DataFrame:
@@ -94,12 +104,13 @@ def closed_tables(dps: DataFrame) -> DataFrame:
     return kept.withColumn("tables", F.transform("tables", lambda t: t.withField("cols", shown(t))))
 
 
-def close_link(link: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+def close_link(link: DataFrame, columns: DataFrame, fks: DataFrame, dps: DataFrame | None = None) -> DataFrame:
     """Add the key columns of chosen tables and the foreign keys between chosen tables.
 
-    Known names take the catalog's spelling; unknown ones stay as they are.
+    Known names take the catalog's spelling; unknown ones stay as they are. With ``dps(dp_id, db_id)``,
+    datapoints without a link get the whole schema.
     """
-    dps = nest_links(link).join(nest_catalog(columns, fks), "db_id", "left")
+    dps = linked_dps(link, dps).join(nest_catalog(columns, fks), "db_id", "left")
     pair = lambda t, c: F.struct(t.alias("table_name"), c.alias("col_name"))
     closed = closed_tables(dps.withColumn("tables", F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType))))
     known = F.flatten(F.transform("tables", lambda t: F.transform(t["cols"], lambda c: c["k"])))

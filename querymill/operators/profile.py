@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from querymill.operators.ranking import first_distinct
 
 EXAMPLES_PER_COLUMN = 5
-EXAMPLE_LENGTH = 80
-INDEXED_PER_COLUMN = 30_000
-INDEXED_LENGTH = 200
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -46,36 +43,38 @@ def _smallest(names: list[str], n: int):
     return run
 
 
-def smallest_distinct(df: DataFrame, columns: list[str], n: int, max_length: int) -> DataFrame:
-    """First ``n`` distinct values of every column by text: ``col_name, value, rn``; NULL sorts first.
+def as_text(name: str) -> Column:
+    return F.col(f"`{name}`").cast("string").alias(name)
 
-    A text of ``max_length`` or more characters is never an example, but takes up a place like
-    any other. It travels as its first characters plus a digest of the whole text: that keeps
-    both its place among the short values and its identity.
-    """
 
-    def compact(name: str) -> Column:
-        text = F.col(f"`{name}`").cast("string")
-        long = F.concat(F.substring(text, 1, max_length), F.md5(text))
-        return F.when(F.length(text) >= max_length, long).otherwise(text).alias(name)
+def within(value: Column, max_length: int | None) -> Column:
+    """Below the length limit, if there is one."""
+    return F.lit(True) if max_length is None else F.length(value) < max_length
 
-    partial = df.select(*[compact(c) for c in columns]).mapInArrow(_smallest(columns, n), "col_name string, value string")
+
+def smallest_distinct(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """First ``n`` distinct values of every column by text: ``col_name, value, rn``; NULL sorts first."""
+    partial = df.select(*[as_text(c) for c in columns]).mapInArrow(_smallest(columns, n), "col_name string, value string")
     return first_distinct(partial, ["col_name"], "value", n)
 
 
-def value_examples(df: DataFrame, table_name: str, columns: list[str], n: int = EXAMPLES_PER_COLUMN, max_length: int = EXAMPLE_LENGTH) -> DataFrame:
-    """Up to ``n`` distinct values per column, *then* without NULL, blank, zero and long ones."""
+def value_examples(df: DataFrame, table_name: str, columns: list[str], n: int = EXAMPLES_PER_COLUMN, max_length: int | None = None) -> DataFrame:
+    """Up to ``n`` distinct values per column, *then* without NULL, blank, zero and, with a limit, long ones."""
     numeric = [c for c, t in df.dtypes if t.split("(")[0] in NUMERIC]
-    first = smallest_distinct(df, columns, n, max_length)
+    first = smallest_distinct(df, columns, n)
     falsy = (F.col("value") == "") | (F.col("col_name").isin(numeric) & (F.col("value").try_cast("double") == 0))
-    return first.filter(F.col("value").isNotNull() & (F.length("value") < max_length) & ~falsy).select(
+    return first.filter(F.col("value").isNotNull() & within(F.col("value"), max_length) & ~falsy).select(
         F.lit(table_name).alias("table_name"), "col_name", F.col("rn").alias("ex_no"), "value"
     )
 
 
-def distinct_values(df: DataFrame, table_name: str, columns: list[str], cap: int = INDEXED_PER_COLUMN, max_length: int = INDEXED_LENGTH) -> DataFrame:
-    """Values to index: the first ``cap`` distinct ones per column, then only non-blank short ones."""
-    first = smallest_distinct(df, columns, cap, max_length)
-    return first.filter(F.col("value").isNotNull() & (F.length("value") < max_length) & F.col("value").rlike(r"\S")).select(
+def distinct_values(df: DataFrame, table_name: str, columns: list[str], cap: int | None = None, max_length: int | None = None) -> DataFrame:
+    """Values to index: all distinct ones per column, or the first ``cap``, then only non-blank and, with a limit, short ones."""
+    if cap is None:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), as_text(c).alias("value")) for c in columns])).alias("p")
+        first = df.select(pairs).select("p.*").distinct()
+    else:
+        first = smallest_distinct(df, columns, cap)
+    return first.filter(F.col("value").isNotNull() & within(F.col("value"), max_length) & F.col("value").rlike(r"\S")).select(
         F.lit(table_name).alias("table_name"), "col_name", "value"
     )

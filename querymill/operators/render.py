@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
-from querymill.operators.links import closed_tables, nest_catalog, nest_links
+from querymill.operators.links import closed_tables, linked_dps, nest_catalog
 
 DETAILS = ("type_class", "comment", "code", "note")
 NO_TEXTS = "array<string>"
@@ -79,14 +79,17 @@ def render_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
     return tables.select("db_id", F.col("t.table_name").alias("table_name"), statement(F.col("t")).alias("statement"))
 
 
-def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview: DataFrame | None = None) -> DataFrame:
-    """Schema text of every datapoint's closed link; unknown names are not shown."""
+def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview: DataFrame | None = None, dps: DataFrame | None = None) -> DataFrame:
+    """Schema text of every datapoint's closed link; unknown names are not shown.
+
+    With ``dps(dp_id, db_id)``, datapoints without a link show the whole schema.
+    """
     schemas = nest_catalog(with_details(columns), fks, DETAILS)
     about = None
     if overview is not None:
         schemas = schemas.join(overview.select("db_id", "overview"), "db_id", "left")
         about = F.col("overview")
-    dps = closed_tables(nest_links(link).join(schemas, "db_id"))
+    dps = closed_tables(linked_dps(link, dps).join(schemas, "db_id"))
     return dps.select("dp_id", "db_id", schema_text(F.col("tables"), overview=about).alias("schema_text"))
 
 

@@ -16,39 +16,38 @@ from querymill.functions.examples import let
 from querymill.functions.sqltext import canonical_sql
 
 KEYS = ["dp_id", "cand_id"]
-CELL_SEPARATOR = "\u001f"
-NULL_CELL = "\u0000"
-MAX_BUCKET_ROWS = 100_000
 
 
 def numeric_cell(cell: Column) -> Column:
     """Text of a cell that is equal for equal numbers: 1, 1.0 and 01 agree; other text stays."""
-    plain = cell.rlike(r"^(0|-?[1-9][0-9]{0,36})$") | ~cell.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    whole = F.regexp_replace(cell, r"\.0*$", "").try_cast("decimal(38,0)").cast("string")
+    plain = cell.rlike(r"^(0|-?[1-9][0-9]*)$") | ~cell.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    # whole numbers of any length keep all their digits
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(cell, r"\.0*$", ""), r"^\+", ""), r"^(-?)0+(?=[0-9])", "$1")
+    whole = F.when(bare == "-0", F.lit("0")).otherwise(bare)
     flat = lambda n: F.when((n == F.floor(n)) & (F.abs(n) < F.lit(9.0e15)), n.cast("long").cast("string")).otherwise(n.cast("string"))
     number = let(cell.try_cast("double"), flat)
-    return F.when(F.coalesce(plain, F.lit(True)), cell).when(cell.rlike(r"^[+-]?[0-9]{1,37}(\.0*)?$"), whole).otherwise(F.coalesce(number, cell))
+    return F.when(F.coalesce(plain, F.lit(True)), cell).when(cell.rlike(r"^[+-]?[0-9]+(\.0*)?$"), whole).otherwise(F.coalesce(number, cell))
 
 
 def row_digest(cells: Column) -> Column:
-    """md5 of a row's cells; NULL cannot be confused with text."""
-    return F.md5(F.array_join(cells, CELL_SEPARATOR, NULL_CELL))
+    """md5 of a row's cells, each with its length, so that no text can stand for two cells or for NULL."""
+    return F.md5(F.array_join(F.transform(cells, lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("N"))), ","))
 
 
 def _keyed(rows: DataFrame, keys: list[str], as_set: bool) -> DataFrame:
     """``keys`` -> md5 of (row count, digest sums) of rows with ``_digest``; repeats count once for a set."""
     same = rows.groupBy(*keys, "_digest").agg(F.count(F.lit(1)).alias("_times"))
     weight = F.lit(1) if as_set else F.col("_times")
-    piece = lambda start: F.sum(F.conv(F.substring("_digest", start, 15), 16, 10).cast("decimal(19,0)") * weight.cast("decimal(12,0)"))
-    sums = same.groupBy(*keys).agg(F.sum(weight).alias("n_rows"), F.sum("_times").alias("n_returned"), piece(1).alias("_a"), piece(16).alias("_b"))
-    text = F.concat_ws("|", *[F.col(c).cast("decimal(38,0)").cast("string") for c in ("n_rows", "_a", "_b")])
+    piece = lambda start, n=15: F.sum(F.conv(F.substring("_digest", start, n), 16, 10).cast("decimal(19,0)") * weight.cast("decimal(12,0)"))
+    sums = same.groupBy(*keys).agg(F.sum(weight).alias("n_rows"), F.sum("_times").alias("n_returned"), piece(1).alias("_a"), piece(16).alias("_b"), piece(31, 2).alias("_c"))
+    text = F.concat_ws("|", *[F.col(c).cast("decimal(38,0)").cast("string") for c in ("n_rows", "_a", "_b", "_c")])
     return sums.select(*keys, "n_rows", "n_returned", F.md5(text).alias("fingerprint"))
 
 
 def _over_execs(execs: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
     """Every successful statement has a key, also with no row."""
     joined = execs.filter(F.col("status") == "success").join(keyed, keys, "left")
-    return joined.withColumn("fingerprint", F.coalesce("fingerprint", F.md5(F.lit("0|0|0")))).withColumns(
+    return joined.withColumn("fingerprint", F.coalesce("fingerprint", F.md5(F.lit("0|0|0|0")))).withColumns(
         {"n_rows": F.coalesce("n_rows", F.lit(0)), "n_returned": F.coalesce("n_returned", F.lit(0))}
     )
 
@@ -96,14 +95,16 @@ def empty_or_all_null(execs: DataFrame, results: DataFrame, keys: list[str] = KE
     return execs.filter(F.col("status") == "success").join(rows, keys, "left").withColumn("no_result", F.coalesce("no_result", F.lit(True)))
 
 
-def bucketize(keyed: DataFrame, max_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+def bucketize(keyed: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Candidates of ``result_fingerprint`` with the same result set; per bucket the first of each canonical SQL.
 
-    Results with ``max_rows`` or more returned rows are left out. The first is found by a partial
+    With ``max_rows``, results of that many returned rows or more are left out. The first is found by a partial
     minimum, so a bucket of any size is combined before the shuffle. ``n_cands`` counts the
     candidates a kept statement stands for.
     """
-    small = keyed.filter((F.col("n_returned") < max_rows) & ~F.col("is_gold") & (F.trim("sql") != ""))
+    small = keyed.filter(~F.col("is_gold") & (F.trim("sql") != ""))
+    if max_rows is not None:
+        small = small.filter(F.col("n_returned") < max_rows)
     members = small.groupBy("dp_id", "fingerprint", canonical_sql(F.col("sql")).alias("canonical"))
     first = members.agg(F.min(F.struct("cand_id", "sql")).alias("_first"), F.count(F.lit(1)).alias("n_cands"))
     return first.select("dp_id", "fingerprint", "canonical", F.col("_first.cand_id").alias("cand_id"), F.col("_first.sql").alias("sql"), "n_cands")

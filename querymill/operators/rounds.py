@@ -52,10 +52,10 @@ def tournament(dps: DataFrame, candidates: DataFrame, judge: Callable[[DataFrame
     largest = state.groupBy("dp_id").count().agg(F.max("count")).first()[0] or 0
     for n in range(1, math.ceil(math.log2(largest)) + 1 if largest > 1 else 1):
         keyed = state.withColumn("cand_id", F.col("c.cand_id")).withColumn("_d", draw(f"{seed}|{n}", "dp_id", "cand_id"))
-        left = math.ceil(largest / 2 ** (n - 1))
-        placed = group_rank(keyed, ["dp_id"], "_d", ["cand_id"], largest=left).withColumn("slot", F.floor((F.col("rn") - 1) / 2))
+        placed = group_rank(keyed, ["dp_id"], "_d", ["cand_id"]).withColumn("slot", F.floor((F.col("rn") - 1) / 2))
         pairs = placed.groupBy("dp_id", "slot").agg(F.min_by("c", "rn").alias("a"), F.max_by("c", "rn").alias("b"), F.count(F.lit(1)).alias("_n"))
-        pairs = pairs.withColumn("_equal", F.coalesce(F.col("a.result_key") == F.col("b.result_key"), F.lit(False)))
+        # judged and joined again below: cut here, so that a round ranks once
+        pairs = cut_lineage(pairs.withColumn("_equal", F.coalesce(F.col("a.result_key") == F.col("b.result_key"), F.lit(False))))
         answers = judge(pairs.filter((F.col("_n") == 2) & ~F.col("_equal")).select("dp_id", "slot", "a", "b"))
         coin = draw(f"{seed}|{n}-coin", "dp_id", "slot")
         choice = F.when(F.col("_equal"), F.when(unit(coin) < 0.5, F.lit("SQL1")).otherwise(F.lit("SQL2"))).otherwise(parse_boxed_choice(F.col("answer"), coin))

@@ -156,29 +156,39 @@ def group_split(rows: DataFrame, group: str, ratio: float = 0.3, tol: float = 0.
     Every trial takes the first floor(groups x ratio) groups of a seeded order; the first trial
     within ratio +- tol of the rows wins, else trial ``trials + 1``. The rows are counted once;
     trials work on one written row per group, in batches, so that an early hit ends the search,
-    and only the winning trial's number reaches the driver.
+    and only the winning trial's number reaches the driver. No trial ranks all groups: slices of the order are
+    counted, and only the slice that holds the last group taken is ranked.
     """
     counts = cut_lineage(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     n_groups, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     take = int(n_groups * ratio)
     low, high = total * ratio - total * tol, total * ratio + total * tol
-    key = draw(seed, "trial", group)
 
     def ordered(first: int, last: int) -> DataFrame:
         tried = counts.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("trial"))
-        return tried.withColumn("_rn", F.row_number().over(W.partitionBy("trial").orderBy(key, group)))
+        return tried.withColumn("_d", draw(seed, "trial", group)).withColumn("_cut", F.substring("_d", 1, 3))
+
+    def borders(tried: DataFrame) -> DataFrame:
+        """Per trial the rows taken and the last group taken: prefix sums over slices of the order, ranks in the border slice only."""
+        before = W.partitionBy("trial").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+        slices = tried.groupBy("trial", "_cut").agg(F.count(F.lit(1)).alias("_g"), F.sum("_n").alias("_r"))
+        slices = slices.select("trial", "_cut", "_g", F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_gb"), F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_rb"))
+        border = slices.filter((F.col("_gb") < take) & (F.col("_gb") + F.col("_g") >= take))
+        inside = tried.join(border, ["trial", "_cut"]).withColumn("_rn", F.row_number().over(W.partitionBy("trial", "_cut").orderBy("_d", group)))
+        mine = inside.filter(F.col("_rn") <= take - F.col("_gb")).groupBy("trial")
+        return mine.agg((F.sum("_n") + F.first("_rb")).alias("_taken"), F.max(F.struct("_d", group)).alias("_last"))
 
     winner, first = None, 1
-    while winner is None and first <= trials:
+    while winner is None and first <= trials and take:
         last = min(first * 8 - 1, trials)
-        sums = ordered(first, last).filter(F.col("_rn") <= take).groupBy("trial").agg(F.sum("_n").alias("_taken"))
-        if take == 0:
-            break
-        winner = sums.filter(F.col("_taken").between(low, high)).agg(F.min("trial")).first()[0]
+        winner = borders(ordered(first, last)).filter(F.col("_taken").between(low, high)).agg(F.min("trial")).first()[0]
         first = last + 1
     winner = winner or trials + 1
-    side = F.when(F.col("_rn") <= take, F.lit("A")).otherwise(F.lit("B"))
-    return ordered(winner, winner).select(group, F.col("_n").alias("n_rows"), F.col("trial").cast("long").alias("trial"), side.alias("side"))
+    chosen = ordered(winner, winner)
+    # one row, the last group taken; none if no group is
+    end = borders(chosen).select("trial", "_last")
+    side = F.when(F.struct("_d", group) <= F.col("_last"), F.lit("A")).otherwise(F.lit("B"))
+    return chosen.join(F.broadcast(end), "trial", "left").select(group, F.col("_n").alias("n_rows"), F.col("trial").cast("long").alias("trial"), side.alias("side"))
 
 
 def _column_variants(n: int, seed: int) -> Column:

@@ -16,8 +16,8 @@ from querymill.operators.links import column_key, is_chosen, is_linked
 WORDS = f"{WORD}|{SYMBOL}"
 
 
-def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[str, ...] = ("ref_company_types",), bad_dbs: tuple[str, ...] = ("retail_world",)) -> DataFrame:
-    """Drop known-bad statements and databases, joins without ON or USING, and unknown databases."""
+def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[str, ...] = (), bad_dbs: tuple[str, ...] = ()) -> DataFrame:
+    """Drop statements and databases that the caller names as bad, joins without ON or USING, and unknown databases."""
     low = F.lower("sql")
     bare_join = low.contains(" join ") & ~low.contains("on") & ~low.contains("using")
     kept = workload.filter(~bare_join & ~F.col("db_id").isin(*bad_dbs))

@@ -81,10 +81,10 @@ def raw_catalog(s: Source) -> DataFrame:
     fks = s["i_fks"].join(ref, ["db_id", "ref_table", "ref_column"])
     pairs = F.sort_array(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("from_idx"), "to_idx")))
     stray = F.array(F.struct(F.lit(9999).alias("from_idx"), F.lit(1).alias("to_idx")), F.struct(F.lit(0).alias("from_idx"), F.lit(1).alias("to_idx")))
-    return cols.join(fks.groupBy("db_id").agg(F.concat(pairs, stray).alias("foreign_keys")), "db_id")
+    return cols.join(fks.groupBy("db_id").agg(F.concat(pairs, stray).alias("foreign_keys")), "db_id", "left").withColumn("foreign_keys", F.coalesce("foreign_keys", stray))
 
 
-@check("P1_explode_catalog", "SELECT db_id, table_idx, table_name, global_idx, col_idx, col_name FROM i_globals WHERE db_id IN (SELECT db_id FROM i_fks)")
+@check("P1_explode_catalog", "SELECT db_id, table_idx, table_name, global_idx, col_idx, col_name FROM i_globals")
 def _(s):
     return catalog.explode_catalog(raw_catalog(s))
 
@@ -181,7 +181,7 @@ UNPIVOTED = (
     "P9_value_examples",
     UNPIVOTED
     + """SELECT 'lineitem' AS table_name, col_name, rn AS ex_no, value FROM w
-WHERE rn <= 5 AND length(value) < 80 AND value <> '' AND NOT (col_name IN ('l_orderkey', 'digit', 'discount') AND TRY_CAST(value AS DOUBLE) = 0)""",
+WHERE rn <= 5 AND value <> '' AND NOT (col_name IN ('l_orderkey', 'digit', 'discount') AND TRY_CAST(value AS DOUBLE) = 0)""",
 )
 def _(s):
     return profile.value_examples(s["i_profiled"], "lineitem", PROFILED)
@@ -233,9 +233,9 @@ def _(s):
     return s["i_types"].filter(naming.indexable(F.col("declared_type")))
 
 
-@check("V2_distinct_values", UNPIVOTED + "SELECT 'lineitem' AS table_name, col_name, value FROM w WHERE rn <= 5000 AND length(value) < 40 AND trim(value) <> ''")
+@check("V2_distinct_values", UNPIVOTED + "SELECT 'lineitem' AS table_name, col_name, value FROM v WHERE trim(value) <> ''")
 def _(s):
-    return profile.distinct_values(s["i_profiled"], "lineitem", PROFILED, cap=5000, max_length=40)
+    return profile.distinct_values(s["i_profiled"], "lineitem", PROFILED)
 
 
 INPUTS["i_values"] = "SELECT 'sales' AS db_id, 'customer' AS table_name, lower(c_mktsegment) AS col_name, CAST(c_custkey AS STRING) AS value FROM customer"
@@ -274,7 +274,7 @@ INPUTS["i_example_lists"] = """
 SELECT page_id, {ARRAY(}split_part(url, '?', 1), repeat(url, 3), CAST(page_id % 5 AS STRING)) AS found, {ARRAY(}CAST(page_id % 5 AS STRING), CAST(page_id AS STRING) || '.50', split_part(url, '/', 3), ' ' || url || ' ') AS static,
   CASE page_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'time' WHEN 2 THEN 'numeric' ELSE 'integer' END AS type_class, page_id % 3 AS k FROM pages"""
 MERGED = """
-s AS (SELECT *, list_filter(found, lambda v: length(v) < 100) AS short FROM i_example_lists),
+s AS (SELECT *, found AS short FROM i_example_lists),
 m AS (SELECT *, list_concat(short, list_slice(list_filter(static, lambda v: NOT list_contains(short, v)), 1, 4 - len(short))) AS merged FROM s)
 """
 
@@ -340,10 +340,11 @@ def _(s):
 
 
 CLOSED = """
-tb AS (SELECT DISTINCT dp_id, db_id, table_name FROM i_given),
+given AS (SELECT * FROM i_given UNION ALL SELECT d.dp_id, d.db_id, c.table_name, c.col_name FROM i_dps d JOIN i_columns c ON d.db_id = c.db_id WHERE d.dp_id NOT IN (SELECT dp_id FROM i_given)),
+tb AS (SELECT DISTINCT dp_id, db_id, table_name FROM given),
 fk AS (SELECT t.dp_id, t.db_id, f.table_name, f.col_name, f.fk_no, f.ref_table, f.ref_column FROM tb t JOIN i_fks f ON t.db_id = f.db_id AND t.table_name = f.table_name JOIN tb r ON r.dp_id = t.dp_id AND r.table_name = f.ref_table),
 closed AS (
-  SELECT g.dp_id, g.db_id, g.table_name, coalesce(c.col_name, g.col_name) AS col_name FROM i_given g LEFT JOIN i_columns c ON g.db_id = c.db_id AND g.table_name = c.table_name AND lower(g.col_name) = lower(c.col_name)
+  SELECT g.dp_id, g.db_id, g.table_name, coalesce(c.col_name, g.col_name) AS col_name FROM given g LEFT JOIN i_columns c ON g.db_id = c.db_id AND g.table_name = c.table_name AND lower(g.col_name) = lower(c.col_name)
   UNION SELECT t.dp_id, t.db_id, t.table_name, c.col_name FROM tb t JOIN i_columns c ON t.db_id = c.db_id AND t.table_name = c.table_name WHERE c.is_pk
   UNION SELECT dp_id, db_id, table_name, col_name FROM fk)
 """
@@ -351,7 +352,7 @@ closed AS (
 
 @check("R2_close_link", CLOSED + "SELECT dp_id, db_id, table_name, col_name FROM closed")
 def _(s):
-    return links.close_link(s["i_given"], s["i_columns"], s["i_fks"])
+    return links.close_link(s["i_given"], s["i_columns"], s["i_fks"], dps=s["i_dps"])
 
 
 def rendered(keys: str, shown: str, fks: str) -> str:
@@ -392,12 +393,12 @@ shown AS (SELECT c.dp_id, n.* FROM closed c JOIN noted n ON c.db_id = n.db_id AN
 
 @check("R4_render_schema", LINK_TEXT + f"SELECT dp_id, db_id, {HEADER} AS schema_text FROM stmt GROUP BY 1, 2")
 def _(s):
-    return render.render_schema(s["i_given"], s["i_defs"], s["i_fks"])
+    return render.render_schema(s["i_given"], s["i_defs"], s["i_fks"], dps=s["i_dps"])
 
 
 EXAMPLE_LISTS = """
 st AS (SELECT db_id, table_name, col_name, list(value ORDER BY ex_no) AS static FROM i_examples GROUP BY ALL),
-dy AS (SELECT dp_id, table_name, col_name, list(value ORDER BY rn) FILTER (WHERE length(value) < 100) AS short FROM i_retrieved GROUP BY ALL)
+dy AS (SELECT dp_id, table_name, col_name, list(value ORDER BY rn) AS short FROM i_retrieved GROUP BY ALL)
 """
 
 

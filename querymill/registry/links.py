@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querymill.functions import sqltext
 from querymill.operators import links, select, workload
 from querymill.registry import inputs  # noqa: F401
 from querymill.registry.base import INPUTS, check
+from querymill.session import cut_lineage
 
 # ------------------------------------------------------------------ workload
 FILTERED = """
 kept AS (SELECT * FROM i_workload WHERE NOT (contains(lower(sql), ' join ') AND NOT contains(lower(sql), 'on') AND NOT contains(lower(sql), 'using'))
-  AND db_id <> 'db_3' AND NOT contains(lower(sql), 'ref_company_types') AND db_id IN (SELECT db_id FROM i_fks))
+  AND db_id IN (SELECT db_id FROM i_fks))
 """
 
 
 @check("L1_filter_workload", FILTERED + "SELECT dp_id, db_id, sql FROM kept")
 def _(s):
-    return workload.filter_workload(s["i_workload"], s["i_fks"], bad_dbs=("db_3",)).select("dp_id", "db_id", "sql")
+    return workload.filter_workload(s["i_workload"], s["i_fks"]).select("dp_id", "db_id", "sql")
 
 
 # documents as SQL comments and literals, statements of all kinds around them
@@ -178,6 +180,14 @@ def _(s):
     return links.guard_malformed(s["i_predictions"], known, "text", F.concat(F.lit("schema of "), "db_id"))
 
 
-@check("X19_ordered_output", "SELECT dp_id, nullif(db_id, 'db_5') AS db_id, question, CAST(row_number() OVER (ORDER BY coalesce(nullif(db_id, 'db_5'), ''), coalesce(question, ''), dp_id) AS BIGINT) > 0 AS placed FROM i_dps")
+@check("X19_ordered_output", "SELECT dp_id, nullif(db_id, 'db_5') AS db_id, question, CAST(rank() OVER (ORDER BY coalesce(nullif(db_id, 'db_5'), ''), coalesce(question, '')) - 1 AS BIGINT) AS placed FROM i_dps")
 def _(s):
-    return select.ordered_output(s["i_dps"].select("dp_id", F.nullif("db_id", F.lit("db_5")).alias("db_id"), "question", F.lit(True).alias("placed")))
+    ordered = select.ordered_output(s["i_dps"].select("dp_id", F.nullif("db_id", F.lit("db_5")).alias("db_id"), "question"))
+    # the place a row has in the sorted output: its partition's rows before, and its own place there
+    at = ordered.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
+    at = cut_lineage(at)
+    before = at.groupBy("p").agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.col("before") + F.col("i") - F.shiftleft(F.col("p").cast("long"), 33)
+    # rows with equal keys may stand in any order: the first place of them all
+    ties = W.partitionBy(F.coalesce("db_id", F.lit("")), F.coalesce("question", F.lit("")))
+    return at.join(before, "p").withColumn("placed", place).select("dp_id", "db_id", "question", F.min("placed").over(ties).alias("placed"))

@@ -12,15 +12,15 @@ from querymill.registry.base import INPUTS, Source, check
 # ------------------------------------------------------------------ keys of result sets, as SQL
 DIGESTS = """
 digests AS (
-  SELECT dp_id, cand_id, md5(array_to_string(list_transform(cells, lambda c: coalesce(c, chr(0))), chr(31))) AS d FROM i_results),
+  SELECT dp_id, cand_id, md5(array_to_string(list_transform(cells, lambda c: coalesce(CAST(length(c) AS STRING) || ':' || c, 'N')), ',')) AS d FROM i_results),
 """
 SUMS = """md5(concat_ws('|', CAST(count(*) AS STRING), CAST(sum(CAST(CAST('0x' || substr(d, 1, 15) AS BIGINT) AS HUGEINT)) AS STRING),
-    CAST(sum(CAST(CAST('0x' || substr(d, 16, 15) AS BIGINT) AS HUGEINT)) AS STRING)))"""
+    CAST(sum(CAST(CAST('0x' || substr(d, 16, 15) AS BIGINT) AS HUGEINT)) AS STRING), CAST(sum(CAST('0x' || substr(d, 31, 2) AS BIGINT)) AS STRING)))"""
 SET_KEYS = (
     DIGESTS
     + f"""
 set_keys AS (
-  SELECT e.*, coalesce(k.fingerprint, md5('0|0|0')) AS fingerprint, coalesce(k.n_rows, 0) AS n_rows
+  SELECT e.*, coalesce(k.fingerprint, md5('0|0|0|0')) AS fingerprint, coalesce(k.n_rows, 0) AS n_rows
   FROM i_execs e LEFT JOIN (SELECT dp_id, cand_id, count(*) AS n_rows, {SUMS} AS fingerprint FROM (SELECT DISTINCT * FROM digests) GROUP BY 1, 2) k
     ON e.dp_id = k.dp_id AND e.cand_id = k.cand_id WHERE e.status = 'success')
 """
@@ -181,16 +181,22 @@ def _(s):
 
 # ------------------------------------------------------------------ votes
 VOTES = """
-cnt AS (SELECT dp_id, fingerprint, count(*) AS votes FROM i_votes GROUP BY 1, 2),
+dps AS (SELECT DISTINCT dp_id FROM i_votes),
+cand AS (SELECT * FROM i_votes WHERE NOT is_gold),
+cnt AS (SELECT dp_id, fingerprint, count(*) AS votes FROM cand GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY dp_id ORDER BY votes DESC, fingerprint) AS rk FROM cnt),
-picked AS (SELECT *, row_number() OVER (PARTITION BY dp_id, fingerprint ORDER BY md5('42|' || dp_id || '|' || cand_id)) AS pk FROM i_votes),
-choice AS (SELECT r.dp_id, r.fingerprint, r.votes, p.cand_id, p.sql FROM ranked r JOIN picked p ON r.dp_id = p.dp_id AND r.fingerprint = p.fingerprint AND p.pk = 1 WHERE rk = 1)
-"""
+picked AS (SELECT *, row_number() OVER (PARTITION BY dp_id, fingerprint ORDER BY md5('42|' || dp_id || '|' || cand_id)) AS pk FROM cand),
+choice AS (SELECT d.dp_id, r.fingerprint, coalesce(r.votes, 0) AS votes, p.cand_id, coalesce(p.sql, '@NO_SQL') AS sql FROM dps d LEFT JOIN ranked r ON d.dp_id = r.dp_id AND rk = 1
+  LEFT JOIN picked p ON r.dp_id = p.dp_id AND r.fingerprint = p.fingerprint AND p.pk = 1)
+""".replace("@NO_SQL", select.NO_SQL.replace("'", "''"))
+
+
+def candidates(s: Source):
+    return s["i_votes"].filter("not is_gold")
 
 
 def vote(s: Source):
-    votes = s["i_votes"]
-    return select.majority_vote(votes.select("dp_id").distinct(), votes)
+    return select.majority_vote(s["i_votes"].select("dp_id").distinct(), candidates(s))
 
 
 @check("X1_majority_vote", VOTES + "SELECT dp_id, fingerprint, votes, cand_id, sql FROM choice")
@@ -206,13 +212,13 @@ SELECT g.dp_id, coalesce(rk <= 1, false) AS top1, coalesce(rk <= 2, false) AS to
 FROM i_gold g LEFT JOIN ranked r ON g.dp_id = r.dp_id AND g.fingerprint = r.fingerprint""",
 )
 def _(s):
-    return select.topk_hits(select.vote_counts(s["i_votes"]), s["i_gold"])
+    return select.topk_hits(select.vote_counts(candidates(s)), s["i_gold"])
 
 
 ACCURACY = (
     VOTES
     + """,
-acc AS (SELECT c.dp_id, c.fingerprint = g.fingerprint AND c.cand_id <> g.cand_id AS execution_correct,
+acc AS (SELECT c.dp_id, coalesce(c.fingerprint = g.fingerprint, false) AS execution_correct,
     EXISTS (SELECT 1 FROM i_votes v WHERE v.dp_id = c.dp_id AND NOT v.is_gold AND v.fingerprint = g.fingerprint) AS recalled
   FROM choice c JOIN i_gold g ON c.dp_id = g.dp_id)
 """
@@ -232,13 +238,13 @@ def _(s):
     "X4_materialize_buckets",
     VOTES
     + """,
-m AS (SELECT DISTINCT dp_id, fingerprint, sql FROM i_votes),
+m AS (SELECT DISTINCT dp_id, fingerprint, sql FROM cand),
 f AS (SELECT dp_id, fingerprint, min(sql) AS first_sql FROM m GROUP BY 1, 2)
 SELECT m.dp_id, r.rk AS bucket_rank, r.votes, m.sql, m.sql = f.first_sql AS is_representative
 FROM m JOIN ranked r ON m.dp_id = r.dp_id AND m.fingerprint = r.fingerprint JOIN f ON m.dp_id = f.dp_id AND m.fingerprint = f.fingerprint""",
 )
 def _(s):
-    return select.materialize_buckets(s["i_votes"])
+    return select.materialize_buckets(candidates(s))
 
 
 FALLBACK = """
@@ -280,7 +286,7 @@ SELECT count(*) AS total, round(100.0::double * count_if(execution_correct) / co
   round(100.0::double * count_if(top2 AND gold_ok) / count_if(gold_ok), 6) AS top2_pct, round(100.0::double * count_if(top3 AND gold_ok) / count_if(gold_ok), 6) AS top3_pct FROM per""",
 )
 def _(s):
-    hits = select.topk_hits(select.vote_counts(s["i_votes"]), s["i_gold"])
+    hits = select.topk_hits(select.vote_counts(candidates(s)), s["i_gold"])
     return select.report(accuracy(s).join(hits, "dp_id").withColumn("gold_ok", F.col("dp_id") % 4 != 0))
 
 
@@ -333,7 +339,7 @@ def _(s):
     "X11_tournament",
     r"""
 RECURSIVE walk AS (
-  SELECT 0 AS n, dp_id, cand_id, value, event_type AS result_key FROM i_votes
+  SELECT 0 AS n, dp_id, cand_id, value, event_type AS result_key FROM i_votes WHERE NOT is_gold
   UNION ALL
   SELECT n, dp_id, win.cand_id, win.value, win.result_key FROM (
     SELECT n, dp_id, CASE WHEN cnt = 1 THEN a WHEN a.result_key = b.result_key THEN CASE WHEN coin < 0.5 THEN a ELSE b END
@@ -345,7 +351,7 @@ RECURSIVE walk AS (
             row_number() OVER (PARTITION BY dp_id ORDER BY md5('42|' || (n + 1) || '|' || dp_id || '|' || cand_id)) AS rn
           FROM walk WHERE n < 12))
       GROUP BY n, dp_id, slot)))
-SELECT dp_id, cand_id, result_key FROM walk WHERE n = (SELECT CAST(ceil(log2(max(c))) AS INT) FROM (SELECT count(*) AS c FROM i_votes GROUP BY dp_id))""",
+SELECT d.dp_id, cand_id, result_key FROM (SELECT DISTINCT dp_id FROM i_votes) d LEFT JOIN (SELECT * FROM walk WHERE n = (SELECT CAST(ceil(log2(max(c))) AS INT) FROM (SELECT count(*) AS c FROM i_votes WHERE NOT is_gold GROUP BY dp_id))) w ON d.dp_id = w.dp_id""",
 )
 def _(s):
     def judge(p):
@@ -354,7 +360,7 @@ def _(s):
         return p.select("dp_id", "slot", F.when(first, F.lit("so \\box{SQL1}")).otherwise(F.lit("so \\box{SQL2}")).alias("answer"))
 
     votes = s["i_votes"]
-    cands = votes.select("dp_id", "cand_id", "sql", F.col("event_type").alias("result_key"), "value")
+    cands = candidates(s).select("dp_id", "cand_id", "sql", F.col("event_type").alias("result_key"), "value")
     return rounds.tournament(votes.select("dp_id").distinct(), cands, judge).select("dp_id", "cand_id", "result_key")
 
 

@@ -223,7 +223,7 @@ def _(s):
     return synth.path_instances(s["i_variants"])
 
 
-@check("T13_length_filter", r"SELECT doc_id, n_chars FROM documents WHERE len(regexp_extract_all(text, '\w+|[^\w\s]')) + len(regexp_extract_all(source, '\w+|[^\w\s]')) <= 300")
+@check("T13_length_filter", r"SELECT doc_id, n_chars FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) + len(regexp_extract_all(source, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) <= 300")
 def _(s):
     return synth.length_filter(s["documents"], F.col("text"), [F.col("source")], 300).select("doc_id", "n_chars")
 
@@ -252,7 +252,7 @@ def _(s):
     TRAIN
     + r""",
 q AS (SELECT t.*, 'Link ' || db_id || ' for ' || question AS prompt FROM train t JOIN i_dps USING (dp_id, db_id) WHERE rejected_text IS NOT NULL),
-n AS (SELECT *, len(regexp_extract_all(prompt, '\w+|[^\w\s]')) AS np, len(regexp_extract_all(link_text, '\w+|[^\w\s]')) AS nc, len(regexp_extract_all(rejected_text, '\w+|[^\w\s]')) AS nr FROM q)
+n AS (SELECT *, len(regexp_extract_all(prompt, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS np, len(regexp_extract_all(link_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS nc, len(regexp_extract_all(rejected_text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS nr FROM q)
 SELECT dp_id, variant, mess_type, prompt, link_text AS chosen, rejected_text AS rejected FROM n WHERE np + nc < 60 AND np + nr < 60""",
 )
 def _(s):

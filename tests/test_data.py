@@ -53,7 +53,7 @@ def test_display_names_with_duplicates(spark):
 
 def test_value_examples_filter_after_the_cut(spark):
     df = spark.createDataFrame([(i, None if i == 0 else ("", "a" * 90, "b", "c", "d", "e")[i - 1]) for i in range(7)], "n int, s string")
-    got = sorted((r.col_name, r.ex_no, r.value) for r in profile.value_examples(df, "t", ["n", "s"]).collect())
+    got = sorted((r.col_name, r.ex_no, r.value) for r in profile.value_examples(df, "t", ["n", "s"], max_length=80).collect())
     assert got == [("n", i + 1, str(i)) for i in range(1, 5)] + [("s", 4, "b"), ("s", 5, "c")]
 
 

@@ -79,7 +79,7 @@ def test_preview(spark):
 def test_group_rank_splits_hot_groups_exactly(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).cast("int").alias("g"), "id", F.md5(F.col("id").cast("string")).alias("h"))
     want = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy("h", "id")).cast("long"))
-    got = ranking.group_rank(df, ["g"], "h", ["id"], hot_rows=100)
+    got = ranking.group_rank(df, ["g"], "h", ["id"])
     assert got.select("g", "id", "rn").exceptAll(want.select("g", "id", "rn")).isEmpty()
     assert got.count() == 5000
 
@@ -196,3 +196,11 @@ def test_run_candidates_time_limit(spark):
     done, _ = execute.run_candidates(spark, execs, time_limit=3)
     row = done.first()
     assert (row.status, row.error) == ("error", "Query timed out after 3 seconds.")
+
+
+def test_separators_and_long_numbers_do_not_collide(spark):
+    df = spark.createDataFrame([(["a\x1fb", "c"],), (["a", "b\x1fc"],), ([None, "c"],), (["N", "c"],), (["1:a", ""],), (["1", ":a"],)], "cells array<string>")
+    assert df.select(results.row_digest(F.col("cells"))).distinct().count() == 6
+    one, two = "9" * 40 + "1", "9" * 40 + "2"
+    got = [r[0] for r in spark.createDataFrame([(one,), ("+00" + one + ".0",), (two,), ("-0.0",), ("1.0",)], "c string").select(results.numeric_cell(F.col("c"))).collect()]
+    assert got == [one, one, two, "0", "1"]

@@ -121,7 +121,7 @@ def test_draws(spark):
 
 def test_examples(spark):
     lists = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
-    assert one(spark, examples.merge_examples(lists("a", "b" * 100, "c"), lists("a", "d", "e", "f"))) == ["a", "c", "d", "e"]
+    assert one(spark, examples.merge_examples(lists("a", "b" * 100, "c"), lists("a", "d", "e", "f"), max_length=100)) == ["a", "c", "d", "e"]
     assert one(spark, examples.merge_examples(lists("a", "b", "c", "d", "e"), lists("x"))) == ["a", "b", "c", "d", "e"]
     assert one(spark, examples.collapse_identifier_examples(lists("me@x.org", "b"))) == ["me@x.org"]
     assert one(spark, examples.collapse_identifier_examples(lists(None, "b"))) == [None, "b"]
@@ -140,3 +140,11 @@ def test_questions(spark):
     assert one(spark, prompts.question_with_evidence(F.lit("q"), F.lit(" 12345 "))) == "q\n(hint: 12345)"
     with pytest.raises(Exception, match="no question text"):
         one(spark, prompts.question_text(F.lit(" "), F.lit(None).cast("string"), F.lit("")))
+
+
+def test_float_text(spark):
+    from querymill.functions.examples import float_text
+
+    cells = ["12345678.50", "10000000", "-98765432101.25", "1e15", "7", "0.5", "x", "1234567.0", "1e300"]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").orderBy("i").select(float_text(F.col("c"))).collect()]
+    assert got == ["12345678.5", "10000000.0", "-98765432101.25", "1000000000000000.0", "7.0", "0.5", "x", "1234567.0", "1.0E300"]
