@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.llm.text import words
+from querymill.llm.text import broadcast_if_small, staged, words
 
 #: Bounds of the training sample: documents of each language, and neighbouring words of each document.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 120
@@ -273,10 +273,15 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, per_lang: int = SAMPLE_DOCS, n_words: int = SAMPLE_WORDS) -> DataFrame:
     """(text, lang): at most per_lang documents of each language, the first by a hash, and n_words neighbouring words of each.
 
-    Ranks are cut in each task before the shuffle, so no language is gathered.
+    A draw by the hash first thins every language to about five times that many, so that ranking works on
+    a bounded number of rows however large a language is.
     """
-    open_docs = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    drawn = open_docs.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
+    rows = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    # one row a language
+    sizes = broadcast_if_small(staged(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages"))
+    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(2**31)) / F.lit(float(2**31))
+    thinned = rows.join(sizes, "lang").filter(share * F.col("n") < 5 * per_lang).filter(F.col("text").rlike(r"\p{L}"))
+    drawn = thinned.select("lang", "text", F.xxhash64(F.lit("sample"), "doc_id", "text").alias("h"))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_lang)
     each = ranked.select("lang", "h", words(F.col("text")).alias("w"))
     begin = F.pmod(F.col("h"), F.greatest(F.size("w") - n_words, F.lit(0)) + 1).cast("int") + 1
