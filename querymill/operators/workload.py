@@ -31,7 +31,9 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
 
     A table is a catalog name after FROM, JOIN or a comma. ``alias.column`` belongs to the alias's
     table; it is not ``known`` when that table lacks it. A bare column counts when exactly one
-    table of the statement has it. A touched table also has a row without column.
+    table of the statement has it. A star of a select list stands for all columns of its alias's
+    table, or of all tables. A name after AS is no column, nor is it where it stands later on its own.
+    A touched table also has a row without column.
 
     A statement is matched against its database's names inside one row: one join, no pairs.
     """
@@ -48,7 +50,13 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
         places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))), lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"))
     )
     qualifier = lambda i: F.when(at(i - 1) == ".", at(i - 2)).otherwise("")
-    is_name = lambda i: at(i).rlike(r"^[\p{L}_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | ~at(i).isin(KEYWORDS))
+    renamed = lambda i: F.exists("given", lambda g: (g["n"] == at(i)) & (g["i"] <= i))
+    is_name = lambda i: at(i).rlike(r"^[\p{L}_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | (~at(i).isin(KEYWORDS) & ~renamed(i)))
+    stars = F.transform(
+        places(lambda i: (at(i) == "*") & at(i - 1).isin(".", ",", "select", "distinct", "all")), lambda i: qualifier(i)
+    )
+    given = F.transform(places(lambda i: (at(i - 1) == "as") & at(i).rlike(r"^[\p{L}_]")), lambda i: F.struct(i.alias("i"), at(i).alias("n")))
+    rows = rows.withColumn("given", given).withColumn("stars", F.array_distinct(stars))
     refs = F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c")))
     rows = rows.withColumn("mentions", F.array_distinct(mentions)).withColumn("refs", F.array_distinct(refs))
     rows = rows.withColumn("tables", F.array_distinct(F.transform("mentions", lambda m: m["t"])))
@@ -68,8 +76,12 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
             lambda r: let(owners(r), lambda o: F.transform(F.when(F.size(o) == 1, o).otherwise(F.slice(o, 1, 0)), lambda t: hit(t, r["c"], F.lit(True)))),
         )
     )
+    every = lambda t: F.transform(F.try_element_at("names", t), lambda c: hit(t, c, F.lit(True)))
+    starred = F.flatten(
+        F.transform("stars", lambda q: F.flatten(F.transform(F.filter("mentions", lambda m: (q == "") | (m["a"] == q)), lambda m: every(m["t"]))))
+    )
     touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
-    found = F.array_distinct(F.concat(qualified, bare, touched))
+    found = F.array_distinct(F.concat(qualified, bare, starred, touched))
     return rows.select("dp_id", "db_id", F.explode(found).alias("f")).select("dp_id", "db_id", "f.*")
 
 

@@ -196,3 +196,23 @@ def test_length_limits(spark):
     df = spark.createDataFrame([("a b", "c", "d e")], "p string, x string, y string")
     keep = lambda n, strict: synth.length_filter(df, F.col("p"), [F.col("x"), F.col("y")], n, strict).count()
     assert (keep(4, False), keep(4, True), keep(5, True), keep(3, False)) == (1, 0, 1, 0)
+
+
+def test_stars_and_output_names(spark):
+    from querymill.operators.workload import link_columns
+
+    columns = spark.createDataFrame([("d", t, c) for t, cs in (("t", "abi"), ("u", "ci")) for c in cs], "db_id string, table_name string, col_name string")
+    texts = [
+        "SELECT * FROM t JOIN u ON t.i = u.i WHERE c = 1",
+        "SELECT x.* FROM t AS x, u WHERE c * 2 = 1",
+        "SELECT count(*) AS c FROM t, u ORDER BY c",
+        "SELECT a AS a FROM t ORDER BY a",
+    ]
+    work = spark.createDataFrame([(i, "d", s) for i, s in enumerate(texts)], "dp_id long, db_id string, sql string")
+    got = {}
+    for r in link_columns(work, columns).filter("col_name IS NOT NULL").collect():
+        got.setdefault(r.dp_id, set()).add(f"{r.table_name}.{r.col_name}")
+    assert got[0] == {"t.a", "t.b", "t.i", "u.c", "u.i"}
+    assert got[1] == {"t.a", "t.b", "t.i", "u.c"}
+    assert 2 not in got
+    assert got[3] == {"t.a"}
