@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from querymill.llm import decontam, jaccard, language, lines, mixing, quality, secrets, tokencount, toolcalls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -42,9 +41,9 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    kept = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    kept = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     found = quality.features(docs).drop("text")
-    return quality.judged_features(found).select("doc_id", *kept)
+    return quality.judged_features(found).select("doc_id", *kept, F.round("p_good", 6).alias("p_good"))
 
 
 @query
@@ -64,7 +63,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontam.marked(docs, table(spark, folder, "benchmark").select("item_id", "text"))
-    return found.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+    return found.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("items"))
 
 
 @query
