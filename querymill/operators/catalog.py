@@ -8,10 +8,11 @@ schema is the largest group here; it is bounded by what a database engine allows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.functions.naming import name_key
 
 
@@ -46,50 +47,46 @@ def explode_catalog(catalog: DataFrame) -> DataFrame:
     return named.withColumn("col_idx", (F.row_number().over(w) - 1).cast("long"))
 
 
-def match_display_tables(catalog: DataFrame) -> DataFrame:
-    """Original table position -> display table position.
+def display_positions(original: Column, display: Column) -> Column:
+    """Per original table the position of its display table, from the two lists of names.
 
     A display name goes to the first original with an equivalent name, if no other display name
     is equivalent too; everything else keeps its position, as far as there is one.
     """
-    original = catalog.select("db_id", F.size("table_names").alias("_n"), F.posexplode("table_names_original").alias("table_idx", "name"))
-    original = original.withColumn("_k", name_key(F.col("name")))
-    original = original.withColumn("_first", F.row_number().over(W.partitionBy("db_id", "_k").orderBy("table_idx")) == 1)
-    display = catalog.select("db_id", F.posexplode("table_names").alias("display_idx", "display"))
-    unique = display.groupBy("db_id", name_key(F.col("display")).alias("_k")).agg(F.min("display_idx").alias("_match"), F.count(F.lit(1)).alias("_c")).filter("_c = 1")
-    match = F.when(F.col("_first"), F.col("_match"))
-    position = F.when(F.col("table_idx") < F.col("_n"), F.col("table_idx"))
-    return original.join(unique, ["db_id", "_k"], "left").select(
-        "db_id", F.col("table_idx").cast("long").alias("table_idx"), F.coalesce(match, position).cast("long").alias("display_idx")
-    )
+    keys = lambda names: F.transform(names, name_key)
+
+    def place(k: Column, i: Column, own: Column, shown: Column) -> Column:
+        alone = F.size(F.filter(shown, lambda x: x == k)) == 1
+        match = F.when((F.array_position(own, k) == i + 1) & alone, F.array_position(shown, k) - 1)
+        return F.coalesce(match, F.when(i < F.size(shown), i)).cast("long")
+
+    return let(keys(original), lambda own: let(keys(display), lambda shown: F.transform(own, lambda k, i: place(k, i, own, shown))))
+
+
+def match_display_tables(catalog: DataFrame) -> DataFrame:
+    """Original table position -> display table position, see ``display_positions``."""
+    places = catalog.select("db_id", F.posexplode(display_positions(F.col("table_names_original"), F.col("table_names"))).alias("table_idx", "display_idx"))
+    return places.select("db_id", F.col("table_idx").cast("long").alias("table_idx"), "display_idx")
 
 
 def match_display_columns(catalog: DataFrame) -> DataFrame:
     """Display name per original column: ``db_id, global_idx, display_name``.
 
     By position when both lists agree on the table of every position; else, where a table and
-    its display table have equally many columns, by position inside the table; else none.
+    its display table have equally many columns, by position inside the table; else none. All
+    of it happens inside a database's row.
     """
-    same_length = F.size("column_names") == F.size("column_names_original")
     pairs = F.arrays_zip(F.col("column_names").alias("d"), F.col("column_names_original").alias("o"))
     aligned = F.forall(pairs, lambda p: p["d"]["table_idx"] == p["o"]["table_idx"])
-    usable = catalog.filter(same_length).select("*", aligned.alias("_aligned"))
-    by_position = usable.filter("_aligned").select("db_id", F.posexplode("column_names").alias("global_idx", "c")).select(
-        "db_id", F.col("global_idx").cast("long").alias("global_idx"), F.col("c.name").alias("display_name")
-    )
-    mixed = usable.filter("not _aligned")
-
-    def numbered(field: str, idx: str) -> DataFrame:
-        long = mixed.select("db_id", F.posexplode(field).alias("global_idx", "c")).select(
-            "db_id", F.col("c.table_idx").cast("long").alias(idx), F.col("global_idx").cast("long").alias("global_idx"), F.col("c.name").alias("name")
-        )
-        group = W.partitionBy("db_id", idx)
-        return long.select("*", F.row_number().over(group.orderBy("global_idx")).alias("_place"), F.count(F.lit(1)).over(group).alias("_size"))
-
-    original = numbered("column_names_original", "table_idx").drop("name").join(match_display_tables(mixed), ["db_id", "table_idx"])
-    display = numbered("column_names", "display_idx").select("db_id", "display_idx", "_place", "_size", F.col("name").alias("display_name"))
-    by_table = original.join(display, ["db_id", "display_idx", "_place", "_size"]).select("db_id", "global_idx", "display_name")
-    return by_position.unionByName(by_table)
+    named = lambda i, c: F.struct(i.cast("long").alias("global_idx"), c["name"].alias("display_name"))
+    by_position = F.transform("column_names", lambda c, i: named(i, c))
+    mine = lambda t: F.filter(F.transform("column_names_original", lambda c, i: F.when(c["table_idx"] == t, i)), lambda i: i.isNotNull())
+    shown = lambda d: F.filter("column_names", lambda c: c["table_idx"] == d)
+    fit = lambda own, cols: F.when(F.size(own) == F.size(cols), F.zip_with(own, cols, named)).otherwise(F.slice(by_position, 1, 0))
+    by_table = F.flatten(F.transform("places", lambda d, t: let(mine(t), lambda own: let(shown(d), lambda cols: fit(own, cols)))))
+    usable = catalog.filter(F.size("column_names") == F.size("column_names_original"))
+    placed = usable.withColumn("places", display_positions(F.col("table_names_original"), F.col("table_names")))
+    return placed.select("db_id", F.explode(F.when(aligned, by_position).otherwise(by_table)).alias("c")).select("db_id", "c.*")
 
 
 def resolve_primary_keys(columns: DataFrame) -> DataFrame:

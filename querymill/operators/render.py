@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
-from querymill.operators.links import closed_tables, linked_dps, nest_catalog
+from querymill.operators.links import closed_tables, linked_dps, nest_catalog, nest_links
 
 DETAILS = ("type_class", "comment", "code", "note")
 NO_TEXTS = "array<string>"
@@ -99,8 +99,8 @@ def nest_retrieved(retrieved: DataFrame, keys: list[str]) -> DataFrame:
     return retrieved.groupBy(*keys).agg(F.transform(found, lambda r: r["value"]).alias("found"))
 
 
-def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """Whole schema text per question, with retrieved and static examples.
+def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static: DataFrame, retrieved: DataFrame, link: DataFrame | None = None) -> DataFrame:
+    """Schema text per question, with retrieved and static examples: of the closed ``link``, or whole without one.
 
     ``dataset(dp_id, db_id, ...)``, ``static(db_id, table_name, col_name, examples array)``,
     ``retrieved(dp_id, table_name, col_name, rn, value)``. What a question has retrieved comes as
@@ -118,6 +118,8 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
 
     missing = F.raise_error(F.concat(F.lit("no catalog for database "), F.col("db_id"))).cast("string")
     joined = dataset.join(schemas, "db_id", "left").join(per_dp, "dp_id", "left")
+    if link is not None:
+        joined = closed_tables(joined.join(nest_links(link).select("dp_id", "linked", "chosen"), "dp_id", "left"))
     return joined.select(*dataset.columns, F.when(F.col("tables").isNull(), missing).otherwise(schema_text(F.col("tables"), note)).alias("schema_text"))
 
 

@@ -68,8 +68,15 @@ def bag_fingerprint(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS
 
 
 def value_fingerprint(execs: DataFrame, results: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Key of the set of rows with equal numbers taken as equal (1 = 1.0)."""
-    return result_fingerprint(execs, results, F.transform("cells", numeric_cell), keys)
+    """Key of the set of rows with equal numbers taken as equal (1 = 1.0).
+
+    Where results carry ``types`` (array, 'number' or anything else per cell), text never equals a number; else
+    every cell that reads as a number is one.
+    """
+    cells = F.transform("cells", numeric_cell)
+    if "types" in results.columns:
+        cells = F.zip_with("cells", "types", lambda c, t: F.when(F.coalesce(t == "number", F.lit(False)), numeric_cell(c)).otherwise(F.concat(F.lit("'"), c)))
+    return result_fingerprint(execs, results, cells, keys)
 
 
 def against_gold(keyed: DataFrame, out: str) -> DataFrame:

@@ -14,8 +14,14 @@ DISTANCE_DIGITS = 9
 
 
 def build_value_index(values: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Attach one vector to every value; values without a vector, and so columns without any, drop out."""
-    return values.join(embeddings.select("value", "embedding"), "value")
+    """Attach one vector to every value; of several vectors of one value the least counts. See ``values_without_vector`` for the rest."""
+    vectors = embeddings.groupBy("value").agg(F.min("embedding").alias("embedding"))
+    return values.join(vectors, "value")
+
+
+def values_without_vector(values: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Values that ``build_value_index`` leaves out."""
+    return values.join(embeddings.select("value"), "value", "left_anti")
 
 
 def write_value_index(index: DataFrame, path: str) -> None:

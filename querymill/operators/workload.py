@@ -1,12 +1,14 @@
 """SQL workloads: which rows to keep and which columns each statement touches.
 
-Statements are read as token lists; nothing here parses SQL. Flat statements are exact. Nested
-scopes share one space of aliases: an inner alias that hides an outer one is not told apart.
+Statements are read as token lists; nothing here parses SQL. Parentheses give the scopes of tables: a name
+belongs to the innermost table around it. Branches of a set operation share one scope.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import let
@@ -31,8 +33,8 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
 
     A table is a catalog name after FROM, JOIN or a comma. ``alias.column`` belongs to the alias's
     table; it is not ``known`` when that table lacks it. A bare column counts when exactly one
-    table of the statement has it. A star of a select list stands for all columns of its alias's
-    table, or of all tables. A name after AS is no column, nor is it where it stands later on its own.
+    table of the innermost scope with any has it. A star of a select list stands for all columns of its alias's
+    table, or of all tables of its scope. A name after AS is no column, nor is it where it stands later on its own.
     A touched table also has a row without column.
 
     A statement is matched against its database's names inside one row: one join, no pairs.
@@ -44,42 +46,48 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
 
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     places = lambda cond: F.filter(F.transform("w", lambda t, i: i), cond)
+    rows = rows.withColumn("opens", places(lambda i: at(i) == "(")).withColumn("closes", places(lambda i: at(i) == ")"))
+    depth = lambda i: F.size(F.filter("opens", lambda o: o < i)) - F.size(F.filter("closes", lambda c: c < i))
+    # the parentheses around a token: the last one opened, and the first one closed, on its level
+    low = lambda i: let(depth(i), lambda d: F.coalesce(F.array_max(F.filter("opens", lambda o: (o < i) & (depth(o) == d - 1))), F.lit(-1)))
+    high = lambda i: let(depth(i), lambda d: F.coalesce(F.array_min(F.filter("closes", lambda c: (c > i) & (depth(c) == d))), F.size("w")))
     named = lambda i: F.when(at(i + 2) == "as", at(i + 3)).otherwise(at(i + 2))
     alias = lambda i: let(named(i), lambda n: F.when(n.rlike(r"^[\p{L}\p{N}_]") & ~n.isin(KEYWORDS), n).otherwise(at(i + 1)))
     mentions = F.transform(
-        places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))), lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"))
+        places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))),
+        lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"), low(i).alias("low"), high(i).alias("high")),
     )
     qualifier = lambda i: F.when(at(i - 1) == ".", at(i - 2)).otherwise("")
     renamed = lambda i: F.exists("given", lambda g: (g["n"] == at(i)) & (g["i"] <= i))
     is_name = lambda i: at(i).rlike(r"^[\p{L}_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | (~at(i).isin(KEYWORDS) & ~renamed(i)))
-    stars = F.transform(
-        places(lambda i: (at(i) == "*") & at(i - 1).isin(".", ",", "select", "distinct", "all")), lambda i: qualifier(i)
-    )
+    is_star = lambda i: (at(i) == "*") & at(i - 1).isin(".", ",", "select", "distinct", "all")
     given = F.transform(places(lambda i: (at(i - 1) == "as") & at(i).rlike(r"^[\p{L}_]")), lambda i: F.struct(i.alias("i"), at(i).alias("n")))
-    rows = rows.withColumn("given", given).withColumn("stars", F.array_distinct(stars))
-    refs = F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c")))
-    rows = rows.withColumn("mentions", F.array_distinct(mentions)).withColumn("refs", F.array_distinct(refs))
+    rows = rows.withColumn("given", given).withColumn("mentions", F.array_distinct(mentions))
+    rows = rows.withColumn("stars", F.transform(places(is_star), lambda i: F.struct(qualifier(i).alias("a"), i.alias("i"), low(i).alias("low"))))
+    rows = rows.withColumn("refs", F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c"), i.alias("i"))))
     rows = rows.withColumn("tables", F.array_distinct(F.transform("mentions", lambda m: m["t"])))
 
     hit = lambda t, c, known: F.struct(t.alias("table_name"), c.alias("col_name"), known.alias("known"))
     has = lambda t, c: F.array_contains(F.try_element_at("names", t), c)
+
+    def around(i: Column, cond: Callable[[Column], Column]) -> Column:
+        """Tables of the innermost scope around token ``i`` that has some with the condition."""
+        seen = F.filter("mentions", lambda m: (m["low"] <= i) & (i <= m["high"]) & cond(m))
+        inner = let(seen, lambda s: F.filter(s, lambda m: m["low"] == F.array_max(F.transform(s, lambda x: x["low"]))))
+        return F.array_distinct(F.transform(inner, lambda m: m["t"]))
+
     qualified = F.flatten(
-        F.transform(
-            F.filter("refs", lambda r: r["a"] != ""),
-            lambda r: F.transform(F.filter("mentions", lambda m: m["a"] == r["a"]), lambda m: hit(m["t"], r["c"], has(m["t"], r["c"]))),
-        )
+        F.transform(F.filter("refs", lambda r: r["a"] != ""), lambda r: F.transform(around(r["i"], lambda m: m["a"] == r["a"]), lambda t: hit(t, r["c"], has(t, r["c"]))))
     )
-    owners = lambda r: F.filter("tables", lambda t: has(t, r["c"]))
     bare = F.flatten(
         F.transform(
             F.filter("refs", lambda r: r["a"] == ""),
-            lambda r: let(owners(r), lambda o: F.transform(F.when(F.size(o) == 1, o).otherwise(F.slice(o, 1, 0)), lambda t: hit(t, r["c"], F.lit(True)))),
+            lambda r: let(around(r["i"], lambda m: has(m["t"], r["c"])), lambda o: F.transform(F.when(F.size(o) == 1, o).otherwise(F.slice(o, 1, 0)), lambda t: hit(t, r["c"], F.lit(True)))),
         )
     )
     every = lambda t: F.transform(F.try_element_at("names", t), lambda c: hit(t, c, F.lit(True)))
-    starred = F.flatten(
-        F.transform("stars", lambda q: F.flatten(F.transform(F.filter("mentions", lambda m: (q == "") | (m["a"] == q)), lambda m: every(m["t"]))))
-    )
+    meant = lambda q: F.when(q["a"] == "", F.transform(F.filter("mentions", lambda m: m["low"] == q["low"]), lambda m: m["t"])).otherwise(around(q["i"], lambda m: m["a"] == q["a"]))
+    starred = F.flatten(F.transform("stars", lambda q: F.flatten(F.transform(meant(q), every))))
     touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
     found = F.array_distinct(F.concat(qualified, bare, starred, touched))
     return rows.select("dp_id", "db_id", F.explode(found).alias("f")).select("dp_id", "db_id", "f.*")

@@ -243,14 +243,17 @@ INPUTS["i_values"] = "SELECT 'sales' AS db_id, 'customer' AS table_name, lower(c
 
 @check(
     "V3_build_value_index",
-    "SELECT db_id, table_name, col_name, value, CAST(len(embedding) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_dim FROM i_values JOIN embeddings ON value = CAST(vec_id AS STRING)",
+    "v AS (SELECT CAST(vec_id % 400 AS STRING) AS value, min(embedding) AS embedding FROM embeddings GROUP BY 1) SELECT db_id, table_name, col_name, value, CAST(coalesce(len(embedding), 0) AS BIGINT) AS dims, round(CAST(embedding[1] AS DOUBLE), 6) AS first_dim FROM i_values LEFT JOIN v USING (value)",
 )
 def _(s):
-    vectors = s["embeddings"].select(F.col("vec_id").cast("string").alias("value"), "embedding")
+    # some values have several vectors, others none
+    vectors = s["embeddings"].select((F.col("vec_id") % 400).cast("string").alias("value"), "embedding")
     path = scratch_path(s.spark, "value-index")
     retrieval.write_value_index(retrieval.build_value_index(s["i_values"], vectors), path)
-    index = s.spark.read.parquet(path)
-    return index.select("db_id", "table_name", "col_name", "value", F.size("embedding").cast("long").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first_dim"))
+    names = ["db_id", "table_name", "col_name", "value"]
+    index = s.spark.read.parquet(path).select(*names, F.size("embedding").cast("long").alias("dims"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first_dim"))
+    rest = retrieval.values_without_vector(s["i_values"], vectors)
+    return index.unionByName(rest.select(*names, F.lit(0).cast("long").alias("dims"), F.lit(None).cast("double").alias("first_dim")))
 
 
 @check(
@@ -402,24 +405,47 @@ dy AS (SELECT dp_id, table_name, col_name, list(value ORDER BY rn) AS short FROM
 """
 
 
-@check(
-    "R5_schema_input",
-    EXAMPLE_LISTS
-    + f""",
-a AS (SELECT a.dp_id, a.n_lines, d.*, coalesce(short, []) AS short, coalesce(static, []) AS static FROM i_asks a JOIN i_defs d ON a.db_id = d.db_id
-  LEFT JOIN st ON st.db_id = d.db_id AND st.table_name = d.table_name AND st.col_name = d.col_name LEFT JOIN dy ON dy.dp_id = a.dp_id AND dy.table_name = d.table_name AND dy.col_name = d.col_name),
+def noted_texts(shown: str, fks: str) -> str:
+    """Digests of schema texts with examples, from CTEs or tables of shown columns per question and of foreign keys."""
+    return (
+        EXAMPLE_LISTS
+        + f""",
+a AS (SELECT d.*, coalesce(short, []) AS short, coalesce(static, []) AS static FROM {shown} d
+  LEFT JOIN st ON st.db_id = d.db_id AND st.table_name = d.table_name AND st.col_name = d.col_name LEFT JOIN dy ON dy.dp_id = d.dp_id AND dy.table_name = d.table_name AND dy.col_name = d.col_name),
 mg AS (SELECT *, list_concat(short, list_slice(list_filter(static, lambda v: NOT list_contains(short, v)), 1, 4 - len(short))) AS merged FROM a),
 co AS (SELECT *, CASE WHEN starts_with(merged[1], 'http://') THEN merged[1:1] ELSE merged END AS x FROM mg),
 nt AS (SELECT * EXCLUDE (comment), CASE WHEN len(x) = 0 AND comment = '' THEN '' ELSE '-- ' || concat_ws(' | ', nullif(comment, ''), CASE WHEN len(x) > 0 THEN 'Value Examples: [' || {FORMATTED} || ']' END) END AS comment FROM co),
-fkd AS (SELECT a.dp_id, f.* FROM i_asks a JOIN i_fks f ON a.db_id = f.db_id),
 """
-    + rendered("dp_id, db_id", "nt", "fkd")
-    + f"""
-SELECT dp_id, db_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM (SELECT dp_id, db_id, {HEADER} AS t FROM stmt GROUP BY 1, 2)""",
+        + rendered("dp_id, db_id", "nt", fks)
+        + f"""
+SELECT dp_id, db_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM (SELECT dp_id, db_id, {HEADER} AS t FROM stmt GROUP BY 1, 2)"""
+    )
+
+
+@check(
+    "R5_schema_input",
+    "asked AS (SELECT a.dp_id, d.* FROM i_asks a JOIN i_defs d ON a.db_id = d.db_id), fkd AS (SELECT a.dp_id, f.* FROM i_asks a JOIN i_fks f ON a.db_id = f.db_id)," + noted_texts("asked", "fkd"),
+)
+def _(s):
+    return digested(render.schema_input(s["i_asks"], s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"]))
+
+
+def digested(texts: DataFrame) -> DataFrame:
+    return texts.select("dp_id", "db_id", F.md5("schema_text").alias("digest"), F.length("schema_text").cast("long").alias("n"))
+
+
+# what a question has retrieved is its link; some questions have none
+INPUTS["i_asked_link"] = "SELECT DISTINCT dp_id, db_id, table_name, lower(col_name) AS col_name FROM i_retrieved WHERE dp_id % 4 <> 0"
+
+
+@check(
+    "R5_schema_input_of_link",
+    CLOSED.replace("i_given", "i_asked_link").replace("i_dps", "i_asks")
+    + ", asked AS (SELECT c.dp_id, d.* FROM closed c JOIN i_defs d ON c.db_id = d.db_id AND c.table_name = d.table_name AND c.col_name = d.col_name),"
+    + noted_texts("asked", "fk"),
 )
 def _(s):
-    out = render.schema_input(s["i_asks"], s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"])
-    return out.select("dp_id", "db_id", F.md5("schema_text").alias("digest"), F.length("schema_text").cast("long").alias("n"))
+    return digested(render.schema_input(s["i_asks"], s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"], s["i_asked_link"]))
 
 
 @check(

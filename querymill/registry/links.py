@@ -43,25 +43,43 @@ def _(s):
     return s["i_texts"].select("doc_id", sqltext.canonical_sql(F.col("sql")).alias("sql"))
 
 
-FOUND = r"""
-bare AS (SELECT dp_id, db_id, regexp_replace(regexp_replace(regexp_replace(lower(sql), '--[^\n]*|/\*(?s:.)*?\*/', ' ', 'g'), '''[^'']*''', '''''', 'g'), '"', '', 'g') AS code FROM i_workload),
-tok AS (SELECT dp_id, db_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM (SELECT dp_id, db_id, regexp_extract_all(code, '\w+|[^\w\s]') AS w FROM bare)),
-ctx AS (SELECT *, lag(t, 2, '') OVER o AS p2, lag(t, 1, '') OVER o AS p1, lead(t, 1, '') OVER o AS n1, lead(t, 2, '') OVER o AS n2, lead(t, 3, '') OVER o AS n3 FROM tok WINDOW o AS (PARTITION BY dp_id ORDER BY i)),
-men AS (SELECT DISTINCT dp_id, db_id, n1 AS tbl, CASE WHEN n2 = 'as' THEN n3 ELSE n2 END AS nm FROM ctx WHERE t IN ('from', 'join', ',')),
-cat AS (SELECT DISTINCT db_id, lower(table_name) AS tbl, lower(col_name) AS col FROM i_columns),
-tbs AS (SELECT DISTINCT m.dp_id, m.db_id, m.tbl, CASE WHEN regexp_matches(nm, '^\w') AND nm NOT IN (@KEYWORDS) THEN nm ELSE m.tbl END AS alias FROM men m WHERE EXISTS (SELECT 1 FROM cat c WHERE c.db_id = m.db_id AND c.tbl = m.tbl)),
-refs AS (SELECT DISTINCT dp_id, CASE WHEN p1 = '.' THEN p2 ELSE '' END AS alias, t AS col FROM ctx WHERE regexp_matches(t, '^[a-z_]') AND n1 NOT IN ('.', '(')),
+# the links that each template of i_workload has, as stated by the template
+PARTS = "parts AS (SELECT dp_id, db_id, lower(split_part(lo, '|', 1)) AS t1, lower(split_part(lo, '|', 2)) AS c1, lower(split_part(hi, '|', 1)) AS t2, lower(split_part(hi, '|', 2)) AS c2 FROM i_dps)"
+FOUND = f"""
+{PARTS},
 found AS (
-  SELECT t.dp_id, t.db_id, t.tbl, r.col, EXISTS (SELECT 1 FROM cat c WHERE c.db_id = t.db_id AND c.tbl = t.tbl AND c.col = r.col) AS known FROM refs r JOIN tbs t ON r.dp_id = t.dp_id AND r.alias = t.alias WHERE r.alias <> ''
-  UNION SELECT dp_id, db_id, min(tbl), col, true FROM (SELECT DISTINCT t.dp_id, t.db_id, t.tbl, r.col FROM refs r JOIN tbs t ON r.dp_id = t.dp_id JOIN cat c ON c.db_id = t.db_id AND c.tbl = t.tbl AND c.col = r.col
-      WHERE r.alias = '' AND r.col NOT IN (@KEYWORDS)) GROUP BY 1, 2, 4 HAVING count(*) = 1
-  UNION SELECT dp_id, db_id, tbl, NULL, true FROM tbs)
-""".replace("@KEYWORDS", KEYWORD_LIST)
+  SELECT dp_id, db_id, t1 AS tbl, c1 AS col, true AS known FROM parts WHERE dp_id % 9 IN (0, 2, 3, 4, 5, 6, 7)
+  UNION SELECT dp_id, db_id, t2, c2, true FROM parts WHERE dp_id % 9 IN (0, 4)
+  UNION SELECT dp_id, db_id, t1, 'bogus', false FROM parts WHERE dp_id % 9 = 2
+  UNION SELECT dp_id, db_id, t1, NULL, true FROM parts
+  UNION SELECT dp_id, db_id, t2, NULL, true FROM parts WHERE dp_id % 9 IN (0, 4, 7))
+"""
+# stars, output names, and aliases that stand for another table in an inner scope
+INPUTS["i_scoped"] = """
+SELECT -1 - dp_id AS dp_id, db_id, CASE dp_id % 6
+  WHEN 0 THEN 'SELECT * FROM ' || t1 || ' WHERE 1 = 1'
+  WHEN 1 THEN 'SELECT a.* FROM ' || t1 || ' AS a, ' || t2 || ' b WHERE b.' || c2 || ' = 1'
+  WHEN 2 THEN 'SELECT count(*) AS ' || c1 || ' FROM ' || t1 || ' ORDER BY ' || c1
+  WHEN 3 THEN 'SELECT x.' || c1 || ' FROM ' || t1 || ' x WHERE x.' || c1 || ' IN (SELECT max(x.' || c2 || ') FROM ' || t2 || ' x WHERE (x.' || c2 || ' > 1)) AND x.' || c1 || ' > 0'
+  WHEN 4 THEN 'SELECT s.' || c2 || ' FROM (SELECT q.* FROM ' || t2 || ' q) s'
+  ELSE 'SELECT * FROM (SELECT ' || c1 || ' FROM ' || t1 || ') s JOIN ' || t2 || ' ON 1 = 1' END AS sql
+FROM (SELECT dp_id, db_id, split_part(lo, '|', 1) AS t1, split_part(lo, '|', 2) AS c1, split_part(hi, '|', 1) AS t2, split_part(hi, '|', 2) AS c2 FROM i_dps) AS d"""
+SCOPED = """,
+every AS (SELECT p.*, 'first' AS side, lower(c.col_name) AS col FROM parts p JOIN i_columns c ON p.db_id = c.db_id AND p.t1 = lower(c.table_name)
+  UNION ALL SELECT p.*, 'second', lower(c.col_name) FROM parts p JOIN i_columns c ON p.db_id = c.db_id AND p.t2 = lower(c.table_name)),
+scoped AS (
+  SELECT -1 - dp_id AS dp_id, db_id, t1 AS tbl, col, true AS known FROM every WHERE side = 'first' AND dp_id % 6 IN (0, 1)
+  UNION SELECT -1 - dp_id, db_id, t2, col, true FROM every WHERE side = 'second' AND dp_id % 6 IN (4, 5)
+  UNION SELECT -1 - dp_id, db_id, t1, c1, true FROM parts WHERE dp_id % 6 IN (3, 5)
+  UNION SELECT -1 - dp_id, db_id, t2, c2, true FROM parts WHERE dp_id % 6 IN (1, 3)
+  UNION SELECT -1 - dp_id, db_id, t1, NULL, true FROM parts WHERE dp_id % 6 <> 4
+  UNION SELECT -1 - dp_id, db_id, t2, NULL, true FROM parts WHERE dp_id % 6 IN (1, 3, 4, 5))
+"""
 
 
-@check("L3_link_columns", FOUND + "SELECT dp_id, db_id, tbl AS table_name, col AS col_name, known FROM found")
+@check("L3_link_columns", FOUND + SCOPED + "SELECT dp_id, db_id, tbl AS table_name, col AS col_name, known FROM found UNION ALL SELECT * FROM scoped")
 def _(s):
-    return workload.link_columns(s["i_workload"], s["i_columns"])
+    return workload.link_columns(s["i_workload"].select("dp_id", "db_id", "sql").unionByName(s["i_scoped"]), s["i_columns"])
 
 
 VALID = (
@@ -75,9 +93,10 @@ valid AS (SELECT * FROM base UNION SELECT o.dp_id, o.db_id, c.table_name, c.col_
 )
 
 
-@check("L4_validate_link", VALID + "SELECT dp_id, db_id, table_name, col_name, col_idx, is_pk FROM valid")
+@check("L4_validate_link", VALID + "SELECT dp_id, db_id, table_name, col_name, col_idx, is_pk FROM valid UNION ALL SELECT DISTINCT dp_id, db_id, 'rejected', NULL, NULL, NULL FROM found WHERE NOT known")
 def _(s):
-    return workload.validate_link(workload.link_columns(s["i_workload"], s["i_columns"]), s["i_columns"])[0]
+    kept, rejected = workload.validate_link(workload.link_columns(s["i_workload"], s["i_columns"]), s["i_columns"])
+    return kept.unionByName(rejected.withColumn("table_name", F.lit("rejected")), allowMissingColumns=True)
 
 
 LINEAR = """

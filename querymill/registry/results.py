@@ -95,12 +95,14 @@ def _(s):
     "E5_results_equal_set",
     """
 sets AS (SELECT e.dp_id, e.cand_id, e.is_gold, coalesce(b.rows, []) AS rows FROM i_execs e LEFT JOIN
-  (SELECT dp_id, cand_id, list_sort(list(DISTINCT r)) AS rows FROM (SELECT dp_id, cand_id, array_to_string(list_transform(cells, lambda c: coalesce(CAST(TRY_CAST(c AS DOUBLE) AS STRING), c, 'NULL')), ',') AS r FROM i_results) GROUP BY 1, 2) b
+  (SELECT dp_id, cand_id, list_sort(list(DISTINCT r)) AS rows FROM (SELECT dp_id, cand_id, coalesce(cells[1], 'NULL') || ',' || coalesce(CASE WHEN cand_id % 5 = 4 THEN 'text ' || cells[2] ELSE CAST(TRY_CAST(cells[2] AS DOUBLE) AS STRING) END, 'NULL') AS r FROM i_results) GROUP BY 1, 2) b
   ON e.dp_id = b.dp_id AND e.cand_id = b.cand_id WHERE e.status = 'success')
 SELECT c.dp_id, c.cand_id, c.rows = g.rows AS equal_set FROM sets c JOIN sets g ON c.dp_id = g.dp_id AND g.is_gold WHERE NOT c.is_gold""",
 )
 def _(s):
-    return results.results_equal_set(s["i_execs"], s["i_results"])
+    # some candidates return the number as text
+    second = F.when(F.col("cand_id") % 5 == 4, "text").otherwise("number")
+    return results.results_equal_set(s["i_execs"], s["i_results"].withColumn("types", F.array(F.lit("text"), second)))
 
 
 @check(

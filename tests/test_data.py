@@ -216,3 +216,31 @@ def test_stars_and_output_names(spark):
     assert got[1] == {"t.a", "t.b", "t.i", "u.c"}
     assert 2 not in got
     assert got[3] == {"t.a"}
+
+
+def test_names_belong_to_the_innermost_scope(spark):
+    columns = spark.createDataFrame([("d", t, c) for t, cs in (("t", "abi"), ("u", "ci")) for c in cs], "db_id string, table_name string, col_name string")
+    texts = [
+        "SELECT x.c FROM u x WHERE x.i IN (SELECT max(x.a) FROM t x WHERE (x.b = 1)) AND x.c > 0",
+        "SELECT i FROM u WHERE EXISTS (SELECT 1 FROM t y WHERE y.a = u.c)",
+        "SELECT * FROM (SELECT i FROM t) s JOIN u ON 1 = 1",
+        "SELECT s.k FROM (SELECT q.* FROM t q) s",
+        "SELECT x.a) FROM t x",
+    ]
+    work = spark.createDataFrame([(i, "d", s) for i, s in enumerate(texts)], "dp_id long, db_id string, sql string")
+    got = {}
+    for r in workload.link_columns(work, columns).filter("col_name IS NOT NULL").collect():
+        assert r.known
+        got.setdefault(r.dp_id, set()).add(f"{r.table_name}.{r.col_name}")
+    assert got[0] == {"u.c", "u.i", "t.a", "t.b"}
+    assert got[1] == {"u.i", "t.a", "u.c"}
+    assert got[2] == {"t.i", "u.c", "u.i"}
+    assert got[3] == {"t.a", "t.b", "t.i"}
+    assert got[4] == {"t.a"}
+
+
+def test_values_and_their_vectors(spark):
+    values = spark.createDataFrame([("a",), ("b",), ("c",)], "value string")
+    vectors = spark.createDataFrame([("a", [2.0]), ("a", [1.0]), ("b", [3.0])], "value string, embedding array<float>")
+    assert sorted((r.value, r.embedding) for r in retrieval.build_value_index(values, vectors).collect()) == [("a", [1.0]), ("b", [3.0])]
+    assert [r.value for r in retrieval.values_without_vector(values, vectors).collect()] == ["c"]

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from querymill.operators import render, retrieval
-from querymill.plans import evaluation, preparation, training
+from querymill.operators import links, render, retrieval
+from querymill.plans import evaluation, linking, preparation, training
 
 CATALOG = (
     "db_id string, table_names array<string>, table_names_original array<string>, column_names array<struct<table_idx:int,name:string>>, "
@@ -47,6 +47,27 @@ def test_preparation(spark, pets):
     )
 
 
+def test_linking(spark, pets):
+    raw, declared = pets
+    nulls = declared.select("db_id", "table_name", "col_name", F.lit(False).alias("contains_null"))
+    columns, fks = preparation.describe_columns(raw, declared, nulls), preparation.foreign_keys(raw)
+    dps = spark.createDataFrame([(i, "pets" if i < 4 else "gone") for i in range(5)], "dp_id long, db_id string")
+    texts = ['{"PETS": ["pid"]}', '{"owners": "oid"}', "{}", '{"pets": []}', '{"pets": ["pid"]}']
+    answers = spark.createDataFrame([(i, "pets" if i < 4 else "gone", t) for i, t in enumerate(texts) if i != 3], "dp_id long, db_id string, text string")
+    static = spark.createDataFrame([("pets", "pets", "kind", ["cat"])], "db_id string, table_name string, col_name string, examples array<string>")
+    found = spark.createDataFrame([(0, "pets", "kind", 1, "dog")], "dp_id long, table_name string, col_name string, rn long, value string")
+    closed = linking.answered_links(dps, answers, columns, fks)
+    asked = links.columns_to_judge(closed.filter("dp_id = 0"), columns, fks)
+    assert [r.col_name for r in asked.collect()] == ["kind"]
+    got = {r.dp_id: r.schema_text for r in linking.linked_schemas(dps, answers, asked.withColumn("useful", F.lit(True)), columns, fks, static, found).collect()}
+    assert got[0] == (
+        '-- Database name: pets\n-- Database schema:\nCREATE TABLE "pets" ( -- Table Description: animals\n    "pid" INTEGER,\n'
+        "    \"kind\" TEXT, -- Column Meaning: sort of pet | Value Examples: ['dog', 'cat']\n    PRIMARY KEY (\"pid\")\n);\n"
+    )
+    assert got[1] == "" and got[4] == ""
+    assert '"owners"' in got[2] and '"pets"' in got[2]
+
+
 def test_training(spark, pets):
     raw, declared = pets
     nulls = declared.select("db_id", "table_name", "col_name", F.lit(False).alias("contains_null"))

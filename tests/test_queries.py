@@ -26,7 +26,7 @@ def plain(value):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
-    assert len(QUERIES) == 86
+    assert len(QUERIES) == 87
 
 
 def test_entry(spark):

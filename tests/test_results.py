@@ -42,6 +42,14 @@ def test_value_equality_of_numbers(spark):
     assert k[5] != k[6]
 
 
+def test_text_is_no_number_where_types_are_known(spark):
+    execs = spark.createDataFrame([(1, c, "s", "success", c == 0) for c in range(3)], "dp_id long, cand_id long, sql string, status string, is_gold boolean")
+    rows = [(1, 0, 0, ["1", None], ["number", "text"]), (1, 1, 0, ["1", None], ["text", "text"]), (1, 2, 0, ["1.0", None], ["number", None])]
+    found = spark.createDataFrame(rows, "dp_id long, cand_id long, row_no long, cells array<string>, types array<string>")
+    assert {r.cand_id: r.equal_set for r in results.results_equal_set(execs, found).collect()} == {1: False, 2: True}
+    assert {r.cand_id: r.equal_set for r in results.results_equal_set(execs, found.drop("types")).collect()} == {1: True, 2: True}
+
+
 def test_failed_gold_leaves_nothing_to_compare(spark):
     execs, rows = frames(spark, [[("a",)], [("a",)]])
     failed = execs.withColumn("status", F.when(F.col("is_gold"), "error").otherwise("success"))
