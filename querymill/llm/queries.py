@@ -81,9 +81,12 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
-    """Every turn that is not the assistant's calls for an answer; the assistant's turn answers the turn before it."""
+    """Every turn that is not the assistant's calls for an answer; the assistant's turn answers the turn before it.
+
+    A row a call and result; a turn without number has no id and links to nothing.
+    """
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    name_of = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
+    name_of = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
     turn = F.col("turn")
     arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("text"), F.length("text").alias("chars")))
     is_answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
@@ -93,8 +96,9 @@ def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
     results = turns.filter(is_answer).select("conv_id", name_of(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
     schemas = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean")
-    found = toolcalls.linked(calls, results, schemas)
-    return found.select("conv_id", "call_id", "position", "level", "status", F.array_join("problems", "; ").alias("problems"), "valid", "json")
+    found = toolcalls.linked(calls, results, schemas).withColumn("result", F.explode_outer("results"))
+    json = toolcalls.spelled(F.col("arguments"), F.col("call_id"), F.col("name"), F.col("result.content"))
+    return found.select("conv_id", "call_id", "position", "level", "status", F.array_join("problems", "; ").alias("problems"), "valid", json.alias("json"))
 
 
 @query

@@ -178,6 +178,17 @@ def test_tool_calls(chat):
     assert all(json.loads(r["json"]) is not None for r in got.values())
 
 
+def test_every_result_stays(spark, chat):
+    calls, _, schemas = chat
+    results = [(1, "a", 3, "later"), (1, "a", 2, "first"), (1, "a", 3, "later"), (1, "zz", 4, "p"), (1, "zz", 5, "q"), (4, None, 1, "x"), (4, None, 2, "y"), (None, "a", 3, "z"), (None, "a", 3, "z")]
+    got = toolcalls.linked(calls, spark.createDataFrame(results, RESULTS), schemas).collect()
+    answers = {(r["call_id"], r["position"]): [tuple(x) for x in r["results"]] for r in got if r["conv_id"] == 1 and r["status"] != "orphan"}
+    assert answers == {("a", 0): [(2, "first"), (3, "later"), (3, "later")], ("b", 1): [], ("b", 5): []}
+    lost = [(r["conv_id"], r["call_id"], r["position"], *(x["content"] for x in r["results"]), json.loads(r["json"])["result"]) for r in got if r["status"] == "orphan"]
+    assert sorted(lost, key=str) == sorted([(c, i, p, t, t) for c, i, p, t in results[3:]], key=str)
+    assert len(got) == 11 + 6
+
+
 def test_no_calls(chat):
     assert toolcalls.linked(*[t.limit(0) for t in chat]).count() == 0
 

@@ -48,6 +48,21 @@ def test_query(spark, con, name):
     assert got == sorted(tuple(plain(row[i]) for i in places) for row in rel.fetchall())
 
 
+def test_repeated_answers(spark, tmp_path):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (2, 3, "assistant", "lost"), (2, 3, "assistant", "lost too")]
+    turns += [(3, 0, "user", "q"), (3, None, "assistant", "x"), (3, None, "assistant", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.sql(ORACLES["op7_tool_calls"])
+    columns = [c for c in rel.columns if c != "json"]
+    key = lambda rows: sorted(tuple(map(repr, r)) for r in rows)
+    found = QUERIES["op7_tool_calls"](spark, str(tmp_path)).select(*columns, "json").collect()
+    assert key(r[:-1] for r in found) == key(rel.select(*columns).fetchall())
+    want = rel.filter("json IS NOT NULL").select(*columns, "json").fetchall()
+    assert len(want) >= 6 and key(r for r in found if r["call_id"] is not None) == key(r for r in want if r[columns.index("call_id")] is not None)
+
+
 def test_token_query(spark, documents):
     encode = tokencount.encoder(tokencount.VOCABULARY).encode_ordinary
     want = {r["doc_id"]: len(encode(r["text"] or "")) for r in documents.collect()}
