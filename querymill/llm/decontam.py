@@ -14,15 +14,17 @@ from querymill.llm.text import broadcast_if_small, packed, staged, text_key, tok
 
 MASKS = ("110111011", "111010111")
 SPAN = len(MASKS[0])
+#: With this one beside MASKS, every stretch of SPAN to OVERLAP tokens that the verifier accepts holds a seed, wherever its misses are.
+SHORT = "111101"
 OVERLAP, MISSES = 13, 2
 
 
 def seeds(hashed: Column) -> Column:
-    """Hashes of all masks at all positions: the k-th mask at position i stands at i * len(MASKS) + k."""
+    """Hashes of all masks at all positions, MASKS before SHORT: the k-th mask at position i stands at i * (len(MASKS) + 1) + k, null where it passes the end."""
     n = F.size(hashed)
-    one = lambda i, m: F.xxhash64(*[F.get(hashed, i + k) for k, c in enumerate(m) if c == "1"], F.lit(m))
-    every = F.transform(F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0))), lambda i: F.array(*[one(i, m) for m in MASKS]))
-    return F.when(n >= SPAN, F.flatten(every)).otherwise(F.array().cast("array<bigint>"))
+    one = lambda i, m: F.when(i + len(m) <= n, F.xxhash64(*[F.get(hashed, i + k) for k, c in enumerate(m) if c == "1"], F.lit(m)))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n - len(SHORT), F.lit(0))), lambda i: F.array(*[one(i, m) for m in (*MASKS, SHORT)]))
+    return F.when(n >= len(SHORT), F.flatten(every)).otherwise(F.array().cast("array<bigint>"))
 
 
 def seeded(texts: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def seeded(texts: DataFrame) -> DataFrame:
     """
     hashed = texts.select("key", tokens(F.col("text")).alias("t")).select("key", F.transform("t", lambda x: F.xxhash64(x)).alias("hw"))
     rows = hashed.select("key", seeds(F.col("hw")).alias("s")).select("key", F.posexplode_outer("s").alias("p", "seed"))
-    return rows.select("key", "seed", F.floor(F.col("p") / len(MASKS)).cast("int").alias("at"))
+    return rows.select("key", "seed", F.floor(F.col("p") / (len(MASKS) + 1)).cast("int").alias("at"))
 
 
 def overlaps(doc: Column, item: Column, shift: Column) -> Column:
@@ -52,7 +54,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = staged(benchmark.select("item_id", text_key(F.col("text")).alias("ikey"), F.coalesce("text", F.lit("")).alias("itext")), "items")
     texts = items.select(F.col("ikey").alias("key"), F.col("itext").alias("text")).distinct()
-    wanted = staged(seeded(texts).select(F.col("key").alias("ikey"), "seed", F.col("at").alias("item_at")).distinct(), "item-seeds")
+    long = texts.filter(F.size(tokens(F.col("text"))) >= SPAN)
+    wanted = staged(seeded(long).filter("seed IS NOT NULL").select(F.col("key").alias("ikey"), "seed", F.col("at").alias("item_at")).distinct(), "item-seeds")
     own = docs.select(text_key(F.col("text")).alias("key"), F.col("text"))
     hits = seeded(own).join(broadcast_if_small(wanted), "seed")
     shifts = staged(hits.select("key", "ikey", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")

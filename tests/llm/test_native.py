@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,28 @@ def test_leaks(spark, odd, documents):
     assert clean.count() == len(got) - want
 
 
+@pytest.mark.parametrize("size", [9, 10, 12, 13])
+def test_every_accepted_stretch_is_found(spark, size):
+    """All ways to replace or cut tokens of a stretch, against the verifier's rule alone."""
+    item = [f"q{i}" for i in range(size)]
+    gone = [c for n in (1, 2, 3) for c in combinations(range(size), n)]
+    docs = [" ".join(["x", "y", *[f"z{i}" if i in c else t for i, t in enumerate(item)], "x"]) for c in gone]
+    docs += [" ".join(item[a:b]) for a in range(size) for b in range(a + 1, size + 1)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = decontam.marked(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    want = {d for d, t in enumerate(docs) if leaked(t, " ".join(item))}
+    assert {r["doc_id"] for r in got if r["items"]} == want
+    assert size < 13 or len(want & set(range(size, size + 78))) == 78
+
+
+def test_fifth_tokens_replaced(spark):
+    item = [f"q{i}" for i in range(40)]
+    docs = [" ".join(f"z{i}" if i % 5 == k else t for i, t in enumerate(item)) for k in range(5)]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = decontam.marked(rows, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert all(leaked(t, " ".join(item)) for t in docs) and all(r["items"] == [1] for r in got)
+
+
 def test_leaks_of_nothing(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.drop_leaks(none, empty).dtypes == none.dtypes
