@@ -7,6 +7,8 @@ a diagonal, along which document and item are compared token by token, toleratin
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,45 +21,55 @@ SHORT = "111101"
 OVERLAP, MISSES = 13, 2
 
 
-def seeds(hashed: Column) -> Column:
-    """Hashes of all masks at all positions, MASKS before SHORT: the k-th mask at position i stands at i * (len(MASKS) + 1) + k, null where it passes the end."""
-    n = F.size(hashed)
+def whole(size: int) -> str:
+    """The mask of an item of fewer than SPAN tokens: all of it."""
+    return "1" * size
+
+
+def seeds(hashed: Column, masks: tuple[str, ...]) -> Column:
+    """Hashes of all masks at all positions: the k-th mask at position i stands at i * len(masks) + k, null where it passes the end."""
+    n, least = F.size(hashed), min(len(m) for m in masks)
     one = lambda i, m: F.when(i + len(m) <= n, F.xxhash64(*[F.get(hashed, i + k) for k, c in enumerate(m) if c == "1"], F.lit(m)))
-    every = F.transform(F.sequence(F.lit(0), F.greatest(n - len(SHORT), F.lit(0))), lambda i: F.array(*[one(i, m) for m in (*MASKS, SHORT)]))
-    return F.when(n >= len(SHORT), F.flatten(every)).otherwise(F.array().cast("array<bigint>"))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0))), lambda i: F.array(*[one(i, m) for m in masks]))
+    return F.when(n >= least, F.flatten(every)).otherwise(F.array().cast("array<bigint>"))
 
 
-def seeded(texts: DataFrame) -> DataFrame:
+def seeded(texts: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """texts (key, text) -> a row a seed: key, seed, at (position of its span).
 
     The outer form keeps the optimizer from testing the size of the array below, which would compute it twice;
     texts without seeds give a null seed, which joins nothing.
     """
     hashed = texts.select("key", tokens(F.col("text")).alias("t")).select("key", F.transform("t", lambda x: F.xxhash64(x)).alias("hw"))
-    rows = hashed.select("key", seeds(F.col("hw")).alias("s")).select("key", F.posexplode_outer("s").alias("p", "seed"))
-    return rows.select("key", "seed", F.floor(F.col("p") / (len(MASKS) + 1)).cast("int").alias("at"))
+    rows = hashed.select("key", seeds(F.col("hw"), masks).alias("s")).select("key", F.posexplode_outer("s").alias("p", "seed"))
+    return rows.select("key", "seed", F.floor(F.col("p") / len(masks)).cast("int").alias("at"))
 
 
 def overlaps(doc: Column, item: Column, shift: Column) -> Column:
-    """True if some stretch of the item (OVERLAP tokens, or all if it has fewer) lies in the document at this shift with at most MISSES substitutions, and MISSES * n / OVERLAP for short items."""
+    """True if some stretch of the item (OVERLAP tokens, or all if it has fewer) lies in the document at this shift with at most MISSES substitutions, MISSES * n / OVERLAP for items of n tokens from SPAN to OVERLAP, and none for shorter ones."""
     same = F.transform(item, lambda x, j: F.when(F.get(doc, shift + j) == x, 1).otherwise(0))
     size = F.least(F.lit(OVERLAP), F.size(item))
-    enough = lambda i: F.aggregate(F.slice("_same", i, F.col("_size")), F.lit(0), lambda a, x: a + x) >= F.col("_size") - F.floor(F.col("_size") * MISSES / OVERLAP)
+    misses = F.when(F.col("_size") < SPAN, 0).otherwise(F.floor(F.col("_size") * MISSES / OVERLAP))
+    enough = lambda i: F.aggregate(F.slice("_same", i, F.col("_size")), F.lit(0), lambda a, x: a + x) >= F.col("_size") - misses
     return F.struct(same.alias("same"), size.alias("size")), F.exists(F.sequence(F.lit(1), F.size("_same") - F.col("_size") + 1), enough)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, items): texts of docs that hold a benchmark passage, by text_key, and the item ids, sorted.
 
-    docs: text; benchmark: item_id, text. Items of fewer than SPAN tokens prove nothing and are not searched. Null texts
-    are empty. Copies of a text are verified once. Items with null id count, but leave no id in the list.
+    docs: text; benchmark: item_id, text. Items of fewer than SPAN tokens are searched as a whole, without substitutions;
+    items without tokens leak nowhere. Null texts are empty. Copies of a text are verified once. Items with null id count, but leave no id in the list.
     """
     items = staged(benchmark.select("item_id", text_key(F.col("text")).alias("ikey"), F.coalesce("text", F.lit("")).alias("itext")), "items")
     texts = items.select(F.col("ikey").alias("key"), F.col("itext").alias("text")).distinct()
-    long = texts.filter(F.size(tokens(F.col("text"))) >= SPAN)
-    wanted = staged(seeded(long).filter("seed IS NOT NULL").select(F.col("key").alias("ikey"), "seed", F.col("at").alias("item_at")).distinct(), "item-seeds")
+    sizes = F.size(tokens(F.col("text")))
+    short = sorted(r["n"] for r in texts.select(sizes.alias("n")).distinct().filter(F.col("n").between(1, SPAN - 1)).collect())
+    masks = (*MASKS, SHORT)
+    parts = [seeded(texts.filter(sizes >= SPAN), masks)] + [seeded(texts.filter(sizes == n), (whole(n),)) for n in short]
+    every = reduce(DataFrame.union, parts).filter("seed IS NOT NULL")
+    wanted = staged(every.select(F.col("key").alias("ikey"), "seed", F.col("at").alias("item_at")).distinct(), "item-seeds")
     own = docs.select(text_key(F.col("text")).alias("key"), F.col("text"))
-    hits = seeded(own).join(broadcast_if_small(wanted), "seed")
+    hits = seeded(own, (*masks, *map(whole, short))).join(broadcast_if_small(wanted), "seed")
     shifts = staged(hits.select("key", "ikey", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "hits")
     held = broadcast_if_small(staged(shifts.select("key").distinct(), "hit-texts"))
     full = own.join(held, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("doc"))

@@ -170,6 +170,18 @@ def test_fifth_tokens_replaced(spark):
     assert all(leaked(t, " ".join(item)) for t in docs) and all(r["items"] == [1] for r in got)
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "one"), (2, "Two, short"), (3, "a b c d e f g h"), (4, "这是一个完整的句子"), (5, "..."), (6, None), (7, "p q r s t u v w x")]
+    docs = {
+        "say ONE": [1], "two short": [2], "too two; SHORT one": [1, 2], "two x short": None, "shorttwo": None, "x a b c d e f g h": [3], "a b c d X f g h": None,
+        "b c d e f g h": None, "他说：这是一个完整的句子。": [4], "这是一个完整的": None, "...": None, "p q r X t u v w x": [7], "q r s t u v w x": [7], "": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in docs], "text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {r["text"]: r["items"] for r in decontam.marked(rows, bench).collect()} == docs
+    assert decontam.drop_leaks(rows, bench).count() == sum(x is None for x in docs.values())
+
+
 def test_leaks_of_nothing(spark, odd, none):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.drop_leaks(none, empty).dtypes == none.dtypes
