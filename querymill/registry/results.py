@@ -43,7 +43,7 @@ def _(s):
     return s["i_generations"].select("doc_id", sqltext.clean_sql(F.col("text")).alias("sql"))
 
 
-# one statement per nation, line status and month of the line items, most of them queries
+# one row per nation with one of four statement texts, two of them queries
 INPUTS["i_statements"] = """
 SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS dp_id, CAST(n_nationkey % 4 AS BIGINT) AS cand_id, n_nationkey % 4 = 0 AS is_gold, CASE n_nationkey % 4
   WHEN 0 THEN 'SELECT l_returnflag, count(*) FROM lineitem WHERE l_linestatus = ''' || l_linestatus || ''' GROUP BY l_returnflag;'
