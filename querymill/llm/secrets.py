@@ -41,8 +41,10 @@ ADDED = (
     Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
 )
-LEDGER = "sha string, scanned array<string>, spans array<struct<start: int, kind: int, end: int, name: string>>"
 SPANS = "array<struct<start: int, kind: int, end: int, name: string>>"
+#: Spans of the ledger also hold the key of the rule that found them.
+FOUND = "array<struct<start: int, kind: int, end: int, name: string, rule: string>>"
+LEDGER = f"sha string, scanned array<string>, spans {FOUND}"
 
 
 def address(text: Column) -> Column:
@@ -51,13 +53,13 @@ def address(text: Column) -> Column:
 
 def spans_of(rule: Rule, order: int, matches: Column, pieces: Column, groups: Column) -> Column:
     """Spans in code points, from the matches and from the pieces of text between them."""
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast(SPANS).alias("out"))
-    empty = F.array().cast(SPANS)
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast(FOUND).alias("out"))
+    empty = F.array().cast(FOUND)
 
     def step(s: Column, m: Column) -> Column:
         start = s["at"] + F.length(F.get(pieces, s["k"]))
         end = start + F.length(m)
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.lit(rule.kind).alias("name")))
+        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), F.lit(rule.kind).alias("name"), F.lit(rule.key).alias("rule")))
         long_enough = F.length(F.get(groups, s["k"])) >= rule.least
         out = F.when(long_enough, F.concat(F.coalesce(s["out"], empty), span)).otherwise(s["out"])
         return F.struct(end.alias("at"), (s["k"] + 1).alias("k"), out.alias("out"))
@@ -73,7 +75,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         df = df.withColumn(f"_m{i}", F.when(wanted, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))))
         df = df.withColumn(f"_g{i}", F.when(wanted, F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(rule.group))) if rule.group else F.col(f"_m{i}"))
         df = df.withColumn(f"_p{i}", F.when(wanted, F.split("text", rule.pattern, -1)))
-    found = [F.coalesce(spans_of(r, i, F.col(f"_m{i}"), F.col(f"_p{i}"), F.col(f"_g{i}")), F.array().cast(SPANS)) for i, r in enumerate(rules)]
+    found = [F.coalesce(spans_of(r, i, F.col(f"_m{i}"), F.col(f"_p{i}"), F.col(f"_g{i}")), F.array().cast(FOUND)) for i, r in enumerate(rules)]
     return df.select("sha", F.col("todo").alias("scanned"), F.concat(*found).alias("spans"))
 
 
@@ -101,17 +103,16 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: t
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
     """versions with ``spans`` (start, kind, end, name), sorted by start and kind, for the current rule versions.
 
-    Kind numbers follow the order of rules. A blob whose rules were scanned in several runs has several
-    ledger rows, as many as rule versions at most.
+    Spans of other versions are left out, also if the same run scanned a current rule. Kind numbers follow the order
+    of rules. A blob whose rules were scanned in several runs has several ledger rows, as many as rule versions at most.
     """
     order = {r.kind: i for i, r in enumerate(rules)}
     place = F.create_map(*[x for k, i in order.items() for x in (F.lit(k), F.lit(i))])
-    known = F.array(*[F.lit(k) for k in order])
     valid = F.array(*[F.lit(r.key) for r in rules])
     hits = (
         ledger.filter((F.size("spans") > 0) & (F.size(F.array_intersect("scanned", valid)) > 0))
         .select(F.col("sha").alias("_sha"), F.explode("spans").alias("x"))
-        .filter(F.array_contains(known, F.col("x.name")))
+        .filter(F.array_contains(valid, F.col("x.rule")))
         .groupBy("_sha")
         .agg(F.array_sort(F.collect_set(F.struct(F.col("x.start").alias("start"), place[F.col("x.name")].alias("kind"), F.col("x.end").alias("end"), F.col("x.name").alias("name")))).alias("spans"))
     )
