@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.llm import decontam, jaccard, language, lines, mixing, quality, secrets, tokencount, toolcalls, warc
+from querymill.llm import alignment, decontam, jaccard, language, lines, mixing, quality, secrets, sketches, spelling, tokencount, toolcalls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -106,6 +106,21 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.count_tokens(tokencount.write_tokens(table(spark, folder, "documents").select("doc_id", "text")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_bottom_k_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.components_of(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 #: Schemas of the two tools that op7 reads conversations as; instruct asks for a field that turns lack.
 TOOLS = [
     ("ask", "turn", "integer", True),
