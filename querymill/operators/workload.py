@@ -1,7 +1,8 @@
 """SQL workloads: which rows to keep and which columns each statement touches.
 
-Statements are read as token lists; nothing here parses SQL. Parentheses give the scopes of tables: a name
-belongs to the innermost table around it. Branches of a set operation share one scope.
+Statements are read as token lists; nothing here parses SQL. One fold over the tokens carries a stack of levels, one for every open
+parenthesis: the scope (one for every SELECT, so branches of a set operation have scopes of their own) and the clause it is in.
+Every name gets the levels around it; a name belongs to the innermost scope that has a source for it.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import let
-from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD, without_literals
+from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD
 from querymill.operators.links import column_key, is_chosen, is_linked
 
-WORDS = f"{WORD}|{SYMBOL}"
+CODE = rf"""'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|{WORD}|{SYMBOL}"""
+SET_OPERATORS = ("union", "intersect", "except")
+#: Clauses of a level, and what else a token can be to the fold.
+WITH, SELECT, FROM, ON, WHERE, ORDER, USING, QUERY, PAREN, CLOSE, BRANCH, COMMA, NAME, STAR = range(14)
 
 
 def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[str, ...] = (), bad_dbs: tuple[str, ...] = ()) -> DataFrame:
@@ -28,68 +32,157 @@ def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[
     return kept.join(databases.select("db_id").distinct(), "db_id", "left_semi")
 
 
+def code_tokens(sql: Column) -> Column:
+    """Tokens in lower case without comments; a literal is ``'``, a quoted name is its text behind ``"``."""
+    found = F.filter(F.regexp_extract_all(sql, F.lit(CODE), F.lit(0)), lambda t: ~t.startswith("--") & ~t.startswith("/*"))
+    quoted = lambda t: F.concat(F.lit('"'), F.lower(F.substring(t, F.lit(2), F.length(t) - 2)))
+    return F.transform(found, lambda t: F.when(t.startswith("'"), F.lit("'")).when((F.length(t) > 1) & t.rlike('^["`]'), quoted(t)).otherwise(F.lower(t)))
+
+
+def bare(token: Column) -> Column:
+    return F.when(token.startswith('"'), F.substring(token, 2, 1_000_000)).otherwise(token)
+
+
+def _kind(t: Column, before: Column, after: Column) -> Column:
+    """What a token is to the fold; null if nothing."""
+    return (
+        F.when((t == "(") & after.isin("select", "with"), QUERY)
+        .when(t == "(", PAREN)
+        .when(t == ")", CLOSE)
+        .when(t == ",", COMMA)
+        .when(t == "*", STAR)
+        .when(t == "select", SELECT)
+        .when((t == "from") & (before == "distinct"), F.lit(None))
+        .when(t.isin("from", "join"), FROM)
+        .when(t == "on", ON)
+        .when(t == "using", USING)
+        .when(t.isin("where", "limit") | ((t == "group") & (after == "by")), WHERE)
+        .when((t == "having") | ((t == "order") & (after == "by")), ORDER)
+        .when(t.isin(*SET_OPERATORS), BRANCH)
+        .when(t.rlike(r'^["\p{L}_]') & (~t.isin(KEYWORDS) | (before == ".") | (after == ".") | (t == "order")), NAME)
+    )
+
+
+def scoped_names(w: Column) -> Column:
+    """Names, stars and closed subqueries of a token list, each with the levels around it: ``struct<i, kind, levels>``.
+
+    A level is ``struct<scope, clause, inner>``; ``inner`` tells a parenthesis that opens no query, which stays in the scope around it.
+    """
+    at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
+    marks = F.filter(F.transform(w, lambda t, i: F.struct(i.alias("i"), _kind(t, at(i - 1), at(i + 1)).alias("kind"))), lambda m: m["kind"].isNotNull())
+    level = lambda scope, clause, inner: F.struct(scope.alias("scope"), clause.cast("int").alias("clause"), inner.alias("inner"))
+    no, yes = F.lit(False), F.lit(True)
+
+    def step(acc: Column, m: Column) -> Column:
+        levels, kind = acc["levels"], m["kind"]
+        top = F.element_at(levels, -1)
+        outer = F.slice(levels, F.lit(1), F.size(levels) - 1)
+        clause = F.when(kind.between(SELECT, USING), kind).when((kind == COMMA) & top["clause"].isin(ON, USING) & ~top["inner"], FROM)
+        after = (
+            F.when(kind == QUERY, F.array_append(levels, level(acc["fresh"], F.lit(WITH), no)))
+            .when(kind == PAREN, F.array_append(levels, level(top["scope"], top["clause"], yes)))
+            .when((kind == CLOSE) & (F.size(levels) > 1), outer)
+            .when(kind == BRANCH, F.array_append(outer, level(acc["fresh"], F.lit(WITH), no)))
+            .when(clause.isNotNull(), F.array_append(outer, level(top["scope"], clause, top["inner"])))
+            .otherwise(levels)
+        )
+        kept = kind.isin(NAME, STAR) | ((kind == CLOSE) & ~top["inner"] & (F.size(levels) > 1))
+        return let(
+            after,
+            lambda now: F.struct(
+                now.alias("levels"),
+                (acc["fresh"] + F.when(kind.isin(QUERY, BRANCH), 1).otherwise(0)).alias("fresh"),
+                F.when(kept, F.array_append(acc["seen"], F.struct(m["i"].alias("i"), kind.alias("kind"), now.alias("levels")))).otherwise(acc["seen"]).alias("seen"),
+            ),
+        )
+
+    start = F.expr(
+        "struct(array(struct(0 AS scope, 0 AS clause, false AS inner)) AS levels, 1 AS fresh, cast(array() AS array<struct<i: int, kind: int, levels: array<struct<scope: int, clause: int, inner: boolean>>>>) AS seen)"
+    )
+    return F.aggregate(marks, start, step, lambda acc: acc["seen"])
+
+
 def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
     """What each statement touches: ``dp_id, db_id, table_name, col_name, known``, all in lower case.
 
-    A table is a catalog name after FROM, JOIN or a comma. ``alias.column`` belongs to the alias's
-    table; it is not ``known`` when that table lacks it. A bare column counts when exactly one
-    table of the innermost scope with any has it. A star of a select list stands for all columns of its alias's
-    table, or of all tables of its scope. A name after AS is no column, nor is it where it stands later on its own.
-    A touched table also has a row without column.
+    Sources are the names of a FROM clause and its subqueries; a source is a table when the catalog has it and no WITH in sight
+    names it. ``alias.column`` belongs to the source of that alias in the innermost scope with one, and is not ``known`` when that table lacks it.
+    A bare column counts when exactly one table of the innermost scope with any has it; the columns of USING belong to
+    all tables of their scope. Output names, with AS or without, are no columns, nor are they in ORDER BY and HAVING; what a
+    subquery puts out hides columns of outer scopes. A star of a select list stands for all columns of its alias's
+    table, or of all tables of its scope. A touched table also has a row without column.
 
     A statement is matched against its database's names inside one row: one join, no pairs.
     """
     per_table = columns.groupBy("db_id", F.lower("table_name").alias("t")).agg(F.collect_set(F.lower("col_name")).alias("cols"))
     names = per_table.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "cols"))).alias("names"))
-    words = F.regexp_extract_all(F.lower(without_literals(F.col("sql"))), F.lit(WORDS), F.lit(0))
-    rows = workload.select("dp_id", "db_id", words.alias("w")).join(names, "db_id")
+    rows = workload.select("dp_id", "db_id", code_tokens(F.col("sql")).alias("w")).join(names, "db_id")
 
     at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    places = lambda cond: F.filter(F.transform("w", lambda t, i: i), cond)
-    rows = rows.withColumn("opens", places(lambda i: at(i) == "(")).withColumn("closes", places(lambda i: at(i) == ")"))
-    depth = lambda i: F.size(F.filter("opens", lambda o: o < i)) - F.size(F.filter("closes", lambda c: c < i))
-    # the parentheses around a token: the last one opened, and the first one closed, on its level
-    low = lambda i: let(depth(i), lambda d: F.coalesce(F.array_max(F.filter("opens", lambda o: (o < i) & (depth(o) == d - 1))), F.lit(-1)))
-    high = lambda i: let(depth(i), lambda d: F.coalesce(F.array_min(F.filter("closes", lambda c: (c > i) & (depth(c) == d))), F.size("w")))
-    named = lambda i: F.when(at(i + 2) == "as", at(i + 3)).otherwise(at(i + 2))
-    alias = lambda i: let(named(i), lambda n: F.when(n.rlike(r"^[\p{L}\p{N}_]") & ~n.isin(KEYWORDS), n).otherwise(at(i + 1)))
-    mentions = F.transform(
-        places(lambda i: at(i).isin("from", "join", ",") & F.map_contains_key("names", at(i + 1))),
-        lambda i: F.struct(at(i + 1).alias("t"), alias(i).alias("a"), low(i).alias("low"), high(i).alias("high")),
+    is_word = lambda t: t.rlike(r'^["\p{L}\p{N}_]') & ~t.isin(KEYWORDS)
+    named = lambda i: F.when(at(i + 1) == "as", at(i + 2)).otherwise(at(i + 1))
+    qualifier = lambda i: F.when(at(i - 1) == ".", bare(at(i - 2))).otherwise("")
+    # where an expression can end, a further name is what it is called
+    ends = lambda t: is_word(t) | t.isin(")", "'", "end", "null", "true", "false")
+    stops = lambda t: t.isin(",", "from", ")", "", ";", *SET_OPERATORS)
+
+    def placed(x: Column) -> Column:
+        i, top = x["i"], F.element_at(x["levels"], -1)
+        unqualified = at(i - 1) != "."
+        is_name = x["kind"] == NAME
+        in_list = (top["clause"] == SELECT) & ~top["inner"]
+        renames = (at(i - 1) == "as") | (in_list & unqualified & ends(at(i - 1)) & stops(at(i + 1)))
+        begins = F.when(unqualified, at(i - 1)).otherwise(at(i - 3))
+        return F.struct(
+            i.alias("i"), bare(at(i)).alias("n"), qualifier(i).alias("q"), top["scope"].alias("scope"), top["clause"].alias("clause"),
+            F.transform(x["levels"], lambda y: y["scope"]).alias("scopes"),
+            F.transform(F.filter(x["levels"], lambda y: (y["clause"] == WITH) & ~y["inner"]), lambda y: y["scope"]).alias("withs"),
+            (is_name & (top["clause"] == FROM) & begins.isin("from", "join", ",", "(") & ~at(i + 1).isin(".", "(")).alias("is_table"),
+            ((x["kind"] == CLOSE) & (top["clause"] == FROM)).alias("is_query"),
+            (is_name & (top["clause"] == WITH) & ~top["inner"] & at(i - 1).isin("with", "recursive", ",")).alias("is_with"),
+            (is_name & in_list & stops(at(i + 1))).alias("is_output"),
+            (is_name & top["clause"].isin(SELECT, ON, WHERE, ORDER, USING) & ~renames & ~at(i + 1).isin(".", "(", "'")).alias("is_column"),
+            ((x["kind"] == STAR) & at(i - 1).isin(".", ",", "select", "distinct", "all")).alias("is_star"),
+        )
+
+    rows = rows.withColumn("seen", scoped_names(F.col("w"))).withColumn("seen", F.transform("seen", placed))
+    rows = rows.withColumn("withs", F.filter("seen", lambda x: x["is_with"]))
+    of = lambda m: F.filter("withs", lambda c: (c["n"] == m["n"]) & (c["i"] < m["i"]) & F.array_contains(m["scopes"], c["scope"]))
+    # inside its own body a name of WITH is the table, unless it is recursive
+    later = lambda m, c: F.exists("withs", lambda d: (d["scope"] == c["scope"]) & (d["i"] > c["i"]) & (d["i"] < m["i"]))
+    own = lambda m, c: F.array_contains(m["withs"], c["scope"]) & ~later(m, c) & ~F.array_contains("w", "recursive")
+    is_base = lambda m: m["is_table"] & F.map_contains_key("names", m["n"]) & ~F.exists(of(m), lambda c: ~own(m, c))
+    source = lambda m: F.struct(
+        F.when(is_base(m), m["n"]).otherwise("").alias("t"),
+        F.when(is_word(named(m["i"])), bare(named(m["i"]))).otherwise(F.when(m["is_table"], m["n"]).otherwise("")).alias("a"),
+        m["scope"].alias("scope"),
     )
-    qualifier = lambda i: F.when(at(i - 1) == ".", at(i - 2)).otherwise("")
-    renamed = lambda i: F.exists("given", lambda g: (g["n"] == at(i)) & (g["i"] <= i))
-    is_name = lambda i: at(i).rlike(r"^[\p{L}_]") & ~at(i + 1).isin(".", "(") & ((at(i - 1) == ".") | (~at(i).isin(KEYWORDS) & ~renamed(i)))
-    is_star = lambda i: (at(i) == "*") & at(i - 1).isin(".", ",", "select", "distinct", "all")
-    given = F.transform(places(lambda i: (at(i - 1) == "as") & at(i).rlike(r"^[\p{L}_]")), lambda i: F.struct(i.alias("i"), at(i).alias("n")))
-    rows = rows.withColumn("given", given).withColumn("mentions", F.array_distinct(mentions))
-    rows = rows.withColumn("stars", F.transform(places(is_star), lambda i: F.struct(qualifier(i).alias("a"), i.alias("i"), low(i).alias("low"))))
-    rows = rows.withColumn("refs", F.transform(places(is_name), lambda i: F.struct(qualifier(i).alias("a"), at(i).alias("c"), i.alias("i"))))
-    rows = rows.withColumn("tables", F.array_distinct(F.transform("mentions", lambda m: m["t"])))
+    rows = rows.withColumn("sources", F.array_distinct(F.transform(F.filter("seen", lambda x: x["is_table"] | x["is_query"]), source)))
+    rows = rows.withColumn("tables", F.array_distinct(F.transform(F.filter("sources", lambda m: m["t"] != ""), lambda m: m["t"])))
+    rows = rows.withColumn("outputs", F.filter("seen", lambda x: x["is_output"])).withColumn("refs", F.filter("seen", lambda x: x["is_column"]))
+    rows = rows.withColumn("stars", F.filter("seen", lambda x: x["is_star"])).drop("seen")
 
     hit = lambda t, c, known: F.struct(t.alias("table_name"), c.alias("col_name"), known.alias("known"))
-    has = lambda t, c: F.array_contains(F.try_element_at("names", t), c)
-
-    def around(i: Column, cond: Callable[[Column], Column]) -> Column:
-        """Tables of the innermost scope around token ``i`` that has some with the condition."""
-        seen = F.filter("mentions", lambda m: (m["low"] <= i) & (i <= m["high"]) & cond(m))
-        inner = let(seen, lambda s: F.filter(s, lambda m: m["low"] == F.array_max(F.transform(s, lambda x: x["low"]))))
-        return F.array_distinct(F.transform(inner, lambda m: m["t"]))
-
-    qualified = F.flatten(
-        F.transform(F.filter("refs", lambda r: r["a"] != ""), lambda r: F.transform(around(r["i"], lambda m: m["a"] == r["a"]), lambda t: hit(t, r["c"], has(t, r["c"]))))
-    )
-    bare = F.flatten(
-        F.transform(
-            F.filter("refs", lambda r: r["a"] == ""),
-            lambda r: let(around(r["i"], lambda m: has(m["t"], r["c"])), lambda o: F.transform(F.when(F.size(o) == 1, o).otherwise(F.slice(o, 1, 0)), lambda t: hit(t, r["c"], F.lit(True)))),
-        )
-    )
+    has = lambda t, c: F.coalesce(F.array_contains(F.try_element_at("names", t), c), F.lit(False))
+
+    def around(x: Column, cond: Callable[[Column], Column], use: Callable[[Column, Column], Column]) -> Column:
+        """``use`` of the tables and the scope, for the innermost scope around a name with a source that meets the condition; scopes inside have larger numbers."""
+        seen = F.filter("sources", lambda m: F.array_contains(x["scopes"], m["scope"]) & cond(m))
+        inner = lambda s: let(F.array_max(F.transform(s, lambda m: m["scope"])), lambda top: use(F.array_distinct(F.transform(F.filter(s, lambda m: (m["scope"] == top) & (m["t"] != "")), lambda m: m["t"])), top))
+        return let(seen, inner)
+
+    none = F.array().cast("array<string>")
+    owner = lambda r: around(r, lambda m: m["a"] == r["q"], lambda ts, _: ts)
+    qualified = F.flatten(F.transform(F.filter("refs", lambda r: r["q"] != ""), lambda r: F.transform(owner(r), lambda t: hit(t, r["n"], has(t, r["n"])))))
+    called = lambda r: r["clause"].isin(ORDER) & F.exists("outputs", lambda o: (o["n"] == r["n"]) & (o["scope"] == r["scope"]))
+    hidden = lambda r, top: (top != r["scope"]) & F.exists("outputs", lambda o: (o["n"] == r["n"]) & (o["scope"] != r["scope"]) & F.array_contains(o["scopes"], r["scope"]))
+    one = lambda r: around(r, lambda m: has(m["t"], r["n"]), lambda ts, top: F.when(((F.size(ts) == 1) | (r["clause"] == USING)) & ~hidden(r, top), ts).otherwise(none))
+    plain = F.flatten(F.transform(F.filter("refs", lambda r: (r["q"] == "") & ~called(r)), lambda r: F.transform(one(r), lambda t: hit(t, r["n"], F.lit(True)))))
     every = lambda t: F.transform(F.try_element_at("names", t), lambda c: hit(t, c, F.lit(True)))
-    meant = lambda q: F.when(q["a"] == "", F.transform(F.filter("mentions", lambda m: m["low"] == q["low"]), lambda m: m["t"])).otherwise(around(q["i"], lambda m: m["a"] == q["a"]))
-    starred = F.flatten(F.transform("stars", lambda q: F.flatten(F.transform(meant(q), every))))
+    here = lambda x: F.transform(F.filter("sources", lambda m: (m["scope"] == x["scope"]) & (m["t"] != "")), lambda m: m["t"])
+    starred = F.flatten(F.transform("stars", lambda x: F.flatten(F.transform(F.when(x["q"] == "", here(x)).otherwise(owner(x)), every))))
     touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
-    found = F.array_distinct(F.concat(qualified, bare, starred, touched))
+    found = F.array_distinct(F.concat(qualified, plain, starred, touched))
     return rows.select("dp_id", "db_id", F.explode(found).alias("f")).select("dp_id", "db_id", "f.*")
 
 

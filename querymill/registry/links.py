@@ -54,9 +54,15 @@ found AS (
   UNION SELECT dp_id, db_id, t1, NULL, true FROM parts
   UNION SELECT dp_id, db_id, t2, NULL, true FROM parts WHERE dp_id % 9 IN (0, 4, 7))
 """
-# stars, output names, and aliases that stand for another table in an inner scope
+# stars, output names, branches of set operations, names of WITH, quoted names, and aliases that stand for another table in an inner scope
 INPUTS["i_scoped"] = """
-SELECT -1 - dp_id AS dp_id, db_id, CASE dp_id % 6
+SELECT -1 - dp_id AS dp_id, db_id, CASE dp_id % 12
+  WHEN 6 THEN 'SELECT ' || c1 || ' FROM ' || t1 || ' UNION SELECT ' || c2 || ' FROM ' || t2
+  WHEN 7 THEN '(SELECT x.' || c1 || ' FROM ' || t1 || ' x) UNION ALL SELECT x.' || c2 || ' FROM ' || t2 || ' x ORDER BY 1'
+  WHEN 8 THEN 'SELECT count(*) ' || c1 || ' FROM ' || t1 || ' GROUP BY 1 + 1 ORDER BY ' || c1
+  WHEN 9 THEN 'SELECT z.' || c2 || ', y.' || c1 || ' FROM (' || t1 || ' y JOIN ' || t2 || ' z ON (y.' || c1 || ' = z.' || c2 || ')) WHERE ((y.' || c1 || ' > 0))'
+  WHEN 10 THEN 'WITH ' || t1 || ' AS (SELECT ' || c1 || ' FROM ' || t1 || ') SELECT ' || t1 || '.' || c1 || ' FROM ' || t1 || ' ORDER BY ' || c1
+  WHEN 11 THEN 'SELECT "' || c1 || '" kept, ''x'' ' || c2 || ' FROM `' || t1 || '` ORDER BY ' || c2
   WHEN 0 THEN 'SELECT * FROM ' || t1 || ' WHERE 1 = 1'
   WHEN 1 THEN 'SELECT a.* FROM ' || t1 || ' AS a, ' || t2 || ' b WHERE b.' || c2 || ' = 1'
   WHEN 2 THEN 'SELECT count(*) AS ' || c1 || ' FROM ' || t1 || ' ORDER BY ' || c1
@@ -68,12 +74,12 @@ SCOPED = """,
 every AS (SELECT p.*, 'first' AS side, lower(c.col_name) AS col FROM parts p JOIN i_columns c ON p.db_id = c.db_id AND p.t1 = lower(c.table_name)
   UNION ALL SELECT p.*, 'second', lower(c.col_name) FROM parts p JOIN i_columns c ON p.db_id = c.db_id AND p.t2 = lower(c.table_name)),
 scoped AS (
-  SELECT -1 - dp_id AS dp_id, db_id, t1 AS tbl, col, true AS known FROM every WHERE side = 'first' AND dp_id % 6 IN (0, 1)
-  UNION SELECT -1 - dp_id, db_id, t2, col, true FROM every WHERE side = 'second' AND dp_id % 6 IN (4, 5)
-  UNION SELECT -1 - dp_id, db_id, t1, c1, true FROM parts WHERE dp_id % 6 IN (3, 5)
-  UNION SELECT -1 - dp_id, db_id, t2, c2, true FROM parts WHERE dp_id % 6 IN (1, 3)
-  UNION SELECT -1 - dp_id, db_id, t1, NULL, true FROM parts WHERE dp_id % 6 <> 4
-  UNION SELECT -1 - dp_id, db_id, t2, NULL, true FROM parts WHERE dp_id % 6 IN (1, 3, 4, 5))
+  SELECT -1 - dp_id AS dp_id, db_id, t1 AS tbl, col, true AS known FROM every WHERE side = 'first' AND dp_id % 12 IN (0, 1)
+  UNION SELECT -1 - dp_id, db_id, t2, col, true FROM every WHERE side = 'second' AND dp_id % 12 IN (4, 5)
+  UNION SELECT -1 - dp_id, db_id, t1, c1, true FROM parts WHERE dp_id % 12 IN (3, 5, 6, 7, 9, 10, 11)
+  UNION SELECT -1 - dp_id, db_id, t2, c2, true FROM parts WHERE dp_id % 12 IN (1, 3, 6, 7, 9)
+  UNION SELECT -1 - dp_id, db_id, t1, NULL, true FROM parts WHERE dp_id % 12 <> 4
+  UNION SELECT -1 - dp_id, db_id, t2, NULL, true FROM parts WHERE dp_id % 12 IN (1, 3, 4, 5, 6, 7, 9))
 """
 
 
@@ -83,8 +89,10 @@ def _(s):
 
 
 VALID = (
-    FOUND
+    FOUND.replace("found AS (", "stated AS (")
+    + SCOPED
     + """,
+found AS (SELECT * FROM stated UNION ALL SELECT * FROM scoped),
 ok AS (SELECT * FROM found WHERE dp_id NOT IN (SELECT dp_id FROM found WHERE NOT known)),
 base AS (SELECT o.dp_id, o.db_id, c.table_name, c.col_name, c.col_idx, c.is_pk FROM ok o JOIN i_columns c ON o.db_id = c.db_id AND o.tbl = lower(c.table_name) AND o.col = lower(c.col_name)
   UNION SELECT o.dp_id, o.db_id, c.table_name, c.col_name, c.col_idx, c.is_pk FROM ok o JOIN i_columns c ON o.db_id = c.db_id AND o.tbl = lower(c.table_name) WHERE o.col IS NULL AND c.is_pk),
@@ -95,7 +103,8 @@ valid AS (SELECT * FROM base UNION SELECT o.dp_id, o.db_id, c.table_name, c.col_
 
 @check("L4_validate_link", VALID + "SELECT dp_id, db_id, table_name, col_name, col_idx, is_pk FROM valid UNION ALL SELECT DISTINCT dp_id, db_id, 'rejected', NULL, NULL, NULL FROM found WHERE NOT known")
 def _(s):
-    kept, rejected = workload.validate_link(workload.link_columns(s["i_workload"], s["i_columns"]), s["i_columns"])
+    found = workload.link_columns(s["i_workload"].select("dp_id", "db_id", "sql").unionByName(s["i_scoped"]), s["i_columns"])
+    kept, rejected = workload.validate_link(found, s["i_columns"])
     return kept.unionByName(rejected.withColumn("table_name", F.lit("rejected")), allowMissingColumns=True)
 
 

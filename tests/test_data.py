@@ -244,3 +244,50 @@ def test_values_and_their_vectors(spark):
     vectors = spark.createDataFrame([("a", [2.0]), ("a", [1.0]), ("b", [3.0])], "value string, embedding array<float>")
     assert sorted((r.value, r.embedding) for r in retrieval.build_value_index(values, vectors).collect()) == [("a", [1.0]), ("b", [3.0])]
     assert [r.value for r in retrieval.values_without_vector(values, vectors).collect()] == ["c"]
+
+
+def touched(spark, texts):
+    columns = spark.createDataFrame([("d", t, c) for t, cs in (("t", ("a", "b", "i")), ("u", ("a", "b", "c", "i")), ("order", ("note",)), ("two words", ("first col",))) for c in cs], "db_id string, table_name string, col_name string")
+    work = spark.createDataFrame([(i, "d", s) for i, s in enumerate(texts)], "dp_id long, db_id string, sql string")
+    got = {i: set() for i in range(len(texts))}
+    for r in workload.link_columns(work, columns).filter("col_name IS NOT NULL").collect():
+        got[r.dp_id].add(f"{r.table_name}.{r.col_name}" + ("" if r.known else "?"))
+    return got
+
+
+STATED = {
+    "SELECT a FROM t UNION SELECT a FROM u": {"t.a", "u.a"},
+    "SELECT x.a FROM t x UNION SELECT x.c FROM u x": {"t.a", "u.c"},
+    "(SELECT a FROM t WHERE b = 1) EXCEPT (SELECT c FROM u)": {"t.a", "t.b", "u.c"},
+    "SELECT count(*) c FROM t, u ORDER BY c": set(),
+    "SELECT count(*) c FROM t, u WHERE c = 1 ORDER BY c": {"u.c"},
+    "SELECT t.a b, 'x' c FROM t, u ORDER BY b, c": {"t.a"},
+    "SELECT t.a FROM (t JOIN u ON (t.i = u.i)) WHERE c > f(t.b, u.b)": {"t.a", "t.b", "t.i", "u.i", "u.c", "u.b"},
+    "SELECT c FROM t JOIN u USING (i)": {"u.c", "t.i", "u.i"},
+    "SELECT x.a FROM t AS x JOIN u y ON x.i = y.i, order WHERE order.note = 'a' ORDER BY y.c": {"t.a", "t.i", "u.i", "u.c", "order.note"},
+    "WITH t AS (SELECT a FROM t) SELECT t.a, c FROM t, u": {"t.a", "u.c"},
+    "WITH w AS (SELECT a FROM t), u AS (SELECT b AS c FROM t) SELECT c FROM u": {"t.a", "t.b"},
+    "WITH RECURSIVE t(a) AS (SELECT i FROM u UNION ALL SELECT a FROM t) SELECT a FROM t": {"u.i"},
+    "SELECT c FROM u WHERE i IN (SELECT c FROM (SELECT b AS c FROM t) s)": {"u.c", "u.i", "t.b"},
+    "SELECT c FROM u WHERE EXISTS (SELECT 1 FROM t WHERE t.a = c)": {"u.c", "t.a"},
+    'SELECT "first col" k FROM `two words` WHERE "First Col" = 1': {"two words.first col"},
+    "SELECT sum(a) OVER (PARTITION BY b ORDER BY i) s FROM t GROUP BY a HAVING s > 1": {"t.a", "t.b", "t.i"},
+    "SELECT CASE WHEN a = 'it''s' THEN b END AS i FROM t ORDER BY i DESC LIMIT 3": {"t.a", "t.b"},
+    "SELECT cast(a AS real), date '2020-01-01' FROM t WHERE a IS DISTINCT FROM b": {"t.a", "t.b"},
+    "SELECT x.ghost FROM t x UNION SELECT x.c FROM u x": {"t.ghost?", "u.c"},
+    "SELECT DISTINCT x.* FROM t x, (SELECT c FROM u) y": {"t.a", "t.b", "t.i", "u.c"},
+    "SELECT x.a FROM u x WHERE x.i IN (SELECT x.b FROM (SELECT b FROM t) x)": {"u.a", "u.i", "t.b"},
+    "": set(),
+    "))) FROM ((": set(),
+}
+
+
+def test_scopes_of_statements(spark):
+    got = touched(spark, list(STATED))
+    assert {s: got[i] for i, s in enumerate(STATED)} == STATED
+
+
+def test_long_statements_are_linear(spark):
+    deep = "SELECT a FROM t WHERE " + "(" * 150 + "b = 1" + ")" * 150 + " AND a IN (" + ", ".join("(1)" for _ in range(500)) + ")"
+    wide = " UNION ".join("SELECT x.a FROM t x WHERE (x.b = 1)" for _ in range(80))
+    assert list(touched(spark, [deep, wide]).values()) == [{"t.a", "t.b"}] * 2
