@@ -34,8 +34,8 @@ def nest_catalog(columns: DataFrame, fks: DataFrame, extra: tuple[str, ...] = ()
     """One row per database: ``tables`` in catalog order.
 
     A table is ``struct<table_idx, table_name, t, table_comment, cols, fks>`` with ``t`` its
-    lower-case name; a column ``struct<col_idx, col_name, k, is_pk, is_key, extra...>`` with ``k``
-    its key and ``is_key`` for members of primary or foreign keys; a foreign key ``struct<fk_no,
+    lower-case name and ``pk`` the text of its primary key, if it has one; a column ``struct<col_idx, col_name, k, is_pk, is_key, extra...>``
+    with ``k`` its key and ``is_key`` for members of primary or foreign keys; a foreign key ``struct<fk_no,
     col_name, r, code>`` with ``r`` the lower-case name of the referenced table.
     """
     comment = F.min("table_comment") if "table_comment" in columns.columns else F.lit("")
@@ -46,7 +46,9 @@ def nest_catalog(columns: DataFrame, fks: DataFrame, extra: tuple[str, ...] = ()
     joined = per_table.join(per_fk, ["db_id", "table_name"], "left").withColumn("fks", F.coalesce("fks", F.array().cast(per_fk.schema["fks"].dataType)))
     in_fk = F.transform("fks", lambda f: f["col_name"])
     flagged = joined.withColumn("_in", in_fk).withColumn("cols", F.transform("cols", lambda c: c.withField("is_key", c["is_pk"] | F.array_contains(F.col("_in"), c["col_name"]))))
-    table = F.struct("table_idx", "table_name", F.lower("table_name").alias("t"), "table_comment", "cols", "fks")
+    members = F.array_join(F.transform(F.filter("cols", lambda c: c["is_pk"]), lambda c: F.concat(F.lit('"'), c["col_name"], F.lit('"'))), ", ")
+    flagged = flagged.withColumn("pk", members).withColumn("pk", F.when(F.col("pk") != "", F.concat(F.lit("    PRIMARY KEY ("), F.col("pk"), F.lit(")"))))
+    table = F.struct("table_idx", "table_name", F.lower("table_name").alias("t"), "table_comment", "pk", "cols", "fks")
     return flagged.groupBy("db_id").agg(F.sort_array(F.collect_list(table)).alias("tables"))
 
 
@@ -68,6 +70,17 @@ def linked_dps(link: DataFrame, dps: DataFrame | None) -> DataFrame:
     return dps.select("dp_id", "db_id").distinct().join(nested, ["dp_id", "db_id"], "left").withColumn("link", F.coalesce("link", empty))
 
 
+def with_form(dps: DataFrame) -> DataFrame:
+    """Nested links with ``form``, a fingerprint of the link as it is spelled; all of the schema is a form of its own."""
+    spelled = F.transform("link", lambda c: F.concat_ws(SEPARATOR, c["table_name"], c["col_name"]))
+    return dps.withColumn("form", F.when(F.col("linked").isNull(), "").otherwise(F.md5(F.array_join(spelled, "\n"))))
+
+
+def distinct_forms(dps: DataFrame) -> DataFrame:
+    """One row per database and form: what depends on a link alone is made here and joined back by ``db_id, form``."""
+    return dps.select("db_id", "form", "link", "linked", "chosen").dropDuplicates(["db_id", "form"])
+
+
 def is_chosen(t: Column) -> Column:
     """Without a link everything is chosen."""
     return F.coalesce(F.array_contains(F.col("chosen"), t), F.lit(True))
@@ -110,17 +123,19 @@ def close_link(link: DataFrame, columns: DataFrame, fks: DataFrame, dps: DataFra
     Known names take the catalog's spelling; unknown ones stay as they are. With ``dps(dp_id, db_id)``,
     datapoints without a link get the whole schema.
     """
-    dps = linked_dps(link, dps).join(nest_catalog(columns, fks), "db_id", "left")
+    dps = with_form(linked_dps(link, dps))
+    forms = distinct_forms(dps).join(nest_catalog(columns, fks), "db_id", "left")
     pair = lambda t, c: F.struct(t.alias("table_name"), c.alias("col_name"))
-    closed = closed_tables(dps.withColumn("tables", F.coalesce("tables", F.array().cast(dps.schema["tables"].dataType))))
+    closed = closed_tables(forms.withColumn("tables", F.coalesce("tables", F.array().cast(forms.schema["tables"].dataType))))
     known = F.flatten(F.transform("tables", lambda t: F.transform(t["cols"], lambda c: c["k"])))
     closed = closed.withColumn("_known", known)
     spelled = F.flatten(F.transform("tables", lambda t: F.transform(t["cols"], lambda c: pair(t["table_name"], c["col_name"]))))
     unknown = F.filter("link", lambda c: ~F.array_contains(F.col("_known"), column_key(c["table_name"], c["col_name"])))
     # an unknown column of a known table goes to the table's own spelling
     own = lambda c: F.coalesce(F.get(F.transform(F.filter("tables", lambda t: t["t"] == F.lower(c["table_name"])), lambda t: t["table_name"]), F.lit(0)), c["table_name"])
-    rows = F.array_distinct(F.concat(spelled, F.transform(unknown, lambda c: pair(own(c), c["col_name"]))))
-    return closed.select("dp_id", "db_id", F.explode(rows).alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
+    rows = closed.select("db_id", "form", F.array_distinct(F.concat(spelled, F.transform(unknown, lambda c: pair(own(c), c["col_name"])))).alias("c"))
+    full = dps.select("dp_id", "db_id", "form").join(rows, ["db_id", "form"])
+    return full.select("dp_id", "db_id", F.explode("c").alias("c")).select("dp_id", "db_id", "c.table_name", "c.col_name")
 
 
 def match_table_names(predicted: DataFrame, columns: DataFrame) -> DataFrame:

@@ -1,27 +1,35 @@
 """Schema text: one CREATE TABLE-like statement per table.
 
-A database's schema is gathered once (see ``nest_catalog``); a datapoint joins it on ``db_id`` and
-its text is put together inside that one row.
+A database's schema is gathered once (see ``nest_catalog``), with the line of every column made there. Datapoints with the same link
+share a form: its text is put together once and joined back. What differs per question, the examples of a column, has a slot in
+the form's parts and is filled in by position.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
-from querymill.operators.links import closed_tables, linked_dps, nest_catalog, nest_links
+from querymill.operators.links import closed_tables, distinct_forms, linked_dps, nest_catalog, nest_links, with_form
 
-DETAILS = ("type_class", "comment", "code", "note")
+DETAILS = ("line", "last")
+PARTS = ("code", "note", "place")
 NO_TEXTS = "array<string>"
+NO_LINK = {"link": "array<struct<table_name:string,col_name:string>>", "linked": NO_TEXTS, "chosen": NO_TEXTS}
 
 
 def with_details(columns: DataFrame) -> DataFrame:
-    """Add what is printed for a column whoever asks: its ``code`` and, without examples, its ``note``."""
+    """Add what is printed for a column whoever asks: its ``code``, its ``note`` without examples, and its ``line`` with and (``last``) without a comma."""
     code = F.concat(F.lit('    "'), F.col("col_name"), F.lit('" '), F.upper("type_class"))
-    return columns.withColumn("code", code).withColumn("note", F.when(F.col("comment") != "", F.concat(F.lit(" -- "), F.col("comment"))).otherwise(""))
+    note = F.when(F.col("comment") != "", F.concat(F.lit(" -- "), F.col("comment"))).otherwise("")
+    known = columns.withColumn("code", code).withColumn("note", note)
+    return known.withColumn("line", F.concat("code", F.lit(","), "note", F.lit("\n"))).withColumn("last", F.concat("code", "note", F.lit("\n")))
+
+
+def place(table_idx: Column | str, col_idx: Column | str) -> Column:
+    """One number for a column within its database, in catalog order."""
+    return F.shiftleft(F.col(table_idx).cast("long"), 32) + F.col(col_idx)
 
 
 def example_note(comment: Column, examples: Column) -> Column:
@@ -30,44 +38,69 @@ def example_note(comment: Column, examples: Column) -> Column:
     return let(F.concat_ws(" | ", F.when(comment != "", comment), note), lambda said: F.when(said != "", F.concat(F.lit(" -- "), said)).otherwise(""))
 
 
-def _plain(_: Column, c: Column) -> Column:
-    return c["note"]
+def _head(t: Column) -> Column:
+    return F.concat(F.lit('CREATE TABLE "'), t["table_name"], F.lit('" ('), t["table_comment"], F.lit("\n"))
 
 
-def statement(t: Column, note: Callable[[Column, Column], Column] = _plain) -> Column:
-    """Statement of a nested table; ``note(table, column)`` is what follows a column's code.
+def _keys(t: Column) -> Column:
+    """Key lines of a table, empty without any."""
+    return F.array_join(F.concat(F.array(t["pk"]), F.transform(t["fks"], lambda f: f["code"])), ",\n")
 
-    Every column ends in a comma unless it is the last one and neither a primary nor a foreign
-    key follows; the comma comes before the note.
-    """
-    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
-    pks = F.array_join(F.transform(F.filter(t["cols"], lambda c: c["is_pk"]), lambda c: quoted(c["col_name"])), ", ")
-    pk = let(pks, lambda p: F.when(p != "", F.concat(F.lit("    PRIMARY KEY ("), p, F.lit(")"))))
-    keys = F.array_join(F.concat(F.array(pk), F.transform(t["fks"], lambda f: f["code"])), ",\n")
-
-    def whole(k: Column) -> Column:
-        last = F.when(k == "", F.size(t["cols"]) - 1).otherwise(F.size(t["cols"]))
-        body = let(
-            last,
-            lambda n: F.array_join(
-                F.transform(
-                    t["cols"],
-                    lambda c, i: F.concat(c["code"], F.when(i < n, F.lit(",")).otherwise(""), note(t, c), F.lit("\n")),
-                ),
-                "",
-            ),
-        )
-        end = F.when(k != "", F.concat(k, F.lit("\n);\n"))).otherwise(");\n")
-        return F.concat(F.lit("CREATE TABLE "), quoted(t["table_name"]), F.lit(" ("), t["table_comment"], F.lit("\n"), body, end)
 
-    return let(keys, whole)
+def _end(keys: Column) -> Column:
+    return F.when(keys != "", F.concat(keys, F.lit("\n);\n"))).otherwise(");\n")
 
 
-def schema_text(tables: Column, note: Callable[[Column, Column], Column] = _plain, overview: Column | None = None) -> Column:
-    """Header and the statements of all nested ``tables``."""
+def _comma_less(t: Column, keys: Column) -> Column:
+    """Place of the column that has no comma: the last one, unless a primary or foreign key follows."""
+    return F.when(keys == "", F.size(t["cols"]) - 1).otherwise(-1)
+
+
+def statement(t: Column) -> Column:
+    """Statement of a nested table. Every column ends in a comma, before its note, unless it is the last one and no key follows."""
+    body = lambda n: F.array_join(F.transform(t["cols"], lambda c, i: F.when(i == n, c["last"]).otherwise(c["line"])), "")
+    return let(_keys(t), lambda k: F.concat(_head(t), let(_comma_less(t, k), body), _end(k)))
+
+
+def _header(overview: Column | None = None) -> Column:
     about = F.lit("") if overview is None else F.coalesce(F.concat(F.lit("-- Database overview: "), overview, F.lit("\n")), F.lit(""))
-    head = F.concat(F.lit("-- Database name: "), F.col("db_id"), F.lit("\n"), about, F.lit("-- Database schema:\n"))
-    return F.concat(head, F.array_join(F.transform(tables, lambda t: statement(t, note)), ""))
+    return F.concat(F.lit("-- Database name: "), F.col("db_id"), F.lit("\n"), about, F.lit("-- Database schema:\n"))
+
+
+def schema_text(tables: Column, overview: Column | None = None) -> Column:
+    """Header and the statements of all nested ``tables``."""
+    return F.concat(_header(overview), F.array_join(F.transform(tables, statement), ""))
+
+
+def schema_parts(tables: Column) -> Column:
+    """The text of nested ``tables`` in parts ``struct<text, place>``: a column's note has the column's place, all else null."""
+    part = lambda text, where: F.struct(text.alias("text"), where.cast("long").alias("place"))
+    fixed = lambda text: part(text, F.lit(None))
+
+    def of(t: Column) -> Column:
+        column = lambda n: lambda c, i: F.array(
+            fixed(F.concat(F.when(i > 0, "\n").otherwise(""), c["code"], F.when(i == n, "").otherwise(","))), part(c["note"], c["place"])
+        )
+        close = lambda k: F.concat(F.when(F.size(t["cols"]) > 0, "\n").otherwise(""), _end(k))
+        return let(_keys(t), lambda k: F.concat(F.array(fixed(_head(t))), let(_comma_less(t, k), lambda n: F.flatten(F.transform(t["cols"], column(n)))), F.array(fixed(close(k)))))
+
+    return F.concat(F.array(fixed(_header())), F.flatten(F.transform(tables, of)))
+
+
+def filled(texts: Column, places: Column, notes: Column) -> Column:
+    """Parts joined, with ``notes`` (``struct<place, note>`` or null) in the parts of their places; notes of places that are not there are left out.
+
+    The parts between two notes are joined as a whole.
+    """
+    known = F.transform(F.coalesce(notes, F.expr("cast(array() AS array<struct<place: bigint, note: string>>)")), lambda x: F.struct(F.array_position(places, x["place"]).cast("int").alias("at"), x["note"].alias("note")))
+    kept = F.array_sort(F.filter(known, lambda x: x["at"] > 0))
+    after = lambda ks, j: F.coalesce(F.get(ks, j - 1)["at"], F.lit(0))
+
+    def piece(ks: Column, j: Column) -> Column:
+        stop = F.coalesce(F.get(ks, j)["at"] - 1, F.size(texts))
+        return F.concat(F.array_join(F.slice(texts, after(ks, j) + 1, stop - after(ks, j)), ""), F.coalesce(F.get(ks, j)["note"], F.lit("")))
+
+    return let(kept, lambda ks: F.array_join(F.transform(F.sequence(F.lit(0), F.size(ks)), lambda j: piece(ks, j)), ""))
 
 
 def render_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
@@ -80,7 +113,7 @@ def render_table(columns: DataFrame, fks: DataFrame) -> DataFrame:
 
 
 def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview: DataFrame | None = None, dps: DataFrame | None = None) -> DataFrame:
-    """Schema text of every datapoint's closed link; unknown names are not shown.
+    """Schema text of every datapoint's closed link; unknown names are not shown. Equal links are rendered once.
 
     With ``dps(dp_id, db_id)``, datapoints without a link show the whole schema.
     """
@@ -89,8 +122,9 @@ def render_schema(link: DataFrame, columns: DataFrame, fks: DataFrame, overview:
     if overview is not None:
         schemas = schemas.join(overview.select("db_id", "overview"), "db_id", "left")
         about = F.col("overview")
-    dps = closed_tables(linked_dps(link, dps).join(schemas, "db_id"))
-    return dps.select("dp_id", "db_id", schema_text(F.col("tables"), overview=about).alias("schema_text"))
+    dps = with_form(linked_dps(link, dps))
+    forms = closed_tables(distinct_forms(dps).join(schemas, "db_id")).select("db_id", "form", schema_text(F.col("tables"), about).alias("schema_text"))
+    return dps.select("dp_id", "db_id", "form").join(forms, ["db_id", "form"]).select("dp_id", "db_id", "schema_text")
 
 
 def nest_retrieved(retrieved: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,24 +137,27 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     """Schema text per question, with retrieved and static examples: of the closed ``link``, or whole without one.
 
     ``dataset(dp_id, db_id, ...)``, ``static(db_id, table_name, col_name, examples array)``,
-    ``retrieved(dp_id, table_name, col_name, rn, value)``. What a question has retrieved comes as
-    one map and is filled into the schema row. A database without catalog raises when its row is read.
+    ``retrieved(dp_id, table_name, col_name, rn, value)``. Every distinct link of a database is rendered once, with the static
+    examples; a question's own examples go into the slots of their columns. A database without catalog raises when its row is read.
     """
     none = F.array().cast(NO_TEXTS)
-    with_static = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none))
-    schemas = nest_catalog(with_details(with_static), fks, (*DETAILS, "examples"))
-    place = F.concat_ws("\u001f", "table_name", "col_name")
-    per_dp = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"]).groupBy("dp_id").agg(F.map_from_entries(F.collect_list(F.struct(place, F.col("found")))).alias("found"))
-
-    def note(t: Column, c: Column) -> Column:
-        mine = F.coalesce(F.try_element_at("found", F.concat_ws("\u001f", t["table_name"], c["col_name"])), none)
-        return example_note(c["comment"], format_examples(collapse_identifier_examples(merge_examples(mine, c["examples"])), c["type_class"]))
-
-    missing = F.raise_error(F.concat(F.lit("no catalog for database "), F.col("db_id"))).cast("string")
-    joined = dataset.join(schemas, "db_id", "left").join(per_dp, "dp_id", "left")
+    noted = lambda found: example_note(F.col("comment"), format_examples(collapse_identifier_examples(merge_examples(found, F.col("examples"))), F.col("type_class")))
+    known = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none)).withColumn("place", place("table_idx", "col_idx"))
+    schemas = nest_catalog(with_details(known).withColumn("note", noted(none)), fks, PARTS)
+    wanted = dataset.select("db_id").distinct().select("db_id", F.lit("").alias("form"), *[F.lit(None).cast(kind).alias(name) for name, kind in NO_LINK.items()])
+    asked = dataset.withColumn("form", F.lit(""))
     if link is not None:
-        joined = closed_tables(joined.join(nest_links(link).select("dp_id", "linked", "chosen"), "dp_id", "left"))
-    return joined.select(*dataset.columns, F.when(F.col("tables").isNull(), missing).otherwise(schema_text(F.col("tables"), note)).alias("schema_text"))
+        dps = with_form(nest_links(link))
+        wanted = wanted.unionByName(distinct_forms(dps))
+        asked = dataset.join(dps.select("dp_id", "db_id", "form"), ["dp_id", "db_id"], "left").withColumn("form", F.coalesce("form", F.lit("")))
+    parts = closed_tables(wanted.join(schemas, "db_id")).select("db_id", "form", schema_parts(F.col("tables")).alias("p"))
+    forms = parts.select("db_id", "form", F.transform("p", lambda x: x["text"]).alias("texts"), F.transform("p", lambda x: x["place"]).alias("places"))
+    mine = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"]).join(dataset.select("dp_id", "db_id").distinct(), "dp_id").join(known.select("db_id", "table_name", "col_name", "place", "comment", "type_class", "examples"), ["db_id", "table_name", "col_name"])
+    notes = mine.groupBy("dp_id", "db_id").agg(F.collect_list(F.struct("place", noted(F.col("found")).alias("note"))).alias("notes"))
+    missing = F.raise_error(F.concat(F.lit("no catalog for database "), F.col("db_id"))).cast("string")
+    joined = asked.join(forms, ["db_id", "form"], "left").join(notes, ["dp_id", "db_id"], "left")
+    text = F.when(F.col("texts").isNull(), missing).otherwise(filled(F.col("texts"), F.col("places"), F.col("notes")))
+    return joined.select(*dataset.columns, text.alias("schema_text"))
 
 
 def local_context(targets: DataFrame, columns: DataFrame, fks: DataFrame, static: DataFrame, retrieved: DataFrame) -> DataFrame:
