@@ -7,10 +7,13 @@ columns as rows nor ranked in one place.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from querymill.functions.examples import let
 from querymill.functions.prompts import PATHS, RESPONSE_MARKERS
 from querymill.functions.seeded import draw, uniform_int, unit
 from querymill.functions.sqltext import NA_TOKEN, estimated_tokens
-from querymill.operators.links import SEPARATOR, closed_tables, column_key, free_columns, in_catalog_order, is_chosen, is_linked, link_text, nest_catalog, nest_links
+from querymill.operators.links import closed_tables, column_key, free_columns, in_catalog_order, is_chosen, is_linked, link_text, nest_catalog, nest_links
 from querymill.operators.render import DETAILS, schema_text, with_details
 from querymill.session import cut_lineage
 
@@ -112,83 +115,130 @@ def noised_schema(dps: DataFrame, links: DataFrame, columns: DataFrame, fks: Dat
     return dps.select("dp_id", "db_id").join(texts, "dp_id", "left").select("dp_id", "db_id", F.coalesce("schema_text", F.lit("")).alias("schema_text"))
 
 
-def column_samples(links: DataFrame, columns: DataFrame, fks: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
+def column_samples(links: DataFrame, columns: DataFrame, fks: DataFrame, ratio: float = 3.0, seed: int = 42, seen: Observation | None = None) -> DataFrame:
     """Labelled columns per datapoint: linked non-key ones, and ceil(ratio x those) others.
 
     Others come from the linked tables first ("hard"), the remainder from other tables ("easy").
-    Datapoints without a linked non-key column give no rows.
+    Datapoints without a linked non-key column give no rows. ``seen`` counts the rows and the datapoints with rows while they are written, see ``generation_stats``.
     """
-    free = lambda t: F.filter(t["cols"], lambda c: ~c["is_key"])
-    name = lambda t, c: F.concat_ws(SEPARATOR, t["table_name"], c["col_name"])
-    table = lambda t: F.struct(t["t"].alias("t"), F.transform(free(t), lambda c: c["k"]).alias("ks"), F.transform(free(t), lambda c: name(t, c)).alias("ns"))
+    item = lambda t, c: F.struct(c["k"].alias("k"), t["table_name"].alias("table_name"), c["col_name"].alias("col_name"))
+    table = lambda t: F.struct(t["t"].alias("t"), F.transform(F.filter(t["cols"], lambda c: ~c["is_key"]), lambda c: item(t, c)).alias("free"))
     schemas = nest_catalog(columns, fks).select("db_id", F.transform("tables", table).alias("tables"))
     dps = nest_links(links).join(schemas, "db_id")
-    some = lambda near, field: F.flatten(F.transform(F.filter("tables", lambda t: is_chosen(t["t"]) == near), lambda t: t[field]))
-    dps = dps.withColumn("near", some(True, "ks"))
-    dps = dps.withColumn("pos", F.array_intersect("near", "linked")).withColumn("hard", F.array_except("near", "linked"))
-    dps = dps.withColumn("n", F.ceil(F.lit(float(ratio)) * F.size("pos")).cast("int"))
-    key = lambda k: draw(seed, F.col("dp_id"), k)
+    some = lambda near: F.flatten(F.transform(F.filter("tables", lambda t: is_chosen(t["t"]) == near), lambda t: t["free"]))
+    dps = dps.withColumn("near", some(True))
+    dps = dps.withColumn("pos", F.filter("near", lambda c: is_linked(c["k"]))).withColumn("n", F.ceil(F.lit(float(ratio)) * F.size("pos")).cast("int"))
+    key = lambda c: draw(seed, F.col("dp_id"), c["k"])
+    dps = dps.withColumn("hard", F.when(F.col("n") > 0, _take(F.filter("near", lambda c: ~is_linked(c["k"])), F.col("n"), key)))
     # far tables are only looked at when the near ones do not suffice
-    easy = F.when(F.col("n") > F.size("hard"), _take(some(False, "ks"), F.col("n") - F.size("hard"), key)).otherwise(F.slice("hard", 1, 0))
-    labelled = lambda ks, label, kind: F.transform(ks, lambda k: F.struct(k.alias("k"), F.lit(label).alias("label"), F.lit(kind).alias("neg_type")))
-    samples = F.concat(labelled(F.col("pos"), "True", ""), labelled(_take(F.col("hard"), F.col("n"), key), "False", "hard"), labelled(easy, "False", "easy"))
-    dps = dps.withColumn("samples", samples).withColumn("ks", F.concat("near", some(False, "ks"))).withColumn("ns", F.concat(some(True, "ns"), some(False, "ns")))
-    spelled = F.transform("samples", lambda s: F.struct(F.split(F.get("ns", (F.array_position("ks", s["k"]) - 1).cast("int")), SEPARATOR).alias("n"), s["label"].alias("label"), s["neg_type"].alias("neg_type")))
-    rows = dps.select("dp_id", "db_id", F.explode(spelled).alias("s"))
-    return rows.select("dp_id", "db_id", F.col("s.n")[0].alias("table_name"), F.col("s.n")[1].alias("col_name"), "s.label", "s.neg_type")
+    easy = F.when(F.col("n") > F.size("hard"), _take(some(False), F.col("n") - F.size("hard"), key)).otherwise(F.slice("hard", 1, 0))
+    labelled = lambda cs, label, kind: F.transform(cs, lambda c: F.struct(c["table_name"].alias("table_name"), c["col_name"].alias("col_name"), F.lit(label).alias("label"), F.lit(kind).alias("neg_type")))
+    samples = F.concat(labelled(F.col("pos"), "True", ""), labelled(F.col("hard"), "False", "hard"), labelled(easy, "False", "easy"))
+    made = dps.filter(F.size("pos") > 0).select("dp_id", "db_id", samples.alias("samples"))
+    if seen is not None:
+        made = made.observe(seen, F.coalesce(F.sum(F.size("samples")), F.lit(0)).cast("long").alias("produced"), F.count(F.lit(1)).alias("datapoints"))
+    return made.select("dp_id", "db_id", F.explode("samples").alias("s")).select("dp_id", "db_id", "s.*")
 
 
-def generation_stats(dps: DataFrame, known: DataFrame, samples: DataFrame) -> DataFrame:
-    """Rows produced, and datapoints skipped for want of a catalog or of a positive column."""
+def generation_stats(dps: DataFrame, known: DataFrame, seen: Observation) -> DataFrame:
+    """Rows produced, and datapoints skipped for want of a catalog or of a positive column.
+
+    ``seen`` has watched the write of ``column_samples`` of these datapoints: nothing is counted twice. It waits for that write.
+    """
+    made = seen.get
     has = known.select("db_id").distinct().withColumn("_known", F.lit(True))
-    made = samples.groupBy("dp_id").agg(F.count(F.lit(1)).alias("_made"))
-    joined = dps.select("dp_id", "db_id").join(has, "db_id", "left").join(made, "dp_id", "left")
+    joined = dps.select("dp_id", "db_id").join(has, "db_id", "left")
     return joined.agg(
-        F.coalesce(F.sum("_made"), F.lit(0)).alias("produced"),
+        F.lit(made["produced"]).cast("long").alias("produced"),
         F.count_if(F.col("_known").isNull()).alias("skipped_no_ir"),
-        F.count_if(F.col("_known").isNotNull() & F.col("_made").isNull()).alias("skipped_no_positive"),
+        (F.count_if(F.col("_known").isNotNull()) - F.lit(made["datapoints"])).cast("long").alias("skipped_no_positive"),
     )
 
 
+#: Hexadecimal digits of a draw that name its slice.
+SLICE_DIGITS = 3
+
+
+def _sliced(seed: int, first: int, last: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(name, n) of groups -> per trial and slice of its order the groups and their rows, summed over the partition."""
+    slices = 16**SLICE_DIGITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, last - first + 1, slices), np.int64)
+        for batch in batches:
+            names, n = batch.column(0).to_pylist(), np.asarray(batch.column(1))
+            for t in range(first, last + 1):
+                at = np.array([int(_drawn(seed, t, x)[:SLICE_DIGITS], 16) for x in names], np.int64)
+                np.add.at(held[0, t - first], at, 1)
+                np.add.at(held[1, t - first], at, n)
+        trial, at = np.nonzero(held[0])
+        yield pa.RecordBatch.from_arrays([pa.array(trial + first), pa.array(at), pa.array(held[0, trial, at]), pa.array(held[1, trial, at])], ["trial", "cut", "g", "r"])
+
+    return count
+
+
+def _drawn(seed: int, trial: int, name: str) -> str:
+    """As ``draw(seed, trial, group)``."""
+    return hashlib.md5(f"{seed}|{trial}|{name}".encode()).hexdigest()
+
+
+def _inside(seed: int, borders: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(name, n) of groups -> (trial, d, name, n) of those in the border slice of a trial."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, n, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for trial, cut in borders.items():
+                start = f"{cut:0{SLICE_DIGITS}x}"
+                out += [(trial, d, x, k) for d, x, k in ((_drawn(seed, trial, x), x, k) for x, k in zip(names, n)) if d.startswith(start)]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, kinds)], ["trial", "d", "name", "n"])
+
+    return pick
+
+
 def group_split(rows: DataFrame, group: str, ratio: float = 0.3, tol: float = 0.02, trials: int = 1000, seed: int = 42) -> DataFrame:
     """Side of every group, ``A`` with about ``ratio`` of the rows, else ``B``; whole groups only.
 
     Every trial takes the first floor(groups x ratio) groups of a seeded order; the first trial
-    within ratio +- tol of the rows wins, else trial ``trials + 1``. The rows are counted once;
-    trials work on one written row per group, in batches, so that an early hit ends the search,
-    and only the winning trial's number reaches the driver. No trial ranks all groups: slices of the order are
-    counted, and only the slice that holds the last group taken is ranked.
+    within ratio +- tol of the rows wins, else trial ``trials + 1``. The rows are counted once. Trials come in batches, so that an
+    early hit ends the search; a batch reads the counted groups twice and never multiplies them: partitions sum rows per
+    trial and slice of the order, then only the slice that holds the last group taken is ranked. The driver gets one row a trial.
+    Groups with the same text are ordered as one; a null group has no draw and goes to ``B``.
     """
     counts = cut_lineage(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     n_groups, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     take = int(n_groups * ratio)
     low, high = total * ratio - total * tol, total * ratio + total * tol
-
-    def ordered(first: int, last: int) -> DataFrame:
-        tried = counts.select("*", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("trial"))
-        return tried.withColumn("_d", draw(seed, "trial", group)).withColumn("_cut", F.substring("_d", 1, 3))
-
-    def borders(tried: DataFrame) -> DataFrame:
-        """Per trial the rows taken and the last group taken: prefix sums over slices of the order, ranks in the border slice only."""
-        before = W.partitionBy("trial").orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
-        slices = tried.groupBy("trial", "_cut").agg(F.count(F.lit(1)).alias("_g"), F.sum("_n").alias("_r"))
-        slices = slices.select("trial", "_cut", "_g", F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_gb"), F.coalesce(F.sum("_r").over(before), F.lit(0)).alias("_rb"))
-        border = slices.filter((F.col("_gb") < take) & (F.col("_gb") + F.col("_g") >= take))
-        inside = tried.join(border, ["trial", "_cut"]).withColumn("_rn", F.row_number().over(W.partitionBy("trial", "_cut").orderBy("_d", group)))
-        mine = inside.filter(F.col("_rn") <= take - F.col("_gb")).groupBy("trial")
-        return mine.agg((F.sum("_n") + F.first("_rb")).alias("_taken"), F.max(F.struct("_d", group)).alias("_last"))
+    named = counts.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("name"), F.col("_n").alias("n"))
+
+    def ends(first: int, last: int) -> DataFrame:
+        """Per trial (trial, taken, d, name): the rows taken, and draw and name of the last group taken."""
+        slices = named.mapInArrow(_sliced(seed, first, last), "trial long, cut long, g long, r long").groupBy("trial", "cut").agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
+        before = W.partitionBy("trial").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
+        summed = slices.select("trial", "cut", "g", F.coalesce(F.sum("g").over(before), F.lit(0)).alias("gb"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rb"))
+        # at most one row a trial
+        border = {r["trial"]: r for r in summed.filter((F.col("gb") < take) & (F.col("gb") + F.col("g") >= take)).collect()}
+        inside = named.mapInArrow(_inside(seed, {t: r["cut"] for t, r in border.items()}), "trial long, d string, name string, n long")
+        inside = inside.withColumn("rn", F.row_number().over(W.partitionBy("trial").orderBy("d", "name")))
+        known = rows.sparkSession.createDataFrame([(t, r["gb"], r["rb"]) for t, r in border.items()], "trial long, gb long, rb long")
+        mine = inside.join(F.broadcast(known), "trial").filter(F.col("rn") <= take - F.col("gb"))
+        last_taken = F.max(F.struct("d", "name"))
+        return mine.groupBy("trial").agg((F.sum("n") + F.first("rb")).alias("taken"), last_taken.alias("l")).select("trial", "taken", "l.d", "l.name")
 
     winner, first = None, 1
     while winner is None and first <= trials and take:
         last = min(first * 8 - 1, trials)
-        winner = borders(ordered(first, last)).filter(F.col("_taken").between(low, high)).agg(F.min("trial")).first()[0]
+        winner = ends(first, last).filter(F.col("taken").between(low, high)).orderBy("trial").first()
         first = last + 1
-    winner = winner or trials + 1
-    chosen = ordered(winner, winner)
-    # one row, the last group taken; none if no group is
-    end = borders(chosen).select("trial", "_last")
-    side = F.when(F.struct("_d", group) <= F.col("_last"), F.lit("A")).otherwise(F.lit("B"))
-    return chosen.join(F.broadcast(end), "trial", "left").select(group, F.col("_n").alias("n_rows"), F.col("trial").cast("long").alias("trial"), side.alias("side"))
+    if winner is None and take:
+        winner = ends(trials + 1, trials + 1).first()
+    trial = winner["trial"] if winner else trials + 1
+    side = F.lit("B")
+    if winner:
+        mine = F.struct(draw(seed, F.lit(trial), group).alias("d"), F.col(group).cast("string").alias("name"))
+        side = F.when(mine <= F.struct(F.lit(winner["d"]).alias("d"), F.lit(winner["name"]).alias("name")), F.lit("A")).otherwise(F.lit("B"))
+    return counts.select(group, F.col("_n").alias("n_rows"), F.lit(trial).cast("long").alias("trial"), side.alias("side"))
 
 
 def _column_variants(n: int, seed: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from querymill.functions.prompts import question_with_evidence
@@ -31,7 +31,7 @@ class TrainingSets:
 def training_sets(workload: DataFrame, columns: DataFrame, fks: DataFrame, ratio: float = 0.3, tol: float = 0.02, seed: int = 42) -> TrainingSets:
     """Link, label, add noise, split and corrupt a workload ``(dp_id, db_id, question, evidence, sql)``.
 
-    The links feed everything after them, so they are written once to the shared folder.
+    The links feed everything after them, so they are written once to the shared folder; so are the samples, which are counted while they are written.
     """
     kept = filter_workload(workload, columns)
     links, rejected = validate_link(link_columns(kept, columns), columns)
@@ -40,14 +40,15 @@ def training_sets(workload: DataFrame, columns: DataFrame, fks: DataFrame, ratio
     dps = kept.join(text, ["dp_id", "db_id"]).select(
         "dp_id", "db_id", question_with_evidence(F.col("question"), F.col("evidence")).alias("question"), canonical_sql(F.col("sql")).alias("sql"), F.col("linearized").alias("link_text")
     )
-    samples = synth.column_samples(links, columns, fks, seed=seed)
+    seen = Observation()
+    samples = cut_lineage(synth.column_samples(links, columns, fks, seed=seed, seen=seen))
     split = synth.group_split(dps, "db_id", ratio, tol, seed=seed)
     return TrainingSets(
         datapoints=dps,
         links=links,
         rejected=rejected,
         samples=samples,
-        stats=synth.generation_stats(dps, columns, samples),
+        stats=synth.generation_stats(dps, columns, seen),
         schemas=synth.noised_schema(dps, links, columns, fks, seed),
         split=split,
         train=synth.assemble_train(links, split, columns, fks, seed=seed),

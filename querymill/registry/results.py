@@ -341,19 +341,16 @@ def _(s):
     "X11_tournament",
     r"""
 RECURSIVE walk AS (
-  SELECT 0 AS n, dp_id, cand_id, value, event_type AS result_key FROM i_votes WHERE NOT is_gold
+  SELECT 1 AS n, dp_id, {'cand_id': cand_id, 'value': value, 'result_key': event_type} AS c, row_number() OVER (PARTITION BY dp_id ORDER BY md5('42|1|' || dp_id || '|' || cand_id)) - 1 AS place, count(*) OVER (PARTITION BY dp_id) AS m
+  FROM i_votes WHERE NOT is_gold
   UNION ALL
-  SELECT n, dp_id, win.cand_id, win.value, win.result_key FROM (
-    SELECT n, dp_id, CASE WHEN cnt = 1 THEN a WHEN a.result_key = b.result_key THEN CASE WHEN coin < 0.5 THEN a ELSE b END
+  SELECT n + 1, dp_id, win, CAST((slot * 2147483647 + CAST('0x' || substr(md5('42|' || (n + 1) || '-shift|' || dp_id), 1, 8) AS BIGINT)) % m AS BIGINT), m FROM (
+    SELECT n, dp_id, slot, (m + 1) // 2 AS m, CASE WHEN cnt = 1 THEN a WHEN a.result_key = b.result_key THEN CASE WHEN coin < 0.5 THEN a ELSE b END
         WHEN a.value > b.value OR (a.value = b.value AND a.cand_id < b.cand_id) THEN a ELSE b END AS win
-    FROM (SELECT n, dp_id, slot, count(*) AS cnt, min_by(c, rn) AS a, max_by(c, rn) AS b,
-        CAST('0x' || substr(md5('42|' || n || '-coin|' || dp_id || '|' || slot), 1, 8) AS BIGINT) / 4294967296.0 AS coin
-      FROM (SELECT n, dp_id, c, rn, (rn - 1) // 2 AS slot FROM (
-          SELECT n + 1 AS n, dp_id, {'cand_id': cand_id, 'value': value, 'result_key': result_key} AS c,
-            row_number() OVER (PARTITION BY dp_id ORDER BY md5('42|' || (n + 1) || '|' || dp_id || '|' || cand_id)) AS rn
-          FROM walk WHERE n < 12))
-      GROUP BY n, dp_id, slot)))
-SELECT d.dp_id, cand_id, result_key FROM (SELECT DISTINCT dp_id FROM i_votes) d LEFT JOIN (SELECT * FROM walk WHERE n = (SELECT CAST(ceil(log2(max(c))) AS INT) FROM (SELECT count(*) AS c FROM i_votes WHERE NOT is_gold GROUP BY dp_id))) w ON d.dp_id = w.dp_id""",
+    FROM (SELECT n, dp_id, place // 2 AS slot, m, count(*) AS cnt, min_by(c, place) AS a, max_by(c, place) AS b,
+        CAST('0x' || substr(md5('42|' || n || '-coin|' || dp_id || '|' || (place // 2)), 1, 8) AS BIGINT) / 4294967296.0 AS coin
+      FROM walk WHERE n < 13 GROUP BY n, dp_id, place // 2, m)))
+SELECT d.dp_id, c.cand_id AS cand_id, c.result_key AS result_key FROM (SELECT DISTINCT dp_id FROM i_votes) d LEFT JOIN (SELECT * FROM walk WHERE n = (SELECT 1 + CAST(ceil(log2(max(c))) AS INT) FROM (SELECT count(*) AS c FROM i_votes WHERE NOT is_gold GROUP BY dp_id))) w ON d.dp_id = w.dp_id""",
 )
 def _(s):
     def judge(p):

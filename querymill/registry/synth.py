@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from querymill.functions import prompts
@@ -10,6 +11,7 @@ from querymill.registry import inputs  # noqa: F401
 from querymill.registry.base import INPUTS, Source, check
 from querymill.registry.catalog import HEADER, NOTED, rendered
 from querymill.registry.links import KEYED, LINEAR
+from querymill.session import cut_lineage
 
 U = "(CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0)"
 
@@ -96,8 +98,9 @@ SELECT (SELECT count(*) FROM samples WHERE db_id IN (FROM kn)) AS produced, (SEL
 )
 def _(s):
     known = s["i_columns"].filter(~F.col("db_id").like("%7"))
-    samples = synth.column_samples(s["i_links"], known, s["i_fks"])
-    return synth.generation_stats(s["i_dps"], known, samples)
+    seen = Observation()
+    cut_lineage(synth.column_samples(s["i_links"], known, s["i_fks"], seen=seen))
+    return synth.generation_stats(s["i_dps"], known, seen)
 
 
 NOISED = (
@@ -127,16 +130,20 @@ def _(s):
 
 # ------------------------------------------------------------------ split and corrupted links
 def split_sql(table: str, group: str, seed: int, tol: str) -> str:
+    """Trials one by one, until one fits."""
     return f"""
 cnt AS (SELECT {group} AS g, count(*) AS n FROM {table} GROUP BY 1),
 tot AS (SELECT CAST(floor(count(*) * 0.3) AS INT) AS take, sum(n) AS total FROM cnt),
-tr AS (SELECT g, n, trial, row_number() OVER (PARTITION BY trial ORDER BY md5('{seed}|' || trial || '|' || g), g) AS rn FROM cnt, range(1, 1002) r(trial)),
-win AS (SELECT coalesce(min(trial), 1001) AS trial FROM (SELECT trial, sum(n) AS s FROM tr, tot WHERE rn <= take AND trial <= 1000 GROUP BY 1) x, tot WHERE abs(s - total * 0.3) <= total * {tol}),
-split AS (SELECT g, n, tr.trial, CASE WHEN rn <= take THEN 'A' ELSE 'B' END AS side FROM tr JOIN win ON tr.trial = win.trial, tot)
+tr AS (SELECT 0 AS trial, CAST(-1 AS BIGINT) AS s
+  UNION ALL SELECT t, CAST(sum(n) AS BIGINT) FROM (
+    SELECT trial + 1 AS t, n, take, row_number() OVER (ORDER BY md5('{seed}|' || (trial + 1) || '|' || g), g) AS rn FROM tr, cnt, tot WHERE trial < 1000 AND (trial = 0 OR abs(s - total * 0.3) > total * {tol}))
+  WHERE rn <= take GROUP BY t),
+win AS (SELECT coalesce(min(trial), 1001) AS trial FROM tr, tot WHERE trial > 0 AND abs(s - total * 0.3) <= total * {tol}),
+split AS (SELECT g, n, trial, CASE WHEN rn <= take THEN 'A' ELSE 'B' END AS side FROM (SELECT g, n, trial, row_number() OVER (ORDER BY md5('{seed}|' || trial || '|' || g), g) AS rn FROM cnt, win), tot)
 """
 
 
-@check("T7_group_split", split_sql("lineitem", "l_suppkey", 7, "0.0002") + "SELECT g AS l_suppkey, n AS n_rows, CAST(trial AS BIGINT) AS trial, side FROM split")
+@check("T7_group_split", "RECURSIVE " + split_sql("lineitem", "l_suppkey", 7, "0.0002") + "SELECT g AS l_suppkey, n AS n_rows, CAST(trial AS BIGINT) AS trial, side FROM split")
 def _(s):
     return synth.group_split(s["lineitem"], "l_suppkey", tol=0.0002, seed=7)
 
@@ -170,7 +177,8 @@ def _(s):
 
 
 TRAIN = (
-    DROP_COLUMN
+    "RECURSIVE "
+    + DROP_COLUMN
     + ","
     + DROP_TABLE
     + ","

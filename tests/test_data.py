@@ -182,6 +182,30 @@ def test_noise_keeps_the_link(spark, shop):
     assert 60 < len({n for n, t, c in noisy if (t, c) == ("Orders", "note")}) < 140
 
 
+def test_pivots_spare_visits(spark):
+    """Values around a few centres: the result is that of all pairs, with a fraction of the visits."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 10, (12, 4))
+    point = lambda i: (centres[i % 12] + rng.normal(0, 0.3, 4)).tolist()
+    index = [("d", "t", f"c{i % 2}", f"v{i}", point(i // 2)) for i in range(400)] + [("d", "t", "c0", "same", centres[0].tolist())] * 3 + [("d", "t", "few", "one", point(1)), ("d", "t", "few", "none", None)]
+    queries = [(i, "d", point(i)) for i in range(40)]
+    seen = []
+    got = retrieval.nearest_values(
+        spark.createDataFrame(queries, "dp_id long, db_id string, embedding array<double>"),
+        spark.createDataFrame(index, "db_id string, table_name string, col_name string, value string, embedding array<double>"),
+        rows=10,
+        visits=lambda v: seen.append((v.count(), v.select("db_id", "table_name", "col_name", "cell").distinct().count())),
+    ).collect()
+    want = set()
+    for dp, _, q in queries:
+        for col in ("c0", "c1", "few"):
+            near = sorted((round(float(((np.array(x[4]) - q) ** 2).sum()), 9), x[3]) for x in index if x[2] == col and x[4] is not None)[:3]
+            want |= {(dp, col, n, v) for n, (_, v) in enumerate(near, 1)}
+    assert {(r["dp_id"], r["col_name"], r["rn"], r["value"]) for r in got} == want
+    made, cells = seen[0]
+    assert cells > 20 and made < 0.5 * len(queries) * cells
+
+
 def test_group_split(spark):
     rows = spark.range(1000).select((F.col("id") % 20).alias("g"))
     got = synth.group_split(rows, "g", ratio=0.3, tol=0.02).collect()
