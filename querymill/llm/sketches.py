@@ -4,7 +4,8 @@ One hash function orders all shingles; a text keeps its k smallest. Similar text
 inverted lists over kept values propose pairs: rare values first, and only as many of a text's values as a
 partner cannot avoid. Every list first ties its members to the text whose values are the most common in
 the corpus, which joins a group of copies with as many comparisons as it has members; then what a list
-still holds apart meets in blocks, inside a task. The sketch of the union filters, full sets decide.
+still holds apart meets in blocks, inside a task: once by sketches, and what these leave by full sets. A block
+gives back its members or one link a member, so no group's pairs are ever rows.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from querymill.llm.spelling import lowered
 from querymill.llm.text import broadcast_if_small, staged, words
 
 N, PERCENT, KEPT, LOSS = 4, 80, 64, 1e-9
-#: Texts of a list that a task compares at a time.
-BLOCK = 512
+#: Texts of a list, and shingles of these, that a task compares with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_ROWS = "v long, lo int, hi int, blk int, key binary, comp binary"
 
 
 def least_shared(kept: int = KEPT, percent: int = PERCENT, loss: float = LOSS) -> int:
@@ -82,51 +84,119 @@ def whole_sets(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return make
 
 
-def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many values each list of one side has in common with each of the other."""
-    many = len(left)
-    owner = np.repeat(np.arange(many + len(right)), [len(x) for x in left + right])
-    _, value = np.unique(np.concatenate(left + right), return_inverse=True)
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None, width: int = 4096) -> np.ndarray:
+    """How many values each list of different values has in common with each of the other side, or of its own."""
+    many, both = len(left), left + (right or [])
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, value = np.unique(np.concatenate(both), return_inverse=True)
+    # a value that stands on one side only, or once, adds nothing
+    seen = np.bincount(value[owner < many], minlength=len(value)), np.bincount(value[owner >= many], minlength=len(value))
+    useful = (seen[0] > 1 if right is None else (seen[0] > 0) & (seen[1] > 0))[value]
+    owner, value = owner[useful], value[useful]
     order = np.argsort(value, kind="stable")
-    owner, value = owner[order], value[order]
-    out = np.zeros((many, len(right)), np.float32)
+    owner, value = owner[order], np.unique(value, return_inverse=True)[1][order]
+    out = np.zeros((many, len(both) - many if right is not None else many), np.float32)
     for low in range(0, int(value[-1]) + 1 if len(value) else 0, width):
         a, b = np.searchsorted(value, [low, low + width])
-        part = np.zeros((many + len(right), width), np.float32)
+        part = np.zeros((len(both), width), np.float32)
         part[owner[a:b], value[a:b] - low] = 1
-        out += part[:many] @ part[many:].T
+        out += part[:many] @ (part if right is None else part[many:]).T
     return out
 
 
+def lists_of(column: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
+    offsets, values = np.asarray(column.offsets), np.asarray(column.values)
+    return [values[offsets[i] : offsets[i + 1]] for i in rows.tolist()]
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray | None]]]]:
+    """Rows sorted by (v, lo, hi), then blk, key, comp -> rows, and of each block pair the row numbers of both sides; None if a block meets itself.
+
+    Pairs of blocks that are one component as a whole are left out.
+    """
+    for rows, bounds in runs(batches, 3):
+        lo, hi, blk = (np.asarray(rows.column(i)) for i in (1, 2, 3))
+        comp = rows.column(5).dictionary_encode().indices.to_numpy()
+        met = []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            at = np.arange(low, high)
+            if len(at) > 1 and (comp[at] != comp[low]).any():
+                x, y = at[blk[at] == lo[low]], at[blk[at] == hi[low]]
+                if lo[low] == hi[low]:
+                    met.append((x, None))
+                elif len(x) and len(y):
+                    met.append((x, y))
+        yield rows, met
+
+
+def _against(x: np.ndarray, y: np.ndarray | None, test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Matrix of a test on two values, of all pairs of two lists."""
+    return test(x[:, None], (x if y is None else y)[None, :])
+
+
 def apart(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted blocks (v, lo, hi, blk, key, comp, size, least, kept) -> pairs (a, b) of other components that share enough."""
+    """Blocks (v, lo, hi, blk, key, comp, size, least, kept, before) -> the rows (v, lo, hi, blk, key, comp) that have a likely partner there.
+
+    Likely: of another component and with values enough in common. A pair belongs to the first list that both texts are in, so to no list
+    with a value ``before`` it in common.
+    """
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, bounds in runs(batches, 3):
-            lo, hi, blk = (np.asarray(rows.column(i)) for i in (1, 2, 3))
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, met in blocks(batches):
             comp = rows.column(5).dictionary_encode().indices.to_numpy()
             size, least = np.asarray(rows.column(6)), np.asarray(rows.column(7))
-            keys, offsets = rows.column(4), np.asarray(rows.column(8).offsets)
-            values = np.asarray(rows.column(8).values)
+            found = np.zeros(rows.num_rows, bool)
+            for x, y in met:
+                other = x if y is None else y
+                likely = _against(comp[x], None if y is None else comp[y], np.not_equal)
+                likely &= _against(size[x], None if y is None else size[y], lambda a, b: 100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+                if likely.any():
+                    likely &= shared_counts(*(lists_of(rows.column(8), s) for s in (x, y) if s is not None)) >= _against(least[x], None if y is None else least[y], np.maximum)
+                if likely.any():
+                    likely &= shared_counts(*(lists_of(rows.column(9), s) for s in (x, y) if s is not None)) == 0
+                found[x[likely.any(axis=1)]] = True
+                found[other[likely.any(axis=0)]] = True
+            if found.any():
+                yield rows.select(range(6)).filter(pa.array(found))
+
+    return members
+
+
+def least_roots(linked: np.ndarray) -> np.ndarray:
+    """Least index of each component of a symmetric boolean matrix."""
+    root, before = np.arange(len(linked)), None
+    reach = linked | np.eye(len(linked), dtype=bool)
+    while before is None or (root != before).any():
+        before = root
+        root = np.where(reach, root[None, :], len(linked)).min(axis=1)
+        root = root[root]
+    return root
+
+
+def joiner(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks (v, lo, hi, blk, key, comp, shingles) -> links (a, b) that join all that is similar there: one a text at most."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, met in blocks(batches):
             firsts, seconds = [], []
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                at = np.arange(low, high)
-                if len(at) < 2 or (comp[at] == comp[low]).all():
-                    continue
-                x = at[blk[at] == lo[low]]
-                y = x if lo[low] == hi[low] else at[blk[at] == hi[low]]
-                if not len(x) or not len(y):
-                    continue
-                lists = [[values[offsets[i] : offsets[i + 1]] for i in side.tolist()] for side in (x, y)]
-                enough = shared_counts(*lists) >= np.maximum(least[x][:, None], least[y][None, :])
-                enough &= (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(size[x][:, None], size[y][None, :]) >= percent * np.maximum(size[x][:, None], size[y][None, :]))
-                i, j = np.nonzero(np.triu(enough, 1) if x is y else enough)
-                firsts.append(x[i])
-                seconds.append(y[j])
+            for x, y in met:
+                sets = [lists_of(rows.column(6), s) for s in (x, y) if s is not None]
+                size = [np.array([len(v) for v in side]) for side in sets]
+                same = shared_counts(*sets)
+                similar = 100 * same >= percent * (_against(size[0], None if y is None else size[1], np.add) - same)
+                if y is not None:
+                    whole = np.zeros((len(x) + len(y),) * 2, bool)
+                    whole[: len(x), len(x) :] = similar
+                    similar = whole | whole.T
+                at = x if y is None else np.concatenate([x, y])
+                root = least_roots(similar)
+                moved = root != np.arange(len(at))
+                firsts.append(at[moved])
+                seconds.append(at[root[moved]])
             if firsts:
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(side))) for side in (firsts, seconds)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([rows.column(4).take(pa.array(np.concatenate(side))) for side in (firsts, seconds)], ["a", "b"])
 
-    return pairs
+    return join
 
 
 def inverted(nodes: DataFrame, kept: int, percent: int) -> DataFrame:
@@ -166,7 +236,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, n: int = N
     nodes = members.filter("size > 0").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("kept").alias("kept"))
     nodes = staged(nodes, "texts")
     found = staged(inverted(nodes, kept, percent), "inverted")
-    lists = staged(found.select(F.explode("lists").alias("v"), "key", "size", "weight"), "lists")
+    lists = staged(found.select(F.posexplode("lists").alias("pos", "v"), "key", "size", "weight"), "lists")
     centers = lists.groupBy("v").agg(F.max(F.struct("weight", "key", "size")).alias("c"), F.count("*").alias("members")).filter("members > 1")
     tied = staged(centers.select(F.col("v").alias("at"), F.col("c.key").alias("center"), F.col("c.size").alias("center_size"), "members"), "centers")
     close = 100 * F.least("size", "center_size") >= percent * F.greatest("size", "center_size")
@@ -174,24 +244,28 @@ def linked(docs: DataFrame, percent: int = PERCENT, kept: int = KEPT, n: int = N
     stars = staged(met.filter(close).select(F.col("key").alias("a"), F.col("center").alias("b")).distinct(), "stars")
     wanted = staged(met.select("key").union(met.select("center")).distinct(), "proposed")
     chosen = nodes.join(broadcast_if_small(wanted), "key").select("key", "first_id")
-    again = docs.select(F.col("doc_id").alias("d"), words(lowered(F.col("text"))).alias("w")).withColumn("k", word_key(F.col("w")))
-    again = again.join(broadcast_if_small(staged(chosen, "proposed-texts")), (F.col("k") == F.col("key")) & F.col("d").eqNullSafe(F.col("first_id")))
+    # texts are cut into words again only where they are wanted
+    again = docs.select(F.col("doc_id").alias("d"), "text").join(broadcast_if_small(staged(chosen, "proposed-texts")), F.col("d").eqNullSafe(F.col("first_id")))
+    again = again.select("key", words(lowered(F.col("text"))).alias("w")).filter(word_key(F.col("w")) == F.col("key"))
     once = again.groupBy("key").agg(F.first("w").alias("w")).select("key", F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
     sets = staged(once.mapInArrow(whole_sets(n), "key binary, shingles array<long>"), "shingles")
     links = staged(similar(stars, nodes, sets, kept, percent), "links")
     first = staged(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), "star-links"), "star-components")
     # what lists hold apart beside their centre, which has been compared with all of them
-    rest = met.select("v", "key").join(first.withColumnRenamed("node", "key"), "key", "left").select("v", "key", F.coalesce("root", "key").alias("comp"))
+    rest = met.select("v", "pos", "key", "size").join(first.withColumnRenamed("node", "key"), "key", "left").select("v", "pos", "key", "size", F.coalesce("root", "key").alias("comp"))
     rest = staged(rest, "list-components")
-    open_ = rest.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x <> y").select(F.col("v").alias("at"), F.ceil(F.col("c") / block).cast("int").alias("many"))
+    room = F.greatest(F.count("*") / block, F.sum("size") / BLOCK_SHINGLES)
+    open_ = rest.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(room).cast("int").alias("many")).filter("x <> y").select(F.col("v").alias("at"), "many")
     placed = rest.join(open_, F.col("v") == F.col("at")).withColumn("blk", F.pmod(F.xxhash64("key"), "many").cast("int"))
     spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    spread = spread.select("v", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "key", "comp")
-    carried = found.select("key", "size", "least").join(nodes.select("key", "kept"), "key")
-    blocks = spread.join(carried, "key").select("v", "lo", "hi", "blk", "key", "comp", "size", "least", "kept")
-    sorted_ = blocks.repartition("v", "lo", "hi").sortWithinPartitions("v", "lo", "hi")
-    more = staged(sorted_.mapInArrow(apart(percent), "a binary, b binary").distinct(), "apart")
-    late = similar(more, nodes, sets, kept, percent)
+    spread = spread.select("v", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "key", "comp", "pos")
+    carried = found.select("key", "size", "least", "lists").join(nodes.select("key", "kept"), "key")
+    before = F.slice("lists", F.lit(1), F.col("pos")).alias("before")
+    met_in = ["v", "lo", "hi"]
+    sketched = spread.join(carried, "key").select(*met_in, "blk", "key", "comp", "size", "least", "kept", before)
+    likely = staged(sketched.repartition(*met_in).sortWithinPartitions(*met_in).mapInArrow(apart(percent), BLOCK_ROWS), "apart")
+    full = likely.join(sets, "key").select(*met_in, "blk", "key", "comp", "shingles")
+    late = full.repartition(*met_in).sortWithinPartitions(*met_in).mapInArrow(joiner(percent), "a binary, b binary")
     ends = F.col("a").alias("src"), F.col("b").alias("dst")
     comps = components(late.select(*ends).union(first.select(F.col("node").alias("src"), F.col("root").alias("dst"))), "all-links")
     return members.select("doc_id", "key", "size"), nodes.select("key", "first_id"), comps

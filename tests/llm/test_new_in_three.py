@@ -263,6 +263,15 @@ def test_sketches_of_nothing(none):
 def test_shared_counts():
     left, right = [np.array([1, 5, 9]), np.array([], np.int64)], [np.array([9, 5]), np.array([2])]
     assert sketches.shared_counts(left, right).tolist() == [[2, 0], [0, 0]]
+    assert (sketches.shared_counts(left + right) - np.diag([3, 0, 2, 1]))[:3, :3].tolist() == [[-1, 0, 2], [0, 0, 0], [2, 0, 0]]
+    assert sketches.shared_counts(right, width=1)[0, 1] == 0
+
+
+def test_least_roots():
+    linked = np.zeros((6, 6), bool)
+    for i, j in ((0, 3), (3, 4), (1, 5)):
+        linked[i, j] = linked[j, i] = True
+    assert sketches.least_roots(linked).tolist() == [0, 1, 2, 0, 0, 1]
 
 
 def test_other_columns_do_not_matter(odd):
