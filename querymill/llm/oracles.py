@@ -77,6 +77,12 @@ def _quality() -> str:
     symbols = quality.SYMBOLS
     rules = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in quality.RULES.values())
     j, q = len(quality.RULES), quality
+    rates = lambda start: f"[{', '.join(f'CAST({x} AS DOUBLE)' for x in start * j)}]"
+    # rates of vote i % 3 - 1 by rule i // 3, of all documents in proportion to their share in the class
+    seen = lambda share, start: (
+        f"list_transform(range(0, {3 * j}), lambda i: (list_sum(list_transform(post, lambda r: CASE WHEN r.v[i // 3 + 1] = i % 3 - 1 THEN {share} * r.n ELSE 0 END)) + {q.PSEUDO} * ({rates(start)})[i + 1]) "
+        f"/ (list_sum(list_transform(post, lambda r: {share} * r.n)) + {q.PSEUDO}))"
+    )
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT row_no, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT row_no, {WORDS} AS w FROM d)),
@@ -90,18 +96,19 @@ f AS (
     CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS n_letters, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals
   FROM d LEFT JOIN covered ON d.row_no = covered.row_no LEFT JOIN lines ON d.row_no = lines.row_no),
 v AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, [{rules}] AS votes FROM f),
-pats AS (SELECT list({{'v': votes, 'n': n}} ORDER BY votes) AS ps FROM (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes)),
-em(step, prior, alpha, post) AS (
-  SELECT 0, CAST({q.PRIOR} AS DOUBLE), list_transform(range(0, {j}), lambda k: CAST({q.ACCURACY} AS DOUBLE)), list_transform(ps, lambda r: {{'v': r.v, 'n': r.n, 'q': CAST(NULL AS DOUBLE)}}) FROM pats
+pats AS (SELECT list({{'v': votes, 'f': base_failed, 'n': n}} ORDER BY votes, base_failed) AS ps FROM (SELECT votes, base_failed, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY votes, base_failed)),
+em(step, prior, good, bad, post) AS (
+  SELECT 0, CAST({q.PRIOR} AS DOUBLE), {rates(q.ON_GOOD)}, {rates(q.ON_BAD)}, list_transform(ps, lambda r: {{'v': r.v, 'f': r.f, 'n': r.n, 'q': CAST(NULL AS DOUBLE)}}) FROM pats
   UNION ALL
   SELECT step + 1,
-    CASE WHEN step % 2 = 0 THEN prior ELSE greatest(CAST(0.05 AS DOUBLE), least(CAST(0.95 AS DOUBLE), (list_sum(list_transform(post, lambda r: r.q * r.n)) + {q.PSEUDO * q.PRIOR}) / (list_sum(list_transform(post, lambda r: r.n)) + {q.PSEUDO}))) END,
-    CASE WHEN step % 2 = 0 THEN alpha ELSE list_transform(range(1, {j} + 1), lambda k: greatest(CAST({q.LEAST} AS DOUBLE), least(CAST({q.MOST} AS DOUBLE),
-      (list_sum(list_transform(post, lambda r: CASE r.v[k] WHEN 1 THEN r.q * r.n WHEN -1 THEN (1 - r.q) * r.n ELSE 0 END)) + {q.PSEUDO * q.ACCURACY}) / (list_sum(list_transform(post, lambda r: CASE r.v[k] WHEN 0 THEN 0 ELSE r.n END)) + {q.PSEUDO})))) END,
-    CASE WHEN step % 2 = 1 THEN post ELSE list_transform(post, lambda r: {{'v': r.v, 'n': r.n, 'q': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(r.v, lambda x, i: x * ln(alpha[i] / (1 - alpha[i])))))))}}) END
+    CASE WHEN step % 2 = 0 THEN prior ELSE (list_sum(list_transform(post, lambda r: r.q * r.n)) + {q.PSEUDO * q.PRIOR}) / (list_sum(list_transform(post, lambda r: r.n)) + {q.PSEUDO}) END,
+    CASE WHEN step % 2 = 0 THEN good ELSE {seen("r.q", q.ON_GOOD)} END,
+    CASE WHEN step % 2 = 0 THEN bad ELSE {seen("(1 - r.q)", q.ON_BAD)} END,
+    CASE WHEN step % 2 = 1 THEN post ELSE list_transform(post, lambda r: {{'v': r.v, 'f': r.f, 'n': r.n, 'q': CASE WHEN r.f THEN 0 ELSE
+      1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(r.v, lambda x, i: ln(good[3 * i + x - 1] / bad[3 * i + x - 1])))))) END}}) END
   FROM em WHERE step < {2 * q.STEPS + 1}),
-done AS (SELECT r.v AS votes, r.q AS p_good FROM (SELECT unnest(post) AS r FROM em WHERE step = {2 * q.STEPS + 1}))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM v JOIN done ON v.votes = done.votes"""
+done AS (SELECT r.v AS votes, r.f AS failed, r.q AS p_good FROM (SELECT unnest(post) AS r FROM em WHERE step = {2 * q.STEPS + 1}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p_good >= 0.5 AS kept, round(p_good, 6) AS p_good FROM v JOIN done ON v.votes = done.votes AND v.base_failed = done.failed"""
 
 
 JACCARD = rf"""

@@ -2,14 +2,18 @@
 
 Features come from array functions inside the row, so a document of any length stays in its own row and
 nothing about it is shuffled. Documents reach the model as counts of vote patterns: with J rules there are
-at most 3^J patterns, whatever the corpus, so EM runs on a bounded table inside one SQL expression.
+at most 2 * 3^J patterns, whatever the corpus, so EM runs on a bounded table inside one SQL expression. Documents that fail
+the base rules are the bad ones known beforehand; they anchor the class.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querymill.functions.examples import let
 from querymill.llm.text import packed, staged, words
 
 WINDOW = 5
@@ -26,7 +30,10 @@ RULES = {
     "word_size": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 2.5 * n_words AND 12 * n_words"),
 }
 STEPS = 25
-PRIOR, ACCURACY, LEAST, MOST, PSEUDO = 0.7, 0.8, 0.55, 0.995, 1.0
+#: Share of good documents, and how often a rule says bad, nothing and good of a good and of a bad document, before any are seen; these count as
+#: PSEUDO documents of each class.
+PRIOR, PSEUDO = 0.8, 0.1
+ON_GOOD, ON_BAD = (0.005, 0.1, 0.895), (0.25, 0.2, 0.55)
 PARTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
 
 
@@ -71,38 +78,41 @@ def votes() -> Column:
 
 
 def posteriors(patterns: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(votes, n) -> (votes, p_good), by EM over accuracies of the rules and the share of good documents.
+    """(votes, base_failed, n) -> (votes, base_failed, p_good), by EM over what each rule says of good and of bad documents, and the share of good ones.
 
-    Rules are independent given the class, and equally accurate on both classes. Accuracies stay between
-    LEAST and MOST, so that the two classes cannot change places. The table has at most 3^J rows.
+    Rules are independent given the class; each has rates of its own for both classes, so that abstaining tells something
+    too. Documents with base_failed are bad for certain: they name the classes, which so cannot change places. The table
+    has at most 2 * 3^J rows.
     """
     j = len(RULES)
-    p = F.collect_list(F.struct("votes", "n"))
-    log_odds = lambda s, v: F.aggregate(
-        F.zip_with(s["alpha"], v, lambda a, x: x * F.log(a / (1 - a))), F.log(s["prior"] / (1 - s["prior"])), lambda t, x: t + x
-    )
-    weighed = lambda s: F.transform(
-        "pats", lambda r: F.struct(r["votes"].alias("votes"), r["n"].cast("double").alias("n"), (1 / (1 + F.exp(-log_odds(s, r["votes"])))).alias("q"))
-    )
-    right = lambda r, k: F.when(F.get(r["votes"], k) == 1, r["q"] * r["n"]).when(F.get(r["votes"], k) == -1, (1 - r["q"]) * r["n"]).otherwise(0.0)
-    voted = lambda r, k: F.when(F.get(r["votes"], k) == 0, 0.0).otherwise(r["n"])
+    said = lambda r, i: F.get(r["votes"], F.floor(i / 3).cast("int")) == i % 3 - 1
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda t, r: t + f(r))
-    fitted = lambda a: F.transform(
-        F.sequence(F.lit(0), F.lit(j - 1)),
-        lambda k: F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (total(a, lambda r: right(r, k)) + PSEUDO * ACCURACY) / (total(a, lambda r: voted(r, k)) + PSEUDO))),
+    places = F.sequence(F.lit(0), F.lit(3 * j - 1))
+    log_odds = lambda s, v: F.log(s["prior"] / (1 - s["prior"])) + F.aggregate(
+        F.transform(v, lambda x, k: F.log(F.get(s["good"], 3 * k + x + 1) / F.get(s["bad"], 3 * k + x + 1))), F.lit(0.0), lambda t, x: t + x
     )
-    share = lambda a: F.greatest(F.lit(0.05), F.least(F.lit(0.95), (total(a, lambda r: r["q"] * r["n"]) + PSEUDO * PRIOR) / (total(a, lambda r: r["n"]) + PSEUDO)))
-    state = lambda prior, alpha, post: F.struct(prior.alias("prior"), alpha.alias("alpha"), post.alias("post"))
-    none = F.expr("cast(array() AS array<struct<votes: array<int>, n: double, q: double>>)")
-    start = state(F.lit(PRIOR), F.array_repeat(F.lit(ACCURACY), j), none)
+    sure = lambda s, r: F.when(r["base_failed"], 0.0).otherwise(1 / (1 + F.exp(-log_odds(s, r["votes"]))))
+    weighed = lambda s: F.transform("pats", lambda r: F.struct(r["votes"].alias("votes"), r["base_failed"].alias("base_failed"), r["n"].cast("double").alias("n"), sure(s, r).alias("q")))
+
+    def fitted(a: Column, share: Callable[[Column], Column], start: tuple) -> Column:
+        first = F.array(*[F.lit(x) for x in start * j])
+        mass = let(total(a, lambda r: share(r) * r["n"]), lambda all_: F.transform(places, lambda i: (total(a, lambda r: F.when(said(r, i), share(r) * r["n"]).otherwise(0.0)) + PSEUDO * F.get(first, i)) / (all_ + PSEUDO)))
+        return mass
+
+    prior = lambda a: (total(a, lambda r: r["q"] * r["n"]) + PSEUDO * PRIOR) / (total(a, lambda r: r["n"]) + PSEUDO)
+    state = lambda p, good, bad, post: F.struct(p.alias("prior"), good.alias("good"), bad.alias("bad"), post.alias("post"))
+    none = F.expr("cast(array() AS array<struct<votes: array<int>, base_failed: boolean, n: double, q: double>>)")
+    start = state(F.lit(PRIOR), F.array(*[F.lit(x) for x in ON_GOOD * j]), F.array(*[F.lit(x) for x in ON_BAD * j]), none)
     # odd steps weigh the patterns, even steps fit the parameters
     step = lambda s, i: state(
-        F.when(i % 2 == 1, s["prior"]).otherwise(share(s["post"])),
-        F.when(i % 2 == 1, s["alpha"]).otherwise(fitted(s["post"])),
+        F.when(i % 2 == 1, s["prior"]).otherwise(prior(s["post"])),
+        F.when(i % 2 == 1, s["good"]).otherwise(fitted(s["post"], lambda r: r["q"], ON_GOOD)),
+        F.when(i % 2 == 1, s["bad"]).otherwise(fitted(s["post"], lambda r: 1 - r["q"], ON_BAD)),
         F.when(i % 2 == 1, weighed(s)).otherwise(s["post"]),
     )
     done = F.aggregate(F.sequence(F.lit(1), F.lit(2 * steps + 1)), start, step, lambda s: s["post"])
-    return patterns.agg(p.alias("pats")).select(F.explode(done).alias("r")).select(F.col("r.votes").alias("votes"), F.col("r.q").alias("p_good"))
+    gathered = patterns.agg(F.collect_list(F.struct("votes", "base_failed", "n")).alias("pats"))
+    return gathered.select(F.explode(done).alias("r")).select(F.col("r.votes").alias("votes"), F.col("r.base_failed").alias("base_failed"), F.col("r.q").alias("p_good"))
 
 
 def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -117,9 +127,9 @@ def judged(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def judged_features(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     """As judged(), from the table of features(), which may lack the texts by now."""
     found = staged(found.withColumn("base_failed", base_failed()).withColumn("votes", votes()), "quality")
-    fitted = staged(posteriors(found.groupBy("votes").agg(F.count("*").alias("n"))), "quality-model")
-    # at most 3^J rows, whatever the corpus
-    scored = found.join(F.broadcast(fitted), "votes", "left")
+    fitted = staged(posteriors(found.groupBy("votes", "base_failed").agg(F.count("*").alias("n"))), "quality-model")
+    # at most 2 * 3^J rows, whatever the corpus
+    scored = found.join(F.broadcast(fitted), ["votes", "base_failed"], "left")
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 

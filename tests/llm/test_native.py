@@ -94,29 +94,42 @@ def test_quality_features(odd, documents):
 
 
 def em(patterns):
-    """The same EM, written with loops."""
-    j, clamp = len(quality.RULES), lambda x, a, b: min(max(x, a), b)
-    prior, alpha = quality.PRIOR, [quality.ACCURACY] * j
+    """The same EM, written with loops: (votes, base_failed) -> how many."""
+    j = len(quality.RULES)
+    prior, good, bad = quality.PRIOR, [list(quality.ON_GOOD)] * j, [list(quality.ON_BAD)] * j
     for step in range(quality.STEPS + 1):
-        q = {v: 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, alpha))))) for v in patterns}
+        odds = {v: math.log(prior / (1 - prior)) + sum(math.log(good[k][x + 1] / bad[k][x + 1]) for k, x in enumerate(v)) for v, _ in patterns}
+        q = {(v, failed): 0.0 if failed else 1 / (1 + math.exp(-odds[v])) for v, failed in patterns}
         if step == quality.STEPS:
             return q
-        total = sum(patterns.values())
-        for k in range(j):
-            right = sum(n * (q[v] if v[k] == 1 else 1 - q[v]) for v, n in patterns.items() if v[k])
-            voted = sum(n for v, n in patterns.items() if v[k])
-            alpha[k] = clamp((right + quality.PSEUDO * quality.ACCURACY) / (voted + quality.PSEUDO), quality.LEAST, quality.MOST)
-        prior = clamp((sum(n * q[v] for v, n in patterns.items()) + quality.PSEUDO * quality.PRIOR) / (total + quality.PSEUDO), 0.05, 0.95)
+
+        def rates(share, start):
+            total = sum(share[p] * n for p, n in patterns.items())
+            return [[(sum(share[p] * n for p, n in patterns.items() if p[0][k] == x - 1) + quality.PSEUDO * start[x]) / (total + quality.PSEUDO) for x in range(3)] for k in range(j)]
+
+        good, bad = rates(q, quality.ON_GOOD), rates({p: 1 - x for p, x in q.items()}, quality.ON_BAD)
+        prior = (sum(n * q[p] for p, n in patterns.items()) + quality.PSEUDO * quality.PRIOR) / (sum(patterns.values()) + quality.PSEUDO)
 
 
 def test_quality_model(documents):
     rows = quality.judged(documents).collect()
-    want = em(Counter(tuple(r["votes"]) for r in rows))
+    want = em(Counter((tuple(r["votes"]), r["base_failed"]) for r in rows))
     for r in rows:
-        assert r["p_good"] == pytest.approx(want[tuple(r["votes"])], abs=1e-9)
+        assert r["p_good"] == pytest.approx(want[tuple(r["votes"]), r["base_failed"]], abs=1e-9)
         assert r["kept"] == (not r["base_failed"] and r["p_good"] >= 0.5)
 
 
+def test_quality_verdict_decides(spark):
+    """Of labelled documents that pass the base rules, half of the bad ones go and the good ones stay."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
+    rows = quality.judged(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id", "left").filter("NOT base_failed").select("quality", "kept").collect()
+    seen = Counter((r["quality"], r["kept"]) for r in rows)
+    assert sum(not r["kept"] for r in rows) >= 20
+    assert seen[0, False] >= 0.5 * (seen[0, False] + seen[0, True]) > 5
+    assert seen[1, True] >= 0.98 * (seen[1, False] + seen[1, True]) > 300
+
+
 def test_quality_keeps_columns(odd, none):
     kept = quality.keep_good(odd)
     assert kept.dtypes == odd.dtypes

@@ -97,10 +97,10 @@ def good(rows):
         rules = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {fine} THEN 1 ELSE 0 END" for bad, fine in quality.RULES.values())
         return con.execute(f"SELECT {rules} FROM (SELECT {given})").fetchone()
 
-    cast = {d: votes(f) for d, f in facts.items()}
-    sure = em(Counter(cast.values()))
     failed = lambda f: f["n_words"] < 10 or 100 * f["n_repeat_words"] > 20 * f["n_words"]
-    return [(d, t) for d, t in rows if not failed(facts[d]) and sure[cast[d]] >= 0.5]
+    cast = {d: (votes(f), failed(f)) for d, f in facts.items()}
+    sure = em(Counter(cast.values()))
+    return [(d, t) for d, t in rows if sure[cast[d]] >= 0.5]
 
 
 def leaks(text, items):
