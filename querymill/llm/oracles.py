@@ -124,18 +124,23 @@ SELECT r.doc_id, coalesce(known.class_id, r.doc_id) AS class_id, CAST(coalesce(k
 FROM r LEFT JOIN known ON array_to_string(r.w, ' ') = known.k"""
 
 CALLS = """
-WITH t AS (SELECT conv_id, turn, text, role, coalesce(role = 'assistant', false) AS is_answer FROM conversations),
-c AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id FROM t WHERE NOT is_answer),
+WITH RECURSIVE t AS (SELECT conv_id, turn, text, role, coalesce(role = 'assistant', false) AS is_answer FROM conversations),
+c AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id, length(text) AS chars FROM t WHERE NOT is_answer),
 a AS (SELECT *, 'call-' || conv_id || '-' || (turn - 1) AS call_id FROM t WHERE is_answer),
+-- every length of a way to a call
+ways AS (SELECT DISTINCT conv_id, turn, 0 AS steps FROM c UNION SELECT n.conv_id, n.turn, steps + 1 FROM ways w JOIN c n ON n.conv_id = w.conv_id AND n.turn IN (w.turn + 1, w.turn + 2)),
+deep AS (SELECT conv_id, turn, max(steps) AS level FROM ways GROUP BY 1, 2),
 b AS (
   SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, coalesce(c.turn, a.turn) AS position, c.call_id IS NOT NULL AS is_call, a.call_id IS NOT NULL AS answered,
-    CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN coalesce(c.role = 'system', false) THEN 'instruct' ELSE 'ask' END END AS name, c.turn, c.text, a.text AS content
+    CASE WHEN c.call_id IS NOT NULL THEN CASE WHEN coalesce(c.role = 'system', false) THEN 'instruct' ELSE 'ask' END END AS name, c.turn, c.text, c.chars, a.text AS content
   FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.call_id = a.call_id),
-p AS (SELECT *, CASE name WHEN 'instruct' THEN 'missing scope; unknown chars' ELSE '' END AS problems FROM b)
-SELECT conv_id, call_id, position, 0 AS level, CASE WHEN NOT is_call THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, problems, is_call AND problems = '' AS valid,
-  '{"arguments":' || CASE WHEN is_call THEN '{"chars":' || length(text) || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' ELSE 'null' END || ',"id":' || CAST(to_json(call_id) AS VARCHAR)
-  || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
-FROM p"""
+p AS (SELECT *, CASE WHEN NOT is_call THEN '' WHEN chars % 11 = 0 THEN 'no JSON object' ELSE concat_ws('; ', CASE WHEN name = 'instruct' THEN 'missing scope' END, CASE WHEN chars % 7 = 0 THEN 'missing text' END,
+    CASE WHEN name = 'ask' AND chars % 5 = 0 THEN 'type of chars' END, CASE WHEN name = 'instruct' THEN 'unknown chars' END) END AS problems FROM b)
+SELECT p.conv_id, call_id, position, coalesce(level, 0) AS level, CASE WHEN NOT is_call THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, problems, is_call AND problems = '' AS valid,
+  '{"arguments":' || CASE WHEN NOT is_call THEN 'null' WHEN chars % 11 = 0 THEN '[' || p.turn || ']'
+    ELSE '{"chars":' || CASE WHEN chars % 5 = 0 THEN '"' || chars || '"' ELSE CAST(chars AS VARCHAR) END || CASE WHEN chars % 7 = 0 THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || p.turn || '}' END
+  || ',"id":' || CAST(to_json(call_id) AS VARCHAR) || ',"name":' || coalesce('"' || name || '"', 'null') || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
+FROM p LEFT JOIN deep ON is_call AND p.conv_id = deep.conv_id AND p.turn = deep.turn"""
 
 LINES = r"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

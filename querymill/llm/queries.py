@@ -83,12 +83,17 @@ def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op7_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Every turn that is not the assistant's calls for an answer; the assistant's turn answers the turn before it.
 
-    A row a call and result; a turn without number has no id and links to nothing.
+    A call waits for the calls of the two turns before it. Some arguments, by the length of the text, lack a field, have one of a wrong
+    type, or are no object. A row a call and result; a turn without number has no id and links to nothing.
     """
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     name_of = lambda t: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"))
     turn = F.col("turn")
-    arguments = F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("text"), F.length("text").alias("chars")))
+    size = F.length("text")
+    spoken = F.when(F.coalesce(size, F.lit(0)) % 7 != 0, F.col("text")).alias("text")
+    typed = F.to_json(F.struct(turn.alias("turn"), spoken, size.alias("chars")))
+    mistyped = F.to_json(F.struct(turn.alias("turn"), spoken, size.cast("string").alias("chars")))
+    arguments = F.when(size % 11 == 0, F.to_json(F.array(turn))).when(size % 5 == 0, mistyped).otherwise(typed)
     is_answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
     calls = turns.filter(~is_answer).select(
         "conv_id", name_of(turn).alias("call_id"), turn.alias("position"), F.when(F.col("role") == "system", "instruct").otherwise("ask").alias("name"),

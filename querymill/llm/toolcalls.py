@@ -24,32 +24,54 @@ def canonical(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
+#: Longer paths than any conversation has; weights on cycles stop growing here.
+FAR = 1 << 40
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """calls (conv_id, call_id, position, parents) with level and cyclic; staged.
 
-    If every parent of a conversation stands earlier, its level is 0 and the order of positions is already
-    topological. Only conversations with a parent that stands later are sorted by rounds: a call leaves as soon as its
-    parents have left, with the number of that round as level. Calls on a cycle, or behind one, never leave: they
-    are cyclic and come last. Parents that do not exist are ignored here.
+    The level of a call is the number of calls on the longest way to it from one without parents. Calls on a cycle, or behind
+    one, are cyclic and have level 0. Parents that do not exist are ignored here, as are null ids.
+
+    A call's level is the largest of what its parents that are done give it and of its open parents' levels plus the length of the edge.
+    In each round an edge to a call that is done turns into a bound, and an edge to a call with one open parent moves on to that
+    parent: chains and trees take rounds in the logarithm of their depth. An edge is idle and dropped first if two other edges lead the same
+    way, over a call whose position lies between both: such ways only get shorter, so no way is lost, nor any cycle. Every
+    round ends at least one call unless all that are left are cyclic; calls that wait for several far ones can take a round a level.
     """
-    edges = calls.select("conv_id", F.col("call_id").alias("child"), F.col("position").alias("at"), F.explode("parents").alias("parent"))
-    parents = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("p"), F.col("position").alias("parent_at"))
-    known = staged(edges.join(parents, (F.col("conv_id") == F.col("c")) & (F.col("parent") == F.col("p"))).select("conv_id", "child", "at", "parent", "parent_at"), "call-edges")
-    later = staged(known.filter("parent_at >= at").select("conv_id").distinct(), "call-later")
-    left = staged(calls.join(later, "conv_id", "left_semi").select("conv_id", "call_id").distinct(), "calls-left")
-    open_edges = known.join(later, "conv_id", "left_semi").select("conv_id", "child", "parent").distinct()
-    done, level, waiting = None, 0, left.count()
+    ids = calls.select("conv_id", "call_id", "position")
+    edges = calls.select("conv_id", F.col("call_id").alias("child"), F.explode("parents").alias("parent"))
+    placed = ids.filter("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("position").alias("at"))
+    of = lambda name, at: placed.select("conv_id", F.col("call_id").alias(name), F.col("at").alias(at))
+    edges = edges.join(of("parent", "at"), ["conv_id", "parent"]).join(of("child", "to"), ["conv_id", "child"])
+    edges = staged(edges.groupBy("conv_id", "child", "parent", "at", "to").agg(F.lit(1).cast("long").alias("w")), "call-edges")
+    many = edges.groupBy("conv_id", "child").count().filter("count > 1").select("conv_id", "child")
+    direct = edges.join(many, ["conv_id", "child"], "left_semi").select("conv_id", F.col("child").alias("v"), F.col("parent").alias("b"), F.col("at").alias("b_at"), F.col("to").alias("v_at"))
+    second = edges.select("conv_id", F.col("child").alias("b"), F.col("parent").alias("a"), F.col("at").alias("a_at"))
+    between = ((F.col("a_at") < F.col("b_at")) & (F.col("b_at") < F.col("v_at"))) | ((F.col("a_at") > F.col("b_at")) & (F.col("b_at") > F.col("v_at")))
+    idle = direct.join(second, ["conv_id", "b"]).filter(between).select("conv_id", F.col("v").alias("child"), F.col("a").alias("parent")).distinct()
+    now = staged(edges.join(idle, ["conv_id", "child", "parent"], "left_anti").select("conv_id", "child", "parent", "w"), "call-edges")
+    nodes = edges.select("conv_id", F.col("child").alias("id")).union(edges.select("conv_id", F.col("parent").alias("id"))).distinct()
+    opened = now.select("conv_id", F.col("child").alias("id"), F.lit(False).alias("ended")).distinct()
+    nodes = staged(nodes.join(opened, ["conv_id", "id"], "left").select("conv_id", "id", F.lit(0).cast("long").alias("least"), F.coalesce("ended", F.lit(True)).alias("ended")), "call-levels")
+    waiting = nodes.filter("NOT ended").count()
     while waiting:
-        blocked = open_edges.join(left.withColumnRenamed("call_id", "parent"), ["conv_id", "parent"], "left_semi").select("conv_id", F.col("child").alias("call_id")).distinct()
-        blocked = staged(left.join(blocked, ["conv_id", "call_id"], "left_semi"), "calls-left")
-        now = blocked.count()
-        free = left if now == waiting else left.join(blocked, ["conv_id", "call_id"], "left_anti")
-        free = free.select("conv_id", "call_id", F.lit(level).alias("level"), F.lit(now == waiting).alias("cyclic"))
-        done = free if done is None else done.union(free)
-        left, level, waiting = blocked, level + 1, 0 if now == waiting else now
-    if done is None:
-        return calls.withColumn("level", F.lit(0)).withColumn("cyclic", F.lit(False))
-    ranked = staged(done, "call-levels").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("level").alias("l"), F.col("cyclic").alias("y"))
+        single = now.groupBy("conv_id", F.col("child").alias("id")).agg(F.count("*").alias("k"), F.first("parent").alias("next"), F.first("w").alias("step")).filter("k = 1")
+        there = nodes.join(single, ["conv_id", "id"], "left").select("conv_id", F.col("id").alias("parent"), "least", "ended", "next", "step")
+        moved = now.join(there, ["conv_id", "parent"])
+        passes = F.col("ended") | F.col("next").isNotNull()
+        bounds = moved.filter(passes).groupBy("conv_id", F.col("child").alias("id")).agg(F.max(F.col("least") + F.col("w")).alias("bound"))
+        kept = moved.filter(~F.col("ended")).select("conv_id", "child", F.coalesce("next", "parent").alias("parent"), F.least(F.col("w") + F.coalesce("step", F.lit(0)), F.lit(FAR)).alias("w"))
+        later = staged(kept.groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w")), "call-edges")
+        opened = later.select("conv_id", F.col("child").alias("id"), F.lit(True).alias("opened")).distinct()
+        grown = nodes.join(bounds, ["conv_id", "id"], "left").join(opened, ["conv_id", "id"], "left")
+        nodes = staged(grown.select("conv_id", "id", F.greatest("least", F.coalesce("bound", "least")).alias("least"), F.col("opened").isNull().alias("ended")), "call-levels")
+        now, before = later, waiting
+        waiting = nodes.filter("NOT ended").count()
+        if waiting == before:
+            break
+    ranked = nodes.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.when(F.col("ended"), F.col("least")).otherwise(0).cast("int").alias("l"), (~F.col("ended")).alias("y"))
     joined = calls.join(ranked, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
     return joined.select(*calls.columns, F.coalesce("l", F.lit(0)).alias("level"), F.coalesce("y", F.lit(False)).alias("cyclic"))
 
@@ -87,7 +109,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     results: conv_id, call_id, position, content. schemas: name, field, kind (a key of KINDS), required.
     Output: conv_id, call_id, position, level, status (linked, unanswered or orphan), problems, valid, name, arguments
     (canonical JSON), results (position and content, sorted), json.
-    The order of a conversation's calls is (level, position). All results of a call are in ``results``, the first of them is
+    The order of a conversation's calls is (level, position), cyclic ones last; these have a problem that says so. All results of a call are in ``results``, the first of them is
     in json; an orphan holds its own result only. Arguments that are no JSON object, and names without schema, are problems.
     Null ids link to nothing: such calls are unanswered, such results orphans, a row each. Calls that repeat conv_id and
     call_id are rows of their own, each with all results. Keys that repeat in an object make it no JSON.

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querymill.llm.queries import QUERIES
 from querymill.llm import language, tokencount, toolcalls, warc
 
 PAGES = "page_id long, url string, html string, captured string"
@@ -204,3 +205,37 @@ def test_token_counts(odd, documents, size):
 
 def test_no_tokens(none):
     assert tokencount.count_tokens(tokencount.write_tokens(none)).count() == 0
+
+
+def chain(spark, edges, calls):
+    rows = [(1, c, p, "f", "{}", [a for a, b in edges if b == c]) for c, p in calls]
+    table = spark.createDataFrame(rows, "conv_id long, call_id string, position long, name string, arguments string, parents array<string>")
+    return {r["call_id"]: (r["level"], r["cyclic"]) for r in toolcalls.levels(table).collect()}
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_levels_of_a_deep_chain(spark, forward):
+    """A call waits for the two before it: a thousand levels, whatever the order of positions."""
+    n = 1000
+    edges = [(f"c{i - d}", f"c{i}") for i in range(n) for d in (1, 2) if i >= d]
+    got = chain(spark, edges, [(f"c{i}", i if forward else n - i) for i in range(n)])
+    assert got == {f"c{i}": (i, False) for i in range(n)}
+
+
+def test_levels_of_any_graph(spark):
+    """Longest ways over random edges, cycles, what lies behind them, unknown parents and repeated calls."""
+    rng = random.Random(9)
+    edges = [(f"a{i}", f"a{j}") for j in range(24) for i in rng.sample(range(j), min(j, rng.choice((0, 1, 1, 2, 3))))]
+    edges += [("x", "y"), ("y", "z"), ("z", "x"), ("x", "v"), ("y", "v"), ("z", "v"), ("v", "w"), ("a0", "x"), ("x", "z"), ("z", "y"), ("y", "x"), ("a1", "y"), ("a1", "z"), ("s", "s"), ("nowhere", "a0")]
+    names = [f"a{i}" for i in range(24)] + ["x", "y", "z", "v", "w", "s", "alone"]
+    rng.shuffle(names)
+    level = {}
+    for j in range(24):
+        level[f"a{j}"] = max((level[a] + 1 for a, b in edges if b == f"a{j}" and a in level), default=0)
+    want = {k: (v, False) for k, v in level.items()} | {k: (0, True) for k in "xyzvws"} | {"alone": (0, False)}
+    assert chain(spark, edges, [(c, i) for i, c in enumerate(names)] + [("a3", 99)]) == want
+
+
+def test_registered_calls_have_levels_and_problems(spark):
+    rows = QUERIES["op7_tool_calls"](spark, "/root/testdata/sf0.001").collect()
+    assert max(r["level"] for r in rows) >= 3 and len({r["problems"] for r in rows}) >= 5
