@@ -25,7 +25,7 @@ from querymill.llm.tokencount import PATTERN
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that a chunk takes; a longer text is a chunk of its own.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 WIDTH = 1 << 20
 CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, pairs array<long>, counts array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
