@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # What counts as an identifier whose first example says enough.
 EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 URL_STARTS = ("http://", "https://")
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Fixed value: header of the example block of a column judgement.
 LOCAL_HEADER = (
     "[Column Value Examples]\nWe want to know if the column named '%s' is useful to answer the question, "
@@ -58,11 +59,15 @@ def _decimal(d: Column) -> Column:
 
 
 def format_examples(examples: Column, type_class: Column) -> Column:
-    """Comma list: quoted and trimmed for text and time, float text for numeric, plain otherwise."""
+    """Comma list, spelled as its first value asks: quoted and trimmed if that is text or a time, float text for numeric, plain for other numbers.
+
+    Values come as text. They are text in a text or time column, and in any other but a boolean one when the first of them is no number.
+    """
+    number = F.coalesce(F.get(examples, F.lit(0)).rlike(NUMBER), F.lit(True))
     quoted = F.transform(examples, lambda v: F.concat(F.lit("'"), F.trim(v), F.lit("'")))
     floats = F.transform(examples, float_text)
     return (
-        F.when(type_class.isin("text", "time"), F.array_join(quoted, ", "))
+        F.when(type_class.isin("text", "time") | ((type_class != "boolean") & ~number), F.array_join(quoted, ", "))
         .when(type_class == "numeric", F.array_join(floats, ", "))
         .otherwise(F.array_join(examples, ", "))
     )

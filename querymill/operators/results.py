@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querymill.functions.examples import let
+from querymill.functions.examples import NUMBER, float_text, let
 from querymill.functions.sqltext import canonical_sql
 
 KEYS = ["dp_id", "cand_id"]
@@ -160,12 +160,28 @@ def validate_variants(dps: DataFrame, attempts: DataFrame, max_corrections: int
     return dps.select("*", paths).join(state, ["dp_id", "path"], "left").select("dp_id", "path", verdict.alias("sql"))
 
 
+def cell_literal(cell: Column, kind: Column) -> Column:
+    """A cell as a row of the reference's engine prints it: None, bare numbers, quoted text with escapes.
+
+    Without a kind, a cell that reads as a number is one. Text stands in single quotes, in double ones if it holds single ones only.
+    """
+    escaped = cell
+    for raw, said in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(said))
+    double = cell.contains("'") & ~cell.contains('"')
+    text = F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")))
+    number = F.when(cell.rlike("[.eE]"), float_text(cell)).otherwise(cell)
+    return F.when(cell.isNull(), "None").when(F.coalesce(kind == "number", cell.rlike(NUMBER)), number).otherwise(text)
+
+
 def preview_result(execs: DataFrame, results: DataFrame, n: int = 5, width: int = 512, keys: list[str] = KEYS) -> DataFrame:
     """Bounded text of each result: row count and the first ``n`` rows, each cut to ``width`` characters.
 
-    Spark limits every group to its first n rows before the shuffle; the others are only counted.
+    Cells are spelled by ``cell_literal``, by their ``types`` if results carry these. Spark limits every group to its first n rows before the shuffle; the others are only counted.
     """
-    row = F.concat(F.lit("("), F.array_join("cells", ", ", "None"), F.lit(")"))
+    kinds = F.col("types") if "types" in results.columns else F.transform("cells", lambda c: F.lit(None).cast("string"))
+    spelled = F.array_join(F.zip_with("cells", kinds, cell_literal), ", ")
+    row = F.concat(F.lit("("), spelled, F.when(F.size("cells") == 1, ",").otherwise(""), F.lit(")"))
     shown = F.when(F.length(row) > width, F.concat(F.substring(row, 1, width), F.lit("..."))).otherwise(row)
     first = results.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("row_no"))).filter(F.col("_rn") <= n)
     head = first.select(*keys, F.struct("_rn", shown.alias("text")).alias("_r")).groupBy(*keys).agg(F.sort_array(F.collect_list("_r")).alias("_head"))

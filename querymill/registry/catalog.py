@@ -274,8 +274,8 @@ def _(s):
 
 
 INPUTS["i_example_lists"] = """
-SELECT page_id, {ARRAY(}split_part(url, '?', 1), repeat(url, 3), CAST(page_id % 5 AS STRING)) AS found, {ARRAY(}CAST(page_id % 5 AS STRING), CAST(page_id AS STRING) || '.50', split_part(url, '/', 3), ' ' || url || ' ') AS static,
-  CASE page_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'time' WHEN 2 THEN 'numeric' ELSE 'integer' END AS type_class, page_id % 3 AS k FROM pages"""
+SELECT page_id, {ARRAY(}split_part(url, '?', 1), repeat(url, 3), CAST(page_id % 5 AS STRING)) AS found, {ARRAY(}CASE WHEN page_id % 7 = 3 THEN '[' || CAST(page_id AS STRING) || ', "x"]' ELSE CAST(page_id % 5 AS STRING) END, CAST(page_id AS STRING) || '.50', split_part(url, '/', 3), ' ' || url || ' ') AS static,
+  CASE page_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'time' WHEN 2 THEN 'numeric' WHEN 3 THEN 'integer' WHEN 4 THEN 'jsonb' ELSE 'others' END AS type_class, page_id % 3 AS k FROM pages"""
 MERGED = """
 s AS (SELECT *, found AS short FROM i_example_lists),
 m AS (SELECT *, list_concat(short, list_slice(list_filter(static, lambda v: NOT list_contains(short, v)), 1, 4 - len(short))) AS merged FROM s)
@@ -301,7 +301,7 @@ def _(s):
     return kept.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", "|")).alias("digest"))
 
 
-FORMATTED = """CASE WHEN type_class IN ('text', 'time') THEN array_to_string(list_transform(x, lambda v: '''' || trim(v) || ''''), ', ')
+FORMATTED = r"""CASE WHEN type_class IN ('text', 'time') OR (type_class <> 'boolean' AND NOT coalesce(regexp_matches(x[1], '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$'), true)) THEN array_to_string(list_transform(x, lambda v: '''' || trim(v) || ''''), ', ')
   WHEN type_class = 'numeric' THEN array_to_string(list_transform(x, lambda v: coalesce(CAST(TRY_CAST(v AS DOUBLE) AS STRING), v)), ', ') ELSE array_to_string(x, ', ') END"""
 
 

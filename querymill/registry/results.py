@@ -171,14 +171,14 @@ def _(s):
     "E10_preview_result",
     """
 n AS (SELECT dp_id, cand_id, count(*) AS n FROM i_results GROUP BY 1, 2),
-t AS (SELECT dp_id, cand_id, row_no, '(' || array_to_string(list_transform(cells, lambda c: coalesce(c, 'None')), ', ') || ')' AS r FROM i_results WHERE row_no < 5),
-h AS (SELECT dp_id, cand_id, string_agg(CASE WHEN length(r) > 5 THEN substr(r, 1, 5) || '...' ELSE r END, chr(10) ORDER BY row_no) AS lines FROM t GROUP BY 1, 2)
+t AS (SELECT dp_id, cand_id, row_no, '(' || array_to_string(list_transform(cells, lambda c: CASE WHEN c IS NULL THEN 'None' WHEN regexp_matches(c, '^[0-9.]+$') THEN c ELSE '''' || c || '''' END), ', ') || ')' AS r FROM i_results WHERE row_no < 5),
+h AS (SELECT dp_id, cand_id, string_agg(CASE WHEN length(r) > 8 THEN substr(r, 1, 8) || '...' ELSE r END, chr(10) ORDER BY row_no) AS lines FROM t GROUP BY 1, 2)
 SELECT e.dp_id, e.cand_id, CASE WHEN e.status <> 'success' THEN e.error WHEN n.n IS NULL THEN 'Execution result is empty.'
   ELSE 'Execution result contains ' || n.n || ' rows' || CASE WHEN n.n > 5 THEN ' (displaying the first 5 rows)' ELSE '' END || ':' || chr(10) || lines END AS preview
 FROM i_execs e LEFT JOIN n ON e.dp_id = n.dp_id AND e.cand_id = n.cand_id LEFT JOIN h ON e.dp_id = h.dp_id AND e.cand_id = h.cand_id""",
 )
 def _(s):
-    return results.preview_result(s["i_execs"], s["i_results"], n=5, width=5)
+    return results.preview_result(s["i_execs"], s["i_results"], n=5, width=8)
 
 
 # ------------------------------------------------------------------ votes

@@ -117,3 +117,69 @@ def test_evaluation(spark, pets):
     chosen, scored = evaluation.rerank(dps, done, judge)
     assert "pid" in {r.dp_id: r.sql for r in chosen.collect()}[1]
     assert {r.dp_id: r.execution_correct for r in scored.collect()} == {1: True, 2: False, 3: False}
+
+
+EXECS = "dp_id long, cand_id long, sql string, status string, error string, is_gold boolean"
+ROWS = "dp_id long, cand_id long, row_no long, cells array<string>, types array<string>"
+
+
+def ran(spark, statements):
+    """(dp_id, cand_id, is_gold, rows or None for an error) -> (execs, rows)."""
+    kind = lambda v: None if v is None else "text" if isinstance(v, str) else "number"
+    execs = [(d, c, f"SELECT {c}", "error" if r is None else "success", "no" if r is None else None, g) for d, c, g, r in statements]
+    rows = [(d, c, i, [None if v is None else str(v) for v in x], [kind(v) for v in x]) for d, c, _, r in statements for i, x in enumerate(r or [])]
+    return spark.createDataFrame(execs, EXECS), spark.createDataFrame(rows, ROWS)
+
+
+def test_evaluation_with_fallback(spark):
+    dps = spark.createDataFrame([(1, "s1", "f1"), (2, "s2", "f2"), (3, "s3", ""), (4, "s4", "f4")], "dp_id long, schema_text string, fallback_schema string")
+    first = ran(spark, [
+        (1, 0, True, [(1,)]), (1, 1, False, [(1.0,)]), (2, 0, True, [("1",)]), (2, 1, False, [(None,)]), (3, 0, True, [(5,)]), (3, 1, False, None),
+        (4, 0, True, [(7,)]), (4, 1, False, []),
+    ])
+    asked = []
+
+    def again(n, open_dps):
+        asked.append(sorted(r.dp_id for r in open_dps.collect()))
+        if n == 1:
+            return ran(spark, [(2, 10, False, [(1,)]), (4, 10, False, None)])
+        return ran(spark, [(4, 20, False, [(7,)]), (4, 21, False, [(7,)])])
+
+    done = evaluation.evaluate_rounds(dps, first, again, spark.createDataFrame([(1, 10.0), (2, 60.0)], "run_no long, score double"))
+    assert asked == [[2, 4], [4]]
+    got = {r.dp_id: (r.execution_correct, r.gold_ok) for r in done.evaluation.per_dp.collect()}
+    # the number 1 is not gold's text '1'
+    assert got == {1: (True, True), 2: (False, True), 3: (False, True), 4: (True, True)}
+    assert {r.dp_id: r.schema_text for r in done.schemas.collect()} == {1: "s1", 2: "f2", 3: "s3", 4: "f4"}
+    assert [(r.run_no, r.score, r.best_score, r.snapshot) for r in done.history.orderBy("run_no").collect()] == [(1, 10.0, 10.0, True), (2, 60.0, 60.0, True), (3, 50.0, 60.0, False)]
+    alone = evaluation.evaluate_rounds(dps, first, again, rounds=0)
+    assert {(r.run_no, r.snapshot) for r in alone.history.collect()} == {(1, True)} and alone.rounds.count() == 4
+
+
+def test_pairs_and_judgements(spark):
+    dps = spark.createDataFrame([(1, "s1", "q1"), (2, "s2", "q2"), (3, "s3", "q3")], "dp_id long, schema_text string, question string")
+    execs, rows = ran(spark, [
+        (1, 0, True, [("a",)]), (1, 1, False, [("a",)]), (1, 2, False, [("b",)]), (1, 3, False, [("b",)]), (1, 4, False, None),
+        (2, 0, True, [(1,)]), (2, 1, False, [(2,)]), (3, 0, True, None), (3, 1, False, [(2,)]),
+    ])
+    pairs = training.comparison_pairs(dps, execs, rows)
+    got = {r.dp_id: r for r in pairs.collect()}
+    assert set(got) == {1, 2}
+    sides = lambda r: {(r.sql1, r.result1), (r.sql2, r.result2)}
+    text = lambda x: f"Execution result contains 1 rows:\n({x},)"
+    assert ("SELECT 1", text("'a'")) in sides(got[1]) and sides(got[2]) == {("SELECT 0", text("1")), ("SELECT 1", text("2"))}
+    assert "q1" in got[1].prompt and text("'a'") in got[1].prompt
+    other = {"SQL1": "SQL2", "SQL2": "SQL1"}
+    answers = [("1-1", 1, "see ", other[got[1].winner]), ("1-1", 2, "hint ", got[1].winner), ("2-1", 1, "no", other[got[2].winner])]
+    kept = training.selector_rows(pairs, spark.createDataFrame(answers, "pair_id string, stage long, analysis string, final_choice string")).collect()
+    assert [(r.pair_id, r.star_stage, r.output_label) for r in kept] == [("1-1", 2, f"hint\n\\box{{{got[1].winner}}}")]
+    assert kept[0].input_prompt == got[1].prompt
+
+
+def test_variants(spark):
+    dps = spark.createDataFrame([(1, "s", "q", "Normal", "SELECT gold"), (2, "s", "q", "CTE", "SELECT gold")], "dp_id long, schema_text string, question string, gold_path string, gold_sql string")
+    execs, rows = ran(spark, [(1, 0, True, [("a",), ("a",)]), (1, 1, False, [("a",)]), (1, 2, False, [("a",), ("a",)]), (1, 3, False, [("b",)]), (2, 0, True, None)])
+    attempts = [(1, "CTE", 0, 1, "WITH one"), (1, "CTE", 1, 2, "WITH two"), (1, "Subquery", 0, 3, "SELECT three"), (2, "Normal", 0, 9, "SELECT x")]
+    made = training.variant_rows(dps, spark.createDataFrame(attempts, "dp_id long, path string, attempt_no long, cand_id long, sql string"), execs, rows)
+    got = {(r.dp_id, r.reasoning_path): r.query for r in made.collect()}
+    assert got == {(1, "Normal"): "SELECT gold", (1, "CTE"): "WITH two", (1, "Subquery"): "[N/A]", (2, "Normal"): "[N/A]", (2, "CTE"): "[N/A]", (2, "Subquery"): "[N/A]"}

@@ -78,12 +78,23 @@ def test_gold_stands_in_for_a_missing_correct_bucket(spark):
 def test_preview(spark):
     execs, rows = frames(spark, [[("x" * 600,)], [(str(i), None) for i in range(7)], []])
     got = {r.cand_id: r.preview for r in results.preview_result(execs, rows).collect()}
-    assert got[0] == "Execution result contains 1 rows:\n(" + "x" * 511 + "..."
+    assert got[0] == "Execution result contains 1 rows:\n('" + "x" * 510 + "..."
     assert got[1].startswith("Execution result contains 7 rows (displaying the first 5 rows):\n(0, None)\n(1, None)")
     assert got[1].count("\n") == 5
     assert got[2] == "Execution result is empty."
 
 
+def test_preview_spells_cells(spark):
+    """Text is quoted as a row of text prints, numbers are bare; kinds of cells decide where they are known."""
+    execs, rows = frames(spark, [[("it's", "a\"b'c", "x\\y\n")], [("1",), ("1.5",), ("1.0E16",), ("",)]])
+    said = lambda df: {r.cand_id: r.preview.split("\n", 1)[1] for r in results.preview_result(execs, df).collect()}
+    plain = said(rows)
+    assert plain[0] == str(("it's", "a\"b'c", "x\\y\n"))
+    assert plain[1] == "(1,)\n(1.5,)\n(1.0E16,)\n('',)"
+    typed = said(rows.withColumn("types", F.transform("cells", lambda c: F.lit("text"))))
+    assert typed[1] == "\n".join(str((x,)) for x in ("1", "1.5", "1.0E16", ""))
+
+
 def test_group_rank_splits_hot_groups_exactly(spark):
     df = spark.range(5000).select((F.col("id") % 7 == 0).cast("int").alias("g"), "id", F.md5(F.col("id").cast("string")).alias("h"))
     want = df.withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy("h", "id")).cast("long"))
