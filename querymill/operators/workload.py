@@ -43,9 +43,15 @@ def bare(token: Column) -> Column:
     return F.when(token.startswith('"'), F.substring(token, 2, 1_000_000)).otherwise(token)
 
 
+SPECIAL = ("(", ")", ",", "*", "select", "from", "join", "on", "using", "where", "limit", "group", "having", "order", *SET_OPERATORS)
+
+
 def _kind(t: Column, before: Column, after: Column) -> Column:
     """What a token is to the fold; null if nothing."""
-    return (
+    # neither qualifiers nor functions; a name of WITH may have a list of columns
+    alone = (after != ".") & ((after != "(") | before.isin("with", "recursive", ","))
+    name = F.when(alone & (~t.isin(KEYWORDS) | (before == ".") | (t == "order")) & t.rlike(r'^["\p{L}_]'), NAME)
+    special = (
         F.when((t == "(") & after.isin("select", "with"), QUERY)
         .when(t == "(", PAREN)
         .when(t == ")", CLOSE)
@@ -59,8 +65,9 @@ def _kind(t: Column, before: Column, after: Column) -> Column:
         .when(t.isin("where", "limit") | ((t == "group") & (after == "by")), WHERE)
         .when((t == "having") | ((t == "order") & (after == "by")), ORDER)
         .when(t.isin(*SET_OPERATORS), BRANCH)
-        .when(t.rlike(r'^["\p{L}_]') & (~t.isin(KEYWORDS) | (before == ".") | (after == ".") | (t == "order")), NAME)
+        .otherwise(name)
     )
+    return F.when(t.isin(*SPECIAL), special).otherwise(name)
 
 
 def scoped_names(w: Column) -> Column:
@@ -86,15 +93,12 @@ def scoped_names(w: Column) -> Column:
             .when(clause.isNotNull(), F.array_append(outer, level(top["scope"], clause, top["inner"])))
             .otherwise(levels)
         )
-        kept = kind.isin(NAME, STAR) | ((kind == CLOSE) & ~top["inner"] & (F.size(levels) > 1))
-        return let(
-            after,
-            lambda now: F.struct(
-                now.alias("levels"),
-                (acc["fresh"] + F.when(kind.isin(QUERY, BRANCH), 1).otherwise(0)).alias("fresh"),
-                F.when(kept, F.array_append(acc["seen"], F.struct(m["i"].alias("i"), kind.alias("kind"), now.alias("levels")))).otherwise(acc["seen"]).alias("seen"),
-            ),
-        )
+        noted = lambda now: F.array_append(acc["seen"], F.struct(m["i"].alias("i"), kind.alias("kind"), now.alias("levels")))
+        state = lambda now, fresh, seen: F.struct(now.alias("levels"), fresh.alias("fresh"), seen.alias("seen"))
+        ended = (kind == CLOSE) & ~top["inner"] & (F.size(levels) > 1)
+        fresh = acc["fresh"] + F.when(kind.isin(QUERY, BRANCH), 1).otherwise(0)
+        moved = let(after, lambda now: state(now, fresh, F.when(ended, noted(now)).otherwise(acc["seen"])))
+        return F.when(kind.isin(NAME, STAR), state(levels, acc["fresh"], noted(levels))).otherwise(moved)
 
     start = F.expr(
         "struct(array(struct(0 AS scope, 0 AS clause, false AS inner)) AS levels, 1 AS fresh, cast(array() AS array<struct<i: int, kind: int, levels: array<struct<scope: int, clause: int, inner: boolean>>>>) AS seen)"
