@@ -25,7 +25,7 @@ from querymill.llm.tokencount import PATTERN
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that a chunk takes; a longer text is a chunk of its own.
-CHUNK = 1_000_000
+CHUNK = 500_000
 WIDTH = 1 << 20
 CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, pairs array<long>, counts array<long>"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -91,7 +91,7 @@ def group_labels(ends_a: np.ndarray, ends_b: np.ndarray, own_a: np.ndarray, own_
     """
     nb = len(ends_b)
     last = own_a[ends_b - 1]
-    to = np.concatenate([np.where(ends_a[last] > ends_b, nb + last, np.arange(nb)), own_b[ends_a - 1]])
+    to = np.concatenate([np.where(ends_a[last] > ends_b, nb + last, np.arange(nb, dtype=np.int32)), own_b[ends_a - 1]])
     while True:
         then = to[to]
         if (then == to).all():
@@ -112,10 +112,11 @@ def aligned(t: Tokenizers, doc_ids: list, texts: list[str | None]) -> dict:
         return done | {"links": b"", "pairs": np.zeros(0, np.int64), "counts": np.zeros(0, np.int64)}
     at = np.array([place[k] for k in kept])
     many_a, many_b = (np.array([len(side[k]) for k in kept]) for side in (all_a, all_b))
-    a, b = (np.concatenate([np.asarray(side[k], np.int64) for k in kept]) for side in (all_a, all_b))
+    a, b = (np.concatenate([np.asarray(side[k], np.int32) for k in kept]) for side in (all_a, all_b))
+    del all_a, all_b
     size_a, size_b = t.size_a[a], t.size_b[b]
     ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
-    own_a, own_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    own_a, own_b = (np.repeat(np.arange(len(x), dtype=np.int32), n) for x, n in ((a, size_a), (b, size_b)))
     label_a, label_b = group_labels(ends_a, ends_b, own_a, own_b)
     # texts lie end to end: both sides end together, so no group reaches across
     border_a, border_b = np.cumsum(many_a), np.cumsum(many_b)
@@ -128,7 +129,7 @@ def aligned(t: Tokenizers, doc_ids: list, texts: list[str | None]) -> dict:
     spot_a = np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(is_last) + 1])[in_group_a]
     spot_b = np.arange(len(b)) + np.cumsum(np.bincount(in_group_a))[in_group_b]
     ends_group = np.append(label_a[1:] != label_a[:-1], True)
-    spelled = np.empty(len(a) + len(b), np.int64)
+    spelled = np.empty(len(a) + len(b), np.int32)
     spelled[spot_a] = a + np.where(ends_group, t.ids, 0)
     spelled[spot_b] = b + np.where(is_last, 2 * t.ids, 0)
     flat, width = t.spelled[spelled].tobytes(), t.spelled.itemsize
@@ -141,8 +142,8 @@ def aligned(t: Tokenizers, doc_ids: list, texts: list[str | None]) -> dict:
     first = own_b[ends_a - size_a]
     each = own_b[ends_a - 1] - first + 1
     before = np.cumsum(each) - each
-    met = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(before, each)
-    pairs, which, counts = np.unique(np.repeat(a, each) * WIDTH + b[met], return_inverse=True, return_counts=True)
+    met = np.repeat(first - before, each) + np.arange(each.sum())
+    pairs, which, counts = np.unique(np.repeat(a, each) * np.int64(WIDTH) + b[met], return_inverse=True, return_counts=True)
     n_links[at] = np.add.reduceat(each, np.concatenate([[0], border_a[:-1]]))
     return done | {"links": packed_links(which, n_links[at]), "pairs": pairs, "counts": counts.astype(np.int64)}
 
