@@ -15,9 +15,14 @@ from querymill.sources import corpus
 # ------------------------------------------------------------------ sources
 @check("S1_corpus_round_trip", "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS n, md5(text) AS digest FROM documents")
 def _(s):
-    path = scratch_path(s.spark, "corpus")
-    corpus.write_corpus(s["documents"].select("doc_id", "lang", "source", "text"), path)
-    back = corpus.read_corpus(s.spark, path, "doc_id long, lang string, source string, text string", lines=True)
+    # half of the corpus as JSON lines, half as JSON lists of a thousand, one list a file
+    path, lists = scratch_path(s.spark, "corpus"), scratch_path(s.spark, "corpus-lists")
+    docs = s["documents"].select("doc_id", "lang", "source", "text")
+    corpus.write_corpus(docs.filter("doc_id % 2 = 0"), path)
+    rows = docs.filter("doc_id % 2 = 1").groupBy(F.floor(F.col("doc_id") / 2000).alias("f")).agg(F.concat(F.lit("["), F.concat_ws(",\n ", F.collect_list(F.to_json(F.struct("doc_id", "lang", "source", "text")))), F.lit("]")).alias("value"))
+    rows.repartition("f").sortWithinPartitions("f").select("f", "value").write.partitionBy("f").text(lists)
+    schema = "doc_id long, lang string, source string, text string"
+    back = corpus.read_corpus(s.spark, path, schema, lines=True).unionByName(corpus.read_corpus(s.spark, lists, schema))
     return back.select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 

@@ -32,8 +32,29 @@ def test_json_lists(spark, tmp_path):
     got = corpus.read_corpus(spark, str(tmp_path), "q string, n long").collect()
     assert sorted((r.q, r.n) for r in got) == [("x", None), ("é", 1)]
     (tmp_path / "b.json").write_text('{"q": 1}')
-    with pytest.raises(TypeError):
-        corpus.read_corpus(spark, str(tmp_path), "q string")
+    with pytest.raises(Exception, match="expected a JSON list"):
+        corpus.read_corpus(spark, str(tmp_path), "q string").collect()
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_list_is_read_by_many_tasks(spark, tmp_path, indent):
+    """Braces, quotes and backslashes in strings, nested values, and borders of byte ranges anywhere."""
+    rng = np.random.default_rng(4)
+    bits = ["}", "{", "]", "[", '"', "\\", "\\\\", "é😀", ",", " ", "\n", "x" * 30, '"}],[{"']
+    text = lambda: "".join(bits[i] for i in rng.integers(0, len(bits), rng.integers(0, 9)))
+    rows = [{"n": i, "q": text(), "deep": {"a": [{"b": text()}, {"b": None}], "c": {}}} for i in range(400)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, ensure_ascii=False, indent=indent), encoding="utf-8")
+    (tmp_path / "b.json").write_text(" [ ]\n")
+    (tmp_path / "c.json").write_text('[{"n": 1000, "q": "\\u007d"}]')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert corpus._pieces(spark, str(tmp_path)).rdd.getNumPartitions() > 8
+        got = corpus.read_corpus(spark, str(tmp_path), "n long, q string, deep struct<a: array<struct<b: string>>>").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [(r["n"], r["q"], [x["b"] for x in r["deep"]["a"]]) for r in rows] + [(1000, "}", None)]
+    assert sorted((r.n, r.q, r.deep and [x.b for x in r.deep.a]) for r in got) == want
 
 
 def test_csv_descriptions(spark, tmp_path):
