@@ -1,13 +1,13 @@
 """The queries of this subpackage in plain SQL, where SQL can express them.
 
 Where a rule allows it the SQL goes another way than the operator: all pairs instead of MinHash, levels tried one by one
-instead of prefixes, one recursive row instead of a fold. Missing are language labels and token counts, which
-need a trained model and a vocabulary.
+instead of prefixes, one recursive row instead of a fold. Missing are language labels, token counts and token
+alignments, which need a trained model or a vocabulary.
 """
 
 from __future__ import annotations
 
-from querymill.llm import decontam, mixing, quality, secrets
+from querymill.llm import decontam, mixing, quality, secrets, sketches, spelling
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -190,6 +190,43 @@ n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_
 SELECT d.doc_id, n.doc_id IS NOT NULL AS leaked, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items, '') AS items FROM d LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# the checksum's table from its rule: eight steps of the polynomial 0xEDB88320 for each byte
+SPELLING = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda v, k: CASE WHEN (v & 1) = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END) AS v FROM range(0, 256) r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({LOWERED}, '{spelling.LETTERS}')) AS run FROM documents),
+keyed AS (SELECT run, k, hex(encode(id || ':' || run)) AS x FROM (SELECT id, run, count(*) AS k FROM runs GROUP BY 1, 2)),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM keyed, crc),
+w AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {spelling.DROP} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY 1 HAVING sum(k) >= {spelling.LEAST_COUNT}),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+longer AS (SELECT DISTINCT a.word AS long_word, a.n AS long_n, w.word, w.n FROM cut a JOIN w ON a.rest = w.word),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT word, long_word, long_n FROM longer UNION ALL SELECT long_word, word, n FROM longer),
+best AS (SELECT word, other, m, n_near FROM (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS rn FROM near) WHERE rn = 1),
+f AS (SELECT w.word, w.n, CASE WHEN m >= {spelling.RATIO} * w.n THEN other END AS form, CASE WHEN m >= {spelling.RATIO} * w.n THEN m END AS form_n, coalesce(n_near, 0) AS n_near FROM w LEFT JOIN best ON w.word = best.word),
+walk AS (SELECT word, form AS place FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, place AS root FROM walk JOIN f ON f.word = walk.place WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f LEFT JOIN ends ON f.word = ends.word"""
+
+SKETCHES = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, regexp_extract_all(coalesce({LOWERED}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min(doc_id) AS first_id FROM r WHERE len(w) > 0 GROUP BY 1),
+g AS (SELECT k, first_id, CASE WHEN len(w) < {sketches.N} THEN [k] ELSE list_distinct(list_transform(range(1, len(w) - {sketches.N - 2}), lambda i: array_to_string(w[i:i + {sketches.N - 1}], ' '))) END AS grams FROM t),
+e AS (SELECT first_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+pairs AS (SELECT a.first_id AS a, b.first_id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.first_id <> b.first_id GROUP BY 1, 2 HAVING 100 * count(*) >= {sketches.PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT a AS node, a AS root FROM pairs UNION SELECT p.b, x.root FROM reach x JOIN pairs p ON p.a = x.node WHERE x.root < p.b),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY 1),
+known AS (SELECT k, len(grams) AS n, coalesce(root, first_id) AS component_id FROM g LEFT JOIN least ON node = first_id),
+z AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(component_id, doc_id) AS component_id FROM r LEFT JOIN known ON len(r.w) > 0 AND array_to_string(r.w, ' ') = known.k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM z"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": MIX,
     "op2_warc_index": ARCHIVE,
@@ -199,4 +236,6 @@ ORACLES: dict[str, str] = {
     "op7_tool_calls": CALLS,
     "op9_line_dedup": LINES,
     "op10_decontaminate": _leaks(),
+    "op11_spelling_variants": SPELLING,
+    "op13_bottom_k_dedup": SKETCHES,
 }

@@ -55,22 +55,27 @@ def levels(calls: DataFrame) -> DataFrame:
     nodes = edges.select("conv_id", F.col("child").alias("id")).union(edges.select("conv_id", F.col("parent").alias("id"))).distinct()
     opened = now.select("conv_id", F.col("child").alias("id"), F.lit(False).alias("ended")).distinct()
     nodes = staged(nodes.join(opened, ["conv_id", "id"], "left").select("conv_id", "id", F.lit(0).cast("long").alias("least"), F.coalesce("ended", F.lit(True)).alias("ended")), "call-levels")
-    waiting = nodes.filter("NOT ended").count()
+    waiting, done = nodes.filter("NOT ended").count(), []
     while waiting:
         single = now.groupBy("conv_id", F.col("child").alias("id")).agg(F.count("*").alias("k"), F.first("parent").alias("next"), F.first("w").alias("step")).filter("k = 1")
+        # no edge moves on to a call that has ended: such calls are needed for one round only
+        single = single.join(nodes.filter("ended").select("conv_id", F.col("id").alias("next")), ["conv_id", "next"], "left_anti")
         there = nodes.join(single, ["conv_id", "id"], "left").select("conv_id", F.col("id").alias("parent"), "least", "ended", "next", "step")
         moved = now.join(there, ["conv_id", "parent"])
         passes = F.col("ended") | F.col("next").isNotNull()
         bounds = moved.filter(passes).groupBy("conv_id", F.col("child").alias("id")).agg(F.max(F.col("least") + F.col("w")).alias("bound"))
         kept = moved.filter(~F.col("ended")).select("conv_id", "child", F.coalesce("next", "parent").alias("parent"), F.least(F.col("w") + F.coalesce("step", F.lit(0)), F.lit(FAR)).alias("w"))
-        later = staged(kept.groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w")), "call-edges")
-        opened = later.select("conv_id", F.col("child").alias("id"), F.lit(True).alias("opened")).distinct()
-        grown = nodes.join(bounds, ["conv_id", "id"], "left").join(opened, ["conv_id", "id"], "left")
+        now = staged(kept.groupBy("conv_id", "child", "parent").agg(F.max("w").alias("w")), "call-edges")
+        opened = now.select("conv_id", F.col("child").alias("id"), F.lit(True).alias("opened")).distinct()
+        grown = nodes.filter("NOT ended").join(bounds, ["conv_id", "id"], "left").join(opened, ["conv_id", "id"], "left")
+        done.append(nodes.filter("ended"))
         nodes = staged(grown.select("conv_id", "id", F.greatest("least", F.coalesce("bound", "least")).alias("least"), F.col("opened").isNull().alias("ended")), "call-levels")
-        now, before = later, waiting
-        waiting = nodes.filter("NOT ended").count()
-        if waiting == before:
+        left = nodes.filter("NOT ended").count()
+        if left == waiting:
             break
+        waiting = left
+    for part in done:
+        nodes = nodes.union(part)
     ranked = nodes.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.when(F.col("ended"), F.col("least")).otherwise(0).cast("int").alias("l"), (~F.col("ended")).alias("y"))
     joined = calls.join(ranked, (F.col("conv_id") == F.col("c")) & (F.col("call_id") == F.col("i")), "left")
     return joined.select(*calls.columns, F.coalesce("l", F.lit(0)).alias("level"), F.coalesce("y", F.lit(False)).alias("cyclic"))
