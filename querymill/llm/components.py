@@ -17,7 +17,7 @@ def components(edges: DataFrame, label: str = "stars", rounds: int = 60) -> Data
 
     Each half round sends every neighbour of a node to the least one: an aggregate and a join on the node, so
     no neighbour list is gathered. Rounds grow with the logarithm of the component's width. Loops and
-    repeated edges are allowed; nulls are not.
+    repeated edges are allowed; nulls are not. Raises if ``rounds`` do not suffice.
     """
     down = lambda a, b: [F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")]
     now = staged(edges.filter("src <> dst").select(*down("src", "dst")).distinct(), label)
@@ -35,4 +35,6 @@ def components(edges: DataFrame, label: str = "stars", rounds: int = 60) -> Data
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components of {label} are not settled after {rounds} rounds")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(now.select("dst", "dst")).distinct()
