@@ -168,14 +168,20 @@ def _visits(asked: DataFrame, queries: DataFrame, placed: DataFrame, cells: Data
 def nearest_values(queries: DataFrame, index: DataFrame, k: int = 3, rows: int = INDEX_ROWS, visits: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """The ``k`` values nearest to each question *per column* of its database, exact squared L2.
 
-    ``queries(dp_id, db_id, embedding)``, ``index(db_id, table_name, col_name, value, embedding)``.
-    Every column is cut into cells around pivots (``build_cells``). A question first visits the cell nearest to it, which bounds its
-    k-th distance; then only cells that reach into that bound, by the triangle inequality. Visits of a cell are
-    groups of bounded size that work on matrices and give back k values per question; pairs are never rows. ``visits`` gets the table of
-    all visits, for tests and tuning.
+    ``queries(dp_id, db_id, embedding)``, ``index(db_id, table_name, col_name, value, embedding)``. Builds the cells of the index
+    and searches them; callers with many batches of questions write the result of ``build_cells`` once and call ``search_cells``.
     """
     placed, cells = build_cells(index, rows)
-    cells = cut_lineage(cells)
+    return search_cells(queries, placed, cut_lineage(cells), k, visits)
+
+
+def search_cells(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int = 3, visits: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """As ``nearest_values``, over the two tables of ``build_cells``.
+
+    A question first visits the cell nearest to it, which bounds its k-th distance; then only cells that reach into that
+    bound, by the triangle inequality. Visits of a cell are groups of bounded size that work on matrices and give back k values
+    per question; pairs are never rows. ``visits`` gets the table of all visits, for tests and tuning.
+    """
     asking = queries.select(F.col("dp_id").cast("long").alias("dp_id"), "db_id", "embedding").filter("embedding IS NOT NULL")
     blocks = asking.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("many"))
     keys = ["db_id", "block"]
