@@ -91,15 +91,17 @@ def with_noise(dps: DataFrame, seed: int = 42, p: float = 0.5, tables: tuple[int
     targets = F.transform("added", lambda t: t["t"])
     bridge = F.flatten(F.transform("own", lambda t: _pairs(t["table_name"], _names(F.filter(t["fks"], lambda f: F.array_contains(F.col("targets"), f["r"]))))))
     noisy = noisy.withColumn("targets", targets)
-    noisy = noisy.withColumn("link", F.array_union(F.array_union("link", F.flatten(F.transform("added", lambda t: _pairs(t["table_name"], t["picked"])))), bridge))
+    # added tables are outside the link, so their columns are too; bridges may be linked already
+    noisy = noisy.withColumn("link", F.concat("link", F.flatten(F.transform("added", lambda t: _pairs(t["table_name"], t["picked"]))), F.array_except(bridge, "link")))
 
     def extra(t: Column) -> Column:
-        free = F.filter(_names(F.filter(t["cols"], lambda c: ~c["is_key"])), lambda c: ~F.array_contains(F.col("link"), F.struct(t["table_name"].alias("table_name"), c.alias("col_name"))))
+        # neither added columns nor bridges can be among the other columns of an own table
+        free = _names(F.filter(t["cols"], lambda c: ~c["is_key"] & ~is_linked(c["k"])))
         n = uniform_int(draw(f"{seed}|k", F.col("dp_id"), t["table_name"]), *cols)
         return _pairs(t["table_name"], _take(free, n, lambda c: draw(f"{seed}|x", F.col("dp_id"), t["table_name"], c)))
 
     lucky = F.filter("own", lambda t: unit(draw(f"{seed}|p", F.col("dp_id"), t["table_name"])) <= p)
-    noisy = noisy.withColumn("link", F.array_union("link", F.flatten(F.transform(lucky, extra))))
+    noisy = noisy.withColumn("link", F.concat("link", F.flatten(F.transform(lucky, extra))))
     return noisy.withColumn("linked", F.transform("link", lambda c: column_key(c["table_name"], c["col_name"]))).withColumn("chosen", F.array_union("chosen", "targets")).drop("added", "own", "targets")
 
 
