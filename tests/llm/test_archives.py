@@ -236,6 +236,16 @@ def test_levels_of_any_graph(spark):
     assert chain(spark, edges, [(c, i) for i, c in enumerate(names)] + [("a3", 99)]) == want
 
 
+def test_very_long_payload(spark):
+    """Payloads of megabytes, one of them repeated, come back whole."""
+    long = "<p>é</p>" * 400_000
+    rows = [(1, "http://a.b/x", long, "2024-01-01T00:00:00Z"), (2, "http://a.b/y", long, "2024-01-02T00:00:00Z"), (3, "http://a.b/z", None, "2024-01-03T00:00:00Z")]
+    got = {r["page_id"]: r for r in warc.archived(spark.createDataFrame(rows, PAGES)).collect()}
+    digest = b32encode(hashlib.sha1(long.encode()).digest()).decode()
+    assert {k: (r["payload_bytes"], r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: (len(long.encode()), "response", None), 2: (len(long.encode()), "revisit", 1), 3: (0, "response", None)}
+    assert got[1]["payload_digest"] == got[2]["payload_digest"] == digest
+
+
 def test_registered_calls_have_levels_and_problems(spark):
     rows = QUERIES["op7_tool_calls"](spark, "/root/testdata/sf0.001").collect()
     assert max(r["level"] for r in rows) >= 3 and len({r["problems"] for r in rows}) >= 5
