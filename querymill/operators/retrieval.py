@@ -183,6 +183,12 @@ def search_cells(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int
     per question; pairs are never rows. ``visits`` gets the table of all visits, for tests and tuning.
     """
     asking = queries.select(F.col("dp_id").cast("long").alias("dp_id"), "db_id", "embedding").filter("embedding IS NOT NULL")
+    w = W.partitionBy("dp_id", *COLUMN).orderBy("distance", "value")
+    nearest = lambda found: found.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= k).drop("db_id")
+    if cells.groupBy(*COLUMN).count().filter("count > 1").isEmpty():
+        # one cell a column: there is nothing to spare
+        every_cell = asking.select("dp_id", "db_id").join(cells.select(*COLUMN, "cell"), "db_id")
+        return nearest(_visits(every_cell, asking, placed, cells, k))
     blocks = asking.groupBy("db_id").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("many"))
     keys = ["db_id", "block"]
     some = asking.join(blocks, "db_id").select("db_id", F.pmod(F.xxhash64("dp_id"), "many").cast("int").alias("block"), "dp_id", "embedding")
@@ -190,12 +196,10 @@ def search_cells(queries: DataFrame, placed: DataFrame, cells: DataFrame, k: int
     planned = _fresh(some).groupBy(*keys).cogroup(_fresh(shown).groupBy(*keys)).applyInArrow(_plan(k), "dp_id long, db_id string, table_name string, col_name string, home int, bound double, cells array<int>, least array<double>")
     planned = cut_lineage(planned)
     first = cut_lineage(_visits(planned.select("dp_id", *COLUMN, F.col("home").alias("cell")), asking, placed, cells, k))
-    w = W.partitionBy("dp_id", *COLUMN).orderBy("distance", "value")
     kth = first.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == k).select("dp_id", *COLUMN, F.sqrt("distance").alias("kth"))
     left = planned.filter(F.size("cells") > 1).join(kth, ["dp_id", *COLUMN], "left").withColumn("bound", F.least("bound", F.coalesce("kth", "bound")) + SLACK)
     again = left.select("dp_id", *COLUMN, "home", "bound", F.explode(F.arrays_zip("cells", "least")).alias("c")).filter((F.col("c.least") <= F.col("bound")) & (F.col("c.cells") != F.col("home")))
     again = cut_lineage(again.select("dp_id", *COLUMN, F.col("c.cells").alias("cell")))
     if visits is not None:
         visits(planned.select("dp_id", *COLUMN, F.col("home").alias("cell")).union(again))
-    found = first.union(_visits(again, asking, placed, cells, k))
-    return found.withColumn("rn", F.row_number().over(w).cast("long")).filter(F.col("rn") <= k).drop("db_id")
+    return nearest(first.union(_visits(again, asking, placed, cells, k)))
