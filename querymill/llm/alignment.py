@@ -3,7 +3,7 @@
 Tokens of both tokenizers of many texts are one flat list with byte ends. Every token points to the farthest-right
 token that overlaps it; doubling the pointers ends at the last token of each component, which labels the group. Texts are
 taken in chunks of bounded size. How often two ids overlap in the whole corpus is a table by pair: a chunk
-sends each of its pairs once and gets the counts of just these back.
+sends each of its pairs once and gets the counts of just these back; its texts meet them in one bounded group.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that a chunk takes; a longer text is a chunk of its own.
 CHUNK = 500_000
 WIDTH = 1 << 20
-CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, links binary, pairs array<long>, counts array<long>"
+#: Rows of texts and, apart, of a chunk's pairs (place, pair and number).
+ROWS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, sha string, links binary, place int, pair long, n long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -168,53 +169,56 @@ def unpacked_links(data: bytes, lengths: np.ndarray) -> np.ndarray:
 
 
 def chunker(path_a: str, path_b: str, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) -> a row per chunk (CHUNKS)."""
-    schema = pa.schema([("chunk", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("sha", pa.list_(pa.string())), ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    """(doc_id, text) -> per chunk a row for each text and a row for each distinct pair (ROWS). Rows stay small, whatever the chunk."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ROWS.split(", "))])
+
+    def rows(size: int, known: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(path_a, path_b)
         number = TaskContext.get().partitionId() << 33
         ids, texts, size = [], [], 0
 
-        def row() -> pa.RecordBatch:
-            found = aligned(t, ids, texts) | {"chunk": number}
-            return pa.RecordBatch.from_arrays([pa.array([found[f.name]], f.type) for f in schema], schema=schema)
+        def made() -> Iterator[pa.RecordBatch]:
+            found = aligned(t, ids, texts)
+            ends = np.concatenate([[0], 4 * np.cumsum(found["n_links"])]).astype(np.int32)
+            links = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(found["links"])])
+            counts = {c: pa.array(found[c]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+            yield rows(len(ids), {"chunk": pa.array([number] * len(ids)), "doc_id": pa.array(ids, pa.int64()), **counts, "sha": pa.array(found["sha"]), "links": links})
+            many = len(found["pairs"])
+            if many:
+                yield rows(many, {"chunk": pa.array([number] * many), "place": pa.array(np.arange(many, dtype=np.int32)), "pair": pa.array(found["pairs"]), "n": pa.array(found["counts"])})
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
                 if ids and size + len(text or "") > chunk:
-                    yield row()
+                    yield from made()
                     ids, texts, size, number = [], [], 0, number + 1
                 ids.append(doc_id.as_py())
                 texts.append(text)
                 size += len(text or "")
         if ids:
-            yield row()
+            yield from made()
 
     return cut
 
 
-def summer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Chunks with the corpus counts of their pairs, in order -> RESULT."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = {name: batch.column(name)[i] for name in batch.schema.names}
-                lists = {c: np.asarray(cell[c].values) for c in ("n_a", "n_b", "n_groups", "n_links")}
-                lengths = lists["n_links"]
-                n_best, count_sum = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-                if lengths.sum():
-                    links = unpacked_links(cell["links"].as_buffer(), lengths)
-                    total, best = np.asarray(cell["total"].values), np.asarray(cell["best"].values)
-                    starts, used = (np.cumsum(lengths) - lengths)[lengths > 0], lengths > 0
-                    count_sum[used] = np.add.reduceat(total[links], starts)
-                    n_best[used] = np.add.reduceat(best[links], starts)
-                columns = [cell["doc_id"].values, *(pa.array(lists[c]) for c in ("n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(count_sum), cell["sha"].values]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in RESULT.split(", ")])
-
-    return add
+def summed(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Texts of a chunk and the corpus counts of its pairs -> RESULT."""
+    pairs = pairs.sort_by("place")
+    total, best = np.asarray(pairs["total"]), np.asarray(pairs["best"])
+    lengths = np.asarray(texts["n_links"], np.int64)
+    n_best, count_sum = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if lengths.sum():
+        links = unpacked_links(b"".join(texts["links"].to_pylist()), lengths)
+        starts, used = (np.cumsum(lengths) - lengths)[lengths > 0], lengths > 0
+        count_sum[used] = np.add.reduceat(total[links], starts)
+        n_best[used] = np.add.reduceat(best[links], starts)
+    columns = [*(texts[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), pa.array(n_best), pa.array(count_sum), texts["sha"]]
+    return pa.table(dict(zip((f.split()[0] for f in RESULT.split(", ")), columns)))
 
 
 def align(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_B, chunk: int = CHUNK) -> DataFrame:
@@ -223,16 +227,15 @@ def align(docs: DataFrame, path_a: str = VOCABULARY_A, path_b: str = VOCABULARY_
     Null and empty texts, and texts that one of the tokenizers does not spell back byte by byte, have zeros and an empty
     digest. Repeated rows count as often as they stand; other columns do not matter. The vocabulary files must be at the same paths on all executors.
     """
-    chunks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunker(path_a, path_b, chunk), CHUNKS)
-    chunks = staged(chunks, "chunks")
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("pairs", "counts")).alias("i", "p")).select("chunk", "i", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(chunker(path_a, path_b, chunk), ROWS)
+    rows = staged(rows, "chunks")
+    each = rows.filter("pair IS NOT NULL").select("chunk", "place", "pair", "n")
     totals = each.groupBy("pair").agg(F.sum("n").alias("total"))
     # ids of A linked with one id of B: no more than A's vocabulary
     of_b = Window.partitionBy(F.col("pair") % WIDTH)
     ranked = staged(totals.withColumn("best", (F.col("total") == F.max("total").over(of_b)).cast("long")), "pair-counts")
-    told = each.select("chunk", "i", "pair").join(ranked, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("i", "total", "best"))).alias("r"))
-    told = told.select(F.col("chunk").alias("c"), F.col("r.total").alias("total"), F.col("r.best").alias("best"))
-    none = F.array().cast("array<long>")
-    full = chunks.drop("pairs", "counts").join(told, F.col("chunk") == F.col("c"), "left").drop("c")
-    full = full.withColumn("total", F.coalesce("total", none)).withColumn("best", F.coalesce("best", none))
-    return full.mapInArrow(summer(), RESULT)
+    told = each.select("chunk", "place", "pair").join(ranked, "pair").select(F.col("chunk").alias("c"), "place", "total", "best")
+    texts = rows.filter("pair IS NULL").select("chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "sha", "links")
+    # new names keep the columns of both sides apart
+    texts = texts.select(*[F.col(c).alias(c) for c in texts.columns])
+    return texts.groupBy("chunk").cogroup(told.groupBy("c")).applyInArrow(summed, RESULT)
