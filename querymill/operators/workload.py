@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions.examples import let
 from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD
-from querymill.operators.links import column_key, is_chosen, is_linked
+from querymill.operators.links import column_key, is_chosen, is_linked, rows_of
 
 CODE = rf"""'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|{WORD}|{SYMBOL}"""
 SET_OPERATORS = ("union", "intersect", "except")
@@ -187,7 +187,7 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
     starred = F.flatten(F.transform("stars", lambda x: F.flatten(F.transform(F.when(x["q"] == "", here(x)).otherwise(owner(x)), every))))
     touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
     found = F.array_distinct(F.concat(qualified, plain, starred, touched))
-    return rows.select("dp_id", "db_id", F.explode(found).alias("f")).select("dp_id", "db_id", "f.*")
+    return rows_of(rows, ["dp_id", "db_id"], found, "f").select("dp_id", "db_id", "f.*")
 
 
 def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,5 +206,5 @@ def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, Data
     good = per_dp.filter("ok").join(schemas, "db_id")
     good = good.withColumn("mine", F.filter("cols", lambda c: is_chosen(c["t"])))
     good = good.withColumn("link", F.filter("mine", lambda c: c["is_pk"] | is_linked(c["k"])))
-    rows = good.select("dp_id", "db_id", F.explode(F.when(F.size("link") > 0, F.col("link")).otherwise(F.col("mine"))).alias("c"))
+    rows = rows_of(good, ["dp_id", "db_id"], F.when(F.size("link") > 0, F.col("link")).otherwise(F.col("mine")))
     return rows.select("dp_id", "db_id", "c.table_name", "c.col_name", "c.col_idx", "c.is_pk"), per_dp.filter("not ok").select("dp_id", "db_id")
