@@ -1,6 +1,7 @@
 """What keeps the work of queries whole, and in proportion to their input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
 from querymill.registry.base import QUERIES
@@ -15,3 +16,8 @@ def test_arrays_are_not_made_again_in_a_join(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     lines = [line.lstrip(" :+-") for line in plan.split("\n")]
     assert not [line[:200] for line in lines if line.startswith(("Join", "Filter")) and "lambdafunction" in line]
+
+
+def test_foreign_keys_of_every_database(spark):
+    got = QUERIES["P8_resolve_foreign_keys"](spark, SMALL).select("db_id").distinct()
+    assert got.filter(F.col("db_id").like("%9")).count() > 0
