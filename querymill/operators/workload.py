@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from querymill.functions.examples import let
 from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD
 from querymill.operators.links import column_key, is_chosen, is_linked, rows_of
+from querymill.session import cut_lineage
 
 CODE = rf"""'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|{WORD}|{SYMBOL}"""
 SET_OPERATORS = ("union", "intersect", "except")
@@ -201,6 +202,8 @@ def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, Data
         F.collect_set("table_name").alias("chosen"),
         F.collect_set(F.when(F.col("col_name").isNotNull(), column_key("table_name", "col_name"))).alias("linked"),
     )
+    # read for the good ones and for the rejected ones: the statements are read once
+    per_dp = cut_lineage(per_dp)
     item = F.struct(F.lower("table_name").alias("t"), column_key("table_name", "col_name").alias("k"), "table_name", "col_name", "col_idx", "is_pk")
     schemas = columns.groupBy("db_id").agg(F.collect_list(item).alias("cols"))
     good = per_dp.filter("ok").join(schemas, "db_id")
