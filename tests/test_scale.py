@@ -54,3 +54,14 @@ def test_tournament_shuffles_every_round(spark, monkeypatch, one_task):
 
     got = rounds.tournament(spark.range(30).withColumnRenamed("id", "dp_id"), spark.createDataFrame(rows, "dp_id long, cand_id long, sql string, result_key string"), judge)
     assert {r.dp_id: r.cand_id for r in got.collect()} == {dp: played(dp, cands) for dp, cands in entrants.items()}
+
+
+def test_rejected_texts_are_not_made_again_by_filters(spark):
+    plan = QUERIES["T15_preference_triples"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.split("\n")]
+    assert not [line[:200] for line in lines if line.startswith(("Join", "Filter")) and "json" in line]
+
+
+def test_statements_are_read_once_for_kept_and_rejected(spark):
+    plan = QUERIES["L4_validate_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
