@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
 from querymill.operators import rounds
-from querymill.registry.base import QUERIES
+from querymill.registry.base import QUERIES, Source
 
 FOLDER = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
@@ -65,3 +65,11 @@ def test_rejected_texts_are_not_made_again_by_filters(spark):
 def test_statements_are_read_once_for_kept_and_rejected(spark):
     plan = QUERIES["L4_validate_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_shared_inputs_are_made_once(spark):
+    s = Source(spark, FOLDER)
+    fks, columns = s["i_fks"].collect(), s["i_columns"].collect()
+    s.shared("i_columns")
+    assert not any("lineitem" in f for name in ("i_columns", "i_fks", "i_defs") for f in s[name].inputFiles())
+    assert sorted(s["i_fks"].collect()) == sorted(fks) and sorted(s["i_columns"].collect()) == sorted(columns)
