@@ -469,6 +469,7 @@ SELECT dp_id, db_id, table_name, col_name, statement AS table_text, '[Column Val
   || ''' is useful to answer the question, here are some example values of this column:' || chr(10) || {FORMATTED} AS example_text FROM x""",
 )
 def _(s):
+    s.shared("i_columns", "i_retrieved")
     targets = s["i_retrieved"].select("dp_id", "db_id", "table_name", "col_name").distinct()
     return render.local_context(targets, s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"])
 
