@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querymill.functions import seeded
 from querymill.operators import catalog, links, profile, render, retrieval, synth, workload
 from querymill.sources import corpus
 
@@ -108,6 +109,11 @@ def test_nearest_values_in_shards(spark, monkeypatch):
     assert got == want
 
 
+def test_draw_start(spark):
+    row = spark.range(7, 8).select(seeded.draw("42|x", "id", F.lit("t"), F.lit("c")).alias("a"), F.md5(F.concat(seeded.draw_start("42|x", "id", F.lit("t")), F.lit("c"))).alias("b")).first()
+    assert row.a == row.b
+
+
 def test_close_link(spark, shop):
     columns, fks = shop
     given = spark.createDataFrame([(1, "shop", "customer", "NAME"), (1, "shop", "orders", "ghost"), (2, "shop", "Orders", "day"), (3, "shop", "Nowhere", "x")], LINK)
