@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from querymill.operators import rounds
+from querymill.operators import links, rounds
 from querymill.registry.base import QUERIES, Source
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,3 +73,24 @@ def test_shared_inputs_are_made_once(spark):
     s.shared("i_columns")
     assert not any("lineitem" in f for name in ("i_columns", "i_fks", "i_defs") for f in s[name].inputFiles())
     assert sorted(s["i_fks"].collect()) == sorted(fks) and sorted(s["i_columns"].collect()) == sorted(columns)
+
+
+def scans(df, column="l_orderkey"):
+    """Reads of the table with this column in the optimized plan."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    return sum("Relation [" in line and f"{column}#" in line for line in lines)
+
+
+def test_linked_columns_are_chosen_as_rows(spark):
+    """R1: no datapoint is compared with the columns it has not linked, and links are read once."""
+    df = QUERIES["R1_filter_chosen"](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and scans(df) == 0
+
+
+def test_chosen_columns_of_odd_links(spark):
+    columns = spark.createDataFrame([("d", t, c) for t in ("A", "a", "B") for c in ("X", "y")], "db_id string, table_name string, col_name string")
+    link = spark.createDataFrame([(1, "d", "a", "x"), (1, "d", "A", "X"), (1, "d", None, "x"), (2, "d", "b", None), (4, "d", "B", "Y")], "dp_id long, db_id string, table_name string, col_name string")
+    dps = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d"), (3, "none")], "dp_id long, db_id string")
+    got = sorted((r.dp_id, r.table_name, r.col_name) for r in links.filter_chosen(dps, columns, link).collect())
+    assert got == [(1, "A", "X"), (1, "a", "X"), *((3, t, c) for t in ("A", "B", "a") for c in ("X", "y"))]
