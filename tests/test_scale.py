@@ -94,3 +94,9 @@ def test_chosen_columns_of_odd_links(spark):
     dps = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d"), (3, "none")], "dp_id long, db_id string")
     got = sorted((r.dp_id, r.table_name, r.col_name) for r in links.filter_chosen(dps, columns, link).collect())
     assert got == [(1, "A", "X"), (1, "a", "X"), *((3, t, c) for t in ("A", "B", "a") for c in ("X", "y"))]
+
+
+def test_a_link_is_gathered_once_to_be_closed(spark):
+    """R2: one gathering of the links, and no comparison of linked keys with the columns of a schema."""
+    plan = QUERIES["R2_close_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set(") == 1 and "startswith" not in plan.lower()
