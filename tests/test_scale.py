@@ -100,3 +100,12 @@ def test_a_link_is_gathered_once_to_be_closed(spark):
     """R2: one gathering of the links, and no comparison of linked keys with the columns of a schema."""
     plan = QUERIES["R2_close_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_set(") == 1 and "startswith" not in plan.lower()
+
+
+def test_gathered_links_are_one_set(spark):
+    """R4: keys and tables of a link are made from it, not gathered beside it."""
+    rows = [(1, "d", "A", "x"), (1, "d", "a", "X"), (1, "d", "B", "y"), (1, "d", None, "z")]
+    df = links.nest_links(spark.createDataFrame(rows, "dp_id long, db_id string, table_name string, col_name string"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1
+    got = df.first()
+    assert len(got.link) == 4 and sorted(got.chosen) == ["a", "b"] and sorted(got.linked) == sorted([f"a{links.SEPARATOR}x", f"b{links.SEPARATOR}y", "z"])
