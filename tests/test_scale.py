@@ -109,3 +109,9 @@ def test_gathered_links_are_one_set(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("collect_set(") == 1
     got = df.first()
     assert len(got.link) == 4 and sorted(got.chosen) == ["a", "b"] and sorted(got.linked) == sorted([f"a{links.SEPARATOR}x", f"b{links.SEPARATOR}y", "z"])
+
+
+def test_a_link_is_put_in_order_without_its_schema(spark):
+    """L5: no row holds a database's schema."""
+    df = QUERIES["L5_linearize_link"](spark, FOLDER)
+    assert "is_pk" not in df._jdf.queryExecution().optimizedPlan().toString() and scans(df) == 2
