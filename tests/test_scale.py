@@ -115,3 +115,9 @@ def test_a_link_is_put_in_order_without_its_schema(spark):
     """L5: no row holds a database's schema."""
     df = QUERIES["L5_linearize_link"](spark, FOLDER)
     assert "is_pk" not in df._jdf.queryExecution().optimizedPlan().toString() and scans(df) == 2
+
+
+@pytest.mark.parametrize("name", ["T1_noise_tables"])
+def test_noise_reads_line_items_once_beside_the_staged_columns(spark, name):
+    """T1: only the links are made from line items in the query itself."""
+    assert scans(QUERIES[name](spark, FOLDER)) == 1
