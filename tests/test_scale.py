@@ -117,7 +117,7 @@ def test_a_link_is_put_in_order_without_its_schema(spark):
     assert "is_pk" not in df._jdf.queryExecution().optimizedPlan().toString() and scans(df) == 2
 
 
-@pytest.mark.parametrize("name", ["T1_noise_tables"])
+@pytest.mark.parametrize("name", ["T1_noise_tables", "T3_noise_columns"])
 def test_noise_reads_line_items_once_beside_the_staged_columns(spark, name):
-    """T1: only the links are made from line items in the query itself."""
+    """T1, T3: only the links are made from line items in the query itself."""
     assert scans(QUERIES[name](spark, FOLDER)) == 1
