@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions.examples import collapse_identifier_examples, format_examples, let, local_examples, merge_examples
 from querymill.operators.links import closed_tables, distinct_forms, linked_dps, nest_catalog, nest_links, with_form
+from querymill.session import cut_lineage
 
 DETAILS = ("line", "last")
 PARTS = ("code", "note", "place")
@@ -143,6 +144,9 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     none = F.array().cast(NO_TEXTS)
     noted = lambda found: example_note(F.col("comment"), format_examples(collapse_identifier_examples(merge_examples(found, F.col("examples"))), F.col("type_class")))
     known = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none)).withColumn("place", place("table_idx", "col_idx"))
+    if link is not None:
+        # read for the schemas and for the questions' own examples; staging brought no gain where every schema is shown whole
+        known = cut_lineage(known)
     schemas = nest_catalog(with_details(known).withColumn("note", noted(none)), fks, PARTS)
     wanted = dataset.select("db_id").distinct().select("db_id", F.lit("").alias("form"), *[F.lit(None).cast(kind).alias(name) for name, kind in NO_LINK.items()])
     asked = dataset.withColumn("form", F.lit(""))

@@ -453,6 +453,7 @@ INPUTS["i_asked_link"] = "SELECT DISTINCT dp_id, db_id, table_name, lower(col_na
     + noted_texts("asked", "fk"),
 )
 def _(s):
+    s.shared("i_columns", "i_asks", "i_retrieved")
     return digested(render.schema_input(s["i_asks"], s["i_defs"], s["i_fks"], static_examples(s), s["i_retrieved"], s["i_asked_link"]))
 
 

@@ -121,3 +121,8 @@ def test_a_link_is_put_in_order_without_its_schema(spark):
 def test_noise_reads_line_items_once_beside_the_staged_columns(spark, name):
     """T1, T3: only the links are made from line items in the query itself."""
     assert scans(QUERIES[name](spark, FOLDER)) == 1
+
+
+def test_schema_input_of_links_reads_line_items_once(spark):
+    """R5 with a link: columns, questions, retrieved values and static examples are staged."""
+    assert scans(QUERIES["R5_schema_input_of_link"](spark, FOLDER)) == 0
