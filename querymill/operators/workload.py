@@ -7,12 +7,16 @@ Every name gets the levels around it; a name belongs to the innermost scope that
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
+from unicodedata import category
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from querymill.functions.examples import let
 from querymill.functions.sqltext import KEYWORDS, SYMBOL, WORD
 from querymill.operators.links import column_key, is_chosen, is_linked, rows_of
 from querymill.session import cut_lineage
@@ -20,7 +24,7 @@ from querymill.session import cut_lineage
 CODE = rf"""'[^']*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/|{WORD}|{SYMBOL}"""
 SET_OPERATORS = ("union", "intersect", "except")
 #: Clauses of a level, and what else a token can be to the fold.
-WITH, SELECT, FROM, ON, WHERE, ORDER, USING, QUERY, PAREN, CLOSE, BRANCH, COMMA, NAME, STAR = range(14)
+WITH, SELECT, FROM, ON, WHERE, ORDER, USING, PAREN, CLOSE, BRANCH, COMMA, NAME, STAR = range(13)
 
 
 def filter_workload(workload: DataFrame, databases: DataFrame, bad_texts: tuple[str, ...] = (), bad_dbs: tuple[str, ...] = ()) -> DataFrame:
@@ -40,71 +44,178 @@ def code_tokens(sql: Column) -> Column:
     return F.transform(found, lambda t: F.when(t.startswith("'"), F.lit("'")).when((F.length(t) > 1) & t.rlike('^["`]'), quoted(t)).otherwise(F.lower(t)))
 
 
-def bare(token: Column) -> Column:
-    return F.when(token.startswith('"'), F.substring(token, 2, 1_000_000)).otherwise(token)
-
-
-SPECIAL = ("(", ")", ",", "*", "select", "from", "join", "on", "using", "where", "limit", "group", "having", "order", *SET_OPERATORS)
-
-
-def _kind(t: Column, before: Column, after: Column) -> Column:
-    """What a token is to the fold; null if nothing."""
-    # neither qualifiers nor functions; a name of WITH may have a list of columns
-    alone = (after != ".") & ((after != "(") | before.isin("with", "recursive", ","))
-    name = F.when(alone & (~t.isin(KEYWORDS) | (before == ".") | (t == "order")) & t.rlike(r'^["\p{L}_]'), NAME)
-    special = (
-        F.when((t == "(") & after.isin("select", "with"), QUERY)
-        .when(t == "(", PAREN)
-        .when(t == ")", CLOSE)
-        .when(t == ",", COMMA)
-        .when(t == "*", STAR)
-        .when(t == "select", SELECT)
-        .when((t == "from") & (before == "distinct"), F.lit(None))
-        .when(t.isin("from", "join"), FROM)
-        .when(t == "on", ON)
-        .when(t == "using", USING)
-        .when(t.isin("where", "limit") | ((t == "group") & (after == "by")), WHERE)
-        .when((t == "having") | ((t == "order") & (after == "by")), ORDER)
-        .when(t.isin(*SET_OPERATORS), BRANCH)
-        .otherwise(name)
-    )
-    return F.when(t.isin(*SPECIAL), special).otherwise(name)
+#: Kinds by token; what follows or stands before some of them makes them another kind, or a name, see ``scoped_names``.
+SPECIAL = {
+    "(": PAREN, ")": CLOSE, ",": COMMA, "*": STAR, "select": SELECT, "from": FROM, "join": FROM, "on": ON, "using": USING,
+    "where": WHERE, "limit": WHERE, "having": ORDER, **dict.fromkeys(SET_OPERATORS, BRANCH),
+}
+BEFORE_BY = {"group": WHERE, "order": ORDER}
+RESERVED = frozenset(KEYWORDS)
+NO_NAMES = RESERVED - {"order"}
+ENDS = frozenset((")", "'", "end", "null", "true", "false"))
+STOPS = frozenset((",", "from", ")", "", ";", *SET_OPERATORS))
+#: A token list has this many empty tokens around it, so that neighbours need no bounds.
+MARGIN = 3
+
+
+def bare(token: str) -> str:
+    return token[1:] if token[:1] == '"' else token
+
 
+def _is_word(t: str) -> bool:
+    return t != "" and t not in RESERVED and (t[0].isalpha() or t[0] in '"_' or category(t[0])[0] == "N")
 
-def scoped_names(w: Column) -> Column:
-    """Names, stars and closed subqueries of a token list, each with the levels around it: ``struct<i, kind, levels>``.
 
-    A level is ``struct<scope, clause, inner>``; ``inner`` tells a parenthesis that opens no query, which stays in the scope around it.
+def scoped_names(w: list[str]) -> list[tuple[int, int, tuple[tuple[int, int, bool], ...]]]:
+    """Names, stars and closed subqueries of a token list in its margin, each as place, kind and the levels around it.
+
+    A level is (scope, clause, inner); ``inner`` tells a parenthesis that opens no query, which stays in the scope around it.
     """
-    at = lambda i: F.coalesce(F.get(w, i), F.lit(""))
-    marks = F.filter(F.transform(w, lambda t, i: F.struct(i.alias("i"), _kind(t, at(i - 1), at(i + 1)).alias("kind"))), lambda m: m["kind"].isNotNull())
-    level = lambda scope, clause, inner: F.struct(scope.alias("scope"), clause.cast("int").alias("clause"), inner.alias("inner"))
-    no, yes = F.lit(False), F.lit(True)
-
-    def step(acc: Column, m: Column) -> Column:
-        levels, kind = acc["levels"], m["kind"]
-        top = F.element_at(levels, -1)
-        outer = F.slice(levels, F.lit(1), F.size(levels) - 1)
-        clause = F.when(kind.between(SELECT, USING), kind).when((kind == COMMA) & top["clause"].isin(ON, USING) & ~top["inner"], FROM)
-        after = (
-            F.when(kind == QUERY, F.array_append(levels, level(acc["fresh"], F.lit(WITH), no)))
-            .when(kind == PAREN, F.array_append(levels, level(top["scope"], top["clause"], yes)))
-            .when((kind == CLOSE) & (F.size(levels) > 1), outer)
-            .when(kind == BRANCH, F.array_append(outer, level(acc["fresh"], F.lit(WITH), no)))
-            .when(clause.isNotNull(), F.array_append(outer, level(top["scope"], clause, top["inner"])))
-            .otherwise(levels)
-        )
-        noted = lambda now: F.array_append(acc["seen"], F.struct(m["i"].alias("i"), kind.alias("kind"), now.alias("levels")))
-        state = lambda now, fresh, seen: F.struct(now.alias("levels"), fresh.alias("fresh"), seen.alias("seen"))
-        ended = (kind == CLOSE) & ~top["inner"] & (F.size(levels) > 1)
-        fresh = acc["fresh"] + F.when(kind.isin(QUERY, BRANCH), 1).otherwise(0)
-        moved = let(after, lambda now: state(now, fresh, F.when(ended, noted(now)).otherwise(acc["seen"])))
-        return F.when(kind.isin(NAME, STAR), state(levels, acc["fresh"], noted(levels))).otherwise(moved)
-
-    start = F.expr(
-        "struct(array(struct(0 AS scope, 0 AS clause, false AS inner)) AS levels, 1 AS fresh, cast(array() AS array<struct<i: int, kind: int, levels: array<struct<scope: int, clause: int, inner: boolean>>>>) AS seen)"
-    )
-    return F.aggregate(marks, start, step, lambda acc: acc["seen"])
+    levels, fresh, seen = ((0, WITH, False),), 1, []
+    for i in range(MARGIN, len(w) - MARGIN):
+        t = w[i]
+        kind = SPECIAL.get(t)
+        if kind is None:
+            after = w[i + 1]
+            if after == "by" and t in BEFORE_BY:
+                kind = BEFORE_BY[t]
+            # neither qualifiers nor functions; a name of WITH may have a list of columns
+            elif after == "." or not (t[0].isalpha() or t[0] in '"_') or (t in NO_NAMES and w[i - 1] != ".") or (after == "(" and w[i - 1] not in ("with", "recursive", ",")):
+                continue
+            else:
+                seen.append((i, NAME, levels))
+                continue
+        top = levels[-1]
+        if kind == STAR:
+            seen.append((i, kind, levels))
+        elif kind == PAREN:
+            if w[i + 1] in ("select", "with"):
+                levels, fresh = (*levels, (fresh, WITH, False)), fresh + 1
+            else:
+                levels = (*levels, (top[0], top[1], True))
+        elif kind == CLOSE:
+            if len(levels) > 1:
+                levels = levels[:-1]
+                if not top[2]:
+                    seen.append((i, kind, levels))
+        elif kind == BRANCH:
+            levels, fresh = (*levels[:-1], (fresh, WITH, False)), fresh + 1
+        elif kind == COMMA:
+            if top[1] in (ON, USING) and not top[2]:
+                levels = (*levels[:-1], (top[0], FROM, False))
+        elif t != "from" or w[i - 1] != "distinct":
+            levels = (*levels[:-1], (top[0], kind, top[2]))
+    return seen
+
+
+class Place(NamedTuple):
+    """A name, star or closed subquery of a statement: token, qualifier, its scope and clause, scopes and levels around it."""
+
+    i: int
+    n: str
+    q: str
+    scope: int
+    clause: int
+    scopes: tuple[int, ...]
+    levels: tuple[tuple[int, int, bool], ...]
+
+
+def touched(tokens: list[str], names: dict[str, set[str]]) -> set[tuple[str, str | None, bool]]:
+    """``(table_name, col_name, known)`` of one statement, from its tokens and the columns of its database's tables; see ``link_columns``."""
+    margin = [""] * MARGIN
+    w = [*margin, *tokens, *margin]
+    withs, froms, outputs, refs, stars = [], [], [], [], []
+    around_it, scopes = None, ()
+    for i, kind, levels in scoped_names(w):
+        if levels is not around_it:
+            around_it, scopes = levels, tuple([y[0] for y in levels])
+        before, after, (scope, clause, inner) = w[i - 1], w[i + 1], levels[-1]
+        x = Place(i, bare(w[i]), bare(w[i - 2]) if before == "." else "", scope, clause, scopes, levels)
+        if kind == STAR:
+            if before in (".", ",", "select", "distinct", "all"):
+                stars.append(x)
+        elif kind == CLOSE:
+            if clause == FROM:
+                froms.append((x, False))
+        elif clause == FROM:
+            if (w[i - 3] if before == "." else before) in ("from", "join", ",", "(") and after not in (".", "("):
+                froms.append((x, True))
+        elif clause == WITH:
+            if not inner and before in ("with", "recursive", ","):
+                withs.append(x)
+        else:
+            in_list = clause == SELECT and not inner
+            stops = after in STOPS
+            if in_list and stops:
+                outputs.append(x)
+            # where an expression can end, a further name is what it is called
+            renames = before == "as" or (in_list and stops and before != "." and (before in ENDS or _is_word(before)))
+            if not renames and after not in (".", "(", "'"):
+                refs.append(x)
+
+    def own(m: Place, c: Place) -> bool:
+        """Inside its own body a name of WITH is the table, unless it is recursive."""
+        inside = (c.scope, WITH, False) in m.levels
+        return inside and "recursive" not in tokens and not any(d.scope == c.scope and c.i < d.i < m.i for d in withs)
+
+    def is_base(m: Place) -> bool:
+        return m.n in names and all(own(m, c) for c in withs if c.n == m.n and c.i < m.i and c.scope in m.scopes)
+
+    sources = {}
+    for m, is_table in froms:
+        called = w[m.i + 2] if w[m.i + 1] == "as" else w[m.i + 1]
+        alias = bare(called) if _is_word(called) else m.n if is_table else ""
+        sources[m.n if is_table and is_base(m) else "", alias, m.scope] = None
+
+    def around(x: Place, cond: Callable[[str, str], bool]) -> tuple[set[str], int | None]:
+        """Tables and scope of the innermost scope around a name with a source that meets the condition; scopes inside have larger numbers."""
+        met = [(t, scope) for t, a, scope in sources if scope in x.scopes and cond(t, a)]
+        top = max((scope for _, scope in met), default=None)
+        return {t for t, scope in met if scope == top and t != ""}, top
+
+    found = {(t, None, True) for t, _, _ in sources if t != ""}
+    for r in refs:
+        if r.q != "":
+            found |= {(t, r.n, r.n in names[t]) for t in around(r, lambda t, a: a == r.q)[0]}
+        elif r.clause != ORDER or not any(o.n == r.n and o.scope == r.scope for o in outputs):
+            tables, top = around(r, lambda t, a: r.n in names.get(t, ()))
+            hidden = top != r.scope and any(o.n == r.n and o.scope != r.scope and r.scope in o.scopes for o in outputs)
+            if not hidden and (len(tables) == 1 or r.clause == USING):
+                found |= {(t, r.n, True) for t in tables}
+    for x in stars:
+        tables = {t for t, _, scope in sources if scope == x.scope and t != ""} if x.q == "" else around(x, lambda t, a: a == x.q)[0]
+        found |= {(t, c, True) for t in tables for c in names[t]}
+    return found
+
+
+#: Characters of catalog texts whose tables a task keeps at hand.
+KEPT_CHARS = 1 << 24
+
+
+def _touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dp_id, db_id, w, names) of statements -> their hits. A database's names are read once while it is at hand, not once a statement."""
+    held: dict[str, dict[str, set[str]]] = {}
+    chars, last, tables = 0, None, {}
+    for batch in batches:
+        at, out = [], []
+        words, ends = batch.column(2).values.to_numpy(zero_copy_only=False).tolist(), batch.column(2).offsets.tolist()
+        # equal texts share a code; databases come in any order
+        codes = batch.column(3).dictionary_encode()
+        texts = codes.dictionary.to_pylist()
+        for i, code in enumerate(codes.indices.to_pylist()):
+            text = texts[code]
+            if text is not last:
+                if text not in held:
+                    chars = chars + len(text) if chars < KEPT_CHARS else held.clear() or len(text)
+                    held[text] = {t: set(cols) for t, cols in json.loads(text).items()}
+                last, tables = text, held[text]
+            hits = touched(words[ends[i] : ends[i + 1]], tables)
+            at += [i] * len(hits)
+            out += hits
+        taken = pa.array(at, pa.int64())
+        kinds = (pa.string(), pa.string(), pa.bool_())
+        hits = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 3, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), *hits], ["dp_id", "db_id", "table_name", "col_name", "known"])
 
 
 def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
@@ -117,78 +228,14 @@ def link_columns(workload: DataFrame, columns: DataFrame) -> DataFrame:
     subquery puts out hides columns of outer scopes. A star of a select list stands for all columns of its alias's
     table, or of all tables of its scope. A touched table also has a row without column.
 
-    A statement is matched against its database's names inside one row: one join, no pairs.
+    A statement is matched against its database's names inside one row: one join, no pairs. Tokens and names are made by
+    Spark; the names travel as one text, which a task reads once for the statements of a database that follow each other.
     """
     per_table = columns.groupBy("db_id", F.lower("table_name").alias("t")).agg(F.collect_set(F.lower("col_name")).alias("cols"))
-    names = per_table.groupBy("db_id").agg(F.map_from_entries(F.collect_list(F.struct("t", "cols"))).alias("names"))
-    rows = workload.select("dp_id", "db_id", code_tokens(F.col("sql")).alias("w")).join(names, "db_id")
-
-    at = lambda i: F.coalesce(F.get("w", i), F.lit(""))
-    is_word = lambda t: t.rlike(r'^["\p{L}\p{N}_]') & ~t.isin(KEYWORDS)
-    named = lambda i: F.when(at(i + 1) == "as", at(i + 2)).otherwise(at(i + 1))
-    qualifier = lambda i: F.when(at(i - 1) == ".", bare(at(i - 2))).otherwise("")
-    # where an expression can end, a further name is what it is called
-    ends = lambda t: is_word(t) | t.isin(")", "'", "end", "null", "true", "false")
-    stops = lambda t: t.isin(",", "from", ")", "", ";", *SET_OPERATORS)
-
-    def placed(x: Column) -> Column:
-        i, top = x["i"], F.element_at(x["levels"], -1)
-        unqualified = at(i - 1) != "."
-        is_name = x["kind"] == NAME
-        in_list = (top["clause"] == SELECT) & ~top["inner"]
-        renames = (at(i - 1) == "as") | (in_list & unqualified & ends(at(i - 1)) & stops(at(i + 1)))
-        begins = F.when(unqualified, at(i - 1)).otherwise(at(i - 3))
-        return F.struct(
-            i.alias("i"), bare(at(i)).alias("n"), qualifier(i).alias("q"), top["scope"].alias("scope"), top["clause"].alias("clause"),
-            F.transform(x["levels"], lambda y: y["scope"]).alias("scopes"),
-            F.transform(F.filter(x["levels"], lambda y: (y["clause"] == WITH) & ~y["inner"]), lambda y: y["scope"]).alias("withs"),
-            (is_name & (top["clause"] == FROM) & begins.isin("from", "join", ",", "(") & ~at(i + 1).isin(".", "(")).alias("is_table"),
-            ((x["kind"] == CLOSE) & (top["clause"] == FROM)).alias("is_query"),
-            (is_name & (top["clause"] == WITH) & ~top["inner"] & at(i - 1).isin("with", "recursive", ",")).alias("is_with"),
-            (is_name & in_list & stops(at(i + 1))).alias("is_output"),
-            (is_name & top["clause"].isin(SELECT, ON, WHERE, ORDER, USING) & ~renames & ~at(i + 1).isin(".", "(", "'")).alias("is_column"),
-            ((x["kind"] == STAR) & at(i - 1).isin(".", ",", "select", "distinct", "all")).alias("is_star"),
-        )
-
-    rows = rows.withColumn("seen", scoped_names(F.col("w"))).withColumn("seen", F.transform("seen", placed))
-    rows = rows.withColumn("withs", F.filter("seen", lambda x: x["is_with"]))
-    of = lambda m: F.filter("withs", lambda c: (c["n"] == m["n"]) & (c["i"] < m["i"]) & F.array_contains(m["scopes"], c["scope"]))
-    # inside its own body a name of WITH is the table, unless it is recursive
-    later = lambda m, c: F.exists("withs", lambda d: (d["scope"] == c["scope"]) & (d["i"] > c["i"]) & (d["i"] < m["i"]))
-    own = lambda m, c: F.array_contains(m["withs"], c["scope"]) & ~later(m, c) & ~F.array_contains("w", "recursive")
-    is_base = lambda m: m["is_table"] & F.map_contains_key("names", m["n"]) & ~F.exists(of(m), lambda c: ~own(m, c))
-    source = lambda m: F.struct(
-        F.when(is_base(m), m["n"]).otherwise("").alias("t"),
-        F.when(is_word(named(m["i"])), bare(named(m["i"]))).otherwise(F.when(m["is_table"], m["n"]).otherwise("")).alias("a"),
-        m["scope"].alias("scope"),
-    )
-    rows = rows.withColumn("sources", F.array_distinct(F.transform(F.filter("seen", lambda x: x["is_table"] | x["is_query"]), source)))
-    rows = rows.withColumn("tables", F.array_distinct(F.transform(F.filter("sources", lambda m: m["t"] != ""), lambda m: m["t"])))
-    rows = rows.withColumn("outputs", F.filter("seen", lambda x: x["is_output"])).withColumn("refs", F.filter("seen", lambda x: x["is_column"]))
-    rows = rows.withColumn("stars", F.filter("seen", lambda x: x["is_star"])).drop("seen")
-
-    hit = lambda t, c, known: F.struct(t.alias("table_name"), c.alias("col_name"), known.alias("known"))
-    has = lambda t, c: F.coalesce(F.array_contains(F.try_element_at("names", t), c), F.lit(False))
-
-    def around(x: Column, cond: Callable[[Column], Column], use: Callable[[Column, Column], Column]) -> Column:
-        """``use`` of the tables and the scope, for the innermost scope around a name with a source that meets the condition; scopes inside have larger numbers."""
-        seen = F.filter("sources", lambda m: F.array_contains(x["scopes"], m["scope"]) & cond(m))
-        inner = lambda s: let(F.array_max(F.transform(s, lambda m: m["scope"])), lambda top: use(F.array_distinct(F.transform(F.filter(s, lambda m: (m["scope"] == top) & (m["t"] != "")), lambda m: m["t"])), top))
-        return let(seen, inner)
-
-    none = F.array().cast("array<string>")
-    owner = lambda r: around(r, lambda m: m["a"] == r["q"], lambda ts, _: ts)
-    qualified = F.flatten(F.transform(F.filter("refs", lambda r: r["q"] != ""), lambda r: F.transform(owner(r), lambda t: hit(t, r["n"], has(t, r["n"])))))
-    called = lambda r: r["clause"].isin(ORDER) & F.exists("outputs", lambda o: (o["n"] == r["n"]) & (o["scope"] == r["scope"]))
-    hidden = lambda r, top: (top != r["scope"]) & F.exists("outputs", lambda o: (o["n"] == r["n"]) & (o["scope"] != r["scope"]) & F.array_contains(o["scopes"], r["scope"]))
-    one = lambda r: around(r, lambda m: has(m["t"], r["n"]), lambda ts, top: F.when(((F.size(ts) == 1) | (r["clause"] == USING)) & ~hidden(r, top), ts).otherwise(none))
-    plain = F.flatten(F.transform(F.filter("refs", lambda r: (r["q"] == "") & ~called(r)), lambda r: F.transform(one(r), lambda t: hit(t, r["n"], F.lit(True)))))
-    every = lambda t: F.transform(F.try_element_at("names", t), lambda c: hit(t, c, F.lit(True)))
-    here = lambda x: F.transform(F.filter("sources", lambda m: (m["scope"] == x["scope"]) & (m["t"] != "")), lambda m: m["t"])
-    starred = F.flatten(F.transform("stars", lambda x: F.flatten(F.transform(F.when(x["q"] == "", here(x)).otherwise(owner(x)), every))))
-    touched = F.transform("tables", lambda t: hit(t, F.lit(None).cast("string"), F.lit(True)))
-    found = F.array_distinct(F.concat(qualified, plain, starred, touched))
-    return rows_of(rows, ["dp_id", "db_id"], found, "f").select("dp_id", "db_id", "f.*")
+    names = per_table.groupBy("db_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("t", "cols")))).alias("names"))
+    rows = workload.select("dp_id", "db_id", code_tokens(F.col("sql")).alias("w")).join(names, "db_id").select("dp_id", "db_id", "w", "names")
+    kinds = "table_name string, col_name string, known boolean"
+    return rows.mapInArrow(_touching, StructType([*rows.schema.fields[:2], *StructType.fromDDL(kinds).fields]))
 
 
 def validate_link(found: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,12 +1,14 @@
 """What keeps the work of queries whole, and in proportion to their input."""
 
 import hashlib
+import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
-from querymill.operators import links, rounds
+from querymill.operators import links, rounds, workload
 from querymill.registry.base import QUERIES, Source
 
 FOLDER = "/root/testdata/sf0.001"
@@ -126,3 +128,26 @@ def test_noise_reads_line_items_once_beside_the_staged_columns(spark, name):
 def test_schema_input_of_links_reads_line_items_once(spark):
     """R5 with a link: columns, questions, retrieved values and static examples are staged."""
     assert scans(QUERIES["R5_schema_input_of_link"](spark, FOLDER)) == 0
+
+
+def test_statements_are_read_outside_column_expressions(spark):
+    """L3: no fold over tokens is left to lambdas, and questions are made once."""
+    df = QUERIES["L3_link_columns"](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "MapInArrow" in plan and scans(df) == 1
+
+
+def test_names_of_a_database_are_read_once_for_its_statements(monkeypatch):
+    """L3: also when databases take turns; equal results with and without names at hand."""
+    loaded, loads = [], json.loads
+    monkeypatch.setattr(workload.json, "loads", lambda text: loaded.append(text) or loads(text))
+    names = ['{"a":["x"]}', '{"b":["x"]}']
+    tokens = [["select", "x", "from", "a", ",", "b"], None, []]
+    columns = [list(range(6)), [f"d{i % 2}" for i in range(6)], [tokens[i % 3] for i in range(6)], [names[i % 2] for i in range(6)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dp_id", "db_id", "w", "names"])
+    hits = lambda: sorted((tuple(r.values()) for b in workload._touching(iter([batch, batch.slice(3)])) for r in b.to_pylist()), key=str)
+    got = hits()
+    assert len(loaded) == 2
+    assert set(got) == {(0, "d0", "a", None, True), (0, "d0", "a", "x", True), (3, "d1", "b", None, True), (3, "d1", "b", "x", True)} and len(got) == 6
+    monkeypatch.setattr(workload, "KEPT_CHARS", 1)
+    assert hits() == got
