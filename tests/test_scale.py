@@ -98,6 +98,24 @@ def test_chosen_columns_of_odd_links(spark):
     assert got == [(1, "A", "X"), (1, "a", "X"), *((3, t, c) for t in ("A", "B", "a") for c in ("X", "y"))]
 
 
+def small_catalog(spark):
+    """Links, columns, foreign keys and datapoints that the planner knows to be small."""
+    ids = spark.range(4)
+    columns = ids.selectExpr("concat('d', id % 1) AS db_id", "0L AS table_idx", "'T' AS table_name", "id AS col_idx", "concat('C', id) AS col_name", "id = 0 AS is_pk")
+    fks = ids.filter("id = 1").selectExpr("concat('d', id % 1) AS db_id", "'T' AS table_name", "0L AS fk_no", "'C1' AS col_name", "'T' AS ref_table", "'C0' AS ref_column")
+    link = ids.filter("id = 2").selectExpr("id AS dp_id", "concat('d', id % 1) AS db_id", "'t' AS table_name", "'c2' AS col_name")
+    return link, columns, fks, ids.selectExpr("id AS dp_id", "concat('d', id % 1) AS db_id").filter("dp_id IN (2, 3)")
+
+
+def test_chosen_columns_do_not_pass_through_the_driver(spark):
+    """R1: neither a catalog's columns nor its schemas are broadcast, however small the planner takes them to be."""
+    link, columns, _, dps = small_catalog(spark)
+    df = links.filter_chosen(dps, columns, link)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+    assert sorted((r.dp_id, r.table_name, r.col_name) for r in df.collect()) == [(2, "T", "C2"), *((3, "T", f"C{i}") for i in range(4))]
+
+
 def test_a_link_is_gathered_once_to_be_closed(spark):
     """R2: one gathering of the links, and no comparison of linked keys with the columns of a schema."""
     plan = QUERIES["R2_close_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
