@@ -116,6 +116,15 @@ def test_chosen_columns_do_not_pass_through_the_driver(spark):
     assert sorted((r.dp_id, r.table_name, r.col_name) for r in df.collect()) == [(2, "T", "C2"), *((3, "T", f"C{i}") for i in range(4))]
 
 
+def test_closing_a_link_sends_no_catalog_through_the_driver(spark):
+    """R2: neither a catalog's columns nor its foreign keys are broadcast."""
+    link, columns, fks, dps = small_catalog(spark)
+    df = links.close_link(link, columns, fks, dps=dps)
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert sum("rightHint=(strategy=merge)" in line for line in joins) == 2
+    assert sorted((r.dp_id, r.col_name) for r in df.collect()) == [(2, "C0"), (2, "C1"), (2, "C2"), *((3, f"C{i}") for i in range(4))]
+
+
 def test_a_link_is_gathered_once_to_be_closed(spark):
     """R2: one gathering of the links, and no comparison of linked keys with the columns of a schema."""
     plan = QUERIES["R2_close_link"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
