@@ -144,9 +144,8 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     none = F.array().cast(NO_TEXTS)
     noted = lambda found: example_note(F.col("comment"), format_examples(collapse_identifier_examples(merge_examples(found, F.col("examples"))), F.col("type_class")))
     known = columns.join(static, ["db_id", "table_name", "col_name"], "left").withColumn("examples", F.coalesce("examples", none)).withColumn("place", place("table_idx", "col_idx"))
-    if link is not None:
-        # read for the schemas and for the questions' own examples; staging brought no gain where every schema is shown whole
-        known = cut_lineage(known)
+    # read for the schemas and for the questions' own examples; what ranking the examples has shuffled is gone before schemas are gathered
+    known = cut_lineage(known)
     schemas = nest_catalog(with_details(known).withColumn("note", noted(none)), fks, PARTS)
     wanted = dataset.select("db_id").distinct().select("db_id", F.lit("").alias("form"), *[F.lit(None).cast(kind).alias(name) for name, kind in NO_LINK.items()])
     asked = dataset.withColumn("form", F.lit(""))
@@ -159,7 +158,8 @@ def schema_input(dataset: DataFrame, columns: DataFrame, fks: DataFrame, static:
     mine = nest_retrieved(retrieved, ["dp_id", "table_name", "col_name"]).join(dataset.select("dp_id", "db_id").distinct(), "dp_id").join(known.select("db_id", "table_name", "col_name", "place", "comment", "type_class", "examples"), ["db_id", "table_name", "col_name"])
     notes = mine.groupBy("dp_id", "db_id").agg(F.collect_list(F.struct("place", noted(F.col("found")).alias("note"))).alias("notes"))
     missing = F.raise_error(F.concat(F.lit("no catalog for database "), F.col("db_id"))).cast("string")
-    joined = asked.join(forms, ["db_id", "form"], "left").join(notes, ["dp_id", "db_id"], "left")
+    # forms come last: a whole schema's parts are never shuffled once per question
+    joined = asked.join(notes, ["dp_id", "db_id"], "left").join(forms, ["db_id", "form"], "left")
     text = F.when(F.col("texts").isNull(), missing).otherwise(filled(F.col("texts"), F.col("places"), F.col("notes")))
     return joined.select(*dataset.columns, text.alias("schema_text"))
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401
+from querymill import session
 from querymill.operators import links, rounds, workload
 from querymill.registry.base import QUERIES, Source
 
@@ -152,6 +154,31 @@ def test_noise_reads_line_items_once_beside_the_staged_columns(spark, name):
     assert scans(QUERIES[name](spark, FOLDER)) == 1
 
 
+def test_schema_input_reads_staged_inputs_and_shuffles_no_schema_per_question(spark):
+    """R5: a question meets the parts of its schema in the last join, after its own notes."""
+    df = QUERIES["R5_schema_input"](spark, FOLDER)
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert scans(df) == 0 and "dp_id" not in joins[0] and "dp_id" in joins[1]
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """What a staged table has shuffled is gone with its job, and the session's setting is as it was."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {b for b in manager.getAllBlocks().mkString("|").split("|") if b.startswith("shuffle_")}
+    before = shuffled()
+    for kept in (None, "false"):
+        if kept:
+            spark.conf.set(session.CLEANUP_KEY, kept)
+        staged = session.cut_lineage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+        assert spark.conf.get(session.CLEANUP_KEY, None) == kept
+        until = time.monotonic() + 20
+        while shuffled() - before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert not shuffled() - before and staged.count() == 10
+        before = shuffled()
+    spark.conf.unset(session.CLEANUP_KEY)
+
+
 def test_schema_input_of_links_reads_line_items_once(spark):
     """R5 with a link: columns, questions, retrieved values and static examples are staged."""
     assert scans(QUERIES["R5_schema_input_of_link"](spark, FOLDER)) == 0
